@@ -1,0 +1,38 @@
+"""Neighbours and ranks within groups of any size: range partitions instead of one window task per group."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quillon.runtime import save_stage
+
+
+def range_partitioned(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """``df`` dealt by ranges of ``keys``, with the partition's number in ``__pid``, written so that it stays fixed."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return save_stage(df.repartitionByRange(n, *keys).withColumn("__pid", F.spark_partition_id()), label)
+
+
+def grouped_rank(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Add ``out``: 1, 2, ... by ``order`` within ``group`` (``order`` must be total within a group).
+
+    Rows are dealt by ranges of group and order, so a group with a third of all rows spreads over many tasks. A group
+    that spans several partitions gets offsets from the counts of the earlier ones: at most two rows a partition.
+    """
+    keys = [*group, *order]
+    laid = range_partitioned(df, keys, "rank")
+    counts = laid.groupBy(*group, "__pid").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy(*group).orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.withColumn("__skip", F.sum("__n").over(before)).filter("__skip is not null").drop("__n")
+    local = F.row_number().over(W.partitionBy(*group, "__pid").orderBy(*order))
+    on = [laid[c].eqNullSafe(offsets[c]) for c in group] + [laid["__pid"] == offsets["__pid"]]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    ranked = laid.withColumn("__local", local)
+    # each partition holds the continuation of at most one group, so the broadcast side has at most one row a partition
+    return ranked.join(F.broadcast(offsets), cond, "left").select(
+        *[laid[c] for c in df.columns], (F.col("__local") + F.coalesce(F.col("__skip"), F.lit(0))).cast("long").alias(out)
+    )
