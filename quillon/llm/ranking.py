@@ -25,14 +25,13 @@ def grouped_rank(df: DataFrame, group: list[str], order: list[str], out: str) ->
     laid = range_partitioned(df, keys, "rank")
     counts = laid.groupBy(*group, "__pid").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*group).orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("__skip", F.sum("__n").over(before)).filter("__skip is not null").drop("__n")
+    offsets = counts.withColumn("__skip", F.sum("__n").over(before)).filter("__skip is not null")
+    offsets = offsets.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col("__pid").alias("__p"), "__skip")
     local = F.row_number().over(W.partitionBy(*group, "__pid").orderBy(*order))
-    on = [laid[c].eqNullSafe(offsets[c]) for c in group] + [laid["__pid"] == offsets["__pid"]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
+    same = F.col("__pid") == F.col("__p")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
     ranked = laid.withColumn("__local", local)
     # each partition holds the continuation of at most one group, so the broadcast side has at most one row a partition
-    return ranked.join(F.broadcast(offsets), cond, "left").select(
-        *[laid[c] for c in df.columns], (F.col("__local") + F.coalesce(F.col("__skip"), F.lit(0))).cast("long").alias(out)
-    )
+    place = (F.col("__local") + F.coalesce(F.col("__skip"), F.lit(0))).cast("long").alias(out)
+    return ranked.join(F.broadcast(offsets), same, "left").select(*df.columns, place)
