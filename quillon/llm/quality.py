@@ -56,7 +56,7 @@ def statistics(text: str | None) -> list[float]:
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [statistics(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "stats"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "stats"])
 
 
 class Fourier:
@@ -115,13 +115,14 @@ def _scorer(fourier: Fourier | None, beta: np.ndarray | None, xs: np.ndarray, ys
         for batch in batches:
             raw = fourier(_matrix(batch, "stats")) @ beta if fourier is not None else np.zeros(batch.num_rows)
             score = np.clip(np.interp(raw, xs, ys), 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw), pa.array(score)], ["doc_id", "raw", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(raw), pa.array(score)], [*batch.schema.names[:-1], "raw", "score"])
 
     return run
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Score every text for the 0/1 label of ``labels``: ``doc_id``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
+    """Score every text for the 0/1 label of ``labels``: ``doc_id``, ``score`` (0 to 1), ``predicted`` (1 from 0.5 on)
+    and ``row_key`` (xxhash64 of id and text).
 
     Learns from at most ``2 * fit_rows`` labelled rows whose text is in ``docs``: three quarters (by hash of id) give the
     ridge weights, the rest the calibration. Labels other than 0 and 1 and labels of unknown or null ids are ignored; an
@@ -129,8 +130,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts count as empty; repeated rows repeat; other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    stats = save_stage(rows.mapInArrow(_stats, "doc_id long, stats array<double>"), "stats")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("row_key"), F.col(text_col).alias("text"))
+    stats = save_stage(rows.mapInArrow(_stats, "doc_id long, row_key long, stats array<double>"), "stats")
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).filter("label in (0, 1)")
     known = hash_sample(stats.join(marked, "doc_id"), "doc_id", fit_rows, FIT_PARTS)
     known = save_stage(known.withColumn("check", F.pmod(F.xxhash64("doc_id", F.lit("check")), F.lit(4)) == 0), "known")
@@ -160,8 +161,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         else:
             xs, ys = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         model = (fourier, beta, xs, ys)
-    scored = stats.mapInArrow(_scorer(*model), "doc_id long, raw double, score double")
-    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = stats.mapInArrow(_scorer(*model), "doc_id long, row_key long, raw double, score double")
+    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "row_key")
 
 
 def _with_raw(fourier: Fourier, beta: np.ndarray):
