@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+#: Rows up to which a table of a few narrow columns is handled in one partition after it has been counted.
+ONE_TASK_ROWS = 200_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -48,6 +52,11 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def narrow(df: DataFrame, rows: int, limit: int = ONE_TASK_ROWS) -> DataFrame:
+    """``df`` in one partition if its counted ``rows`` are at most ``limit``, so that small steps need no shuffle."""
+    return df.coalesce(1) if rows <= limit else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per context, as ``--py-files`` would.
 
