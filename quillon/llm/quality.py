@@ -136,14 +136,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = hash_sample(stats.join(marked, "doc_id"), "doc_id", fit_rows, FIT_PARTS)
     known = save_stage(known.withColumn("check", F.pmod(F.xxhash64("doc_id", F.lit("check")), F.lit(4)) == 0), "known")
     fit, check = known.filter("not check"), known.filter("check")
+    seen = {r.check: (r.n, r.good) for r in known.groupBy("check").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()}
+    total, good = (sum(v[k] for v in seen.values()) for k in (0, 1))
+    if seen.get(False, (0, 0))[1] in (0, seen.get(False, (0, 0))[0]):
+        fit = known  # too few labels to set some apart
     k = len(STATISTICS)
-    moments = _added(fit, lambda x, y: np.concatenate(([len(y), y.sum()], x.sum(axis=0), (x * x).sum(axis=0))))
-    if moments is None or moments[1] in (0, moments[0]):
-        only = 0.5 if moments is None else moments[1] / moments[0]
+    if good in (0, total):
+        only = good / total if total else 0.5
         model = (None, None, np.array([0.0, 1.0]), np.array([only, only]))
     else:
-        n, mean = moments[0], moments[2 : 2 + k] / moments[0]
-        scale = np.sqrt(np.maximum(moments[2 + k :] / n - mean**2, 0))
+        moments = _added(fit, lambda x, y: np.concatenate(([len(y)], x.sum(axis=0), (x * x).sum(axis=0))))
+        n, mean = moments[0], moments[1 : 1 + k] / moments[0]
+        scale = np.sqrt(np.maximum(moments[1 + k :] / n - mean**2, 0))
         fourier = Fourier(mean, np.where(scale > 1e-9, scale, 1.0), math.sqrt(k) * 0.7)
 
         def normal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
