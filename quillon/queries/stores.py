@@ -12,7 +12,7 @@ from quillon.registry import query
 from quillon.runtime import shared_path, table
 from quillon.sources import jsonlines as J
 from quillon.sources import store as S
-from quillon.streaming.enrich_stream import postings_of, stream_enrich
+from quillon.streaming import enrich_stream as streams
 
 CATEGORY = "case when {} % 3 = 0 then 'Pizza, Restaurants' when {} % 3 = 1 then 'Shopping' end"
 
@@ -45,7 +45,7 @@ def load_reviews_and_tips(spark, sf_dir):
     # files in order of id: the file order numbers the tips
     r.filter("kind = 'tip'").repartitionByRange(4, "n").sortWithinPartitions("n").select("business_id", "user_id", "text").write.json(f"{path}/t")
     found = J.load_reviews_and_tips(spark, f"{path}/r", f"{path}/t")
-    return found.select("review_id", "kind", "item_id", F.length("text").alias("n_chars"))
+    return found.select("review_id", "kind", "item_id", F.length("text").cast("long").alias("n_chars"))
 
 
 @query(f"{ctes('interactions')} select item_id, count(*) as n from interactions group by 1")
@@ -173,9 +173,9 @@ def rate_lookup(spark, sf_dir):
     return found.select("model", "key", F.round(F.col("usd_in") * 1e6, 6).alias("usd_in"), F.round(F.col("usd_out") * 1e6, 6).alias("usd_out"))
 
 
-@query(f"with {USAGE} select model, task, cast(sum(prompt_tokens) as bigint) as prompt_tokens, cast(sum(completion_tokens) as bigint) as completion_tokens, round(sum(usd), 6) as usd from priced group by rollup(model, task)")
+@query(f"with {USAGE} select model, task, cast(sum(prompt_tokens) as bigint) as prompt_tokens, cast(sum(completion_tokens) as bigint) as completion_tokens, round(sum(usd), 9) as usd from priced group by rollup(model, task)")
 def usage_rollup(spark, sf_dir):
-    return U.usage_rollup(usage(spark, sf_dir), U.rate_card(spark)).withColumn("usd", F.round("usd", 6))
+    return U.usage_rollup(usage(spark, sf_dir), U.rate_card(spark)).withColumn("usd", F.round("usd", 9))
 
 
 @query(f"with {USAGE} select task, count(*) as n, round(quantile_cont((prompt_tokens * 13 % 997)::double, 0.5), 6) as p50, round(quantile_cont((prompt_tokens * 13 % 997)::double, 0.95), 6) as p95, round(sum(usd) / count(*) * 1000, 6) as usd_per_1k from priced group by task")
@@ -298,16 +298,16 @@ def run_artifacts(spark, sf_dir):
 
 
 @query(rf"""{ctes('reviews')} select term, review_id, item_id, count(*) as tf from (select review_id, item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) as term from reviews) group by all""")
-def stream_enrich_postings(spark, sf_dir):
+def stream_enrich(spark, sf_dir):
     source, target = shared_path(spark, "arrivals"), shared_path(spark, "postings")
     r = reviews(spark, sf_dir).select("review_id", "item_id", "text", F.expr("timestamp '2020-01-01 00:00:00'").alias("ts"))
     again = r.filter("review_id % 10 = 0")
     r.union(again).repartition(4, "review_id").write.parquet(source)
-    stream_enrich(spark, source, target)
+    streams.stream_enrich(spark, source, target)
     return spark.read.parquet(target).select("term", "review_id", "item_id", "tf")
 
 
 @query(rf"""{ctes('reviews')} select term, count(*) as n_postings, cast(sum(tf) as bigint) as n_tokens from (select term, review_id, count(*) as tf from
 (select review_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) as term from reviews) group by all) group by term""")
 def postings(spark, sf_dir):
-    return postings_of(reviews(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"))
+    return streams.postings_of(reviews(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"))
