@@ -9,6 +9,7 @@ from quillon.llm.decontaminate import op7_benchmark_decontamination
 from quillon.llm.htmltext import op9_html_extraction
 from quillon.llm.langid import op6_language_id
 from quillon.llm.neardup import op3_minhash_near_dedup
+from quillon.llm.oracles import ORACLES  # noqa: F401
 from quillon.llm.quality import op4_quality_classifier
 from quillon.llm.tokencount import op10_token_counts
 from quillon.llm.warc import op5_warc_transactions
@@ -20,4 +21,3 @@ QUERIES = {
         op8_bpe_encode_decode, op9_html_extraction, op10_token_counts,
     )
 }
-ORACLES: dict = {"op1_tool_call_linking": toolcalls.ORACLE}
