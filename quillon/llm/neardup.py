@@ -4,9 +4,9 @@ Texts become sets of five-word shingles. Banded MinHash signatures nominate pair
 and a pair is dropped once the posterior probability that its similarity reaches the threshold falls under ``miss``; the
 survivors are verified exactly on full shingle sets. Exact copies are one node from the start, so they never meet in pairs.
 
-A bucket of a band is first tested as a star: every member against the bucket's least member. Verified links are merged,
-and only buckets that still hold several components go on: small ones with their pairs across components, large ones split
-by a second band key, and what stays large in rounds of new stars until one component is left or every member was a centre.
+A bucket of a band is first tested as a star: every member against the bucket's most central one. Verified links are merged,
+and only buckets that still hold several components go on: small ones with their pairs across components, large ones joined to
+families in which members outside the main component are compared with all others in blocks, without a row per pair.
 """
 
 from __future__ import annotations
@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 
 from quillon.llm.graph import connected_components
 from quillon.llm.textscan import gram_hashes, mix, pieces, word_hashes
-from quillon.runtime import save_stage, ship_package, small
+from quillon.runtime import narrow, save_stage, ship_package, small
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 16
-#: Members up to which a bucket that holds several components emits its pairs across components.
-SMALL_BUCKET = 64
+#: Pairs across components (members outside the main component times all members) up to which a bucket emits pairs.
+BUCKET_PAIRS = 1024
+#: Nodes on the two sides of a block in which full sets are compared.
+BLOCK_OTHERS, BLOCK_ALL = 256, 1024
 _MULT = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -150,6 +152,52 @@ def _exact(percent: int):
     return run
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 100):
+            part = whole.slice(at, 100)
+            sets = [x.tobytes() for x in shingle_sets(part.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "held"])
+
+
+def intersections(xs: list[np.ndarray], ys: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each of ``xs`` with each of ``ys``: products of 0/1 matrices, some columns at a time."""
+    fx, fy = np.concatenate(xs), np.concatenate(ys)
+    both = np.intersect1d(fx, fy)
+    rx, ry = (np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (xs, ys))
+    inx, iny = np.isin(fx, both), np.isin(fy, both)
+    rx, ry, cx, cy = rx[inx], ry[iny], np.searchsorted(both, fx[inx]), np.searchsorted(both, fy[iny])
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    for at in range(0, len(both), columns):
+        mx, my = np.zeros((len(xs), columns), np.float32), np.zeros((len(ys), columns), np.float32)
+        kx, ky = (cx >= at) & (cx < at + columns), (cy >= at) & (cy < at + columns)
+        mx[rx[kx], cx[kx] - at] = 1
+        my[ry[ky], cy[ky] - at] = 1
+        out += mx @ my.T
+    return out
+
+
+def _blocks(percent: int):
+    """Links between the two sides of a block, for each node of the first at most one with each component."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        links = []
+        if len(left) and len(right):
+            xs, ys = ([np.frombuffer(v, np.uint64) for v in side["held"]] for side in (left, right))
+            both = intersections(xs, ys)
+            total = np.array([len(v) for v in xs], np.float32)[:, None] + np.array([len(v) for v in ys], np.float32)
+            comp = right["comp"].to_numpy()
+            for i, j in enumerate(100 * both >= percent * (total - both)):
+                seen = {left["comp"].iat[i]}
+                for k in np.flatnonzero(j):
+                    if comp[k] not in seen:
+                        seen.add(comp[k])
+                        links.append((left["node"].iat[i], right["node"].iat[k]))
+        return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype=object)
+
+    return run
+
+
 class _Linker:
     """The tables of one run: sketches, node texts, and verified links so far."""
 
@@ -167,10 +215,21 @@ class _Linker:
         self.links: DataFrame | None = None
 
     def buckets(self) -> DataFrame:
-        """Members of the buckets with several nodes: key, node, n_shingles, and the bucket's least node."""
+        """Members of the buckets with several nodes: key, node, n_shingles, score, and the bucket's centre.
+
+        A node's score is the size of all its buckets together: it is largest for the text that the copies in a family were
+        made from, or the one nearest to it. The centre of a bucket is its member with the best score.
+        """
         members = save_stage(self.nodes, "nodes").select(F.explode("bands").alias("key"), "node", "n_shingles")
-        stars = members.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre <> last")
-        return save_stage(members.join(stars.select("key", "centre"), "key"), "buckets")
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        members = save_stage(members.join(sizes, "key"), "shared")
+        scores = members.groupBy("node").agg(F.sum("size").alias("score"))
+        return save_stage(self.centred(members.drop("size").join(scores, "node")), "buckets")
+
+    @staticmethod
+    def centred(members: DataFrame) -> DataFrame:
+        best = members.groupBy("key").agg(F.max(F.struct("score", "node")).alias("best"))
+        return members.join(best.select("key", F.col("best.node").alias("centre")), "key")
 
     def survivors(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that the sequential comparison keeps, with their matches."""
@@ -180,8 +239,9 @@ class _Linker:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full shingle sets reach the threshold."""
-        need = save_stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "need")
-        texts = self.texts.join(small(need, need.count()), "node", "left_semi").dropDuplicates(["node"])
+        rows = pairs.count()
+        need = save_stage(narrow(pairs, rows).select(F.explode(F.array("a", "b")).alias("node")).distinct(), "need")
+        texts = self.texts.join(small(need, 2 * rows), "node", "left_semi").dropDuplicates(["node"])
         texts = save_stage(texts, "texts")
         ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
         tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
@@ -190,20 +250,26 @@ class _Linker:
     def labels(self) -> DataFrame:
         return save_stage(connected_components(self.links), "labels")
 
-    def link(self, pairs: DataFrame) -> DataFrame:
+    def link(self, pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         """Add the verified links among ``pairs`` that matter for components; returns the labels.
 
-        First each node's most similar pair is verified, then the pairs that still join two components.
+        Without ``labels`` each node's most similar pair is verified first; then come the pairs that still join two
+        components.
         """
         alive = save_stage(self.survivors(pairs), "alive")
-        ends = alive.select("a", "b", "matches", F.explode(F.array("a", "b")).alias("node"))
-        best = ends.groupBy("node").agg(F.max(F.struct("matches", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        self.add(save_stage(self.verified(best), "links"))
-        labels = self.labels()
-        across = save_stage(self.across(alive, labels).select("a", "b").join(best, ["a", "b"], "left_anti"), "across")
-        if across.isEmpty():
+        if labels is None:
+            rows = alive.count()
+            few = narrow(alive, rows)
+            ends = few.select("a", "b", "matches", F.explode(F.array("a", "b")).alias("node"))
+            best = ends.groupBy("node").agg(F.max(F.struct("matches", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+            best = save_stage(best, "best")
+            self.add(save_stage(self.verified(best), "links"))
+            labels = self.labels()
+            rest = self.across(few, narrow(labels, rows)).select("a", "b").join(narrow(best, rows), ["a", "b"], "left_anti")
+            alive = save_stage(rest, "across")
+        if alive.isEmpty():
             return labels
-        self.add(save_stage(self.verified(across), "links"))
+        self.add(save_stage(self.verified(alive), "links"))
         return self.labels()
 
     def add(self, links: DataFrame) -> None:
@@ -218,47 +284,65 @@ class _Linker:
 
     @staticmethod
     def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members of the buckets that hold several components; adds comp and the bucket's size."""
-        named = members.drop("comp", "size").join(labels.withColumnRenamed("label", "comp"), "node", "left")
+        """Members of the buckets that hold several components; adds ``comp``, the bucket's most frequent one (``main``) and
+        the number of members (``size``) and of those outside that (``others``)."""
+        named = members.drop("comp", "main", "others", "size").join(labels.withColumnRenamed("label", "comp"), "node", "left")
         named = named.withColumn("comp", F.coalesce("comp", "node"))
-        wide = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
-        return named.join(wide.filter("lo <> hi").select("key", "size"), "key")
+        parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+        wide = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size")).filter("size > top.n")
+        return named.join(wide.select("key", F.col("top.comp").alias("main"), "size", (F.col("size") - F.col("top.n")).alias("others")), "key")
+
+    def within_families(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """All links across components among nodes whose large buckets hang together (a family).
+
+        Members outside a family's main component meet all its members in blocks of bounded size, where full shingle sets
+        are compared by matrix products, so no pair is ever a row.
+        """
+        linked = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        family = connected_components(linked).withColumnRenamed("label", "family")
+        pool = members.select("node", "comp").distinct().join(family, "node")
+        parts = pool.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("family")
+        parts = parts.agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"))
+        parts = parts.select("family", F.col("top.comp").alias("main"), "size", (F.col("size") - F.col("top.n")).alias("others"))
+        pool = save_stage(pool.join(parts, "family"), "pool")
+        need = pool.select("node")
+        texts = self.texts.join(small(need, need.count()), "node", "left_semi").dropDuplicates(["node"])
+        held = save_stage(texts.mapInArrow(_sets, "node binary, held binary").join(pool, "node"), "held")
+        nx, ny = F.ceil(F.col("others") / BLOCK_OTHERS).cast("int"), F.ceil(F.col("size") / BLOCK_ALL).cast("int")
+
+        def place(n):
+            return F.pmod(F.xxhash64("node"), n).cast("int")
+
+        one = held.filter("comp <> main").select("family", "node", "comp", "held", place(nx).alias("bx"), F.explode(F.sequence(F.lit(0), ny - 1)).alias("by"))
+        two = held.select("family", "node", "comp", "held", F.explode(F.sequence(F.lit(0), nx - 1)).alias("bx"), place(ny).alias("by"))
+        keys = ["family", "bx", "by"]
+        return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(_blocks(self.percent), "a binary, b binary")
 
     def pairs_within(self, members: DataFrame) -> DataFrame:
-        """Pairs across components within buckets of at most ``SMALL_BUCKET`` members, sizes permitting."""
-        few = members.filter(F.col("size") <= SMALL_BUCKET)
-        x = few.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"), "centre")
+        """Pairs across components within buckets that have at most ``BUCKET_PAIRS`` of them."""
+        few = members.filter(F.col("others") * F.col("size") <= BUCKET_PAIRS)
+        x = few.filter("comp <> main").select("key", "main", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"), F.col("centre").alias("xc"))
         y = few.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"))
         near = (100 * F.col("na") >= self.percent * F.col("nb")) & (100 * F.col("nb") >= self.percent * F.col("na"))
-        new = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near & ~F.coalesce(F.col("a") == F.col("centre"), F.lit(False))
-        return x.join(y, "key").filter(new).select("a", "b").distinct()
+        once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
+        tested = F.coalesce((F.col("a") == F.col("xc")) | (F.col("b") == F.col("xc")), F.lit(False))
+        return x.join(y, "key").filter((F.col("ca") != F.col("cb")) & near & once & ~tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def run(self) -> DataFrame:
         """Labels of all nodes that have a link."""
         members = self.buckets()
-        stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        stars = members.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
         labels = self.link(stars)
         rest = save_stage(self.open_buckets(members, labels), "open")
         if rest.isEmpty():
             return labels
-        pairs = self.pairs_within(rest)
-        large = rest.filter(F.col("size") > SMALL_BUCKET)
-        if not large.isEmpty():
-            # a pair of the sought similarity shares about ten of the other bands: split by each of them
-            keys = self.nodes.select("node", F.explode("bands").alias("other"))
-            split = large.join(keys, "node").filter("other <> key").select(F.xxhash64("key", "other").alias("key"), "node", "n_shingles", F.lit(None).cast("binary").alias("centre"))
-            large = save_stage(self.open_buckets(split, labels), "split")
-            pairs = pairs.union(self.pairs_within(large)).distinct()
-            large = large.filter(F.col("size") > SMALL_BUCKET)
-        labels = self.link(save_stage(pairs, "pairs"))
-        large = save_stage(self.open_buckets(large, labels), "large") if "comp" in large.columns else large
-        while not large.isEmpty():
-            # the least member of each bucket is compared with all others, then leaves it
-            centres = large.groupBy("key").agg(F.min("node").alias("c"))
-            star = large.drop("centre").join(centres, "key").filter("node <> c")
-            labels = self.link(save_stage(star.select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), "pairs"))
-            large = save_stage(self.open_buckets(star.withColumn("centre", F.col("c")).drop("c"), labels), "large")
-        return labels
+        labels = self.link(self.pairs_within(rest), labels)
+        large = rest.filter(F.col("others") * F.col("size") > BUCKET_PAIRS)
+        if large.isEmpty():
+            return labels
+        large = save_stage(self.open_buckets(large, labels), "large")
+        self.add(save_stage(self.within_families(large, labels), "links"))
+        return self.labels()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, miss: float = 1e-6) -> DataFrame:
