@@ -23,25 +23,45 @@ def levels(calls: DataFrame, depends: DataFrame) -> DataFrame:
     """Topological levels: ``conv_id``, ``call_id`` and ``level`` (0 without dependencies, else one more than the deepest).
 
     ``depends`` has ``conv_id``, ``call_id`` and ``on_id``. Dependencies on unknown calls are ignored. Calls on a cycle, and
-    calls behind one, have no level and are left out. Each round places the calls whose dependencies are all placed: one
-    join per level, so as many rounds as the longest chain has calls.
+    calls behind one, have no level and are left out. Chains of calls with one dependency each are shortened by doubling
+    pointers (rounds: the logarithm of the chain's length). Then each round places the calls with several dependencies
+    whose anchors are all placed (rounds: how many such calls follow one another).
     """
     keys = ["conv_id", "call_id"]
     nodes = save_stage(calls.select(*keys).distinct(), "calls")
     known = nodes.select("conv_id", F.col("call_id").alias("on_id"))
     edges = save_stage(depends.select(*keys, "on_id").distinct().join(known, ["conv_id", "on_id"], "left_semi"), "edges")
+    degree = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("on_id").alias("up"))
+    single = save_stage(degree.filter("n = 1").select(*keys, "up", F.lit(1).alias("dist")), "single")
+    most = max(1, nodes.count()).bit_length() + 1
+    chains = single.withColumn("moved", F.lit(True))
+    for _ in range(most):
+        step = chains.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("d2"))
+        jumped = chains.join(step, ["conv_id", "up"], "left")
+        jumped = jumped.select(*keys, F.coalesce("up2", "up").alias("up"), (F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist"), F.col("up2").isNotNull().alias("moved"))
+        chains = save_stage(jumped, "chains")
+        if chains.filter("moved").isEmpty():
+            break
+    chains = chains.filter("not moved").drop("moved")  # what still moves goes round in a cycle
     placed = save_stage(nodes.join(edges, keys, "left_anti").withColumn("level", F.lit(0)), "levels")
-    out, front, level = placed, placed, 0
-    while not edges.isEmpty():
-        level += 1
-        done = front.select("conv_id", F.col("call_id").alias("on_id"))
-        waiting = edges.select(*keys).distinct()
-        edges = save_stage(edges.join(done, ["conv_id", "on_id"], "left_anti"), "edges")
-        front = save_stage(waiting.join(edges, keys, "left_anti").withColumn("level", F.lit(level)), "levels")
-        if front.isEmpty():
+    several = edges.join(degree.filter("n > 1").select(*keys), keys, "left_semi")
+    via = chains.select("conv_id", F.col("call_id").alias("on_id"), "up", "dist")
+    lone = single.select("conv_id", F.col("call_id").alias("on_id"), F.lit(True).alias("lone"))
+    several = several.join(via, ["conv_id", "on_id"], "left").join(lone, ["conv_id", "on_id"], "left")
+    # a dependency in a chain stands for the chain's anchor; one in a cycle for nothing, so it is never placed
+    anchor = F.when(F.col("lone") & F.col("up").isNull(), F.lit(None)).otherwise(F.coalesce("up", "on_id"))
+    waiting = save_stage(several.select(*keys, anchor.alias("anchor"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")), "several")
+    while not waiting.isEmpty():
+        there = placed.select("conv_id", F.col("call_id").alias("anchor"), "level")
+        ready = waiting.join(there, ["conv_id", "anchor"], "left").groupBy(*keys)
+        ready = ready.agg(F.count(F.lit(1)).alias("n"), F.count("level").alias("got"), F.max(F.col("level") + F.col("dist")).alias("level"))
+        ready = save_stage(ready.filter("n = got").select(*keys, "level"), "levels")
+        if ready.isEmpty():
             break
-        out = out.union(front)
-    return out
+        placed = placed.union(ready)
+        waiting = save_stage(waiting.join(ready, keys, "left_anti"), "several")
+    top = placed.select("conv_id", F.col("call_id").alias("up"), "level")
+    return placed.union(chains.join(top, ["conv_id", "up"]).select(*keys, (F.col("level") + F.col("dist")).cast("int").alias("level")))
 
 
 def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -64,3 +64,12 @@ def test_ranks_do_not_depend_on_partitions(spark):
             want[r[1]] = k
     for n in (1, 7):
         assert {r.i: r.place for r in grouped_rank(df.repartition(n), ["g"], ["i"], "place").collect()} == want
+
+
+def test_levels_of_chains_joins_and_cycles(spark):
+    n = 60
+    calls = [(1, f"c{i}") for i in range(n)] + [(1, x) for x in "xyzuvw"] + [(2, "c0")]
+    depends = [(1, f"c{i}", f"c{i - 1}") for i in range(1, n)]
+    depends += [(1, "x", "c5"), (1, "x", "c9"), (1, "y", "x"), (1, "z", "y"), (1, "z", "c59"), (1, "u", "v"), (1, "v", "u"), (1, "w", "u"), (1, "w", "c0")]
+    got = {(r.conv_id, r.call_id): r.level for r in C.levels(spark.createDataFrame(calls, "conv_id long, call_id string"), spark.createDataFrame(depends, "conv_id long, call_id string, on_id string")).collect()}
+    assert got == {**{(1, f"c{i}"): i for i in range(n)}, (1, "x"): 10, (1, "y"): 11, (1, "z"): 60, (2, "c0"): 0}
