@@ -36,48 +36,100 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split()
 )
 _DROP = frozenset("head nav aside footer form menu dialog select button option fieldset".split())
-# names in class, id and role: the first kind always marks chrome, the second unless the name also speaks of the article
+# names in class, id and role of blocks: the first kind marks chrome, the second unless the names also speak of the article
 _ALWAYS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer contentinfo ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion "
     "comment comments disqus respond reply replies cookie cookies consent gdpr newsletter subscribe subscription share sharing social related recommended recommendations pagination pager".split()
 )
 _OFTEN = frozenset("header masthead banner notice notices alert complementary widget toolbar search login signup popup modal overlay skip dialog form".split())
 _ABOUT = frozenset("article post entry content main story body text title headline".split())
+_ANSWER = frozenset("comment comments reply".split())
+# parts of a name: "has-sidebar" is what a page has; "ad-slot" is an ad; "sidebar-wrap" is a sidebar, "content-sidebar-wrap" is not
+_HAVING = frozenset("has no not with without".split())
+_PIECE = frozenset("list item items link links button buttons icon icons bar box banner block section slot unit widget form notice posts thread left right top bottom primary secondary".split())
+_WRAP = frozenset("wrap wrapper container holder layout outer inner area".split())
+
+# elements whose end tag may be left out, by what ends them: a sibling's start, up to the nearest of some elements around
+_P_ENDS = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre search section summary table ul hr".split()
+)
+_CELLS = ("td", "th", "caption")
+_SIBLINGS = {
+    "li": (("li",), ("ul", "ol", "menu", "table", *_CELLS)), "dd": (("dd", "dt"), ("dl", "table", *_CELLS)), "dt": (("dd", "dt"), ("dl", "table", *_CELLS)),
+    "tr": (("tr",), ("table",)), "td": (_CELLS, ("table", "tr")), "th": (_CELLS, ("table", "tr")), "option": (("option",), ("select",)),
+    **{t: (("tr", "tbody", "thead", "tfoot", "caption"), ("table",)) for t in ("tbody", "thead", "tfoot")},
+}
+_TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
+#: Added to the kind of a line of an article within an element that only its names (or being a form) mark as chrome.
+_HELD = 8
 
 
-def _is_chrome(tag: str, attrs: str, inside: int) -> bool:
-    if tag in _DROP or (tag == "header" and not inside):
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        found = None
-    else:
-        found = set()
-    if found is not None or attrs:
-        for m in _ATTR.finditer(attrs):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id", "role") and (found is not None or name != "role"):
-                names = {x.lower() for x in _NAME.findall(value)}
-                if found is None:
-                    if tag == "article" and names & {"comment", "comments", "reply"}:
-                        return True
-                elif names & _ALWAYS or (names & _OFTEN and not names & _ABOUT):
-                    return True
-            elif (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-                return True
-        if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs), re.I):
+def _named(value: str, marks: frozenset) -> bool:
+    """Whether a whole name in ``value`` is one of ``marks``, by its last part or by a first part before words of the article."""
+    for name in value.split():
+        parts = [x.lower() for x in _NAME.findall(name)]
+        while len(parts) > 1 and len(parts[-1]) < 2 or parts and parts[-1].isdigit():
+            parts.pop()
+        if not parts or parts[0] in _HAVING:
+            continue
+        end = len(parts)
+        while end > 1 and (parts[end - 1] in _PIECE or parts[end - 1] in _WRAP) and parts[end - 1] not in marks:
+            end -= 1
+        if parts[end - 1] in marks and (_ABOUT.isdisjoint(parts[: end - 1]) or _WRAP.isdisjoint(parts[end:])):
+            return True
+        if end > 1 and parts[0] in marks and _ABOUT.issuperset(parts[1:end]):
             return True
     return False
 
 
+def _hidden(attrs: str) -> bool:
+    for m in _ATTR.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+            return True
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs), re.I))
+
+
+_SURE, _NAMED = 2, 1
+
+
+def _is_chrome(tag: str, attrs: str, inside: bool) -> int:
+    """Whether a block is chrome: ``_NAMED`` if only its names say so or it is a form (which may hold a whole page), else ``_SURE``; 0 if not."""
+    if (tag in _DROP and tag != "form") or (tag == "header" and not inside) or (attrs and _hidden(attrs)):
+        return _SURE
+    if tag == "form":
+        return _NAMED
+    if not attrs:
+        return 0
+    values = [m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id") or (m[1].lower() == "role" and tag not in ("article", "main"))]
+    if tag in ("article", "main"):
+        return _SURE if tag == "article" and any(_named(v, _ANSWER) for v in values) else 0
+    if any(_named(v, _ALWAYS) for v in values):
+        return _NAMED
+    if any(_named(v, _OFTEN) for v in values) and _ABOUT.isdisjoint(x.lower() for v in values for x in _NAME.findall(v)):
+        return _NAMED
+    return 0
+
+
 def page_lines(page: str | None) -> tuple[list[str], list[int]]:
-    """Text lines of a page in order and the kind of each."""
+    """Text lines of a page in order and the kind of each.
+
+    Open blocks are kept in a stack and end as in HTML, also where an end tag is left out: with their parent, or at the
+    start of a sibling. A stray end tag never closes an article from within. An article in an element that only its names
+    mark as chrome is body if no other line is and it has no less text than the open lines; a main element always is.
+    """
     lines: list[str] = []
     kinds: list[int] = []
     if not page:
         return lines, kinds
     buffer: list[str] = []
     linked: list[bool] = []
-    inside, anchors, skip_tag, skip_depth = 0, 0, "", 0
+    stack: list[str] = []
+    where: dict[str, list[int]] = {}
+    bodies: list[int] = []
+    marks: list[tuple[int, int]] = []  # places in the stack where text becomes chrome, or (0) is no longer
+    held: list[int] = []
+    anchors, mute, mute_depth = 0, "", 0
     at = 0
 
     def flush() -> None:
@@ -85,16 +137,33 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
             text = " ".join("".join(buffer).split())
             if text:
                 lines.append(text)
-                kinds.append(CHROME if skip_tag else (LINK if all(linked) else BODY) if inside else OPEN)
+                kinds.append(CHROME if marks and marks[-1][1] else (LINK if all(linked) else BODY) + _HELD * bool(held) if bodies else OPEN)
             buffer.clear()
             linked.clear()
 
     def add(raw: str) -> None:
-        if raw:
+        if raw and not mute:
             buffer.append(html.unescape(raw) if "&" in raw else raw)
             if not raw.isspace():
                 linked.append(anchors > 0)
 
+    def last(tags: tuple) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=-1)
+
+    def close(place: int) -> None:
+        while len(stack) > place:
+            where[stack.pop()].pop()
+        while marks and marks[-1][0] >= place:
+            marks.pop()
+        for places in (bodies, held):
+            while places and places[-1] >= place:
+                places.pop()
+
+    def close_sibling(tags: tuple, around: tuple) -> None:
+        place = last(tags)
+        if place > max(last(around), bodies[-1] if bodies else -1):
+            close(place)
+
     size = len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -112,36 +181,55 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else (size if tag in ("script", "style", "textarea") else at)
             continue
-        if tag not in _INLINE:
-            flush()
-        elif tag == "br":
-            buffer.append(" ")
+        if tag in _INLINE:
+            if tag == "br":
+                buffer.append(" ")
+            elif tag == "a":
+                anchors = max(0, anchors - 1) if closing else anchors + 1
+            if mute:
+                mute_depth += (tag == mute) * (-1 if closing else 1)
+                if not mute_depth:
+                    mute = ""
+            elif not closing and attrs and tag not in _VOID and _hidden(attrs):
+                mute, mute_depth = tag, 1
+            continue
+        flush()
+        mute = ""
+        if tag in ("html", "body"):
+            if closing and marks:
+                close(marks[0][0])
+            continue
         if closing:
-            if skip_tag:
-                if tag == skip_tag:
-                    skip_depth -= 1
-                    if not skip_depth:
-                        flush()
-                        skip_tag = ""
-                elif tag in ("body", "html"):
-                    skip_tag = ""
-            elif tag in ("article", "main"):
-                inside = max(0, inside - 1)
-            if tag == "a":
-                anchors = max(0, anchors - 1)
+            place = where[tag][-1] if where.get(tag) else -1
+            around = -1 if tag in ("article", "main") or not bodies else bodies[-1]
+            if tag not in _TABLE:
+                around = max(around, last(_CELLS))
+            if place > around:
+                close(place)
             continue
+        if tag in _P_ENDS:
+            close_sibling(("p",), ("table", "button", *_CELLS))
+        if tag in _SIBLINGS:
+            close_sibling(*_SIBLINGS[tag])
         if tag in _VOID:
             continue
-        if tag == "a":
-            anchors += 1
-        if skip_tag:
-            skip_depth += tag == skip_tag
-        elif _is_chrome(tag, attrs, inside):
-            flush()
-            skip_tag, skip_depth = tag, 1
-        elif tag in ("article", "main"):
-            inside += 1
+        place, skipping = len(stack), marks[-1][1] if marks else 0
+        chrome = _is_chrome(tag, attrs, bool(bodies)) if not skipping or tag == "article" else 0
+        if tag in ("article", "main") and not chrome and (skipping < _SURE or tag == "main"):
+            bodies.append(place)
+            if skipping:
+                marks.append((place, 0))
+                if tag == "article":
+                    held.append(place)
+        elif chrome and not skipping:
+            marks.append((place, chrome))
+        stack.append(tag)
+        where.setdefault(tag, []).append(place)
     flush()
+    if any(k >= _HELD for k in kinds):
+        chars = {k: sum(len(x) for x, y in zip(lines, kinds, strict=True) if y == k) for k in set(kinds)}
+        whole = not chars.keys() & {BODY, LINK} and sum(n for k, n in chars.items() if k >= _HELD) >= chars.get(OPEN, 0)
+        kinds = [(k - _HELD if whole else CHROME) if k >= _HELD else k for k in kinds]
     return lines, kinds
 
 

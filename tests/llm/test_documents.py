@@ -44,6 +44,28 @@ def test_page_lines():
     assert H.page_lines("<p>a<script>b")[0] == ["a"] and H.page_lines("<" * 2000 + "a='")[0]
 
 
+def body_of(page):
+    return [x for x, k in zip(*H.page_lines(page), strict=True) if k >= H.BODY]
+
+
+def test_wrappers_with_chrome_in_their_names_keep_their_article():
+    for wrapper in ('div class="content has-sidebar"', 'div id="content-sidebar-wrap"', 'section class="post no-comments"', 'div class="sidebar"', "form id=aspnetForm"):
+        tag = wrapper.split()[0]
+        assert body_of(f'<{wrapper}><nav>Menu</nav><article><p>Words<div class="ad-slot">Buy</div></article><div class="comment-list"><p>First!</p></div></{tag}><p>Open') == ["Words"]
+    assert body_of('<div class="related"><article>Teaser</article></div><main><p>Words</main>') == ["Words"]
+    assert H.page_lines('<div class="related"><article>Teaser</article></div><p>Longer open text') == (["Teaser", "Longer open text"], [H.CHROME, H.OPEN])
+    assert body_of('<div class="sidebar"><main><p>Words</main><p>Side</div>') == ["Words"]
+
+
+def test_inline_elements_stay_whatever_their_names():
+    assert body_of('<article><p>x = 1 <span class="hljs-comment"># one</span> costs <b class="share-price">5</b><i aria-hidden="true">icon</i> today</article>') == ["x = 1 # one costs 5 today"]
+
+
+def test_skipped_elements_end_without_an_end_tag():
+    assert body_of('<article><p class="ad">Buy<p>One<ul><li class="social">Like<li>Two<li class="share">Tell</ul><p>Three<p class="ad">More</article><p>Out') == ["One", "Two", "Three"]
+    assert body_of('<main><dl><dt class="ad">Buy<dd>One</dl><table><tr class="ad"><td>Buy<tr><td class="ad">Buy<td>Two</table><div class="ad">Buy</main>') == ["One", "Two"]
+
+
 def test_differencing(spark):
     def page(n, extra=""):
         return f"<div>Welcome to the shop</div><h1>About {n}</h1><p>Text {n} is all its own.</p>{extra}<div>All rights reserved</div>"
