@@ -87,27 +87,35 @@ def _fields(head: bytes) -> dict[str, str]:
 def parse(chunks: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, block) of each record, from (file, bytes between blank lines) in file order.
 
-    A block may itself hold blank lines: chunks are joined until Content-Length is reached. Chunks that begin no record
-    are passed over; a record cut off at the end of its file is given with what is there.
+    A block may itself hold blank lines: chunks are joined until Content-Length is reached. A block that ends in a line end
+    is cut before it, so the chunk that completes it also holds the next record's header. Chunks that begin no record are
+    passed over; a record cut off at the end of its file is given with what is there.
     """
     file, fields, parts, size, want = None, None, [], 0, 0
+
+    def begin(chunk: bytes) -> None:
+        nonlocal fields, parts, size, want
+        fields = None
+        head = chunk.lstrip(b"\r\n")
+        if head.startswith(b"WARC/"):
+            fields, parts, size = _fields(head), [], -len(END)
+            length = fields.get("content-length", "0")
+            want = int(length) if length.isdigit() else 0
+
     for name, chunk in chunks:
         if name != file:
             if fields is not None:
                 yield fields, END.encode().join(parts)
             file, fields = name, None
         if fields is None:
-            head = chunk.lstrip(b"\r\n")
-            if head.startswith(b"WARC/"):
-                fields, parts, size = _fields(head), [], -len(END)
-                length = fields.get("content-length", "0")
-                want = int(length) if length.isdigit() else 0
+            begin(chunk)
             continue
         parts.append(chunk)
         size += len(END) + len(chunk)
         if size >= want:
-            yield fields, END.encode().join(parts)[:want]
-            fields = None
+            block = END.encode().join(parts)
+            yield fields, block[:want]
+            begin(block[want:])
     if fields is not None:
         yield fields, END.encode().join(parts)
 

@@ -29,6 +29,21 @@ def test_cut_off_and_stray_chunks():
     assert [b for _, b in got] == [b"a\r\n\r\nbc", b"cut", b""]
 
 
+def test_payloads_may_end_in_line_ends(spark, tmp_path):
+    bodies = [f"page {n}" + "\r\n" * n for n in range(6)] + ["\r\n", "x" * 200 + "\r\n", "x" * 200 + "\r\n"]
+    df = spark.createDataFrame([(n, f"http://h/{n}", b) for n, b in enumerate(bodies)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"))
+    out = {r.metadata.page_id: r for r in warc.assemble(warc.read_records(spark, str(tmp_path / "w"))).collect()}
+    assert {n: r.request and r.request.request_line for n, r in out.items()} == {n: f"GET http://h/{n} HTTP/1.1" for n in range(len(bodies))}
+    assert all(bytes(out[n].response.payload) == bodies[n].encode() for n in range(8)) and out[8].response.kind == "revisit"
+
+
+def test_a_response_after_a_response_is_kept():
+    blocks = [b"a\r\n", b"b\r\n\r\n\r\n", b"", b"c", b"d\r\n"]
+    file = b"".join(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks)
+    assert [b for _, b in warc.parse(("f", c) for c in file.split(b"\r\n\r\n"))] == blocks
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><script>var x="</p>";</script>
 <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><header><h1>Title &amp; more</h1></header><p><b>First   para.<br>Same block&nbsp;here<p>Second <a href="x">link</a> 5 &lt; 6 &am</p><aside>See also</aside>
