@@ -74,13 +74,13 @@ def risk_adjusted_score(scored: DataFrame, risk: float = 0.5) -> DataFrame:
     return utility.join(spread, ["query_id", "item_id"]).select("query_id", "item_id", (F.col("u") - risk * F.col("v")).alias("score"))
 
 
-def diverse_topk(scores: DataFrame, item_tags: DataFrame, k: int = 3, penalty: float = 0.1, cut: int = 50) -> DataFrame:
+def diverse_topk(scores: DataFrame, item_tags: DataFrame, k: int = 3, penalty: float = 0.1) -> DataFrame:
     """Greedy choice of ``k`` items per query, each time by score less ``penalty`` per tag shared with those chosen.
 
-    ``cut`` candidates per query enter, the best by score; k rounds of joins.
+    All items of a query take part in every round; ties go to the least item. k rounds of joins and an aggregate.
     """
-    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item_id")
-    pool = save_stage(scores.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= cut).drop("r"), "pool")
+    order = F.struct(F.col("score").isNull(), -F.round("score", 9), F.col("item_id"))
+    pool = save_stage(scores, "pool")
     tags = save_stage(item_tags.join(pool.select("item_id").distinct(), "item_id", "left_semi").distinct(), "tags")
     chosen = None
     for place in range(1, k + 1):
@@ -90,7 +90,7 @@ def diverse_topk(scores: DataFrame, item_tags: DataFrame, k: int = 3, penalty: f
             taken = chosen.select("query_id", "item_id").join(tags, "item_id").select("query_id", "tag").distinct()
             shared = rest.join(tags, "item_id").join(taken, ["query_id", "tag"]).groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
             rest = rest.join(shared, ["query_id", "item_id"], "left").withColumn("score", F.col("score") - penalty * F.coalesce("shared", F.lit(0))).drop("shared")
-        best = rest.withColumn("r", F.row_number().over(order)).filter("r = 1").select("query_id", F.lit(place).alias("place"), "item_id", "score")
+        best = rest.groupBy("query_id").agg(F.min_by(F.struct("item_id", "score"), order).alias("b")).select("query_id", F.lit(place).alias("place"), "b.item_id", "b.score")
         best = save_stage(best, "chosen")
         chosen = best if chosen is None else chosen.union(best)
     return chosen

@@ -149,3 +149,10 @@ def test_judging_in_rounds_stops_at_the_first_conclusion(spark):
     hits = spark.createDataFrame([("a", 1, 10, 1), ("a", 1, 11, 2), ("a", 1, 12, 3)], "aspect string, item_id long, review_id long, rank int")
     judged = R.judge_in_rounds(hits, lambda h: h.withColumn("is_conclusive", F.col("review_id") >= 11).withColumn("is_positive", F.lit(True)))
     assert sorted(r.review_id for r in judged.collect()) == [10, 11]
+
+
+def test_every_item_enters_the_diverse_choice(spark):
+    s = spark.createDataFrame([(1, i, 1.0 - i / 1000) for i in range(60)], "query_id int, item_id long, score double")
+    tags = spark.createDataFrame([(i, t) for i in range(59) for t in range(3)] + [(59, 9)], "item_id long, tag int")
+    got = [(r.place, r.item_id, round(r.score, 6)) for r in E.diverse_topk(s, tags).orderBy("place").collect()]
+    assert got == [(1, 0, 1.0), (2, 59, 0.941), (3, 1, 0.699)]
