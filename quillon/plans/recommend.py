@@ -34,19 +34,21 @@ def verdict_agg(judged: DataFrame, verdict: str = "first") -> DataFrame:
     return every.join(found, ["aspect", "item_id"], "left").select("aspect", "item_id", F.col("positive").isNotNull().alias("concluded"), F.coalesce("positive", F.lit(False)).alias("positive"))
 
 
-def judge_in_rounds(hits: DataFrame, judge, size: int = 1, rounds: int = 1000) -> DataFrame:
+def judge_in_rounds(hits: DataFrame, judge, size: int = 1) -> DataFrame:
     """Judge hits (``aspect``, ``item_id``, ``review_id``, ``rank``) best first until each item is concluded.
 
-    Round r takes the next ``size`` hits of every open (aspect, item) and applies ``judge`` (adds is_conclusive and
-    is_positive); concluded items take no part in later rounds. Returns the judged hits.
+    The first round takes the best ``size`` hits of every (aspect, item) and applies ``judge`` (adds is_conclusive and
+    is_positive); each later round takes as many more of those still open as had been judged before, so that the rounds
+    grow with the logarithm of the hits. Concluded items take no part in later rounds. Returns the judged hits.
     """
     from quillon.runtime import save_stage
 
     keys = ["aspect", "item_id"]
     order = W.partitionBy(*keys).orderBy("rank", "review_id")
-    todo = save_stage(hits.withColumn("turn", F.floor((F.row_number().over(order) - 1) / size)), "todo")
+    batch = F.floor((F.row_number().over(order) - 1) / size)
+    todo = save_stage(hits.withColumn("turn", F.when(batch > 0, F.length(F.bin(batch))).otherwise(0)), "todo")
     out, turn = None, 0
-    while turn < rounds and not todo.isEmpty():
+    while not todo.isEmpty():
         now = save_stage(judge(todo.filter(F.col("turn") == turn)), "judged")
         out = now if out is None else out.unionByName(now)
         closed = now.filter("is_conclusive").select(*keys).distinct()

@@ -151,6 +151,20 @@ def test_judging_in_rounds_stops_at_the_first_conclusion(spark):
     assert sorted(r.review_id for r in judged.collect()) == [10, 11]
 
 
+def test_judging_goes_on_to_the_last_hit_in_few_rounds(spark):
+    hits = spark.range(1, 1101).selectExpr("'a' as aspect", "1L as item_id", "id as review_id", "int(id) as rank")
+    calls = []
+
+    def judge(h):
+        calls.append(1)
+        assert len(calls) <= 12
+        return h.withColumn("is_conclusive", F.col("review_id") == 1100).withColumn("is_positive", F.lit(True))
+
+    judged = R.judge_in_rounds(hits, judge)
+    assert judged.count() == judged.select("review_id").distinct().count() == 1100
+    assert rows(R.verdict_agg(judged)) == [("a", 1, True, True)]
+
+
 def test_every_item_enters_the_diverse_choice(spark):
     s = spark.createDataFrame([(1, i, 1.0 - i / 1000) for i in range(60)], "query_id int, item_id long, score double")
     tags = spark.createDataFrame([(i, t) for i in range(59) for t in range(3)] + [(59, 9)], "item_id long, tag int")
