@@ -87,6 +87,12 @@ def _ball(value: int, radius: int) -> np.ndarray:
 
 def search(coder: Coder, radius: int, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple]:
     """(query id, row id, score) of each query's ``k`` best rows within the radius, its own row left out."""
+    for i, found, score in _search(coder, radius, ids, x, qids, q, k):
+        yield int(qids[i]), found, score
+
+
+def _search(coder: Coder, radius: int, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple]:
+    """As :func:`search`, with the place of the query in ``q`` for its id."""
     codes, asked = coder.codes(x), coder.codes(q, True)
     order = np.argsort(codes, axis=0, kind="stable")
     bounds = [np.searchsorted(codes[order[:, j], j], np.arange(257)) for j in range(SUBSTRINGS)]
@@ -118,7 +124,7 @@ def search(coder: Coder, radius: int, ids: np.ndarray, x: np.ndarray, qids: np.n
             found, score = found[keep], score[keep]
         best = np.lexsort((ids[found], -score))[:k]
         for r in best:
-            yield int(qids[i]), int(ids[found[r]]), float(score[r])
+            yield i, int(ids[found[r]]), float(score[r])
 
 
 def _answers(coder: Coder, radius: int, k: int):
@@ -126,8 +132,9 @@ def _answers(coder: Coder, radius: int, k: int):
         found: list[tuple] = []
         if len(rows) and len(queries):
             x, q = (np.array(side["vector"].tolist(), np.float64) for side in (rows, queries))
-            found = list(search(coder, radius, rows["id"].to_numpy(np.int64), x, queries["id"].to_numpy(np.int64), q, k))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            qids, keys = queries["id"].to_numpy(np.int64), queries["key"].to_numpy(np.int64)
+            found = [(qids[i], keys[i], *hit) for i, *hit in _search(coder, radius, rows["id"].to_numpy(np.int64), x, qids, q, k)]
+        return pd.DataFrame(found, columns=["query_id", "key", "vec_id", "score"]).astype({"query_id": "int64", "key": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
 
@@ -145,7 +152,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     Returns ``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``; ties go to the smaller id, and a query's own id is
     never its neighbour. Vectors that are null, zero or hold null or non-finite components take no part, nor do those
     whose length is not the most frequent one (the larger on a tie). A query that finds fewer than ``k`` rows within the
-    radius is answered again with every row as candidate. Repeated ids stay separate rows. No usable rows give no rows.
+    radius is answered again with every row as candidate. Repeated ids stay separate rows
+    of ``vectors``; queries that agree in id and vector are one query, those that agree in id only have an answer each. No
+    usable rows give no rows.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -158,21 +167,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     rows, asked = (t.filter(F.size("vector") == top.d) for t in (rows, asked))
     sample = np.array([r.vector for r in hash_sample(rows, "id", FIT_ROWS).orderBy("id").collect()], np.float64)
     coder, radius = fit(sample, float(np.sqrt(top.m)), k)
+    # a number for each distinct query, saved since a second evaluation might deal others
+    asked = save_stage(asked.distinct().withColumn("key", F.monotonically_increasing_id()), "asked")
     parts, blocks = -(-top.n // PART_ROWS), -(-max(1, asked.count()) // BLOCK_QUERIES)
 
     def dealt(asked: DataFrame, radius: int) -> DataFrame:
         index = rows.select("id", "vector", F.pmod(F.xxhash64("id", "vector"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        block = asked.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-        found = index.groupBy("part", "block").cogroup(block.groupBy("part", "block")).applyInPandas(_answers(coder, radius, k), "query_id long, vec_id long, score double")
-        order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        block = asked.select("id", "key", "vector", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+        found = index.groupBy("part", "block").cogroup(block.groupBy("part", "block")).applyInPandas(_answers(coder, radius, k), "query_id long, key long, vec_id long, score double")
+        order = W.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("key", "query_id", "rank", "vec_id", "score")
 
     first = save_stage(dealt(asked, radius), "near")
-    full = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k, top.n - 1)).select(F.col("query_id").alias("id"))
-    short = save_stage(asked.join(full, "id", "left_anti"), "short")
+    full = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k, top.n - 1)).select("key")
+    short = save_stage(asked.join(full, "key", "left_anti"), "short")
     if short.isEmpty():
-        return first
-    return first.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(dealt(short, BITS))
+        return first.drop("key")
+    return first.join(short.select("key"), "key", "left_anti").union(dealt(short, BITS)).drop("key")
 
 
 def op2_multi_index_hashing(spark, sf_dir: str) -> DataFrame:

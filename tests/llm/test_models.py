@@ -78,3 +78,16 @@ def test_probing_finds_every_code_within_the_radius(radius):
     got = {(a, b) for a, b, _ in ann.search(coder, radius, np.arange(300), x, np.arange(20), x[:20], 300)}
     distance = np.bitwise_count(coder.codes(x).view(np.uint64)[:, 0][None] ^ coder.codes(x[:20], True).view(np.uint64)[:, 0][:, None])
     assert got == {(i, j) for i in range(20) for j in range(300) if i != j and distance[i, j] <= radius}
+
+
+def test_repeated_queries_have_all_their_neighbours(spark):
+    x = np.random.default_rng(3).normal(size=(60, 8))
+    rows = [(i, x[i].tolist()) for i in range(60)]
+    v = spark.createDataFrame([*rows, rows[5]], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([rows[5], rows[5], (5, (-x[5]).tolist()), rows[7]], "vec_id long, embedding array<double>")
+    got = ann.nearest(v, q, k=20).collect()
+    assert sorted(r["rank"] for r in got if r.query_id == 5) == sorted([*range(1, 21)] * 2)
+    by = np.argsort(-(x @ x[5]), kind="stable")
+    assert {int(i) for i in by if i != 5} >= {r.vec_id for r in got if r.query_id == 5}
+    assert len({r.vec_id for r in got if r.query_id == 5}) == 40
+    assert len({r.vec_id for r in got if r.query_id == 7}) >= 19
