@@ -17,11 +17,12 @@ from quillon.runtime import save_stage, ship_package
 #: Expected number of labelled rows that the model is fitted on (at most twice as many).
 FIT_ROWS = 60_000
 FEATURES = 384
-RIDGE = 1e-3
+#: Ridge strengths (a row) of which the one with the least leave-one-out error is taken.
+RIDGES = (1e-5, 1e-4, 1e-3, 1e-2)
 #: Partitions of the fit: each returns one matrix of FEATURES x FEATURES sums to the driver.
 FIT_PARTS = 8
-#: Steps of the raw score that the calibration is fitted on.
-STEPS = 400
+#: Steps of the raw score that the calibration is fitted on, over three units.
+STEPS = 600
 
 _CLASS = np.zeros(256, np.int8)  # 0 other ASCII, 1 lower, 2 upper, 3 digit, 4 space, 5 newline, 6 everyday punctuation, 7 not ASCII
 for _k, _set in ((1, range(97, 123)), (2, range(65, 91)), (3, range(48, 58)), (4, b" \t\r\x0b\x0c"), (5, b"\n"), (6, b".,;:'\"()-?"), (7, range(128, 256))):
@@ -120,63 +121,84 @@ def _scorer(fourier: Fourier | None, beta: np.ndarray | None, xs: np.ndarray, ys
     return run
 
 
+def _outside(fourier: Fourier, axes: np.ndarray, sizes: np.ndarray, weights: np.ndarray, strengths: np.ndarray):
+    """For each ridge strength, the score of each row by the fit without it (``out``) and by the fit with it (``raw``).
+
+    With eigenvectors ``axes`` and eigenvalues ``sizes`` of the gram matrix, a row's leverage h is a weighted sum of squares,
+    and leaving the row out moves its score from raw to (raw - h label) / (1 - h).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
+            p = fourier(_matrix(batch, "stats")) @ axes
+            shrunk = 1 / (sizes[:, None] + strengths)
+            raw, h = p @ (weights[:, None] * shrunk), np.minimum((p * p) @ shrunk, 1 - 1e-6)
+            out = (raw - h * y[:, None]) / (1 - h)
+            lists = [pa.array(list(v), pa.list_(pa.float64())) for v in (raw, out)]
+            yield pa.RecordBatch.from_arrays([pa.array(y), *lists], ["label", "raw", "out"])
+
+    return run
+
+
+def _fitted(known: DataFrame, rows: int) -> tuple:
+    """Features, weights and calibration from labelled rows of both classes.
+
+    One gram matrix gives the weights and, through leverages, the score of each row by a fit that has not seen it. Those
+    scores of all rows choose the ridge and are what the isotonic steps are fitted on, so no row is set apart and both
+    classes take part. If they say nothing (one step), the scores by the whole fit are used.
+    """
+    k = len(STATISTICS)
+    moments = _added(known, lambda x, y: np.concatenate(([len(y)], x.sum(axis=0), (x * x).sum(axis=0))))
+    n, mean = moments[0], moments[1 : 1 + k] / moments[0]
+    scale = np.sqrt(np.maximum(moments[1 + k :] / n - mean**2, 0))
+    fourier = Fourier(mean, np.where(scale > 1e-9, scale, 1.0), math.sqrt(k) * 0.7)
+
+    def normal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = fourier(x)
+        return np.concatenate(((z.T @ z).ravel(), z.T @ y))
+
+    sums = _added(known, normal)
+    sizes, axes = np.linalg.eigh(sums[: FEATURES * FEATURES].reshape(FEATURES, FEATURES))
+    sizes, weights, strengths = np.maximum(sizes, 0), axes.T @ sums[FEATURES * FEATURES :], np.array(RIDGES) * rows
+    left = known.mapInArrow(_outside(fourier, axes, sizes, weights, strengths), "label double, raw array<double>, out array<double>")
+    left = save_stage(left, "outside")
+    clipped = [F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col("out")[i])) for i in range(len(RIDGES))]
+    errors = left.agg(*[F.sum((c - F.col("label")) ** 2).alias(str(i)) for i, c in enumerate(clipped)]).first()
+    best = int(np.argmin(errors))
+    beta = axes @ (weights / (sizes + strengths[best]))
+
+    def steps(column: str) -> tuple[np.ndarray, np.ndarray]:
+        raw = F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col(column)[best]))
+        cells = left.groupBy(F.floor(raw * (STEPS / 3)).alias("step")).agg(F.avg(raw).alias("x"), F.avg("label").alias("y"), F.count(F.lit(1)).alias("w")).orderBy("step").collect()
+        return isotonic(*(np.array([float(r[c]) for r in cells]) for c in ("x", "y", "w")))
+
+    xs, ys = steps("out")
+    if len(ys) == 1 or ys[0] == ys[-1]:
+        xs, ys = steps("raw")
+    return fourier, beta, xs, ys
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Score every text for the 0/1 label of ``labels``: ``doc_id``, ``score`` (0 to 1), ``predicted`` (1 from 0.5 on)
     and ``row_key`` (xxhash64 of id and text).
 
-    Learns from at most ``2 * fit_rows`` labelled rows whose text is in ``docs``: three quarters (by hash of id) give the
-    ridge weights, the rest the calibration. Labels other than 0 and 1 and labels of unknown or null ids are ignored; an
-    id with several labels counts with each. Without labels every score is 0.5, with one class it is that class. Null
-    texts count as empty; repeated rows repeat; other columns are ignored.
+    Learns from at most ``2 * fit_rows`` labelled rows whose text is in ``docs``: all of them give the ridge weights, and
+    their scores by fits that leave each one out give the calibration. Labels other than 0 and 1 and labels of unknown or
+    null ids are ignored; an id with several labels counts with each. Without labels every score is 0.5, with one class it
+    is that class. Null texts count as empty; repeated rows repeat; other columns are ignored.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("row_key"), F.col(text_col).alias("text"))
     stats = save_stage(rows.mapInArrow(_stats, "doc_id long, row_key long, stats array<double>"), "stats")
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).filter("label in (0, 1)")
-    known = hash_sample(stats.join(marked, "doc_id"), "doc_id", fit_rows, FIT_PARTS)
-    known = save_stage(known.withColumn("check", F.pmod(F.xxhash64("doc_id", F.lit("check")), F.lit(4)) == 0), "known")
-    fit, check = known.filter("not check"), known.filter("check")
-    seen = {r.check: (r.n, r.good) for r in known.groupBy("check").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()}
-    total, good = (sum(v[k] for v in seen.values()) for k in (0, 1))
-    if seen.get(False, (0, 0))[1] in (0, seen.get(False, (0, 0))[0]):
-        fit = known  # too few labels to set some apart
-    k = len(STATISTICS)
-    if good in (0, total):
-        only = good / total if total else 0.5
-        model = (None, None, np.array([0.0, 1.0]), np.array([only, only]))
-    else:
-        moments = _added(fit, lambda x, y: np.concatenate(([len(y)], x.sum(axis=0), (x * x).sum(axis=0))))
-        n, mean = moments[0], moments[1 : 1 + k] / moments[0]
-        scale = np.sqrt(np.maximum(moments[1 + k :] / n - mean**2, 0))
-        fourier = Fourier(mean, np.where(scale > 1e-9, scale, 1.0), math.sqrt(k) * 0.7)
-
-        def normal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            z = fourier(x)
-            return np.concatenate(((z.T @ z).ravel(), z.T @ y))
-
-        sums = _added(fit, normal)
-        gram, right = sums[: FEATURES * FEATURES].reshape(FEATURES, FEATURES), sums[FEATURES * FEATURES :]
-        beta = np.linalg.solve(gram + RIDGE * n * np.eye(FEATURES) / 100, right)
-        raw = check.select("doc_id", "label", "stats").mapInArrow(_with_raw(fourier, beta), "raw double, label double")
-        step = F.floor(F.greatest(F.lit(-0.5), F.least(F.lit(1.5), F.col("raw"))) * (STEPS / 2))
-        cells = raw.groupBy(step.alias("step")).agg(F.avg("raw").alias("x"), F.avg("label").alias("y"), F.count(F.lit(1)).alias("w")).orderBy("step").collect()
-        if cells:
-            xs, ys = isotonic(*(np.array([float(r[c]) for r in cells]) for c in ("x", "y", "w")))
-        else:
-            xs, ys = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        model = (fourier, beta, xs, ys)
+    known = save_stage(hash_sample(stats.join(marked, "doc_id"), "doc_id", fit_rows).select("label", "stats"), "known").coalesce(FIT_PARTS)
+    total, good = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    model = _fitted(known, total) if 0 < good < total else (None, None, np.array([0.0, 1.0]), np.full(2, good / total if total else 0.5))
     scored = stats.mapInArrow(_scorer(*model), "doc_id long, row_key long, raw double, score double")
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "row_key")
 
 
-def _with_raw(fourier: Fourier, beta: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(fourier(_matrix(batch, "stats")) @ beta), batch.column("label")], ["raw", "label"])
-
-    return run
-
-
 def learnable_labels(labels: DataFrame) -> DataFrame:
     """The labels that may be learned from: crc32(doc_id as text) mod 3 is not 1."""
     return labels.filter("crc32(cast(doc_id as string)) % 3 <> 1")

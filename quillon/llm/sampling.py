@@ -6,15 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _PARTS = 1_000_000_007
+#: Slices that the chosen share of hashes is counted by.
+_SLICES = 4096
 
 
-def hash_sample(df: DataFrame, key: str, rows: int, spread: int = 8) -> DataFrame:
-    """About ``rows`` rows of ``df`` chosen by a hash of ``key``, at most twice as many, over ``spread`` partitions.
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df`` chosen by a hash of ``key``, at most twice as many.
 
-    The choice depends on keys only, not on partitions or order (unless one key repeats more than ``rows`` times).
+    The choice depends on keys only, not on partitions or order, and moves no row: a share of the hashes is counted in
+    slices, and slices that would lead beyond the bound (as one key that repeats very often can) are left out whole.
     """
     n = df.count()
     if n <= rows:
-        return df.repartition(spread)
-    share = int(_PARTS * rows / n)
-    return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(_PARTS)) < share).limit(2 * rows).repartition(spread)
+        return df
+    place = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(_PARTS))
+    share = max(1, int(_PARTS * rows / n))
+    at = F.floor(place * F.lit(_SLICES) / F.lit(share)).cast("int")
+    chosen = df.filter(place < share)
+    taken, over = 0, []
+    for r in chosen.groupBy(at.alias("slice")).count().orderBy("slice").collect():  # at most _SLICES rows
+        if taken + r["count"] > 2 * rows:
+            over.append(r.slice)
+        else:
+            taken += r["count"]
+    return chosen.filter(~at.isin(over)) if over else chosen
