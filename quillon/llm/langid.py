@@ -6,28 +6,27 @@ longest order first, down to single characters; the first order with a known n-g
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.bpe import Memo
 from quillon.llm.sampling import hash_sample
-from quillon.runtime import ship_package
+from quillon.runtime import save_stage, ship_package
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
-#: Expected number of labelled documents that the model is fitted on (at most twice as many).
+#: Expected number of labelled documents that the model is fitted on (at most twice as many). All words and n-grams of the
+#: sample are kept, so this bounds what is broadcast.
 FIT_ROWS = 8_000
-#: Words and n-grams that the model keeps, the most frequent: what is broadcast is bounded by them.
-WORDS, GRAMS = 200_000, 200_000
-#: Longest word that is counted and cached whole; longer ones are scored by n-grams alone.
-WORD_CHARS = 40
+#: Tasks that count the sample.
+FIT_PARTS = 8
 CACHED = 250_000
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -43,6 +42,11 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def unit_key(unit: str, order: int = 0) -> int:
+    """The 63-bit key of a word (order 0) or an n-gram."""
+    return xxhash.xxh64_intdigest(unit.encode("utf-8", "replace"), order) >> 1
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, Counter] = {}
 
@@ -53,99 +57,134 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            seen.setdefault(lang, Counter()).update(w for w in words_of(text) if len(w) <= WORD_CHARS)
+            seen.setdefault(lang, Counter()).update(words_of(text))
         if sum(map(len, seen.values())) > 200_000:
             yield out()
     yield out()
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A word's own key and those of its n-grams, with the word's count."""
     for batch in batches:
         seen: Counter = Counter()
         for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+            seen[lang, unit_key(word), 0] += n
             for order in ORDERS:
                 for g in grams_of(word, order):
-                    seen[lang, g] += n
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"]
-        )
+                    seen[lang, unit_key(g, order), order] += n
+        names = (("lang", pa.string()), ("unit", pa.int64()), ("kind", pa.int32()))
+        arrays = [pa.array([k[i] for k in seen], t) for i, (_, t) in enumerate(names)]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(seen.values()), pa.int64())], [*(c for c, _ in names), "n"])
 
 
 class Model:
-    """Log frequencies per language of words and n-grams, as packed rows of doubles."""
+    """Log frequencies per language of words and n-grams: for each kind sorted keys and a row of floats for each."""
 
-    def __init__(self, langs: list[str], words: list, grams: list):
+    def __init__(self, langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray]]):
         self.langs = langs
-        at = {lang: i for i, lang in enumerate(langs)}
-        self.words = self._packed(words, at, lambda w: 0)
-        self.grams = self._packed(grams, at, len)
-        self.blank = np.zeros(len(langs)).tobytes()
-
-    def _packed(self, rows: list, at: dict[str, int], kind) -> dict[str, bytes]:
-        counts: dict[str, np.ndarray] = {}
-        for lang, unit, n in rows:
-            counts.setdefault(unit, np.zeros(len(at)))[at[lang]] += n
-        totals: dict[int, np.ndarray] = {}
-        sizes: Counter = Counter()
-        for unit, c in counts.items():
-            k = kind(unit)
-            totals[k] = totals.get(k, 0) + c
-            sizes[k] += 1
-        return {u: np.log((c + 0.5) / (totals[kind(u)] + 0.5 * sizes[kind(u)])).tobytes() for u, c in counts.items()}
-
-    def score(self, word: str) -> bytes:
-        """A known word's row, else the mean row of its known n-grams of the longest order that has one."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
+        self.tables = {}
+        for kind, (units, n) in counts.items():
+            order = np.argsort(units)
+            n = n[order] + 0.5
+            self.tables[kind] = units[order], np.log(n / n.sum(axis=0)).astype(np.float32)
+
+    def known(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are known, and the rows of those."""
+        if kind not in self.tables or not len(keys):
+            return np.zeros(len(keys), bool), np.empty((0, len(self.langs)), np.float32)
+        units, values = self.tables[kind]
+        at = np.minimum(np.searchsorted(units, keys), len(units) - 1)
+        found = units[at] == keys
+        return found, values[at[found]]
+
+    def scores(self, words: list[str]) -> list[bytes]:
+        """For each word its own row if it is known, else the mean row of its known n-grams of the longest order that has one."""
+        out = np.zeros((len(words), len(self.langs)))
+        left = np.arange(len(words))
+        found, rows = self.known(0, np.array([unit_key(w) for w in words], np.int64))
+        out[left[found]] = rows
+        left = left[~found]
         for order in ORDERS:
-            rows = [self.grams[g] for g in grams_of(word, order) if g in self.grams]
-            if rows:
-                return np.frombuffer(b"".join(rows)).reshape(len(rows), -1).mean(axis=0).tobytes()
-        return self.blank
+            if not len(left):
+                break
+            grams = [[unit_key(g, order) for g in grams_of(words[i], order)] for i in left]
+            owner = np.repeat(np.arange(len(left)), [len(g) for g in grams])
+            found, rows = self.known(order, np.array([k for g in grams for k in g], np.int64))
+            n = np.bincount(owner[found], minlength=len(left))
+            sums = np.zeros((len(left), len(self.langs)))
+            np.add.at(sums, owner[found], rows)
+            hit = n > 0
+            out[left[hit]] = sums[hit] / n[hit, None]
+            left = left[~hit]
+        return [row.tobytes() for row in out]
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Count words and n-grams of a bounded sample of ``docs`` (``doc_id``, ``text``, ``lang``; rows without a language or text are ignored)."""
-    sample = hash_sample(docs.filter("lang is not null and text is not null"), "doc_id", fit_rows)
-    words = sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = words.persist()
-    grams = words.mapInArrow(_count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
-    top = [[tuple(r) for r in t.orderBy(F.desc("n"), "word", "lang").limit(k).collect()] for t, k in ((words.filter("n > 1"), WORDS), (grams, GRAMS))]
-    words.unpersist()
-    return Model(langs, *top)
-
-
-_SCORES: dict[int, Memo] = {}
+    """Count words and n-grams of a bounded sample of ``docs`` (``doc_id``, ``text``, ``lang``; rows without a language or text are ignored).
 
-
-def _predict(shared):
+    One row per unit holds its counts in all languages, so no unit is known in some languages only.
+    """
+    sample = hash_sample(docs.filter("lang is not null and text is not null"), "doc_id", fit_rows).repartition(FIT_PARTS)
+    words = sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    units = words.mapInArrow(_count_units, "lang string, unit long, kind int, n long").groupBy("kind", "unit", "lang").agg(F.sum("n").alias("n"))
+    units = save_stage(units, "units")
+    langs = sorted(r.lang for r in units.select("lang").distinct().collect())
+    if not langs:
+        return Model([], {})
+    wide = units.groupBy("kind", "unit").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)])
+    found = wide.toArrow()  # bounded by the sample
+    kinds, keys = (found.column(c).to_numpy() for c in ("kind", "unit"))
+    n = np.column_stack([found.column(f"n{i}").to_numpy() for i in range(len(langs))]).astype(np.float64)
+    return Model(langs, {int(k): (keys[kinds == k], n[kinds == k]) for k in np.unique(kinds)})
+
+
+#: Words of a text that are looked up in one go, and the longest word (in characters) that a worker remembers.
+SLICE, CACHE_CHARS = 100_000, 48
+_SCORES: dict[str, tuple[Model, dict[str, bytes]]] = {}
+
+
+def mean_scores(model: Model, memo: dict[str, bytes], words: list[str]) -> np.ndarray:
+    """The mean row of all words; rows of short words are remembered in ``memo``, which starts anew when it is full."""
+    total = np.zeros(len(model.langs))
+    for at in range(0, len(words), SLICE):
+        part = words[at : at + SLICE]
+        new = list({w for w in part if w not in memo})
+        rows = dict(zip(new, model.scores(new), strict=True))
+        total += np.frombuffer(b"".join([memo[w] if w in memo else rows[w] for w in part])).reshape(-1, len(model.langs)).sum(axis=0)
+        if len(memo) + len(rows) > CACHED:
+            memo.clear()
+        memo.update((w, r) for w, r in rows.items() if len(w) <= CACHE_CHARS)
+    return total / max(1, len(words))
+
+
+def _predict(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        if id(model) not in _SCORES:
+        if name not in _SCORES:
             _SCORES.clear()
-            _SCORES[id(model)] = Memo(model.score, CACHED)
-        get, k = _SCORES[id(model)].__getitem__, len(model.langs)
+            _SCORES[name] = shared.value, {}
+        model, memo = _SCORES[name]
         for batch in batches:
             langs, scores = [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                if not words or not k:
+                if not words or not model.langs:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                total = np.frombuffer(b"".join(map(get, words))).reshape(-1, k).sum(axis=0)
-                best = int(total.argmax())
+                mean = mean_scores(model, memo, words)
+                best = int(mean.argmax())
                 langs.append(model.langs[best])
-                scores.append(1.0 / float(np.exp(np.maximum(total - total[best], -700)).sum()))
+                scores.append(1.0 / float(np.exp(mean - mean[best]).sum()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Predict the language of every whole text: ``doc_id``, ``lang_pred`` and ``score`` (posterior, 0 to 1).
+    """Predict the language of every whole text: ``doc_id``, ``lang_pred`` and ``score`` (0 to 1).
+
+    The score is the language's share of the likelihood of the text's average word, so texts of all lengths compare: near 1
+    if the words are common in one language only, near one part in the number of languages if they belong to none.
 
     ``train`` gives labelled texts, of which at most ``2 * fit_rows`` are used. Null texts and texts without a letter get
     ``und`` and 0, and so does everything if nothing was learned. Ties go to the language first in order. Repeated rows
@@ -155,7 +194,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     ship_package(spark)
     named = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
     shared = spark.sparkContext.broadcast(fit(train.select(*named, F.col(lang_col).alias("lang")), fit_rows))
-    return docs.select(*named).mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
+    return docs.select(*named).mapInArrow(_predict(shared, uuid.uuid4().hex), "doc_id long, lang_pred string, score double")
 
 
 def learnable(docs: DataFrame) -> DataFrame:
