@@ -8,6 +8,7 @@ is given up at most once, so the time is linear in the word's length.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import unicodedata
@@ -19,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from quillon.runtime import ship_package
 
@@ -41,6 +43,26 @@ def byte_chars() -> list[str]:
     return out
 
 
+@functools.cache
+def newer_chars() -> frozenset[str]:
+    """Characters that ``regex`` knows and Python's own Unicode tables do not."""
+    unknown = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
+    return frozenset(regex.findall(r"\P{Cn}", unknown))
+
+
+@functools.cache
+def careful(pattern: str) -> regex.Pattern:
+    """A pattern in which letters and numbers are those of the tokenizers library, also among :func:`newer_chars`."""
+    new = "".join(sorted(newer_chars()))
+    for kind in (r"\p{L}", r"\p{N}"):
+        found = pre_tokenizers.Split(Regex(f"[^{kind}]+"), "removed").pre_tokenize_str(new)
+        theirs = {c for part, _ in found for c in part}
+        less = "".join(regex.escape(c) for c in regex.findall(kind, new) if c not in theirs)
+        if less:
+            pattern = pattern.replace(f"[{kind}]", kind).replace(kind, f"[{kind}--[{less}]]")
+    return regex.compile(pattern, regex.V1)
+
+
 class Backtracker:
     """The encoder of one vocabulary: ``encode(word)`` gives the ids of a word of byte characters."""
 
@@ -121,6 +143,10 @@ class Backtracker:
         return [self.ids[r] for r in chosen]
 
 
+#: The library's own normalizers: their tables and Python's are of different ages.
+_COMPOSE, _LOWER = normalizers.NFC(), normalizers.Lowercase()
+
+
 class Codec:
     """Text to ids and back for a vocabulary file of the tokenizers library (byte-level BPE, with or without word ends)."""
 
@@ -133,7 +159,8 @@ class Codec:
         self.bpe = Backtracker(model["vocab"], model["merges"], self.suffix)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.split = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN)
+        self.pattern = WORD_PATTERN if self.words else BYTE_PATTERN
+        self.split = regex.compile(self.pattern)
         self.to_chars = {b: c for b, c in enumerate(byte_chars())}
         tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         spelled = [tokens.get(i, "").encode("utf-8") for i in range(max(tokens) + 1)]
@@ -147,17 +174,23 @@ class Codec:
 
     def parts(self, text: str) -> Iterator[tuple[str | None, list[str]]]:
         """The text's pieces: a special token, or the words of what stands between."""
+        new = not text.isascii() and not newer_chars().isdisjoint(text)
+        split = careful(self.pattern) if new else self.split
         at = 0
         for m in self.cut.finditer(text) if self.cut else ():
-            yield None, self.split.findall(self.normal(text[at : m.start()]))
+            yield None, split.findall(self.normal(text[at : m.start()], new))
             yield m[0], []
             at = m.end()
-        yield None, self.split.findall(self.normal(text[at:]))
+        yield None, split.findall(self.normal(text[at:], new))
 
-    def normal(self, text: str) -> str:
+    def normal(self, text: str, new: bool = False) -> str:
+        """The text composed and in lower case if the vocabulary has word ends; ``new`` tells of characters newer than Python's tables."""
         if not self.words:
             return text
-        text = unicodedata.normalize("NFC", text)
+        if new:
+            return _LOWER.normalize_str(_COMPOSE.normalize_str(text))
+        if not unicodedata.is_normalized("NFC", text):
+            text = _COMPOSE.normalize_str(text)
         # each character is lowered for itself, so a final sigma is a sigma like any other
         return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
 

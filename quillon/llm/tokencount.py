@@ -19,8 +19,8 @@ from quillon.runtime import ship_package
 
 #: Entries of the broadcast table; each is a pre-token of at most ``CACHE_CHARS`` characters and a small integer.
 FREQUENT = 100_000
-#: Expected rows of the sample (by hash of id) that frequent pre-tokens are gathered from. It only decides which tier
-#: answers, never a count.
+#: Expected rows of the sample (by hash of id, at most twice as many) that frequent pre-tokens are gathered from. It only
+#: decides which tier answers, never a count.
 SAMPLE_ROWS = 2_000
 CACHE_PRETOKENS = 250_000
 
@@ -48,12 +48,17 @@ def _tally(path: str):
 
 
 def frequent_counts(texts: DataFrame, path: str) -> dict[str, int]:
-    """Token counts of at most ``FREQUENT`` pre-tokens that are common in a bounded sample."""
+    """Token counts of at most ``FREQUENT`` pre-tokens that are common in a bounded sample.
+
+    Each task counts its part of the sample, and the driver adds the tallies up: no pre-token is shuffled.
+    """
     sample = hash_sample(texts.filter("text is not null"), "doc_id", SAMPLE_ROWS).select("text")
-    tally = sample.mapInArrow(_tally(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r.word for r in tally.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    tally: Counter = Counter()
+    for batch in sample.mapInArrow(_tally(path), "word string, n long").toArrow().to_batches():
+        for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            tally[word] += n
     c = Codec(path)
-    return {w: len(c.ids_of(w)) for w in words}
+    return {w: len(c.ids_of(w)) for w, _ in sorted(tally.items(), key=lambda t: (-t[1], t[0]))[:FREQUENT]}
 
 
 def _counter(path: str, table):

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -57,3 +58,24 @@ def test_counts(spark):
         n = len(library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((texts[r.doc_id] or "").encode()), n, n > 20)
     assert tokencount.count_tokens(df.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("path", [bpe.word_vocabulary(), tokencount.byte_vocabulary()])
+def test_all_kinds_of_characters_equal_the_library(path):
+    """Every character that Python or ``regex`` knows beside a letter and a digit (long runs of ideographs and syllables by steps)."""
+    new = bpe.newer_chars()
+    known = [c for c in map(chr, range(0xE0200)) if not "\ud800" <= c <= "\udfff" and (c in new or unicodedata.category(c) != "Cn")]
+    chars = [c for i, c in enumerate(known) if not ("㐀" < c < "ꀀ" or "가" < c < "힤" or c > "\U00017000") or c in new and c < "\U00020000" or i % 40 == 0]
+    rng = random.Random(8)
+    texts = [f"a{c}b 1{c}" for c in chars] + ["".join(rng.choice(known) for _ in range(12)) for _ in range(5000)]
+    library = Tokenizer.from_file(path)
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        for text, want in zip(part, library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(bpe.encode_bytes(path, text), "<u4").tolist() == want.ids, ascii(text)
+
+
+def test_repeated_rows_repeat(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, None), (1, None)], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in tokencount.count_tokens(df).collect()) == [0, 0, 2, 2]
+    assert sorted(r.n_tokens for r in bpe.encode_digests(df).collect()) == [0, 0, 2, 2]
