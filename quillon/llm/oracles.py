@@ -17,10 +17,10 @@ select d.doc_id, coalesce(n, 0) as n_shingles, c as component_id, d.doc_id = c a
 """
 
 TRANSACTIONS = """
-with p as (select distinct page_id, url, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as h from pages),
-f as (select h, min(page_id) as first from p where n >= 100 group by h)
-select page_id, n as payload_bytes, p.h as payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type,
-  case when first <> page_id then first end as refers_to from p left join f on f.h = p.h
+with p as (select page_id, url, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as h from pages),
+r as (select *, row_number() over (partition by h order by page_id nulls last, url) as place, first(page_id) over (partition by h order by page_id nulls last, url) as first from p)
+select page_id, n as payload_bytes, h as payload_digest, case when n >= 100 and place > 1 then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and place > 1 then first end as refers_to from r
 """
 
 ORACLES = {"op1_tool_call_linking": toolcalls.ORACLE, "op3_minhash_near_dedup": NEAR_DUPLICATES, "op5_warc_transactions": TRANSACTIONS}

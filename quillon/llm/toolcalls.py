@@ -64,36 +64,45 @@ def levels(calls: DataFrame, depends: DataFrame) -> DataFrame:
     return placed.union(chains.join(top, ["conv_id", "up"]).select(*keys, (F.col("level") + F.col("dist")).cast("int").alias("level")))
 
 
+#: Types that a parameter can have, and what ``schema_of_variant`` calls a value of each.
+TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|DECIMAL.*)", "boolean": "BOOLEAN", "array": "ARRAY<.*>", "object": "OBJECT<.*>", "null": "VOID", "any": ".*"}
+
+
 def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """Check each call's ``arguments`` (JSON text) against ``schemas``: adds ``canonical`` and ``errors`` (sorted, empty if valid).
 
-    ``schemas`` has a row per parameter: ``name``, ``param``, ``type`` (string, integer, number, boolean), ``required``,
-    ``max_length`` (of a string; null: any) and ``minimum`` (of a number; null: any). Errors: ``not an object``,
-    ``unknown tool``, ``missing <p>``, ``unknown <p>``, ``type of <p>``, ``length of <p>``, ``range of <p>``.
-    The schemas become one map per tool, joined by name.
+    ``schemas`` has a row per parameter: ``name``, ``param`` (any text), ``type`` (one of :data:`TYPES`), ``required``,
+    ``max_length`` (of a string; null: any), ``minimum`` (of a number; null: any) and, if the column is there, ``allowed``
+    (JSON texts of the values that are permitted; null: any). Errors: ``not an object``, ``unknown tool``, ``missing <p>``,
+    ``unknown <p>``, ``type of <p>``, ``length of <p>``, ``range of <p>``, ``value of <p>``. An unknown type name in the
+    schemas raises ValueError. The schemas become one map per tool, joined by name.
     """
-    spec = F.struct("type", "required", F.col("max_length").cast("long").alias("max_length"), F.col("minimum").cast("double").alias("minimum"))
+    odd = schemas.filter(~F.coalesce(F.col("type").isin(*TYPES), F.lit(False))).select("type").first()
+    if odd:
+        raise ValueError(f"unknown parameter type: {odd.type}")
+    allowed = F.transform("allowed", canonical) if "allowed" in schemas.columns else F.lit(None).cast("array<string>")
+    spec = F.struct("type", "required", F.col("max_length").cast("long").alias("max_length"), F.col("minimum").cast("double").alias("minimum"), allowed.alias("allowed"))
     tools = schemas.filter("name is not null and param is not null").dropDuplicates(["name", "param"]).groupBy("name")
     tools = tools.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("param", spec)))).alias("spec"))
     parsed = calls.join(tools, "name", "left").withColumn("canonical", canonical(F.col("arguments")))
     is_object = F.coalesce(F.substring("canonical", 1, 1) == "{", F.lit(False))
-    given = F.when(is_object, F.from_json("canonical", "map<string,string>"))
+    given = F.when(is_object, F.try_parse_json("canonical").cast("map<string,variant>"))
     quoted = F.when(is_object, F.json_object_keys("canonical"))
-    parsed = parsed.withColumns({"given": F.coalesce(given, F.create_map().cast("map<string,string>")), "names": F.coalesce(quoted, F.array().cast("array<string>"))})
+    parsed = parsed.withColumns({"given": given, "names": F.coalesce(quoted, F.array().cast("array<string>"))})
     wanted = F.coalesce(F.map_keys("spec"), F.array().cast("array<string>"))
 
     def problem(p: Column) -> Column:
         s, v = F.try_element_at("spec", p), F.try_element_at("given", p)
-        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("canonical"), F.concat(F.lit("$['"), p, F.lit("']")), "variant"))
-        right = (
-            F.when(s["type"] == "string", kind == "STRING").when(s["type"] == "integer", kind == "BIGINT")
-            .when(s["type"] == "number", (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL")).when(s["type"] == "boolean", kind == "BOOLEAN").otherwise(True)
-        )
+        kind = F.schema_of_variant(v)
+        right = F.coalesce(*[F.when(s["type"] == name, kind.rlike(f"^{pattern}$")) for name, pattern in TYPES.items()], F.lit(False))
+        text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
+        number = F.when(kind.rlike(f"^{TYPES['number']}$"), F.try_variant_get(v, "$", "double"))
         return (
             F.when(~F.array_contains("names", p), F.when(s["required"], F.concat(F.lit("missing "), p)))
-            .when(~F.coalesce(right, F.lit(False)), F.concat(F.lit("type of "), p))
-            .when(F.length(v) > s["max_length"], F.concat(F.lit("length of "), p))
-            .when(v.try_cast("double") < s["minimum"], F.concat(F.lit("range of "), p))
+            .when(~right, F.concat(F.lit("type of "), p))
+            .when(F.length(text) > s["max_length"], F.concat(F.lit("length of "), p))
+            .when(number < s["minimum"], F.concat(F.lit("range of "), p))
+            .when(~F.array_contains(s["allowed"], F.to_json(v)), F.concat(F.lit("value of "), p))
         )
 
     extra = F.transform(F.array_except("names", wanted), lambda p: F.concat(F.lit("unknown "), p))

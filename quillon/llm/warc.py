@@ -43,11 +43,24 @@ def _header(kind: Column, record: Column, block: Column, *fields: tuple[str, Col
 
 
 def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """The distinct rows of ``pages`` with payload digest, record id and, for a revisit, the response it refers to."""
+    """The rows of ``pages`` with payload digest, record id and, for a revisit, the response it refers to.
+
+    Rows that agree in id, url and payload are captures of their own: they are counted, and each gets its place among them
+    as part of its record id. Only the texts of such rows are shuffled.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
-    rows = rows.withColumn("record", _record_id(F.col("page_id"), F.col("url"), F.col("digest")))
-    order = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "url", "record")
+    rows = rows.withColumn("key", _record_id(F.col("page_id"), F.col("url"), F.col("digest")))
+    again = save_stage(rows.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1"), "repeated")
+    n = again.count()
+    if n:
+        once = rows.join(small(again, n).select("key"), "key", "left_anti").withColumn("place", F.lit(0))
+        repeated = rows.join(small(again, n), "key").dropDuplicates(["key"]).withColumn("place", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+        rows = once.unionByName(repeated)
+    else:
+        rows = rows.withColumn("place", F.lit(0))
+    rows = rows.withColumn("record", F.when(F.col("place") == 0, F.col("key")).otherwise(_record_id(F.col("key"), F.col("place")))).drop("key")
+    order = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "url", "place", "record")
     many = rows.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     many = save_stage(many.select("digest", F.col("first.record").alias("first"), F.col("first.url").alias("first_url")), "payloads")
     out = rows.join(small(many, many.count()), "digest", "left")
@@ -188,7 +201,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def op5_warc_transactions(spark, sf_dir: str) -> DataFrame:
     """Write ``pages`` as archives, read them back, assemble captures, and return one digest row per page.
 
-    Rows that agree in id, url and html are one capture. Null html is an empty payload.
+    Null html is an empty payload. Repeated rows are captures of their own.
     """
     path = shared_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)

@@ -13,7 +13,9 @@ def test_archives_come_back(spark, tmp_path):
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, record string")
     warc.write_archives(df, str(tmp_path / "w"))
     out = {(r.metadata.page_id, r.response.target_uri): r for r in warc.assemble(warc.read_records(spark, str(tmp_path / "w"))).collect()}
-    assert len(out) == 7 and all(r.request and r.metadata for r in out.values())
+    rows = warc.assemble(warc.read_records(spark, str(tmp_path / "w"))).collect()
+    assert len(rows) == len(pages) and len(out) == 7 and all(r.request and r.metadata for r in rows)
+    assert len({r.record for r in rows}) == len(pages) and sum(r.response.kind == "revisit" for r in rows) == 3
     first = out[1, "http://h/a"]
     assert first.response.kind == "response" and bytes(first.response.payload) == body.encode() and first.response.payload_digest == first.response.named_digest
     assert {r.response.refers_to for k, r in out.items() if k[0] in (2, None)} == {first.record}
@@ -145,3 +147,13 @@ def test_contamination(spark, monkeypatch):
         assert got == sorted([(1, True, 1, (1,)), (1, True, 1, (1,)), (2, True, 1, (1,)), (3, False, 0, ()), (4, False, 0, ()), (5, False, 0, ()), (6, False, 0, ()), (None, True, 1, (1,))], key=str)
     assert D.contamination(df.filter("false"), items).count() == 0
     assert D.contamination(df, items.filter("false")).filter("contaminated").count() == 0
+
+
+def test_repeated_captures_have_a_row_each(spark, tmp_path):
+    body = "y" * 100
+    rows = [(5, "u", body)] * 3 + [(6, "u", "short")] * 2 + [(7, "v", body), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.op5_warc_transactions(spark, str(tmp_path)).collect())
+    again = ("revisit", "5")
+    assert got == sorted([("5", "response", "None"), ("5", *again), ("5", *again), ("7", *again)] + [("6", "response", "None")] * 2 + [("None", "response", "None")] * 2)

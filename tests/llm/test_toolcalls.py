@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import pytest
 
 from quillon.llm import toolcalls as C
 from quillon.llm.ranking import grouped_rank
@@ -73,3 +74,17 @@ def test_levels_of_chains_joins_and_cycles(spark):
     depends += [(1, "x", "c5"), (1, "x", "c9"), (1, "y", "x"), (1, "z", "y"), (1, "z", "c59"), (1, "u", "v"), (1, "v", "u"), (1, "w", "u"), (1, "w", "c0")]
     got = {(r.conv_id, r.call_id): r.level for r in C.levels(spark.createDataFrame(calls, "conv_id long, call_id string"), spark.createDataFrame(depends, "conv_id long, call_id string, on_id string")).collect()}
     assert got == {**{(1, f"c{i}"): i for i in range(n)}, (1, "x"): 10, (1, "y"): 11, (1, "z"): 60, (2, "c0"): 0}
+
+
+def test_names_with_quotes_and_nested_types(spark):
+    given = [
+        """{"it's":1,"a.b[0]":{"x":1},"say \\"q\\"":[1,"two"],"e":"red"}""", """{"it's":"1","a.b[0]":[],"say \\"q\\"":{},"e":"pink"}""", """{"it's":5,"a.b[0]":5,"n":null,"e":{"b":1,"a":2}}""", '{"it\'s":-1,"any":[[]],"n":0}',
+    ]
+    calls = spark.createDataFrame([(1, c, 1, "t", a, "") for c, a in zip("abcd", given, strict=True)], CALLS)
+    names = "name string, param string, type string, required boolean, max_length int, minimum double, allowed array<string>"
+    rows = [("t", "it's", "integer", True, None, 0.0, None), ("t", "a.b[0]", "object", False, None, None, None), ("t", 'say "q"', "array", False, None, None, None)]
+    rows += [("t", "e", "any", False, None, None, ['"red"', '{ "a": 2, "b": 1 }']), ("t", "n", "null", False, None, None, None), ("t", "any", "any", False, None, None, None)]
+    got = {r.call_id: r.errors for r in C.validate(calls, spark.createDataFrame(rows, names)).collect()}
+    assert got == {"a": [], "b": ["type of a.b[0]", "type of it's", 'type of say "q"', "value of e"], "c": ["type of a.b[0]"], "d": ["range of it's", "type of n"]}
+    with pytest.raises(ValueError, match="text"):
+        C.validate(calls, spark.createDataFrame([("t", "p", "text", True, None, None)], names.removesuffix(", allowed array<string>")))
