@@ -1,20 +1,21 @@
 """Main text of web pages by markup and by differencing with the page of the nearest URL.
 
 Each page becomes text lines (one per block). Markup tells what a line is: ``chrome`` (menus, headers, footers, sidebars,
-notices, adverts, forms, comments), ``body`` (inside an article or main element) or ``open`` (neither). Pages are then paired
-with the neighbour of the most similar URL path within their host, the lines of both are aligned by a longest common
-subsequence, and shared lines are deleted where they can be template: open lines, and lines of a body that are links only.
-Shared prose within a body stays, since articles quote each other. Two pages that share nearly all their text are copies, not
-siblings of one template, and delete nothing from each other.
+notices, adverts, forms, comments), ``body`` (inside an article or main element), ``maybe`` (inside one, in a block whose name
+speaks of sharing or of related pages) or ``open`` (none of these). Pages are then paired with the neighbour of the most similar
+URL path within their host, and the lines of both are aligned by a longest common subsequence. Shared lines are deleted: open
+and maybe lines and lines of links at once, prose of a body if it is shared all over the host, since articles quote each other.
+Two pages that share nearly all their text are copies, not siblings of one template, and delete nothing from each other.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -23,9 +24,13 @@ from pyspark.sql import functions as F
 from quillon.llm.ranking import range_partitioned
 from quillon.runtime import save_stage, ship_package, small
 
-CHROME, OPEN, BODY, LINK = 0, 1, 2, 3
+CHROME, OPEN, BODY, LINK, MAYBE = 0, 1, 2, 3, 4
 #: Share of a page's lines from which a pair counts as copies.
 COPY_SHARE = 0.9
+#: Pages of a host (share and least number) that share a line of prose with their pairs, from which it counts as template.
+HOST_SHARE, HOST_PAGES = 0.8, 5
+#: Bits of alignment masks that are kept at a time.
+MASK_BITS = 1 << 28
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"<]*\"|'[^'<]*'|[^>\"'<])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -41,6 +46,8 @@ _ALWAYS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer contentinfo ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion "
     "comment comments disqus respond reply replies cookie cookies consent gdpr newsletter subscribe subscription share sharing social related recommended recommendations pagination pager".split()
 )
+# of these, what is no contract of its own: within an article differencing decides
+_SOCIAL = frozenset("share sharing social related recommended recommendations".split())
 _OFTEN = frozenset("header masthead banner notice notices alert complementary widget toolbar search login signup popup modal overlay skip dialog form".split())
 _ABOUT = frozenset("article post entry content main story body text title headline".split())
 _ANSWER = frozenset("comment comments reply".split())
@@ -90,11 +97,11 @@ def _hidden(attrs: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs), re.I))
 
 
-_SURE, _NAMED = 2, 1
+_UNSURE, _SURE, _NAMED = 3, 2, 1
 
 
 def _is_chrome(tag: str, attrs: str, inside: bool) -> int:
-    """Whether a block is chrome: ``_NAMED`` if only its names say so or it is a form (which may hold a whole page), else ``_SURE``; 0 if not."""
+    """Whether a block is chrome: ``_NAMED`` if only its names say so or it is a form (which may hold a whole page), ``_UNSURE`` for blocks of an article that differencing decides on, else ``_SURE``; 0 if not."""
     if (tag in _DROP and tag != "form") or (tag == "header" and not inside) or (attrs and _hidden(attrs)):
         return _SURE
     if tag == "form":
@@ -104,6 +111,8 @@ def _is_chrome(tag: str, attrs: str, inside: bool) -> int:
     values = [m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id") or (m[1].lower() == "role" and tag not in ("article", "main"))]
     if tag in ("article", "main"):
         return _SURE if tag == "article" and any(_named(v, _ANSWER) for v in values) else 0
+    if inside and any(_named(v, _SOCIAL) for v in values) and not any(_named(v, _ALWAYS - _SOCIAL) for v in values):
+        return _UNSURE
     if any(_named(v, _ALWAYS) for v in values):
         return _NAMED
     if any(_named(v, _OFTEN) for v in values) and _ABOUT.isdisjoint(x.lower() for v in values for x in _NAME.findall(v)):
@@ -137,7 +146,11 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
             text = " ".join("".join(buffer).split())
             if text:
                 lines.append(text)
-                kinds.append(CHROME if marks and marks[-1][1] else (LINK if all(linked) else BODY) + _HELD * bool(held) if bodies else OPEN)
+                mark = marks[-1][1] if marks else 0
+                if mark:
+                    kinds.append(MAYBE + _HELD * bool(held) if mark == _UNSURE and bodies and not all(linked) else CHROME)
+                else:
+                    kinds.append((LINK if all(linked) else BODY) + _HELD * bool(held) if bodies else OPEN)
             buffer.clear()
             linked.clear()
 
@@ -214,14 +227,14 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
         if tag in _VOID:
             continue
         place, skipping = len(stack), marks[-1][1] if marks else 0
-        chrome = _is_chrome(tag, attrs, bool(bodies)) if not skipping or tag == "article" else 0
-        if tag in ("article", "main") and not chrome and (skipping < _SURE or tag == "main"):
+        chrome = _is_chrome(tag, attrs, bool(bodies)) if skipping in (0, _UNSURE) or tag == "article" else 0
+        if tag in ("article", "main") and not chrome and (skipping != _SURE or tag == "main"):
             bodies.append(place)
             if skipping:
                 marks.append((place, 0))
                 if tag == "article":
                     held.append(place)
-        elif chrome and not skipping:
+        elif chrome and skipping in (0, _UNSURE):
             marks.append((place, chrome))
         stack.append(tag)
         where.setdefault(tag, []).append(place)
@@ -234,32 +247,60 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
 
 
 def common_subsequence(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence of ``a`` and ``b`` (Hunt and Szymanski)."""
+    """Positions in ``a`` of a longest common subsequence of ``a`` and ``b``.
+
+    A row of the table of lengths is one integer, whose zero bits tell where the length grows (bit-parallel). Only every
+    so many rows are kept and those between are made again on the way back, so memory is about the square root of the rows
+    times the columns in bits, however often lines repeat.
+    """
     head, enda, endb = 0, len(a), len(b)
     while head < min(enda, endb) and a[head] == b[head]:
         head += 1
     while enda > head and endb > head and a[enda - 1] == b[endb - 1]:
         enda -= 1
         endb -= 1
-    where: dict[int, list[int]] = {}
-    for j in range(endb - 1, head - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    tails: list[int] = []
-    links: list[tuple] = []
-    for i in range(head, enda):
-        for j in where.get(a[i], ()):
-            k = bisect_left(tails, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                links.append(link)
-            elif j < tails[k]:
-                tails[k], links[k] = j, link
-    middle, link = [], links[-1] if links else None
-    while link:
-        middle.append(link[0])
-        link = link[1]
-    return [*range(head), *reversed(middle), *range(enda, len(a))]
+    mid, where, width = a[head:enda], {}, endb - head
+    for j, x in enumerate(b[head:endb]):
+        where.setdefault(x, []).append(j)
+    full, masks = (1 << width) - 1, {}
+
+    def mask(x: int) -> int:
+        if x in masks or x not in where:
+            return masks.get(x, 0)
+        bits = np.zeros(width, bool)
+        bits[where[x]] = True
+        m = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        if len(masks) * width < MASK_BITS:
+            masks[x] = m
+        return m
+
+    def row_after(v: int, x: int) -> int:
+        u = v & mask(x)
+        return ((v + u) | (v - u)) & full
+
+    step = max(1, math.isqrt(len(mid)))
+    kept, v = [full], full
+    for i, x in enumerate(mid):
+        v = row_after(v, x)
+        if (i + 1) % step == 0:
+            kept.append(v)
+    found, j, rows, first = [], width, [], len(mid) + 1
+    i = len(mid)
+    while i and j:
+        if i - 1 < first:  # rows first..i of the table, row k being what is known after k lines
+            first = (i - 1) // step * step
+            rows = [kept[first // step]]
+            for x in mid[first:i]:
+                rows.append(row_after(rows[-1], x))
+        if rows[i - first] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if i and not rows[i - first] >> (j - 1) & 1:
+            continue
+        found.append(head + i)
+        j -= 1
+    return [*range(head), *reversed(found), *range(enda, len(a))]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,18 +313,16 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line that can be deleted and that the page shares with its pair; none if the two are copies."""
+    names = (("row", pa.int64()), ("host", pa.string()), ("at", pa.int32()), ("kind", pa.int8()), ("line", pa.int64()))
     for batch in batches:
-        rows, drops = [], []
-        for row, kinds, mine, other in zip(*(batch.column(c).to_pylist() for c in ("row", "kinds", "mine", "other")), strict=True):
+        out = []
+        for row, host, kinds, mine, other in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "kinds", "mine", "other")), strict=True):
             same = common_subsequence(mine, other)
-            if len(same) >= COPY_SHARE * len(mine):
-                continue
-            has_body = any(k in (BODY, LINK) for k in kinds)
-            drop = [i for i in same if kinds[i] == LINK or (kinds[i] == OPEN and not has_body)]
-            if drop:
-                rows.append(row)
-                drops.append(drop)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(drops, pa.list_(pa.int32()))], ["row", "drop"])
+            if len(same) < COPY_SHARE * len(mine):
+                has_body = any(k in (BODY, LINK) for k in kinds)
+                out += [(row, host, i, kinds[i], mine[i]) for i in same if kinds[i] > OPEN or kinds[i] == OPEN and not has_body]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(names)], [n for n, _ in names])
 
 
 def nearest_pairs(pages: DataFrame) -> DataFrame:
@@ -303,20 +342,39 @@ def nearest_pairs(pages: DataFrame) -> DataFrame:
     near = near.withColumns({"prev": F.coalesce("prev", "above"), "next": F.coalesce("next", "below")})
 
     def alike(c: str):
-        common = F.expr(f"array_size(array_compact(transform(sequence(1, least(length(path), length({c}.path)) + 1), i -> if(i <= length(path) and left(path, i) = left({c}.path, i), i, null))))")
-        return F.when(F.col(f"{c}.host") == F.col("host"), common)
+        """Length of the common prefix of both paths."""
+        differ = F.array_position(F.zip_with(F.split("path", ""), F.split(f"{c}.path", ""), lambda x, y: x.eqNullSafe(y)), F.lit(False))
+        return F.when(F.col(f"{c}.host") == F.col("host"), F.when(differ == 0, F.length("path") + 1).otherwise(differ))
 
     near = near.withColumns({"p": alike("prev"), "n": alike("next")})
     other = F.when(F.coalesce("p", F.lit(-1)) >= F.coalesce("n", F.lit(-1)), F.col("prev.mine")).otherwise(F.col("next.mine"))
-    return near.filter("p is not null or n is not null").select("row", "kinds", "mine", other.alias("other"))
+    return near.filter("p is not null or n is not null").select("row", "host", "kinds", "mine", other.alias("other"))
+
+
+def deletions(keyed: DataFrame) -> DataFrame:
+    """What differencing deletes from each page (``row``, ``host``, ``path``, ``kinds``, ``mine``) that has a pair: ``row``, ``drop`` (places).
+
+    Shared lines that are open, maybe or links go; shared prose goes if pages all over the host share it with their pairs,
+    which is counted per host and line. A page with a pair from which nothing is deleted has an empty list.
+    """
+    pairs = save_stage(nearest_pairs(keyed), "pairs")
+    shared = save_stage(pairs.mapInArrow(_shared, "row long, host string, at int, kind byte, line long"), "shared")
+    sizes = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    prose = shared.filter(F.col("kind") == BODY).groupBy("host", "line").agg(F.countDistinct("row").alias("n"))
+    common = prose.join(sizes, "host").filter(F.col("n") >= F.greatest(F.lit(HOST_PAGES), HOST_SHARE * F.col("pages")))
+    common = save_stage(common.select("host", "line", F.lit(True).alias("common")), "common")
+    judged = shared.join(small(common, common.count(), 100_000), ["host", "line"], "left")
+    gone = judged.filter((F.col("kind") != BODY) | F.col("common")).groupBy("row").agg(F.collect_set("at").alias("drop"))
+    return pairs.select("row").join(gone, "row", "left").select("row", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page: ``page_id``, ``url``, ``text`` (blocks joined by a newline, empty if none), ``n_chars``.
 
     If a page has an article or main element with text, its text is that of these elements; else it is that of all blocks
-    that markup does not mark as chrome. Null html has no text. Pages without a host (null or odd URLs) share the host
-    ''. Repeated rows repeat (as copies, they delete nothing from each other); other columns are ignored.
+    that markup does not mark as chrome. Maybe lines of pages that have no pair go. Null html has no text. Pages without a
+    host (null or odd URLs) share the host ''. Repeated rows repeat (as copies, they delete nothing from each other); other
+    columns are ignored.
     """
     ship_package(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -326,12 +384,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     host = F.regexp_extract(address, r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
     path = F.regexp_extract(address, r"^(?:[a-z][a-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     keyed = parsed.select("row", host.alias("host"), path.alias("path"), "kinds", F.transform("lines", lambda x: F.xxhash64(x)).alias("mine"))
-    drops = save_stage(nearest_pairs(keyed).mapInArrow(_shared, "row long, drop array<int>"), "drops")
-    marked = parsed.join(small(drops, drops.count(), 100_000), "row", "left")
-    has_body = F.exists("kinds", lambda k: k >= BODY)
+    marked = parsed.join(deletions(keyed), "row", "left")
+    has_body = F.exists("kinds", lambda k: k.isin(BODY, LINK))
     at = F.zip_with("lines", "kinds", lambda x, k: F.struct(x.alias("x"), k.alias("k")))
     indexed = F.transform(at, lambda s, i: F.struct(s["x"].alias("x"), s["k"].alias("k"), i.alias("i")))
-    kept = F.filter(indexed, lambda s: F.when(has_body, s["k"] >= BODY).otherwise(s["k"] == OPEN) & ~F.coalesce(F.array_contains("drop", s["i"]), F.lit(False)))
+    right = lambda s: F.when(has_body, s["k"].isin(BODY, LINK) | ((s["k"] == MAYBE) & F.col("drop").isNotNull())).otherwise(s["k"] == OPEN)
+    kept = F.filter(indexed, lambda s: right(s) & ~F.coalesce(F.array_contains("drop", s["i"]), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda s: s["x"]), "\n")
     return marked.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 

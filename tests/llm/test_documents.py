@@ -1,4 +1,7 @@
+import os
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -62,7 +65,7 @@ def test_page_lines():
 
 
 def body_of(page):
-    return [x for x, k in zip(*H.page_lines(page), strict=True) if k >= H.BODY]
+    return [x for x, k in zip(*H.page_lines(page), strict=True) if k in (H.BODY, H.LINK)]
 
 
 def test_wrappers_with_chrome_in_their_names_keep_their_article():
@@ -95,6 +98,74 @@ def test_differencing(spark):
     assert H.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_names_of_sharing_within_an_article_are_judged_by_differencing(spark):
+    def page(n, block, name):
+        return f'<body><article><p>Own text {n}.</p><div class="{name}"><p>{block}</p></div><p>End of {n}.</p><p>Subscribe to our letter</p><p>More of {n}</p></article></body>'
+
+    rows = [(i, f"http://h/a/{i}", page(i, "Tell your friends", "story-social")) for i in range(6)] + [(6, "http://h/a/6", page(6, "A story of its own", "story-social"))]
+    rows += [(7, "http://lone/7", page(7, "A story of its own", "share")), (8, "http://two/8", page(8, "One", "related-work")), (9, "http://two/9", page(9, "Two", "related-work"))]
+    rows += [(10, "http://h/a/95", "<p>Subscribe to our letter<p>and nothing else here<p>at all")]
+    got = {r.page_id: r.text.split("\n") for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == [f"Own text {i}.", f"End of {i}.", f"More of {i}"] for i in range(6))
+    assert got[6] == ["Own text 6.", "A story of its own", "End of 6.", "More of 6"]
+    assert got[7] == ["Own text 7.", "End of 7.", "Subscribe to our letter", "More of 7"]
+    assert got[8] == ["Own text 8.", "One", "End of 8.", "Subscribe to our letter", "More of 8"]
+
+
+def plain_extract(rows):
+    """The whole query by loops: pairs by position in the sorted host, a table of lengths, counts per host."""
+    parsed = []
+    for n, (page, url, text) in enumerate(rows):
+        lines, kinds = H.page_lines(text)
+        m = re.match(r"[a-z][a-z0-9+.-]*://([^/?#]*)([^?#]*)", (url or "").lower())
+        parsed.append((m[1] if m else "", m[2] if m else re.match(r"[^?#]*", (url or "").lower())[0], n, lines, kinds))
+    parsed.sort(key=lambda p: p[:3])
+    shared, paired, pages = {}, set(), Counter(p[0] for p in parsed)
+    for at, (host, path, n, lines, kinds) in enumerate(parsed):
+        near = [(len(os.path.commonprefix([path, q[1]])) + (path != q[1] or 1), -k, q[3]) for k, q in enumerate(parsed[max(0, at - 1) : at] + parsed[at + 1 : at + 2]) if q[0] == host]
+        if near:
+            paired.add(n)
+            same = H.common_subsequence(lines, max(near)[2])
+            shared[n] = [] if len(same) >= 0.9 * len(lines) else same
+    kinds_of, lines_of, host_of = ({p[2]: p[k] for p in parsed} for k in (4, 3, 0))
+    prose = Counter((host_of[n], x) for n, same in shared.items() for x in {lines_of[n][i] for i in same if kinds_of[n][i] == H.BODY})
+    out = []
+    for n, (page, _, _) in enumerate(rows):
+        kinds, same, body = kinds_of[n], set(shared.get(n, ())), any(k in (H.BODY, H.LINK) for k in kinds_of[n])
+        keep = []
+        for i, (x, k) in enumerate(zip(lines_of[n], kinds, strict=True)):
+            common = prose[host_of[n], x] >= max(5, 0.8 * pages[host_of[n]])
+            gone = i in same and (k != H.BODY or common)
+            if not gone and ((k in (H.BODY, H.LINK) or k == H.MAYBE and n in paired) if body else k == H.OPEN):
+                keep.append(x)
+        out.append((page, "\n".join(keep)))
+    return out
+
+
+def test_the_whole_query_equals_plain_loops(spark, tmp_path):
+    given = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    rng = random.Random(6)
+    hosts = {g[1].split("/")[2] for g in given}
+    extra = []
+    for i in range(120):
+        parts = [rng.choice(["<nav>Home</nav>", "<div>Welcome</div>", "<p>Read on</p>", f"<p>Own {i}</p>", f"<p>Other {i}</p>", "<p><a href=x>More</a></p>", '<div class="share"><p>Tell</p></div>', f'<div class="related">Rel {i}</div>', "<p>Often</p>"]) for _ in range(rng.randrange(9))]
+        tag = rng.choice(["article", "main", "div"])
+        extra.append((1000 + i, f"http://{rng.choice(['x', 'y', sorted(hosts)[0]])}/{rng.choice('ab')}/{i % 50}", f"<{tag}>{''.join(parts)}</{tag}>"))
+    rows = given + extra + [(2000, None, "<p>No host</p>"), (2001, "odd", None), (2002, "", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = [(r.page_id, r.text) for r in H.op9_html_extraction(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(plain_extract(rows))
+
+
+def test_very_long_pages_and_addresses(spark):
+    rng = random.Random(9)
+    long = [f"<p>line {rng.randrange(5)}</p>" for _ in range(20000)]
+    rows = [(1, "http://h/" + "a" * 20000, "".join(long)), (2, "http://h/" + "a" * 19999 + "b", "".join(rng.sample(long, len(long))) + "<p>own</p>"), (3, "http://h/z", "<article>" + "word " * 200000 + "</article>")]
+    got = {r.page_id: r.n_chars for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == 5 * 200000 - 1 and 0 < got[1] < 20000 * 7 and 0 < got[2] < 20000 * 7
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(300):
