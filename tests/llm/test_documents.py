@@ -205,17 +205,48 @@ def test_tiles_equal_plain_greedy_tiling():
         assert D.tiles(item, doc, 2) == greedy(item.tolist(), doc.tolist(), 2)
 
 
+def test_tiles_of_repetitive_texts_need_little_memory():
+    import tracemalloc
+
+    item, doc = np.full(1000, 7, np.uint64), np.full(1_000_000, 7, np.uint64)
+    doc[::5000] = np.arange(200, dtype=np.uint64) + 100
+    tracemalloc.start()
+    assert D.tiles(item, doc) == [(0, 1, 1000)]
+    assert sum(n for _, _, n in D.tiles(np.tile(np.array([1, 2, 3, 4, 9], np.uint64), 200), np.tile(np.array([1, 2, 3, 4, 8, 9, 9], np.uint64), 100_000))) == 999
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+
+
+def test_the_whole_query_equals_plain_tiling(spark):
+    """The items of each document, from plain greedy tiling of every pair that shares a seed."""
+    sf = "/root/testdata/sf0.001"
+    items = {r.item_id: D.fold(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    docs = {r.doc_id: D.fold(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+    def grams(words, n):
+        return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+    seeds, want = {i: grams(w, min(5, len(w))) for i, w in items.items() if w}, {}
+    for d, words in docs.items():
+        mine = grams(words, 5)
+        near = [i for i, s in seeds.items() if s & mine]
+        want[d] = [i for i in sorted(near) if sum(n for _, _, n in greedy(items[i], words, 3)) >= 0.6 * len(items[i])]
+    assert min(map(len, items.values())) >= 5 and any(want.values())
+    got = D.op7_benchmark_decontamination(spark, sf).collect()
+    assert {r.doc_id: r.item_ids for r in got} == want and all(r.contaminated == bool(want[r.doc_id]) == (r.n_items > 0) for r in got)
+
+
 def test_contamination(spark, monkeypatch):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     half = item.split()
     moved = " ".join(half[10:]) + " filler words go here " + " ".join(half[:10]).upper()
     items = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, "")], "item_id long, text string")
-    docs = [(1, "x " + item + "."), (2, moved), (3, " ".join(half[:7])), (4, None), (5, ""), (6, "clean words only in this one here"), (None, item), (1, "x " + item + ".")]
+    docs = [(1, "x " + item + "."), (2, moved), (3, " ".join(half[:7])), (4, None), (5, ""), (6, "clean words only in this one here"), (7, "not Too, short."), (8, "short too"), (None, item), (1, "x " + item + ".")]
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, item_id int")
     for size in (D.BLOCK_BYTES, 50):
         monkeypatch.setattr(D, "BLOCK_BYTES", size)
         got = sorted(((r.doc_id, r.contaminated, r.n_items, tuple(r.item_ids)) for r in D.contamination(df, items).collect()), key=str)
-        assert got == sorted([(1, True, 1, (1,)), (1, True, 1, (1,)), (2, True, 1, (1,)), (3, False, 0, ()), (4, False, 0, ()), (5, False, 0, ()), (6, False, 0, ()), (None, True, 1, (1,))], key=str)
+        assert got == sorted([(1, True, 1, (1,)), (1, True, 1, (1,)), (2, True, 1, (1,)), (3, False, 0, ()), (4, False, 0, ()), (5, False, 0, ()), (6, False, 0, ()), (7, True, 1, (2,)), (8, False, 0, ()), (None, True, 1, (1,))], key=str)
     assert D.contamination(df.filter("false"), items).count() == 0
     assert D.contamination(df, items.filter("false")).filter("contaminated").count() == 0
 
