@@ -1,12 +1,13 @@
 """Nearest neighbours by multi-index hashing of learned binary codes.
 
-Codes are signs of rotated principal components (the rotation is learned by iterative quantisation on a bounded sample). A
+Codes are signs of rotated principal components (the rotations are learned by iterative quantisation on a bounded sample). A
 code is split into substrings, each with an index from its values to rows. A code within a Hamming radius r of a query's
 agrees with it up to r // substrings bits in at least one substring, so probing that ball in every index finds every such
-row (pigeonhole). Rows that pass the full radius are ranked by their inner products in double precision.
+row (pigeonhole). Only rows that pass the full radius are ranked, by their inner products in double precision. A query that
+finds too few widens its radius step by step.
 
-The rows are dealt over partitions, each with its own indexes, and every partition answers all queries, in blocks of bounded
-size: the work is queries x rows in the worst case, but only the best ``k`` of each partition leave it.
+Codes and vectors are dealt over index parts once. Queries come in blocks of bounded size, each broadcast to all parts, and
+only the best ``k`` of a query leave a part.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,16 +23,18 @@ from pyspark.sql import functions as F
 from quillon.llm.sampling import hash_sample
 from quillon.runtime import save_stage, ship_package
 
-BITS, SUBSTRINGS = 64, 8
-WIDTH = BITS // SUBSTRINGS
+#: Long codes tell angles well, so few rows have to be ranked; long substrings keep the balls around a query selective.
+BITS, SUBSTRINGS = 512, 8
+WORDS = BITS // 64
+#: Bits by which a query that found too few rows widens its radius.
+WIDEN = BITS // 16
 #: Expected number of vectors that the rotation and the radius are fitted on (at most twice as many).
 FIT_ROWS = 8_000
 #: Share of the sample's own nearest neighbours that the radius has to cover.
 COVER = 0.985
 ROUNDS = 30
-#: Rows of an index partition and queries of a block.
-PART_ROWS, BLOCK_QUERIES = 8_192, 8_192
-_POP8 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Rows of an index part that are searched at a time, and queries of a block.
+PART_ROWS, BLOCK_QUERIES = 8_192, 4_096
 
 
 class Coder:
@@ -67,8 +70,9 @@ class Coder:
         return np.hstack([x, rest[:, None]])
 
     def codes(self, x: np.ndarray, query: bool = False) -> np.ndarray:
-        """The code of each row as ``SUBSTRINGS`` bytes."""
-        return np.packbits((self.lift(x, query) - self.mean) @ self.turn > 0, axis=1)
+        """The code of each row as ``WORDS`` 64-bit integers, each of which is a substring."""
+        bits = np.packbits((self.lift(x, query) - self.mean) @ self.turn > 0, axis=1)
+        return np.ascontiguousarray(bits).view(np.uint64)
 
 
 def fit(sample: np.ndarray, longest: float, k: int) -> tuple[Coder, int]:
@@ -77,64 +81,100 @@ def fit(sample: np.ndarray, longest: float, k: int) -> tuple[Coder, int]:
     probes = sample[:: max(1, len(sample) // 300)]
     near = np.argsort(-(probes @ sample.T), axis=1)[:, : k + 1]
     a, b = coder.codes(probes, True), coder.codes(sample)
-    distance = _POP8[a[:, None, :] ^ b[near]].sum(axis=2)
+    distance = np.bitwise_count(a[:, None, :] ^ b[near]).sum(axis=2)
     return coder, int(np.quantile(distance, COVER, method="higher"))
 
 
-def _ball(value: int, radius: int) -> np.ndarray:
-    return np.flatnonzero(_POP8[np.arange(256) ^ value] <= radius)
+class Index:
+    """The codes of some rows, with the distinct values of each substring and the rows of each value."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.tables = [np.unique(codes[:, j], return_inverse=True) for j in range(SUBSTRINGS)]
+
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows with a substring in the ball of radius // substrings around the query's."""
+        mask = np.zeros(len(self.codes), bool)
+        for j, (values, rows) in enumerate(self.tables):
+            mask |= (np.bitwise_count(values ^ code[j]) <= radius // SUBSTRINGS)[rows]
+        return np.flatnonzero(mask)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """All rows within the radius of a query's code."""
+        found = self.probed(code, radius)
+        return found[np.bitwise_count(self.codes[found] ^ code).sum(axis=1) <= radius]
 
 
 def search(coder: Coder, radius: int, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple]:
     """(query id, row id, score) of each query's ``k`` best rows within the radius, its own row left out."""
-    for i, found, score in _search(coder, radius, ids, x, qids, q, k):
-        yield int(qids[i]), found, score
-
-
-def _search(coder: Coder, radius: int, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple]:
-    """As :func:`search`, with the place of the query in ``q`` for its id."""
-    codes, asked = coder.codes(x), coder.codes(q, True)
-    order = np.argsort(codes, axis=0, kind="stable")
-    bounds = [np.searchsorted(codes[order[:, j], j], np.arange(257)) for j in range(SUBSTRINGS)]
-    reach = min(WIDTH, radius // SUBSTRINGS)
-    probed: dict[tuple[int, int], np.ndarray] = {}
-
-    def rows(j: int, value: int) -> np.ndarray:
-        if (j, value) not in probed:
-            mask = np.zeros(len(ids), bool)
-            for v in _ball(value, reach):
-                mask[order[bounds[j][v] : bounds[j][v + 1], j]] = True
-            probed[j, value] = mask
-        return probed[j, value]
-
-    wide = codes.view(np.uint64)[:, 0]
-    wide_q = asked.view(np.uint64)[:, 0]
+    index, asked = Index(coder.codes(x)), coder.codes(q, True)
     for i in range(len(qids)):
-        mask = rows(0, int(asked[i, 0])).copy()
-        for j in range(1, SUBSTRINGS):
-            mask |= rows(j, int(asked[i, j]))
-        found = np.flatnonzero(mask)
-        found = found[np.bitwise_count(wide[found] ^ wide_q[i]) <= radius]
-        found = found[ids[found] != qids[i]]
-        if not len(found):
-            continue
-        score = (x[found] * q[i]).sum(axis=1)
-        if len(found) > k:
-            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-            found, score = found[keep], score[keep]
-        best = np.lexsort((ids[found], -score))[:k]
-        for r in best:
-            yield i, int(ids[found[r]]), float(score[r])
-
-
-def _answers(coder: Coder, radius: int, k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        if len(rows) and len(queries):
-            x, q = (np.array(side["vector"].tolist(), np.float64) for side in (rows, queries))
-            qids, keys = queries["id"].to_numpy(np.int64), queries["key"].to_numpy(np.int64)
-            found = [(qids[i], keys[i], *hit) for i, *hit in _search(coder, radius, rows["id"].to_numpy(np.int64), x, qids, q, k)]
-        return pd.DataFrame(found, columns=["query_id", "key", "vec_id", "score"]).astype({"query_id": "int64", "key": "int64", "vec_id": "int64", "score": "float64"})
+        for r, score in _best(index, asked[i], radius, ids, x, int(qids[i]), q[i], k):
+            yield int(qids[i]), int(ids[r]), float(score)
+
+
+def _best(index: Index, code: np.ndarray, radius: int, ids: np.ndarray, x: np.ndarray, own: int, vector: np.ndarray, k: int, least: float = -np.inf) -> Iterator[tuple[int, float]]:
+    found = index.within(code, radius)
+    found = found[ids[found] != own]
+    score = (x[found] * vector).sum(axis=1)
+    if len(found) > k:
+        least = max(least, float(np.partition(score, len(score) - k)[len(score) - k]))
+    found, score = found[score >= least], score[score >= least]
+    best = np.lexsort((ids[found], -score))[:k]
+    return zip(found[best], score[best], strict=True)
+
+
+def _answers(shared, k: int):
+    """The best ``k`` rows of a partition for each query of a block; the partition is searched ``PART_ROWS`` rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, keys, vectors, codes, radii = shared.value
+        best: list[list[tuple[float, int]]] = [[] for _ in keys]
+        for ids, x, index in _parts(batches):
+            for i in range(len(keys)):
+                least = best[i][-1][0] if len(best[i]) == k else -np.inf
+                more = _best(index, codes[i], int(radii[i]), ids, x, int(qids[i]), vectors[i], k, least)
+                more = [(float(s), int(ids[r])) for r, s in more]
+                if more:
+                    best[i] = sorted(best[i] + more, key=lambda t: (-t[0], t[1]))[:k]
+        n = [len(b) for b in best]
+        flat = [t for b in best for t in b]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(keys, n), pa.int64()), pa.array(np.repeat(qids, n), pa.int64()), pa.array([t[1] for t in flat], pa.int64()), pa.array([t[0] for t in flat], pa.float64())],
+            ["key", "query_id", "vec_id", "score"],
+        )
+
+    return run
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Index]]:
+    held: list[pa.RecordBatch] = []
+
+    def part():
+        ids = np.concatenate([b.column("id").to_numpy() for b in held])
+        x = np.concatenate([_matrix(b) for b in held])
+        codes = np.frombuffer(b"".join(v for b in held for v in b.column("code").to_pylist()), np.uint64).reshape(-1, WORDS)
+        held.clear()
+        return ids, x, Index(codes)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= PART_ROWS:
+            yield part()
+    if held:
+        yield part()
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _coded(coder: Coder, query: bool = False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [c.tobytes() for c in coder.codes(_matrix(batch), query)] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], [*batch.schema.names, "code"])
 
     return run
 
@@ -152,7 +192,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     Returns ``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``; ties go to the smaller id, and a query's own id is
     never its neighbour. Vectors that are null, zero or hold null or non-finite components take no part, nor do those
     whose length is not the most frequent one (the larger on a tie). A query that finds fewer than ``k`` rows within the
-    radius is answered again with every row as candidate. Repeated ids stay separate rows
+    radius widens it step by step until it has ``k``, or all rows are within. Repeated ids stay separate rows
     of ``vectors``; queries that agree in id and vector are one query, those that agree in id only have an answer each. No
     usable rows give no rows.
     """
@@ -167,23 +207,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     rows, asked = (t.filter(F.size("vector") == top.d) for t in (rows, asked))
     sample = np.array([r.vector for r in hash_sample(rows, "id", FIT_ROWS).orderBy("id").collect()], np.float64)
     coder, radius = fit(sample, float(np.sqrt(top.m)), k)
+    dealt = rows.repartition(-(-top.n // PART_ROWS), F.xxhash64("id", "vector"))
+    index = save_stage(dealt.mapInArrow(_coded(coder), "id long, vector array<double>, code binary"), "index")
     # a number for each distinct query, saved since a second evaluation might deal others
-    asked = save_stage(asked.distinct().withColumn("key", F.monotonically_increasing_id()), "asked")
-    parts, blocks = -(-top.n // PART_ROWS), -(-max(1, asked.count()) // BLOCK_QUERIES)
-
-    def dealt(asked: DataFrame, radius: int) -> DataFrame:
-        index = rows.select("id", "vector", F.pmod(F.xxhash64("id", "vector"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        block = asked.select("id", "key", "vector", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-        found = index.groupBy("part", "block").cogroup(block.groupBy("part", "block")).applyInPandas(_answers(coder, radius, k), "query_id long, key long, vec_id long, score double")
-        order = W.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("key", "query_id", "rank", "vec_id", "score")
-
-    first = save_stage(dealt(asked, radius), "near")
-    full = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k, top.n - 1)).select("key")
-    short = save_stage(asked.join(full, "key", "left_anti"), "short")
-    if short.isEmpty():
-        return first.drop("key")
-    return first.join(short.select("key"), "key", "left_anti").union(dealt(short, BITS)).drop("key")
+    asked = asked.distinct().mapInArrow(_coded(coder, True), "id long, vector array<double>, code binary")
+    asked = save_stage(asked.withColumn("key", F.monotonically_increasing_id()).withColumn("radius", F.lit(radius)), "asked")
+    order = W.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    done = None
+    while not asked.isEmpty():
+        found = None
+        blocks = -(-asked.count() // BLOCK_QUERIES)
+        for k_block in range(blocks):
+            block = asked.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k_block).toArrow()  # about BLOCK_QUERIES rows
+            if not block.num_rows:
+                continue
+            vectors_ = np.array(block.column("vector").to_pylist(), np.float64)
+            codes = np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint64).reshape(-1, WORDS)
+            shared = spark.sparkContext.broadcast((*(block.column(c).to_numpy() for c in ("id", "key")), vectors_, codes, block.column("radius").to_numpy()))
+            part = index.mapInArrow(_answers(shared, k), "key long, query_id long, vec_id long, score double")
+            part = save_stage(part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "near")
+            shared.destroy()
+            found = part if found is None else found.unionByName(part)
+        whole = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        known = asked.join(whole, "key", "left").withColumn("short", (F.coalesce("n", F.lit(0)) < min(k, top.n - 1)) & (F.col("radius") < BITS))
+        known = save_stage(known, "known")
+        ready = found.join(known.filter("not short").select("key"), "key", "left_semi")
+        done = ready if done is None else done.unionByName(ready)
+        asked = known.filter("short").select("id", "vector", "code", "key", F.least(F.col("radius") + WIDEN, F.lit(BITS)).alias("radius"))
+    if done is None:
+        return spark.createDataFrame([], names)
+    return done.select("query_id", "rank", "vec_id", "score")
 
 
 def op2_multi_index_hashing(spark, sf_dir: str) -> DataFrame:

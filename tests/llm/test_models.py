@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,7 +45,9 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(ask, train.filter("false")).collect()} == {"und"}
 
 
-def test_neighbours_reach_the_recall(spark):
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_neighbours_reach_the_recall(spark, sf):
+    SF = f"/root/testdata/{sf}"
     got = QUERIES["op2_multi_index_hashing"](spark, SF).toPandas()
     e = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
     x, ids = np.array(e.embedding.tolist(), float), e.vec_id.to_numpy()
@@ -60,6 +63,31 @@ def test_neighbours_reach_the_recall(spark):
     assert hit / total >= 0.95
 
 
+def test_few_rows_are_ranked():
+    """At sf0.1 probing leaves rows out before distances are taken, and under a fifth of the rows is ranked, at full recall."""
+    e = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.array(e.embedding.tolist(), float)
+    coder, radius = ann.fit(x, float(np.linalg.norm(x, axis=1).max()), 20)
+    index, q = ann.Index(coder.codes(x)), np.flatnonzero(e.vec_id % 20 == 0)
+    asked = coder.codes(x[q], True)
+    probed = [index.probed(c, radius) for c in asked]
+    within = [index.within(c, radius) for c in asked]
+    near = np.argsort(-(x[q] @ x.T), axis=1)[:, 1:21]
+    assert np.mean([len({*n} & {*w}) for n, w in zip(near, within, strict=True)]) >= 0.95 * 20
+    assert np.mean([len(w) for w in within]) < 0.1 * len(x) and np.mean([len(p) for p in probed]) < 0.7 * len(x)
+
+
+def test_a_query_widens_its_radius(spark, monkeypatch):
+    """Queries far from all rows, and a radius of nothing, still find all there is."""
+    monkeypatch.setattr(ann, "COVER", 0.0)
+    x = np.random.default_rng(1).normal(size=(30, 6))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(v, v.filter("vec_id < 2"), k=40).collect()
+    for i in (0, 1):
+        mine = sorted((r["rank"], r.vec_id) for r in got if r.query_id == i)
+        assert [j for _, j in mine] == [int(j) for j in np.argsort(-(x @ x[i]), kind="stable") if j != i]
+
+
 def test_neighbours_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None]), (9, [1.0]), (None, [1.0, 1.0]), (10, [3.0, 0.0])]
@@ -70,13 +98,13 @@ def test_neighbours_edges(spark):
     assert ann.nearest(v, v.filter("false")).count() == 0
 
 
-@pytest.mark.parametrize("radius", [0, 9, 20])
+@pytest.mark.parametrize("radius", [0, 100, 190, 230])
 def test_probing_finds_every_code_within_the_radius(radius):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 16))
     coder = ann.Coder(x, float(np.linalg.norm(x, axis=1).max()))
     got = {(a, b) for a, b, _ in ann.search(coder, radius, np.arange(300), x, np.arange(20), x[:20], 300)}
-    distance = np.bitwise_count(coder.codes(x).view(np.uint64)[:, 0][None] ^ coder.codes(x[:20], True).view(np.uint64)[:, 0][:, None])
+    distance = np.bitwise_count(coder.codes(x)[None] ^ coder.codes(x[:20], True)[:, None]).sum(axis=2)
     assert got == {(i, j) for i in range(20) for j in range(300) if i != j and distance[i, j] <= radius}
 
 
