@@ -124,9 +124,14 @@ def segment_reviews(reviews: DataFrame) -> DataFrame:
     return reviews.select("review_id", "item_id", F.posexplode(parts).alias("position", "segment"))
 
 
+def normal_segment(segment):
+    """A segment in lower case with single blanks."""
+    return F.lower(F.regexp_replace(F.regexp_replace(segment, r"\s+", " "), r"^ | $", ""))
+
+
 def exact_collapse(segments: DataFrame) -> DataFrame:
     """Copies of a segment (any case and spacing) as one: the first place and how many support it."""
-    text = F.lower(F.regexp_replace(F.regexp_replace("segment", r"\s+", " "), r"^ | $", ""))
+    text = normal_segment(F.col("segment"))
     place = F.struct("review_id", "position")
     out = segments.groupBy(F.md5(text).alias("digest")).agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("support"))
     return out.select("digest", "p.review_id", "p.position", "support")

@@ -1,30 +1,81 @@
-"""BM25 over reviews: corpus statistics, scores, ranked review and item search."""
+"""BM25 over reviews on stored postings: corpus statistics, scores, ranked review and item search."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.text import first_hit, snippet, tokens
-from quillon.runtime import BROADCAST_ROWS
+from quillon.ranking import grouped_rank, grouped_sum
+from quillon.runtime import save_stage, shared_path, small
+from quillon.sources.store import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Query terms up to which the postings are read by a list of terms, which Parquet's statistics can prune by.
+LISTED_TERMS = 1_000
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """Tables of one version of a corpus: its reviews, and what a single pass over their texts has stored."""
+
+    reviews: DataFrame
+    #: term, review_id, tf, n_tokens (of the review); dealt and sorted by term
+    postings: DataFrame
+    #: term, df, idf
+    terms: DataFrame
+    #: one row: n_reviews, mean_tokens
+    totals: DataFrame
+    #: review_id, place (0, 1, ... in order of id)
+    places: DataFrame
+    stop: tuple[str, ...] = ()
 
 
 def tokenised(reviews: DataFrame, stop: list[str] | None = None) -> DataFrame:
     return reviews.withColumn("tokens", tokens("text", stop)).withColumn("n_tokens", F.size("tokens"))
 
 
-def corpus_totals(toks: DataFrame) -> DataFrame:
-    """One row: number of reviews and mean length."""
-    return toks.agg(F.count(F.lit(1)).alias("n_reviews"), F.avg("n_tokens").alias("mean_tokens"))
+def build_index(reviews: DataFrame, path: str, stop: list[str] | None = None) -> SearchIndex:
+    """The index of ``reviews`` (``review_id``, ``item_id``, ``text``) under ``path``; parts that are there already are read.
+
+    Texts are split into tokens once; statistics come from the stored postings. Reviews without tokens count in the totals.
+    """
+    spark = reviews.sparkSession
+
+    def postings() -> DataFrame:
+        toks = tokenised(reviews.select("review_id", "text"), stop).select("review_id", "n_tokens", F.explode("tokens").alias("term"))
+        counted = toks.groupBy("term", "review_id", "n_tokens").agg(F.count(F.lit(1)).alias("tf"))
+        # a term of any frequency spreads over tasks; its postings are found by the sorted files' statistics
+        return counted.repartitionByRange("term", "review_id").sortWithinPartitions("term", "review_id")
+
+    stored = materialize(spark, f"{path}/postings", postings)
+    ids = reviews.select("review_id")
+
+    def totals() -> DataFrame:
+        n = ids.agg(F.count(F.lit(1)).alias("n_reviews"))
+        words = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+        return n.crossJoin(words).select("n_reviews", F.try_divide("words", "n_reviews").alias("mean_tokens"))  # one row each
+
+    known = materialize(spark, f"{path}/totals", totals)
+    terms = materialize(spark, f"{path}/terms", lambda: term_statistics(stored, known))
+    places = materialize(spark, f"{path}/places", lambda: grouped_rank(ids, [], ["review_id"], "place").withColumn("place", F.col("place") - 1))
+    return SearchIndex(reviews, stored, terms, known, places, tuple(stop or ()))
+
 
+def indexed(reviews: DataFrame | SearchIndex, stop: list[str] | None = None) -> SearchIndex:
+    """An index as it is, or a new one of a table of reviews."""
+    if isinstance(reviews, SearchIndex):
+        return reviews
+    return build_index(reviews, shared_path(reviews.sparkSession, "index"), stop)
 
-def term_statistics(toks: DataFrame) -> DataFrame:
+
+def term_statistics(postings: DataFrame, totals: DataFrame) -> DataFrame:
     """``term``, ``df`` and ``idf``; a negative idf becomes a quarter of the mean idf over all terms."""
-    df = toks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(corpus_totals(toks))).withColumn("idf", F.log(F.col("n_reviews") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.crossJoin(F.broadcast(totals)).withColumn("idf", F.log(F.col("n_reviews") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf").alias("mean_idf"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
 
@@ -35,52 +86,82 @@ def query_terms(queries: DataFrame, stop: list[str] | None = None) -> DataFrame:
     return t.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def postings_lookup(toks: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the query terms: ``query_id``, ``review_id``, ``term``, ``times``, ``tf``.
-
-    Query terms are broadcast if their counted number allows; only matching tokens are shuffled.
-    """
+def _of_terms(tables: list[DataFrame], terms: DataFrame) -> list[DataFrame]:
+    """The rows of each table whose term is one of ``terms``: by a pushed list if they are few, and joined."""
     n = terms.count()
-    terms = F.broadcast(terms) if n <= BROADCAST_ROWS else terms
-    hits = toks.select("review_id", F.explode("tokens").alias("term")).join(terms, "term")
-    return hits.groupBy("query_id", "review_id", "term", "times").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25_scores(reviews: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, stop: list[str] | None = None) -> DataFrame:
-    """BM25 of every (query, review) that shares a term: ``query_id``, ``review_id``, ``score``."""
-    toks = tokenised(reviews, stop)
-    terms = query_terms(queries, stop)
-    found = postings_lookup(toks, terms)
-    idf = term_statistics(toks).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    sized = found.join(toks.select("review_id", "n_tokens"), "review_id").crossJoin(F.broadcast(corpus_totals(toks)))
+    names = [r.term for r in terms.select("term").distinct().collect()] if n <= LISTED_TERMS else None
+    if names is not None:
+        tables = [t.filter(F.col("term").isin(names)) for t in tables]
+    few = small(terms, n)
+    return [t.join(few, "term") for t in tables]
+
+
+def postings_lookup(index: SearchIndex, terms: DataFrame) -> DataFrame:
+    """Postings of the query terms: ``query_id``, ``review_id``, ``term``, ``times``, ``tf``, ``n_tokens``."""
+    return _of_terms([index.postings], terms)[0].select("query_id", "review_id", "term", "times", "tf", "n_tokens")
+
+
+def bm25_scores(reviews: DataFrame | SearchIndex, queries: DataFrame, k1: float = K1, b: float = B, stop: list[str] | None = None) -> DataFrame:
+    """BM25 of every (query, review) that shares a term: ``query_id``, ``review_id``, ``score``. Only the terms' postings are read."""
+    index = indexed(reviews, stop)
+    terms = query_terms(queries, list(index.stop) or None)
+    postings, known = _of_terms([index.postings, index.terms], terms)
+    # at most a row per query term on the right side
+    found = postings.join(known.select("query_id", "term", "idf"), ["query_id", "term"]).crossJoin(F.broadcast(index.totals))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("mean_tokens")))
-    return sized.join(F.broadcast(idf), "term").groupBy("query_id", "review_id").agg(F.sum(part).alias("score"))
+    return found.groupBy("query_id", "review_id").agg(F.sum(part).alias("score"))
 
 
-def search_reviews(reviews: DataFrame, queries: DataFrame, topk: int | None = None, item_id: int | None = None, window: int = 100, stop: list[str] | None = None) -> DataFrame:
+def search_reviews(reviews: DataFrame | SearchIndex, queries: DataFrame, topk: int | None = None, item_id: int | None = None, window: int = 100, stop: list[str] | None = None) -> DataFrame:
     """Ranked hits per query: ``query_id``, ``rank``, ``review_id``, ``item_id``, ``score``, ``hit``, ``snippet``.
 
     All reviews rank (those without a term score 0; ties by id), the top ``topk`` are cut, then reviews of other items and
     reviews in whose text no query token is a substring are left out.
     """
-    scores = bm25_scores(reviews, queries, stop=stop)
-    q = queries.select("query_id", tokens("query", stop).alias("q"))
-    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "review_id")
+    index = indexed(reviews, stop)
+    texts = index.reviews.select("review_id", "item_id", "text")
+    if item_id is not None:
+        texts = texts.filter(F.col("item_id") == item_id)
+    scores = bm25_scores(index, queries)
+    q = queries.select("query_id", tokens("query", list(index.stop) or None).alias("q"))
+    q = small(q, q.count())
     if topk is None:
-        every = reviews.select("review_id").crossJoin(F.broadcast(q.select("query_id")))
+        hits = _ranked_hits(index, scores, texts, q)
     else:
-        # only the first reviews by id can fill up with score 0; they are few, so the whole table is not paired with queries
-        fill = reviews.select("review_id").orderBy("review_id").limit(topk)
-        every = fill.crossJoin(F.broadcast(q.select("query_id"))).union(scores.select("review_id", "query_id")).distinct()
-    ranked = every.join(scores, ["query_id", "review_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    ranked = ranked.withColumn("rank", F.row_number().over(order))
-    if topk is not None:
-        ranked = ranked.filter(F.col("rank") <= topk)
-    hits = ranked.join(reviews.select("review_id", "item_id", "text"), "review_id").join(F.broadcast(q), "query_id")
-    if item_id is not None:
-        hits = hits.filter(F.col("item_id") == item_id)
-    hits = hits.withColumn("hit", first_hit(F.col("text"), F.col("q"))).filter("hit is not null")
-    return hits.select("query_id", "rank", "review_id", "item_id", "score", "hit", snippet(F.col("text"), F.col("hit"), window).alias("snippet"))
+        # only the first reviews by id can fill up with score 0, so the table is not paired with queries
+        fill = index.places.filter(F.col("place") < topk).select("review_id")
+        every = fill.crossJoin(q.select("query_id")).union(scores.select("review_id", "query_id")).distinct()
+        ranked = every.join(scores, ["query_id", "review_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "review_id")  # limited before the shuffle
+        ranked = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= topk)
+        ranked = save_stage(ranked, "ranked")
+        hits = texts.join(small(ranked, ranked.count()), "review_id").join(q, "query_id")
+        hits = hits.withColumn("hit", first_hit(F.col("text"), F.col("q"))).filter("hit is not null")
+    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "review_id", "item_id", "score", "hit", snippet(F.col("text"), F.col("hit"), window).alias("snippet"))
+
+
+def _ranked_hits(index: SearchIndex, scores: DataFrame, texts: DataFrame, q: DataFrame) -> DataFrame:
+    """Reviews that hold a query token as a substring, with their rank among all reviews.
+
+    Only reviews with a score other than 0 are ordered. A hit with score 0 comes after those above 0, at its place by id
+    less the reviews before it that have a score.
+    """
+    hits = texts.join(q, F.exists("q", lambda t: F.contains(F.lower(F.coalesce("text", F.lit(""))), t)))
+    hits = hits.withColumn("hit", first_hit(F.col("text"), F.col("q"))).filter("hit is not null").drop("q")
+    scored = scores.withColumn("r", F.round("score", 9)).filter("r <> 0")
+    ranked = grouped_rank(scored, ["query_id"], [F.desc("r"), "review_id"], "rank")
+    n = ranked.groupBy("query_id").agg(F.count_if(F.col("r") > 0).alias("above"), F.count(F.lit(1)).alias("scored"))
+    n = n.crossJoin(F.broadcast(index.totals.select("n_reviews")))
+    # a score below 0 (an idf that all terms share may be) comes after all reviews without one
+    late = F.when(F.col("r") < 0, F.col("n_reviews") - F.col("scored")).otherwise(0)
+    first = hits.join(ranked.join(n, "query_id").select("query_id", "review_id", "score", (F.col("rank") + late).alias("rank")), ["query_id", "review_id"])
+    zero = hits.join(scored.select("query_id", "review_id"), ["query_id", "review_id"], "left_anti")
+    both = zero.select("query_id", "review_id", F.lit(0).alias("has")).union(scored.select("query_id", "review_id", F.lit(1)))
+    before = grouped_sum(both, ["query_id"], ["review_id"], F.col("has"), "before").filter("has = 0")
+    rank = F.coalesce("above", F.lit(0)) + F.col("place") + 1 - F.col("before")
+    last = zero.join(before.select("query_id", "review_id", "before"), ["query_id", "review_id"]).join(index.places, "review_id").join(n, "query_id", "left")
+    columns = ["query_id", "review_id", "item_id", "text", "hit", "score", "rank"]
+    return first.select(*columns).union(last.withColumns({"score": F.lit(0.0), "rank": rank}).select(*columns))
 
 
 def best_hit_per_item(hits: DataFrame) -> DataFrame:
@@ -89,7 +170,7 @@ def best_hit_per_item(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "item_id").agg(best.alias("h")).select("query_id", "item_id", "h.review_id", "h.score", "h.snippet")
 
 
-def item_search(reviews: DataFrame, items: DataFrame, queries: DataFrame, topk: int = 5, review_k: int | None = None, agg: str = "sum") -> DataFrame:
+def item_search(reviews: DataFrame | SearchIndex, items: DataFrame, queries: DataFrame, topk: int = 5, review_k: int | None = None, agg: str = "sum") -> DataFrame:
     """Items by the sum, mean or max of their hits' scores, with name, rating and the best snippet.
 
     The ``topk`` items come from the ``review_k`` (20 x topk) best reviews; unknown items keep null names.
@@ -105,7 +186,7 @@ def item_search(reviews: DataFrame, items: DataFrame, queries: DataFrame, topk:
     return top.join(items.select("item_id", "name", "stars"), "item_id", "left").select("query_id", "rank", "item_id", "name", "stars", "score", "n_hits", "snippet")
 
 
-def item_search_topm(reviews: DataFrame, queries: DataFrame, retrieve: int = 500, topm: int = 3, topk: int = 5, stop: list[str] | None = None) -> DataFrame:
+def item_search_topm(reviews: DataFrame | SearchIndex, queries: DataFrame, retrieve: int = 500, topm: int = 3, topk: int = 5, stop: list[str] | None = None) -> DataFrame:
     """Items by the sum of their ``topm`` best hits; ties by more supporting reviews, then id; evidence ids best first."""
     hits = search_reviews(reviews, queries, topk=retrieve, stop=stop)
     w = W.partitionBy("query_id", "item_id").orderBy("rank")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import cosine
+from quillon.ranking import grouped_rank
 from quillon.runtime import small
 
 
@@ -26,8 +27,8 @@ def top_decile_tags(aspects: DataFrame, tag_vectors: DataFrame, review_tag: Data
     used = tag_vectors.join(review_tag.select("tag").distinct(), "tag", "left_semi")
     keep = used.agg(F.greatest(F.lit(1), F.floor(F.lit(float(share)) * F.count(F.lit(1))).cast("int")).alias("keep"))
     sims = used.crossJoin(small(aspects, aspects.count(), 10_000)).withColumn("similarity", cosine(F.col("embedding"), F.col("vector")))
-    order = W.partitionBy("aspect").orderBy(F.desc(F.round("similarity", 9)), "tag")
-    ranked = sims.select("aspect", "tag", "similarity").withColumn("rank", F.row_number().over(order)).crossJoin(F.broadcast(keep))
+    sims = sims.select("aspect", "tag", "similarity", F.round("similarity", 9).alias("r"))
+    ranked = grouped_rank(sims, ["aspect"], [F.desc("r"), "tag"], "rank").crossJoin(F.broadcast(keep))
     return ranked.filter("rank <= keep and similarity >= 0").select("aspect", "rank", "tag", "similarity")
 
 
@@ -88,7 +89,7 @@ def bundle_assign(keywords: DataFrame, requests: int, per_request: int, seed: in
     cycles = -(-requests * per_request // pool)
     dealt = keywords.crossJoin(keywords.sparkSession.range(cycles).withColumnRenamed("id", "cycle"))
     dealt = dealt.withColumn("place", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("cycle").cast("string"), F.col("position").cast("string"))))
-    dealt = dealt.withColumn("n", F.col("cycle") * pool + F.row_number().over(W.partitionBy("cycle").orderBy("place")) - 1)
+    dealt = grouped_rank(dealt, ["cycle"], ["place", "position"], "r").withColumn("n", F.col("cycle") * pool + F.col("r") - 1)
 
     def label(kind: str, names: list[str]) -> Column:
         h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}{kind}"), F.col("n").cast("string"))), 1, 4), 16, 10).cast("int")

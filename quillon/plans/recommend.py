@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions.prompts import ASPECT_KINDS
 from quillon.functions.text import aspect_list
-from quillon.operators.search import search_reviews
+from quillon.operators.enrich import pending_work
+from quillon.operators.search import SearchIndex, search_reviews
 from quillon.operators.tags import tag_items, top_decile_tags
+from quillon.ranking import grouped_rank
+from quillon.runtime import save_stage
 
 
 def aspect_table(queries: DataFrame) -> DataFrame:
@@ -16,12 +20,27 @@ def aspect_table(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(aspect_list(F.col("aspects"))).alias("pos", "aspect"))
 
 
-def with_keywords(aspects: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Aspect infos: type and starter keywords with the aspect itself in front; without an info only the aspect."""
-    joined = aspects.join(keywords, "aspect", "left")
+def with_keywords(aspects: DataFrame, infos: DataFrame) -> DataFrame:
+    """Adds each aspect's type and starter keywords with the aspect itself in front; without an info only the aspect."""
+    joined = aspects.join(infos, [c for c in ("query_id", "aspect") if c in infos.columns], "left")
     return joined.withColumn("starter_keywords", F.concat(F.array("aspect"), F.coalesce("starter_keywords", F.array().cast("array<string>"))))
 
 
+def aspect_infos(aspects: DataFrame, stored: DataFrame, model) -> DataFrame:
+    """Typed aspects: ``query_id``, ``pos``, ``aspect``, ``aspect_type``, ``starter_keywords``.
+
+    ``stored`` holds replies of earlier runs (``query_id``, ``aspect``, ``payload``); ``model`` adds ``payload`` to the pairs
+    that have none, once each. A reply that does not parse, names an unknown type or has other than 3 to 6 keywords counts
+    as no info.
+    """
+    wanted = aspects.select("query_id", "aspect").distinct()
+    fresh = model(pending_work(wanted, stored, ["query_id", "aspect"])).select("query_id", "aspect", "payload")
+    replies = stored.select("query_id", "aspect", "payload").unionByName(fresh).dropDuplicates(["query_id", "aspect"])
+    infos = replies.select("query_id", "aspect", F.from_json("payload", "aspect_type string, starter_keywords array<string>").alias("i")).select("query_id", "aspect", "i.*")
+    infos = infos.filter(F.col("aspect_type").isin(*ASPECT_KINDS) & F.size("starter_keywords").between(3, 6))
+    return with_keywords(aspects, infos).select("query_id", "pos", "aspect", "aspect_type", "starter_keywords")
+
+
 def verdict_agg(judged: DataFrame, verdict: str = "first") -> DataFrame:
     """Per aspect and item: ``concluded`` and ``positive``.
 
@@ -41,12 +60,10 @@ def judge_in_rounds(hits: DataFrame, judge, size: int = 1) -> DataFrame:
     is_positive); each later round takes as many more of those still open as had been judged before, so that the rounds
     grow with the logarithm of the hits. Concluded items take no part in later rounds. Returns the judged hits.
     """
-    from quillon.runtime import save_stage
-
     keys = ["aspect", "item_id"]
-    order = W.partitionBy(*keys).orderBy("rank", "review_id")
-    batch = F.floor((F.row_number().over(order) - 1) / size)
-    todo = save_stage(hits.withColumn("turn", F.when(batch > 0, F.length(F.bin(batch))).otherwise(0)), "todo")
+    batch = F.floor((F.col("place") - 1) / size)
+    todo = grouped_rank(hits, keys, ["rank", "review_id"], "place").withColumn("turn", F.when(batch > 0, F.length(F.bin(batch))).otherwise(0))
+    todo = save_stage(todo.drop("place"), "todo")
     out, turn = None, 0
     while not todo.isEmpty():
         now = save_stage(judge(todo.filter(F.col("turn") == turn)), "judged")
@@ -89,16 +106,38 @@ def final_ranking(scores: DataFrame) -> DataFrame:
     return scores.select("query_id", F.row_number().over(order).alias("rank"), "item_id", "score")
 
 
-def recommend_by_search(reviews: DataFrame, aspects: DataFrame, judge, score, review_k: int | None = None) -> DataFrame:
-    """Search reviews per aspect, judge them, intersect the aspects' items, score the evidence, rank."""
+def recommend_by_search(reviews: DataFrame | SearchIndex, aspects: DataFrame, judge, score, review_k: int | None = None, size: int = 4) -> DataFrame:
+    """Search reviews per aspect, judge each item's best ones until it is concluded, intersect the aspects' items, score the
+    evidence, rank."""
     asked = aspects.select(F.col("aspect").alias("query_id"), F.col("aspect").alias("query")).distinct()
-    hits = search_reviews(reviews, asked, topk=review_k).withColumnRenamed("query_id", "aspect")
-    verdicts = verdict_agg(judge(hits))
+    hits = search_reviews(reviews, asked, topk=review_k).withColumnRenamed("query_id", "aspect").select("aspect", "item_id", "review_id", "rank")
+    hits = save_stage(hits, "hits")
+    verdicts = verdict_agg(judge_in_rounds(hits, judge, size))
     candidates = aspect_intersection(verdicts.filter("positive"), aspects)
     return item_rank_score(candidates, aspects, score(candidate_evidence(candidates, aspects, hits)))
 
 
-def recommend_by_tags(reviews: DataFrame, aspects: DataFrame, aspect_vectors: DataFrame, tag_vectors: DataFrame, review_tag: DataFrame, score) -> DataFrame:
+def tag_and_embed(reviews: DataFrame, stored_tags: DataFrame, stored_vectors: DataFrame, tag_model, embed_model) -> tuple[DataFrame, DataFrame]:
+    """Tags of all reviews (``tag``, ``review_id``, ``item_id``) and vectors of all tags (``tag``, ``embedding``).
+
+    ``tag_model`` maps reviews without stored tags to (``review_id``, ``tag``), ``embed_model`` tags without a stored
+    vector to (``tag``, ``embedding``): stored results are never made again.
+    """
+    fresh = tag_model(pending_work(reviews, stored_tags, ["review_id"])).select("tag", "review_id")
+    every = stored_tags.select("tag", "review_id").unionByName(fresh).distinct().join(reviews.select("review_id", "item_id"), "review_id")
+    every = save_stage(every.select("tag", "review_id", "item_id"), "tags")
+    names = every.select("tag").distinct()
+    vectors = stored_vectors.select("tag", "embedding").join(names, "tag", "left_semi")
+    return every, vectors.unionByName(embed_model(pending_work(names, stored_vectors, ["tag"])).select("tag", "embedding"))
+
+
+def recommend_from_reviews(reviews: DataFrame, aspects: DataFrame, aspect_vectors: DataFrame, stored_tags: DataFrame, stored_vectors: DataFrame, tag_model, embed_model, score) -> DataFrame:
+    """Tag the reviews and embed the tags that have no stored result, then recommend by tags."""
+    review_tag, tag_vectors = tag_and_embed(reviews, stored_tags, stored_vectors, tag_model, embed_model)
+    return recommend_by_tags(aspects, aspect_vectors, tag_vectors, review_tag, score)
+
+
+def recommend_by_tags(aspects: DataFrame, aspect_vectors: DataFrame, tag_vectors: DataFrame, review_tag: DataFrame, score) -> DataFrame:
     """Similar tags per aspect give items, which are intersected; evidence is what the tags' reviews say."""
     tags = top_decile_tags(aspect_vectors, tag_vectors, review_tag).select("aspect", "tag")
     candidates = aspect_intersection(tag_items(tags, review_tag), aspects)

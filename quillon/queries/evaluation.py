@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.fixtures import ctes, reviews
+from quillon.fixtures import ctes
 from quillon.operators import evaluate as E
 from quillon.operators import search as S
-from quillon.queries.search import asked, bm25_sql, hits_sql
+from quillon.queries.search import asked, bm25_sql, hits_sql, search_index
 from quillon.registry import query
 from quillon.runtime import table
 
@@ -22,7 +22,7 @@ def _tables(spark, sf_dir):
     q = asked(spark)
     gold = table(spark, sf_dir, "labels").crossJoin(F.broadcast(q.select("query_id"))).groupBy("query_id", (F.col("doc_id") % 100).alias("item_id"))
     gold = gold.agg((F.count_if(F.col("quality") == 1).cast("double") / (F.count(F.lit(1)) + 1)).alias("gain"))
-    hits = S.search_reviews(reviews(spark, sf_dir), q, topk=100)
+    hits = S.search_reviews(search_index(spark, sf_dir), q, topk=100)
     by = hits.groupBy("query_id", "item_id").agg(F.sum("score").alias("score"))
     from quillon.plans.recommend import final_ranking
 

@@ -9,7 +9,7 @@ from quillon.operators import enrich as N
 from quillon.operators import evaluate as E
 from quillon.operators.search import search_reviews
 from quillon.plans import recommend as R
-from quillon.queries.search import bm25_sql, hits_sql
+from quillon.queries.search import bm25_sql, hits_sql, search_index
 from quillon.queries.vectors import SIMS, aspect_vectors
 from quillon.registry import query
 
@@ -26,7 +26,7 @@ def requests(spark):
 
 def aspect_hits(spark, sf_dir, topk=None):
     asked = R.aspect_table(requests(spark)).select(F.col("aspect").alias("query_id"), F.col("aspect").alias("query")).distinct()
-    return search_reviews(reviews(spark, sf_dir), asked, topk=topk).withColumnRenamed("query_id", "aspect")
+    return search_reviews(search_index(spark, sf_dir), asked, topk=topk).withColumnRenamed("query_id", "aspect")
 
 
 def judge(hits):
@@ -58,6 +58,27 @@ def aspect_table(spark, sf_dir):
     return a.join(found, "aspect", "left").select("query_id", "pos", "aspect", F.coalesce("n_reviews", F.lit(0)).alias("n_reviews"))
 
 
+@query(f"""with {ASPECT_SQL}, k as (select query_id, pos, aspect, list_value('ontological', 'functional', 'teleological')[length(aspect) % 4 + 1] as kind from aspects),
+i as (select *, case when kind is null then [aspect] when aspect < 'f' then [aspect, 'a', 'b', 'c'] else [aspect, aspect || 's', 'very ' || aspect, aspect || ' indeed'] end as words from k)
+select query_id, pos, aspect, kind as aspect_type, array_to_string(words, '|') as keywords, count(doc_id) as n_reviews from i left join documents on len(list_filter(words, lambda w: contains(lower(text), w))) > 0 group by all""")
+def aspect_infos(spark, sf_dir):
+    a = R.aspect_table(requests(spark))
+    kind = F.get(F.array(*map(F.lit, ("ontological", "functional", "teleological", "none"))), F.length("aspect") % 4)
+
+    def reply(*words):
+        return F.to_json(F.struct(kind.alias("aspect_type"), F.array(*words).alias("starter_keywords")))
+
+    stored = a.filter("aspect < 'f'").select("query_id", "aspect").distinct().withColumn("payload", reply(F.lit("a"), F.lit("b"), F.lit("c")))
+    aspect = F.col("aspect")
+    said = reply(F.concat(aspect, F.lit("s")), F.concat(F.lit("very "), aspect), F.concat(aspect, F.lit(" indeed")))
+    infos = R.aspect_infos(a, stored, lambda rows: rows.withColumn("payload", said))
+    low = F.lower("text")
+    texts = reviews(spark, sf_dir).select("review_id", "text")
+    found = texts.join(F.broadcast(infos), F.exists("starter_keywords", lambda w: F.contains(low, w)), "right")
+    found = found.groupBy("query_id", "pos", "aspect", "aspect_type", F.array_join("starter_keywords", "|").alias("keywords"))
+    return found.agg(F.count("review_id").alias("n_reviews"))
+
+
 @query(f"{HITS}, {VERDICT} select aspect, item_id, concluded, positive from vd")
 def verdict_agg(spark, sf_dir):
     return R.verdict_agg(judge(aspect_hits(spark, sf_dir)))
@@ -119,12 +140,12 @@ def item_rank_score(spark, sf_dir):
 @query(f"{HITS}, {VERDICT}, {CAND}, {SCORED}, {RANKED} select query_id, rank, item_id, round(score, 4) as score from fin where query_id = 1")
 def recommend_by_search(spark, sf_dir):
     a = R.aspect_table(requests(spark)).filter("query_id = 1")
-    return R.recommend_by_search(reviews(spark, sf_dir), a, judge, score).withColumns({"score": F.round("score", 4), "rank": F.col("rank").cast("long")})
+    return R.recommend_by_search(search_index(spark, sf_dir), a, judge, score).withColumns({"score": F.round("score", 4), "rank": F.col("rank").cast("long")})
 
 
 @query(f"{HITS}, {VERDICT}, {CAND}, {SCORED}, {RANKED} select query_id, rank, item_id, round(score, 4) as score from fin")
 def multi_query_recommend(spark, sf_dir):
-    return R.recommend_by_search(reviews(spark, sf_dir), R.aspect_table(requests(spark)), judge, score).withColumns({"score": F.round("score", 4), "rank": F.col("rank").cast("long")})
+    return R.recommend_by_search(search_index(spark, sf_dir), R.aspect_table(requests(spark)), judge, score).withColumns({"score": F.round("score", 4), "rank": F.col("rank").cast("long")})
 
 
 @query(f"{HITS}, {VERDICT}, {CAND}, {SCORED}, {RANKED} select query_id, rank, item_id from fin")
@@ -142,7 +163,13 @@ cand as (select query_id, item_id from wa join pos using (aspect) group by all h
 def recommend_by_tags(spark, sf_dir):
     v = aspect_vectors(spark, sf_dir)
     a = v.select(F.lit(1).alias("query_id"), "aspect")
-    found = R.recommend_by_tags(reviews(spark, sf_dir), a, v, tag_vectors(spark, sf_dir), review_tag(spark, sf_dir), score)
+    vectors, tagged = tag_vectors(spark, sf_dir), review_tag(spark, sf_dir).select("tag", "review_id")
+    stored_tags, stored_vectors = tagged.filter("review_id % 3 = 0"), vectors.filter("tag % 2 = 0")
+    # in place of models: the fixture's tags and vectors of whatever is asked for
+    found = R.recommend_from_reviews(
+        reviews(spark, sf_dir).select("review_id", "item_id"), a, v, stored_tags, stored_vectors,
+        lambda rows: rows.join(tagged, "review_id"), lambda tags: tags.join(vectors, "tag"), score,
+    )
     return found.withColumns({"score": F.round("score", 4), "rank": F.col("rank").cast("long")})
 
 
@@ -166,12 +193,26 @@ s as (select query_id, item_id, var_pop(case when score > 0.5 then 1.0 when scor
 risk as (select query_id, item_id, u - 0.5 * v as score from u join s using (query_id, item_id))"""
 
 
+def _diverse_sql(k: int, penalty: float = 0.1) -> str:
+    """The greedy choice unrolled: each round ranks what is left by score less the penalty per tag shared with those taken."""
+    out, so_far = [EVIDENCE, RISK, "tg as (select distinct item_id, tag from review_tag)"], "select null::int as query_id, null::bigint as item_id where false"
+    for place in range(1, k + 1):
+        out += [
+            f"a{place} as ({so_far})", f"t{place} as (select distinct query_id, tag from a{place} join tg using (item_id))",
+            f"s{place} as (select query_id, item_id, count(*) as shared from risk join tg using (item_id) join t{place} using (query_id, tag) group by all)",
+            f"p{place} as (select query_id, item_id, score - {penalty} * coalesce(shared, 0) as score from risk left join s{place} using (query_id, item_id) where (query_id, item_id) not in (select (query_id, item_id) from a{place}))",
+            f"c{place} as (select query_id, {place} as place, item_id, score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, item_id) as r from p{place}) where r = 1)",
+        ]
+        so_far = " union all ".join(f"select query_id, item_id from c{i}" for i in range(1, place + 1))
+    return ", ".join(out) + " select query_id, place, item_id, round(score, 6) as score from (" + " union all ".join(f"select * from c{i}" for i in range(1, k + 1)) + ")"
+
+
 @query(f"{EVIDENCE}, {RISK} select query_id, item_id, round(score, 6) as score from risk")
 def risk_adjusted_score(spark, sf_dir):
     return E.risk_adjusted_score(evidence(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(_diverse_sql(5))
 def diverse_topk(spark, sf_dir):
     s = E.risk_adjusted_score(evidence(spark, sf_dir))
     return E.diverse_topk(s, review_tag(spark, sf_dir).select("item_id", "tag").distinct(), k=5).withColumn("score", F.round("score", 6))

@@ -9,9 +9,10 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side with narrow rows is broadcast after it has been counted.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which a side is broadcast after it has been counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 #: Rows up to which a table of a few narrow columns is handled in one partition after it has been counted.
@@ -21,10 +22,13 @@ ONE_TASK_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (local tests), a temporary folder is made and set as the checkpoint folder.
+    In local mode (tests), where none is named, a temporary folder is made and set as the checkpoint folder; on a cluster
+    that would be another folder on each machine, so there it raises RuntimeError.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -48,8 +52,19 @@ def save_stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are at most ``limit``; else ``df`` for a shuffled join."""
-    return F.broadcast(df) if rows <= limit else df
+    """``df`` with a broadcast hint if its counted ``rows`` are at most ``limit`` and its bytes, which are summed if any
+    column has values of varying size, at most ``BROADCAST_BYTES``; else ``df`` for a shuffled join."""
+    if rows > limit:
+        return df
+    size, varying = F.lit(8 * len(df.columns)), False
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            size, varying = size + F.coalesce(F.octet_length(f.name), F.lit(0)), True
+        elif isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+            size, varying = size + F.octet_length(F.to_json(F.struct(f.name))), True
+    if varying and (df.agg(F.sum(size.cast("long"))).first()[0] or 0) > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df)
 
 
 def narrow(df: DataFrame, rows: int, limit: int = ONE_TASK_ROWS) -> DataFrame:

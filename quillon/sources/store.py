@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists in whatever store it names, by Spark's own readers."""
+    """Whether a path holds files, in whatever store it names, by Spark's own readers."""
     try:
         return bool(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").head(1))
     except Exception as e:  # Spark raises one class for every missing path
@@ -18,19 +20,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``; if there is none it is built and written first. A half-written table (no _SUCCESS) is rebuilt."""
-    if not exists(spark, f"{path}/_SUCCESS") and not _has_rows(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
+    """The table at ``path``; if there is none it is built and written first.
 
-def _has_rows(spark: SparkSession, path: str) -> bool:
-    try:
-        return not spark.read.parquet(path).isEmpty()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return False
-        raise
+    The data go to a folder of their own, and only when all of it is written is that folder's name published in a table of
+    one row beside it. What a run that was cut off left behind has no name there, so it is never read and the table is
+    built anew. An empty table is a table.
+    """
+    named = f"{path}/published"
+    name = spark.read.schema("name string").parquet(named).agg(F.max("name")).first()[0] if exists(spark, named) else None
+    if name is None:
+        name = f"data-{uuid.uuid4().hex}"
+        build().write.parquet(f"{path}/{name}")
+        spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").parquet(named)
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def add_missing(spark: SparkSession, path: str, rows: DataFrame, key: str) -> DataFrame:
@@ -43,8 +45,6 @@ def add_missing(spark: SparkSession, path: str, rows: DataFrame, key: str) -> Da
 
 def check_vectors(rows: DataFrame, col: str = "embedding") -> DataFrame:
     """One row of checks on a table of vectors: rows, missing vectors, vectors of another length than the most frequent."""
-    from pyspark.sql import functions as F
-
     sizes = rows.groupBy(F.size(col).alias("d")).agg(F.count(F.lit(1)).alias("n"))
     top = sizes.agg(F.max(F.struct("n", "d")).alias("t"), F.sum("n").alias("rows"), F.sum(F.when(F.col("d") < 0, F.col("n")).otherwise(0)).alias("missing"))
     return top.select("rows", "missing", F.col("t.d").cast("int").alias("dims"), (F.col("rows") - F.col("missing") - F.col("t.n")).alias("odd"))
