@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quillon.fixtures import ctes, interactions, items, reviews, users
 from quillon.operators import clean as C
+from quillon.plans.prepare import prepare_dataset as prepare
 from quillon.registry import query
-from quillon.runtime import table
+from quillon.runtime import shared_path, table
 
 LEAST_USER, LEAST_ITEM = 30, 26
 
@@ -79,7 +80,7 @@ def friends_existing(spark, sf_dir):
     return C.friends_existing(users(spark, sf_dir))
 
 
-CITY = "FRANCE"
+CITY = "nation_6"
 
 
 @query(f"""{ctes('reviews', 'items')}, h as (select item_id from items where lower(trim(city, ' ' || chr(9))) = '{CITY.lower()}')
@@ -103,14 +104,32 @@ def dataset_counts(spark, sf_dir):
     return joined.groupBy("city").agg(F.countDistinct("user_id").alias("n_users"), F.countDistinct("item_id").alias("n_items"), F.count(F.lit(1)).alias("n_reviews"))
 
 
-@query(f"""{ctes('reviews', 'items')}, long as (select * from reviews where length(coalesce(text, '')) >= 200),
-u1 as (select user_id from long group by 1 having count(*) >= 3), i1 as (select item_id from long group by 1 having count(*) >= 5),
+RAW = f"""{ctes('reviews', 'items')}, rv as (select case when kind = 'tip' then 'tip_' || n else cast(review_id as varchar) end as review_id, kind, cast(item_id as varchar) as item_id, cast(user_id as varchar) as user_id, text
+  from (select *, row_number() over (partition by kind order by review_id) - 1 as n from reviews)),
+us as (select cast(user_id as varchar) as user_id, [cast(user_id * 3 + 1 as varchar), cast(user_id * 5 + 2 as varchar), cast(user_id * 100000 as varchar)] as friends from (select distinct user_id from reviews)),
+it as (select cast(item_id as varchar) as item_id, city, stars from items where item_id % 7 > 0)"""
+
+
+@query(f"""{RAW}, long as (select * from rv where length(coalesce(text, '')) >= 200),
+e0 as (select * from long where user_id in (select user_id from us) and item_id in (select item_id from it)),
+u1 as (select user_id from e0 group by 1 having count(*) >= 3), i1 as (select item_id from e0 group by 1 having count(*) >= 5),
 e1 as (select * from long where user_id in (select user_id from u1) and item_id in (select item_id from i1)),
 u2 as (select user_id from u1 where user_id in (select user_id from e1 group by 1 having count(*) >= 3)), i2 as (select item_id from i1 where item_id in (select item_id from e1 group by 1 having count(*) >= 5)),
-e2 as (select * from e1 where user_id in (select user_id from u2) and item_id in (select item_id from i2))
-select review_id, item_id, user_id, trim(city, ' ' || chr(9)) as city, stars, text from e2 join items using (item_id)""")
+e2 as (select * from e1 where user_id in (select user_id from u2) and item_id in (select item_id from i2)),
+fr as (select user_id, count(distinct f) as n from (select user_id, unnest(friends) as f from us where user_id in (select user_id from u2)) where f in (select user_id from u2) group by user_id)
+select review_id, kind, item_id, user_id, trim(city, ' ' || chr(9)) as city, stars, text, coalesce(n, 0) as n_friends from e2 join it using (item_id) left join fr using (user_id)""")
 def prepare_dataset(spark, sf_dir):
-    r, i = C.drop_short_reviews(reviews(spark, sf_dir)), C.shape_items(items(spark, sf_dir))
-    u = reviews(spark, sf_dir).select("user_id").distinct()
-    edges = C.core_prune(r.select("review_id", "item_id", "user_id"), u, i, 3, 5)[0]
-    return edges.join(r.select("review_id", "text"), "review_id").join(F.broadcast(i.select("item_id", "city", "stars")), "item_id").select("review_id", "item_id", "user_id", "city", "stars", "text")
+    path = shared_path(spark, "sources")
+    r = reviews(spark, sf_dir)
+    names = [F.col("item_id").cast("string").alias("business_id"), F.col("user_id").cast("string").alias("user_id"), "text"]
+    r.filter("kind = 'review'").select(F.col("review_id").cast("string").alias("review_id"), *names).write.json(f"{path}/review")
+    # files in order of id: the file order numbers the tips
+    r.filter("kind = 'tip'").repartitionByRange(4, "review_id").sortWithinPartitions("review_id").select(*names).write.json(f"{path}/tip")
+    u = r.select("user_id").distinct()
+    friends = F.array(*[c.cast("string") for c in (F.col("user_id") * 3 + 1, F.col("user_id") * 5 + 2, F.col("user_id") * 100_000)])
+    u.select(F.col("user_id").cast("string").alias("user_id"), friends.alias("friends")).write.json(f"{path}/user")
+    i = items(spark, sf_dir).withColumn("categories", F.when(F.col("item_id") % 7 > 0, "Pizza, Restaurants").otherwise("Shopping"))
+    i.withColumn("business_id", F.col("item_id").cast("string")).drop("item_id").write.json(f"{path}/business")
+    people, places, kept = prepare(spark, path, 3, 5)
+    out = kept.join(places.select("item_id", "city", F.col("stars").alias("item_stars")), "item_id").join(people.select("user_id", F.size("friends").cast("long").alias("n_friends")), "user_id")
+    return out.select("review_id", "kind", "item_id", "user_id", "city", F.col("item_stars").alias("stars"), "text", "n_friends")

@@ -46,11 +46,22 @@ def distance_utility(spark, sf_dir):
     return found.select("user_id", "item_id", *[F.round(c, 6).alias(c) for c in ("linear", "exponential", "reciprocal")])
 
 
-@query()
+MEDIAN = f"""{VISITS.replace('with ', 'with recursive ', 1)}, pt as (select user_id, lat, lon, count(*)::double as w from vi where lat is not null and lon is not null group by all),
+st as (select user_id, sum(w)::bigint as n, sum(lat * w) / sum(w) as lat, sum(lon * w) / sum(w) as lon from pt group by user_id),
+md(user_id, k, lat, lon, done) as (select user_id, 0, lat, lon, false from st union all
+  select user_id, k + 1, case when w = 0 then lat else x / w end, case when w = 0 then lon else y / w end, w = 0 or sqrt(pow(x / w - lat, 2) + pow(y / w - lon, 2)) <= 1e-9
+  from (select user_id, k, lat, lon, sum(v) as w, sum(v * a) as x, sum(v * o) as y
+    from (select md.*, pt.lat as a, pt.lon as o, case when sqrt(pow(pt.lat - md.lat, 2) + pow(pt.lon - md.lon, 2)) > 1e-9 then pt.w / sqrt(pow(pt.lat - md.lat, 2) + pow(pt.lon - md.lon, 2)) else 0 end as v
+      from md join pt using (user_id) where k < 128 and not done) group by user_id, k, lat, lon)),
+me as (select user_id, n, arg_max(md.lat, k) as lat, arg_max(md.lon, k) as lon from md join st using (user_id) group by user_id, n)"""
+
+
+@query(f"{MEDIAN} select user_id, n, round(lat, 6) as center_lat, round(lon, 6) as center_lon from me")
 def geometric_median(spark, sf_dir):
     return G.geometric_median(visits(spark, sf_dir), "user_id").withColumns({c: F.round(c, 6) for c in ("center_lat", "center_lon")})
 
 
-@query()
+@query(f"""{MEDIAN}, fa as (select me.user_id, avg({_km('me.', 'vi.')}) as m from me join vi using (user_id) group by 1)
+select user_id, n, round(lat, 6) as center_lat, round(lon, 6) as center_lon, case when m > 0 then round(1 / m, 6) end as lambda_per_km from me join fa using (user_id) where n >= 5""")
 def user_location(spark, sf_dir):
     return G.user_location(visits(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("center_lat", "center_lon", "lambda_per_km")})

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon import registry
 from quillon.fixtures import ctes, interactions, items, review_tag, reviews, tag_vectors, users
+from quillon.functions import prompts as P
 from quillon.functions.vectors import normalise
 from quillon.operators import enrich as N
 from quillon.operators import usage as U
+from quillon.queries.evaluation import ndcg_at_k, precision_at_k
+from quillon.queries.search import ASKED, asked, item_search
+from quillon.queries.vectors import request_from_bundle
 from quillon.registry import query
 from quillon.runtime import shared_path, table
 from quillon.sources import jsonlines as J
@@ -119,6 +124,34 @@ def export_requests(spark, sf_dir):
     return lines.select(F.regexp_extract("value", r'"custom_id":"prompt-(\d+)"', 1).cast("long").alias("i"), "value")
 
 
+def _form_sql() -> str:
+    body = f"""json_object('model', 'm-' || kind, 'messages', json_array(json_object('role', 'system', 'content', ask), json_object('role', 'user', 'content', said)), 'temperature', 0.1"""
+    by = {k: f"""json_object('type', 'json_schema', 'json_schema', json('{P.SCHEMAS[k]}'))""" for k in ("tags", "score")}
+    whole = "case kind " + " ".join(f"when '{k}' then {body}, 'response_format', {v})" for k, v in by.items()) + f" when 'judge' then {body}, 'response_format', json_object('type', 'json_object')) else {body}) end"
+    asks = {"tags": P.TAG, "score": P.SCORE, "keyword": P.KEYWORD} | {f"judge{i}": P.JUDGE[k] + P.JUDGE_REPLY for i, k in enumerate(P.ASPECT_KINDS)}
+    ask = "case " + " ".join(f"when kind || case kind when 'judge' then (doc_id % 3)::varchar else '' end = '{k}' then '{v}'" for k, v in asks.items()) + " end"
+    said = "case when kind in ('judge', 'score') then 'ASPECT: quiet' || chr(10) || 'QUERY: a quiet place' || chr(10) || 'REVIEW: ' || coalesce(text, '') else coalesce(text, '') end"
+    k = "list_value('tags', 'judge', 'score', 'keyword')[doc_id % 4 + 1]"
+    line = f"json_object('custom_id', 'prompt-' || doc_id, 'method', 'POST', 'url', '/v1/chat/completions', 'body', {whole})"
+    return f"select doc_id as i, md5(cast({line} as varchar)) as digest from (select *, {said} as said, {ask} as ask from (select doc_id, text, {k} as kind from documents))"
+
+
+@query(_form_sql())
+def model_prompts(spark, sf_dir):
+    """A request line for every review: tags, a judgment by kind of aspect, a score or a keyword, each with its reply's form."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), "text")
+    kind = F.get(F.array(*map(F.lit, ("tags", "judge", "score", "keyword"))), (F.col("i") % 4).cast("int"))
+    aspect, asked_, text = F.lit("quiet"), F.lit("a quiet place"), F.col("text")
+    sort = F.get(F.array(*map(F.lit, P.ASPECT_KINDS)), (F.col("i") % 3).cast("int"))
+    messages = (
+        F.when(F.col("kind") == "tags", P.tag_messages(text)).when(F.col("kind") == "judge", P.judge_messages(aspect, sort, asked_, text))
+        .when(F.col("kind") == "score", P.score_messages(aspect, asked_, text)).otherwise(P.keyword_messages(text))
+    )
+    schema = F.when(F.col("kind") == "tags", P.SCHEMAS["tags"]).when(F.col("kind") == "score", P.SCHEMAS["score"])
+    rows = d.withColumn("kind", kind).select("i", F.concat(F.lit("m-"), "kind").alias("model"), messages.alias("messages"), (F.col("kind") != "keyword").alias("use_json"), schema.alias("schema"))
+    return J.export_requests(rows).select("i", F.md5("value").alias("digest"))
+
+
 def response_lines(spark, sf_dir):
     p = prompts(spark, sf_dir).select("i", F.concat(F.lit("reply "), F.col("i").cast("string")).alias("c"), F.size("messages").cast("long").alias("n"))
     usage = F.struct((F.col("n") * 10).alias("prompt_tokens"), F.col("n").alias("completion_tokens"))
@@ -206,9 +239,10 @@ def validate_tags(spark, sf_dir):
     return N.validate_tags(tag_payloads(spark, sf_dir)).select("review_id", "name", "reason")
 
 
-@query(f"select count(*) as n_tags, count(*) filter (contains(text, substr(text, 3, 12))) as n_grounded from documents where text is not null and {TAG_REASON} is null")
+@query(f"select count(*) as n_tags, count(*) filter (contains(text, case when doc_id % 4 = 0 then reverse(substr(text, 3, 12)) else substr(text, 3, 12) end)) as n_grounded from documents where text is not null and {TAG_REASON} is null")
 def evidence_grounding(spark, sf_dir):
     good = N.validate_tags(tag_payloads(spark, sf_dir)).filter("reason is null")
+    good = good.withColumn("evidence", F.when(F.col("review_id") % 4 == 0, F.reverse("evidence")).otherwise(F.col("evidence")))
     return N.evidence_grounding(good, reviews(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_tags"), F.count_if("grounded").alias("n_grounded"))
 
 
@@ -240,7 +274,12 @@ def lexicon_tags(frames):
         yield f[["key"]].assign(tags=out)
 
 
-@query()
+BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(rf"""with w as (select distinct doc_id as key, unnest(regexp_split_to_array(lower(text), '{BLANKS}')) as name from documents where doc_id % 3 <> 0),
+r as (select key, name, row_number() over (partition by key order by length(name) desc, name) as r from w where regexp_full_match(name, '[a-z]+'))
+select key, name, case when length(name) % 2 = 1 then 'positive' else 'negative' end as sentiment, 0.5::double as confidence from r where r <= 2""")
 def enrich_tags(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
     found = N.enrich(d, stored(spark, sf_dir), "tags", ["key"], lexicon_tags, f"key long, {N.TAGS}")
@@ -251,15 +290,7 @@ def enrich_tags(spark, sf_dir):
 select tag, cast(unnest(range(len(e))) as integer) as dim, round(unnest(e) / any_value(sqrt(list_dot_product(e, e))), 6) as x from v group by tag, e""")
 def enrich_embed(spark, sf_dir):
     v = tag_vectors(spark, sf_dir)
-    done = v.filter("tag % 3 = 0").select(F.lit("embed").alias("task"), "tag")
-
-    def unit(frames):
-        import numpy as np
-
-        for f in frames:
-            yield f[["tag"]].assign(e=[list(np.asarray(x, float) / max(float(np.sqrt((np.asarray(x, float) ** 2).sum())), 1e-12)) for x in f["embedding"]])
-
-    found = N.enrich(v, done, "embed", ["tag"], unit, "tag long, e array<double>")
+    found = N.pending_work(v, v.filter("tag % 3 = 0"), ["tag"]).withColumn("e", normalise(F.col("embedding")))
     return found.select("tag", F.posexplode("e").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
@@ -273,20 +304,16 @@ def vector_store(spark, sf_dir):
     return used.join(kept.select("tag"), "tag", "left_semi")
 
 
-@query()
+@query(registry.ORACLES["request_from_bundle"])
 def write_requests(spark, sf_dir):
-    from quillon.queries.vectors import request_from_bundle
 
     path = shared_path(spark, "synthetic")
     J.write_requests(request_from_bundle(spark, sf_dir), path)
     return spark.read.schema("request bigint, request_text string").json(f"{path}/metadata")
 
 
-@query()
+@query(f"select query_id, precision, ndcg from ({ASKED}) q(query_id, query) left join ({registry.ORACLES['precision_at_k']}) p using (query_id) left join ({registry.ORACLES['ndcg_at_k']}) n using (query_id)")
 def run_artifacts(spark, sf_dir):
-    from quillon.queries.evaluation import ndcg_at_k, precision_at_k
-    from quillon.queries.search import asked, item_search
-
     path = shared_path(spark, "run")
     q, found, p, n = asked(spark), item_search(spark, sf_dir), precision_at_k(spark, sf_dir), ndcg_at_k(spark, sf_dir)
     each = q.select("query_id").join(p, "query_id", "left").join(n, "query_id", "left")

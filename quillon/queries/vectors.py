@@ -140,11 +140,19 @@ def request_from_bundle(spark, sf_dir):
     return Y.request_from_bundle(T.bundle_assign(kw, 10, 5)).select("request", "request_text")
 
 
-@query()
+def _synthesis_sql(requests: int, per: int) -> str:
+    n = requests * per
+    words = """kw0 as (select position, case when len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) = 0 then '' else %s end as keyword from ch join documents on doc_id = vec_id),
+kw as (select position, keyword from (select *, row_number() over (partition by keyword order by position) as r from kw0 where keyword <> '') where r = 1)""" % LONGEST
+    dealt = BUNDLES.replace("50.0", f"{n}.0").replace("// 5", f"// {per}").replace("% 5 as slot", f"% {per} as slot").replace("n < 50", f"n < {n}")
+    return f"with {MOMENTS}, {POINTS.replace('range(24)', f'range({3 * n})')}, {NEAR}, {FIRST.replace('limit 40', f'limit {n}')}, {words}, {dealt} select request, string_agg(keyword, ', ' order by slot) as request_text from bu group by request"
+
+
+@query(_synthesis_sql(8, 3))
 def synthesize_requests(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("segment"), F.col("embedding").cast("array<double>").alias("embedding"))
     s = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("segment"), "text")
-    return Y.synthesize_requests(s, v, 8, 3)
+    return Y.synthesize_requests(s, v, 8, 3).select("request", "request_text")
 
 
 @query("select count(*) as rows, count(*) filter (embedding is null) as missing, mode(len(embedding))::int as dims, count(*) - count(*) filter (embedding is null) - (select max(n) from (select count(*) as n from embeddings group by len(embedding))) as odd from embeddings")
@@ -152,8 +160,10 @@ def fixture_source(spark, sf_dir):
     return check_vectors(table(spark, sf_dir, "embeddings"))
 
 
-@query(f"with v as (select vec_id, cast(embedding as double[]) as e from embeddings) select a.vec_id, round({COS.format(a='a.e', b='b.e')}, 6) as cosine from v a join v b on b.vec_id = (a.vec_id + 1) % 200")
+@query(f"with v as (select vec_id, cast(embedding as double[]) as e from embeddings) select a.vec_id, round({COS.format(a='a.e', b='b.e')}, 6) as cosine from v a join v b on b.vec_id = case when a.vec_id = (select max(vec_id) from v) then (select min(vec_id) from v) else a.vec_id + 1 end")
 def cosine_pairs(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     other = v.select(F.col("vec_id").alias("o"), F.col("embedding").alias("other"))
-    return v.join(other, F.col("o") == (F.col("vec_id") + 1) % 200).select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+    ends = v.agg(F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))  # one row
+    paired = v.crossJoin(F.broadcast(ends)).withColumn("o", F.when(F.col("vec_id") == F.col("last"), F.col("first")).otherwise(F.col("vec_id") + 1))
+    return paired.join(other, "o").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))

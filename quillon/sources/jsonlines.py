@@ -54,16 +54,18 @@ def build_messages(content: Column) -> Column:
     return F.array(F.struct(F.lit("user").alias("role"), content.alias("content")))
 
 
-def export_requests(prompts: DataFrame, url: str = "/v1/chat/completions", temperature: float = 0.1, schema: str | None = None) -> DataFrame:
+def export_requests(prompts: DataFrame, url: str = "/v1/chat/completions", temperature: float = 0.1) -> DataFrame:
     """``prompts`` (``i``, ``model``, ``messages``) as one JSON request line each (column ``value``).
 
-    No temperature for models whose name begins with gpt-5; ``schema`` names a JSON schema for the reply, else the field
-    is left out.
+    No temperature for models whose name begins with gpt-5. Two more columns may tell of each reply: where ``use_json`` is
+    true it has to be JSON, after ``schema`` (a JSON text with the schema's name and body) if that is not null.
     """
-    body = [F.col("model").alias("model"), F.col("messages").alias("messages"), F.when(~F.startswith(F.lower("model"), F.lit("gpt-5")), F.lit(temperature)).alias("temperature")]
-    if schema:
-        body.append(F.struct(F.lit("json_schema").alias("type"), F.struct(F.lit(schema).alias("name")).alias("json_schema")).alias("response_format"))
-    line = F.struct(F.concat(F.lit("prompt-"), F.col("i").cast("string")).alias("custom_id"), F.lit("POST").alias("method"), F.lit(url).alias("url"), F.struct(*body).alias("body"))
+    use, schema = (F.col(c) if c in prompts.columns else F.lit(None).cast(t) for c, t in (("use_json", "boolean"), ("schema", "string")))
+    kind = F.when(use, F.when(schema.isNotNull(), "json_schema").otherwise("json_object"))
+    form = F.when(kind.isNotNull(), F.struct(kind.alias("type"), F.when(kind == "json_schema", F.parse_json(schema)).alias("json_schema")))
+    warm = F.when(~F.startswith(F.lower("model"), F.lit("gpt-5")), F.lit(temperature))
+    body = F.struct(F.col("model").alias("model"), F.col("messages").alias("messages"), warm.alias("temperature"), form.alias("response_format"))
+    line = F.struct(F.concat(F.lit("prompt-"), F.col("i").cast("string")).alias("custom_id"), F.lit("POST").alias("method"), F.lit(url).alias("url"), body.alias("body"))
     return prompts.select("i", F.to_json(line).alias("value"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import tokens
-from quillon.runtime import shared_path
 
 REVIEW = "review_id bigint, item_id bigint, text string, ts timestamp"
 
@@ -19,15 +18,17 @@ def postings_of(reviews: DataFrame) -> DataFrame:
 def stream_enrich(spark: SparkSession, source: str, target: str, late: str = "7 days", max_files: int = 100) -> None:
     """Read the Parquet files that are new under ``source``, drop repeats within the watermark, append postings to ``target``.
 
-    Processes what is there and ends (available now). Progress and state are kept beside the target, so a restart goes on
-    where the last run stopped.
+    Processes what is there and ends (available now). Progress and state are kept at ``<target>_progress``, so the next run
+    goes on where the last one stopped, also with another ``max_files``: files that were read are not read again, reviews
+    seen within the watermark stay known, and files that were read may be pruned from the source. A batch writes its own
+    folder only, and one that is repeated after a failure overwrites it.
     """
+    target = target.rstrip("/")
     stream = spark.readStream.schema(REVIEW).option("maxFilesPerTrigger", max_files).parquet(source)
     fresh = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["review_id"])
 
     def append(batch: DataFrame, number: int) -> None:
-        # a batch that is repeated after a failure overwrites its own folder
         postings_of(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    done = fresh.writeStream.foreachBatch(append).option("checkpointLocation", shared_path(spark, "progress")).trigger(availableNow=True).start()
+    done = fresh.writeStream.foreachBatch(append).option("checkpointLocation", f"{target}_progress").trigger(availableNow=True).start()
     done.awaitTermination()

@@ -1,10 +1,14 @@
 """Small hand-written cases: ties, nulls, empty inputs, documented quirks."""
 
+import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import runtime
+from quillon.functions import prompts as P
 from quillon.functions import text as X
 from quillon.functions.geo import haversine
 from quillon.operators import clean as C
@@ -14,8 +18,12 @@ from quillon.operators import geo as G
 from quillon.operators import search as S
 from quillon.operators import tags as T
 from quillon.operators import usage as U
+from quillon.operators.segments import near_collapse
 from quillon.plans import recommend as R
+from quillon.ranking import grouped_rank, grouped_sum
 from quillon.sources import jsonlines as J
+from quillon.sources import store as M
+from quillon.streaming.enrich_stream import stream_enrich
 
 
 def rows(df):
@@ -44,6 +52,12 @@ def test_aspect_list_keeps_order_and_repeats(spark):
 def test_search_ranks_reviews_without_a_term_and_cuts_before_filters(spark):
     r = spark.createDataFrame([(3, 1, "fish and chips"), (1, 1, "tea"), (2, 2, None), (4, 2, "selfish")], "review_id long, item_id long, text string")
     q = spark.createDataFrame([(1, "fish")], "query_id int, query string")
+    r = r.union(spark.createDataFrame([(0, 2, "no hit"), (5, 1, "fish"), (9, 1, "jellyfish"), (8, 1, "b"), (7, 1, "c"), (6, 1, "d")], r.schema))
+    everything = S.search_reviews(r, q).collect()
+    # 5 and 3 have the token; the others come by id: 0, 1, 2, 4, 6, 7, 8, 9
+    assert [(h.review_id, h["rank"]) for h in sorted(everything, key=lambda h: h["rank"])] == [(5, 1), (3, 2), (4, 6), (9, 10)]
+    assert [(h.review_id, h["rank"]) for h in S.search_reviews(r, q, item_id=2).collect()] == [(4, 6)]
+    r = r.filter("review_id in (1, 2, 3, 4)")
     every = S.search_reviews(r, q).collect()
     assert [(h.review_id, h["rank"]) for h in sorted(every, key=lambda h: h["rank"])] == [(3, 1), (4, 4)]
     assert S.search_reviews(r, q, topk=2).count() == 1
@@ -170,3 +184,173 @@ def test_every_item_enters_the_diverse_choice(spark):
     tags = spark.createDataFrame([(i, t) for i in range(59) for t in range(3)] + [(59, 9)], "item_id long, tag int")
     got = [(r.place, r.item_id, round(r.score, 6)) for r in E.diverse_topk(s, tags).orderBy("place").collect()]
     assert got == [(1, 0, 1.0), (2, 59, 0.941), (3, 1, 0.699)]
+
+
+def test_an_index_reads_texts_once_and_postings_by_term(spark, tmp_path):
+    r = spark.createDataFrame([(i, i % 3, f"w{i % 7} w{i % 5} common") for i in range(60)], "review_id long, item_id long, text string")
+    q = spark.createDataFrame([(1, "w3 common w3")], "query_id int, query string")
+    index = S.build_index(r, str(tmp_path / "i"))
+    want = {(x.review_id, round(x.score, 9)) for x in S.bm25_scores(r, q).collect()}
+    again = S.build_index(r.filter("false"), str(tmp_path / "i"))  # what is stored is read, not made again
+    assert {(x.review_id, round(x.score, 9)) for x in S.bm25_scores(again, q).collect()} == want
+    plan = S.bm25_scores(index, q)._jdf.queryExecution().toString()
+    assert "regexp_extract_all(lower(text" not in plan.split("== Physical Plan ==")[1] and "term IN (w3,common)" in plan or "In(term" in plan
+    assert S.item_search(index, r.selectExpr("item_id", "'n' as name", "1.0 as stars").distinct(), q).count() == 3
+
+
+def test_running_sums_do_not_depend_on_partitions(spark):
+    rows = [(None if i % 11 == 0 else i % 3 if i % 2 else 0, i, i * 7 % 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "g long, i long, v long")
+    want, total = {}, {}
+    for g, i, v in sorted(rows, key=lambda r: -r[1]):
+        want[i] = total[g] = total.get(g, 0) + v
+    for n in (1, 7):
+        assert {r.i: r.s for r in grouped_sum(df.repartition(n), ["g"], [F.desc("i")], F.col("v"), "s").collect()} == want
+    assert sorted(r.place for r in grouped_rank(df, [], ["i"], "place").collect()) == list(range(1, 301))
+    assert grouped_rank(df.filter("false"), ["g"], ["i"], "place").count() == 0
+
+
+def test_half_written_tables_are_built_again(spark, tmp_path):
+    path, made = str(tmp_path / "t"), []
+
+    def build():
+        made.append(1)
+        return spark.range(3)
+
+    spark.range(99).write.parquet(f"{path}/data-cut")  # a run that was cut off before its name was published
+    assert M.materialize(spark, path, build).count() == 3
+    assert M.materialize(spark, path, build).count() == 3 and len(made) == 1
+    assert M.materialize(spark, str(tmp_path / "e"), lambda: spark.range(0)).count() == 0
+    assert M.materialize(spark, str(tmp_path / "e"), build).count() == 0
+    with pytest.raises(ValueError):
+        M.materialize(spark, str(tmp_path / "f"), lambda: (_ for _ in ()).throw(ValueError()))
+    assert M.materialize(spark, str(tmp_path / "f"), build).count() == 3
+
+
+def test_a_broadcast_side_is_measured_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 1000)
+    few = spark.createDataFrame([("x" * 600,), ("y" * 600,)], "t string")
+
+    def hinted(df):
+        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+
+    assert not hinted(runtime.small(few, 2)) and hinted(runtime.small(few.limit(1), 1)) and hinted(runtime.small(few.selectExpr("1 as a"), 2))
+    assert not hinted(runtime.small(few.selectExpr("1 as a"), 10**9))
+
+
+def test_the_stream_goes_on_where_it_stopped(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "postings")
+
+    def arrive(name, rows):
+        df = spark.createDataFrame(rows, "review_id long, item_id long, text string").withColumn("ts", F.expr("timestamp '2020-01-01 00:00:00'"))
+        df.coalesce(1).write.parquet(str(source / name))
+
+    def found():
+        return sorted((r.review_id, r.term, r.tf) for r in spark.read.parquet(target).select("review_id", "term", "tf").collect())
+
+    arrive("a", [(1, 1, "tea tea"), (2, 1, "cake")])
+    arrive("b", [(1, 1, "tea tea"), (3, 2, "")])
+    stream_enrich(spark, str(source / "*"), target, max_files=1)
+    first = [(1, "tea", 2), (2, "cake", 1)]
+    assert found() == first
+    stream_enrich(spark, str(source / "*"), target)  # nothing new
+    assert found() == first
+    for f in (source / "a").iterdir():
+        f.unlink()  # pruned: what was read from it stays
+    arrive("c", [(2, 1, "cake"), (4, 2, "pie")])
+    stream_enrich(spark, str(source / "*"), target, max_files=5)
+    assert found() == [*first, (4, "pie", 1)]
+
+
+def test_request_lines_by_kind_of_reply(spark):
+    rows = [(1, "gpt-5-x", True, None), (2, "m", True, '{"name":"n","schema":{"type":"object"}}'), (3, "m", False, "{}"), (4, "m", None, None)]
+    p = spark.createDataFrame(rows, "i long, model string, use_json boolean, schema string").withColumn("messages", P.tag_messages(F.lit("hi")))
+    got = {r.i: json.loads(r.value)["body"] for r in J.export_requests(p).collect()}
+    assert got[1]["response_format"] == {"type": "json_object"} and "temperature" not in got[1]
+    assert got[2]["response_format"] == {"type": "json_schema", "json_schema": {"name": "n", "schema": {"type": "object"}}} and got[2]["temperature"] == 0.1
+    assert "response_format" not in got[3] and "response_format" not in got[4]
+    assert [m["role"] for m in got[3]["messages"]] == ["system", "user"] and got[3]["messages"][1]["content"] == "hi"
+
+
+def test_prompts_name_what_they_ask(spark):
+    a = spark.createDataFrame([("x", "ontological", [("k", "high", "good")])], "t string, kind string, b array<struct<keyword:string,importance:string,performance:string>>")
+    t, none = F.col("t"), F.lit(None).cast("string")
+    row = a.select(
+        P.judge_messages(t, F.col("kind"), t, none).alias("judge"), P.judge_messages(t, none, t, t).alias("odd"), P.info_messages(t, t).alias("info"),
+        P.decompose_messages(t).alias("parts"), P.request_messages(F.col("b")).alias("request"), P.keyword_messages(t).alias("keyword"),
+    ).first()
+    assert row.judge[0].content.startswith(P.JUDGE["ontological"]) and row.judge[1].content == "ASPECT: x\nQUERY: x\nREVIEW: "
+    assert row.odd[0].content.startswith(P.JUDGE["functional"]) and [m.role for m in row.info] == ["system", "user", "user"]
+    assert row.request[1].content == "- k (importance high, performance good)" and row.parts[0].content == P.DECOMPOSE and row.keyword[1].content == "x"
+    assert all(json.loads(s)["schema"]["type"] == "object" for s in P.SCHEMAS.values())
+
+
+def test_aspect_infos_ask_once_and_pass_over_bad_replies(spark):
+    a = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "a"), (2, 0, "a"), (2, 1, "c")], "query_id int, pos int, aspect string")
+    good = '{"aspect_type":"functional","starter_keywords":["x","y","z"]}'
+    stored = spark.createDataFrame([(1, "a", good)], "query_id int, aspect string, payload string")
+    asked = []
+
+    def model(rows):
+        asked.extend(sorted((r.query_id, r.aspect) for r in rows.collect()))
+        return rows.withColumn("payload", F.when(F.col("aspect") == "b", "{").when(F.col("aspect") == "c", '{"aspect_type":"odd","starter_keywords":["x","y","z"]}').otherwise(good))
+
+    got = {(r.query_id, r.pos): (r.aspect_type, r.starter_keywords) for r in R.aspect_infos(a, stored, model).collect()}
+    assert asked == [(1, "b"), (2, "a"), (2, "c")]
+    assert got == {(1, 0): ("functional", ["a", "x", "y", "z"]), (1, 1): (None, ["b"]), (1, 2): ("functional", ["a", "x", "y", "z"]), (2, 0): ("functional", ["a", "x", "y", "z"]), (2, 1): (None, ["c"])}
+
+
+def test_stored_tags_and_vectors_are_not_made_again(spark):
+    reviews = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "review_id long, item_id long")
+    tags = spark.createDataFrame([("t", 1)], "tag string, review_id long")
+    vectors = spark.createDataFrame([("t", [1.0]), ("unused", [2.0])], "tag string, embedding array<double>")
+    seen = {}
+
+    def tag_model(rows):
+        seen["reviews"] = sorted(r.review_id for r in rows.collect())
+        return rows.select("review_id", F.when(F.col("review_id") == 2, "t").otherwise("u").alias("tag"))
+
+    def embed_model(rows):
+        seen["tags"] = sorted(r.tag for r in rows.collect())
+        return rows.withColumn("embedding", F.array(F.lit(3.0)))
+
+    got, made = R.tag_and_embed(reviews, tags, vectors, tag_model, embed_model)
+    assert rows(got) == [("t", 1, 7), ("t", 2, 7), ("u", 3, 8)] and rows(made) == [("t", [1.0]), ("u", [3.0])]
+    assert seen == {"reviews": [2, 3], "tags": ["u"]}
+
+
+def test_rounds_of_judging_save_work(spark):
+    hits = spark.range(400).selectExpr("'a' as aspect", "id % 4 as item_id", "id as review_id", "int(id) as rank")
+    judged = R.judge_in_rounds(hits, lambda h: h.withColumns({"is_conclusive": F.lit(True), "is_positive": F.col("item_id") == 1}), size=3)
+    assert judged.count() == 12 and rows(R.verdict_agg(judged)) == [("a", i, True, i == 1) for i in range(4)]
+
+
+def test_near_segments_equal_brute_force(spark):
+    rng = random.Random(5)
+    texts = []
+    for f in range(30):
+        base = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 14))]
+        for _ in range(rng.randrange(1, 6)):
+            w = list(base)
+            if rng.random() < 0.7:
+                w[rng.randrange(len(w))] = f"w{rng.randrange(40)}"
+            texts.append(" ".join(w).upper() if rng.random() < 0.2 else " ".join(w))
+    texts += ["!", "!", "?", "the", "The  "]
+    got = sorted(tuple(r) for r in near_collapse(spark.createDataFrame([(i // 3, i % 3, t) for i, t in enumerate(texts)], "review_id long, position int, segment string")).collect())
+    sets = [frozenset(t.lower().split()) if t[0] not in "!?" else t for t in texts]
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = sets[i] == sets[j] or not isinstance(sets[i], str) and not isinstance(sets[j], str) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            if alike:
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    want = {}
+    for i, t in enumerate(texts):
+        want.setdefault(find(i), []).append(" ".join(t.lower().split()))
+    assert got == sorted((k // 3, k % 3, len(v), len(set(v))) for k, v in want.items()) and len(got) < len({*texts})
