@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.ranking import range_partitioned
+from quillon.ranking import range_partitioned
 from quillon.runtime import save_stage, ship_package, small
 
 CHROME, OPEN, BODY, LINK, MAYBE = 0, 1, 2, 3, 4
@@ -313,11 +313,16 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line that can be deleted and that the page shares with its pair; none if the two are copies."""
+    """A row for each line that can be deleted and that the page shares with its pair; none if the two are copies.
+
+    A page with maybe lines also gives a row with place -1, which tells that it has a pair.
+    """
     names = (("row", pa.int64()), ("host", pa.string()), ("at", pa.int32()), ("kind", pa.int8()), ("line", pa.int64()))
     for batch in batches:
         out = []
         for row, host, kinds, mine, other in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "kinds", "mine", "other")), strict=True):
+            if MAYBE in kinds:
+                out.append((row, host, -1, MAYBE, None))
             same = common_subsequence(mine, other)
             if len(same) < COPY_SHARE * len(mine):
                 has_body = any(k in (BODY, LINK) for k in kinds)
@@ -355,17 +360,16 @@ def deletions(keyed: DataFrame) -> DataFrame:
     """What differencing deletes from each page (``row``, ``host``, ``path``, ``kinds``, ``mine``) that has a pair: ``row``, ``drop`` (places).
 
     Shared lines that are open, maybe or links go; shared prose goes if pages all over the host share it with their pairs,
-    which is counted per host and line. A page with a pair from which nothing is deleted has an empty list.
+    which is counted per host and line. A page with maybe lines and a pair has a row even if nothing is deleted from it.
     """
-    pairs = save_stage(nearest_pairs(keyed), "pairs")
-    shared = save_stage(pairs.mapInArrow(_shared, "row long, host string, at int, kind byte, line long"), "shared")
+    shared = nearest_pairs(keyed).mapInArrow(_shared, "row long, host string, at int, kind byte, line long")
+    shared = save_stage(shared, "shared")
     sizes = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    prose = shared.filter(F.col("kind") == BODY).groupBy("host", "line").agg(F.countDistinct("row").alias("n"))
-    common = prose.join(sizes, "host").filter(F.col("n") >= F.greatest(F.lit(HOST_PAGES), HOST_SHARE * F.col("pages")))
+    prose = shared.filter(F.col("kind") == BODY).groupBy("host", "line").agg(F.countDistinct("row").alias("n")).filter(F.col("n") >= HOST_PAGES)
+    common = prose.join(sizes, "host").filter(F.col("n") >= HOST_SHARE * F.col("pages"))
     common = save_stage(common.select("host", "line", F.lit(True).alias("common")), "common")
     judged = shared.join(small(common, common.count(), 100_000), ["host", "line"], "left")
-    gone = judged.filter((F.col("kind") != BODY) | F.col("common")).groupBy("row").agg(F.collect_set("at").alias("drop"))
-    return pairs.select("row").join(gone, "row", "left").select("row", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
+    return judged.filter((F.col("kind") != BODY) | F.col("common")).groupBy("row").agg(F.collect_set("at").alias("drop"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -384,7 +388,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     host = F.regexp_extract(address, r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
     path = F.regexp_extract(address, r"^(?:[a-z][a-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     keyed = parsed.select("row", host.alias("host"), path.alias("path"), "kinds", F.transform("lines", lambda x: F.xxhash64(x)).alias("mine"))
-    marked = parsed.join(deletions(keyed), "row", "left")
+    drops = save_stage(deletions(keyed), "drops")
+    marked = parsed.join(small(drops, drops.count(), 100_000), "row", "left")
     has_body = F.exists("kinds", lambda k: k.isin(BODY, LINK))
     at = F.zip_with("lines", "kinds", lambda x, k: F.struct(x.alias("x"), k.alias("k")))
     indexed = F.transform(at, lambda s, i: F.struct(s["x"].alias("x"), s["k"].alias("k"), i.alias("i")))
