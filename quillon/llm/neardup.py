@@ -5,8 +5,9 @@ and a pair is dropped once the posterior probability that its similarity reaches
 survivors are verified exactly on full shingle sets. Exact copies are one node from the start, so they never meet in pairs.
 
 A bucket of a band is first tested as a star: every member against the bucket's most central one. Verified links are merged,
-and only buckets that still hold several components go on: small ones with their pairs across components, large ones joined to
-families in which members outside the main component are compared with all others in blocks, without a row per pair.
+and only buckets that still hold several components go on: small ones with their pairs across components, large ones split by
+a second band and joined to families in which members outside the main component are compared with all others in blocks (by
+signatures, then exactly), without a row per pair.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.graph import connected_components
+from quillon.operators.components import connected_components
 from quillon.llm.textscan import gram_hashes, mix, pieces, word_hashes
 from quillon.runtime import narrow, save_stage, ship_package, small
 
@@ -177,11 +178,30 @@ def intersections(xs: list[np.ndarray], ys: list[np.ndarray], columns: int = 409
     return out
 
 
-def _blocks(percent: int):
-    """Links between the two sides of a block, for each node of the first at most one with each component."""
+def likely(xs: np.ndarray, ys: np.ndarray, limits: list[int]) -> np.ndarray:
+    """Which pairs of signatures (rows of both sides) the sequential comparison keeps: batches of all pairs at once."""
+    matches, alive = np.zeros((len(xs), len(ys)), np.int16), np.ones((len(xs), len(ys)), bool)
+    for k, least in enumerate(limits):
+        for j in range(k * BATCH, (k + 1) * BATCH):
+            matches += xs[:, j, None] == ys[None, :, j]
+        alive &= matches >= least
+        if not alive.any():
+            break
+    return alive
+
+
+def _blocks(percent: int, limits: list[int]):
+    """Links between the two sides of a block, for each node of the first at most one with each component.
+
+    Signatures are compared first; full sets only of nodes that have a likely partner.
+    """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         links = []
+        if len(left) and len(right):
+            sa, sb = (np.frombuffer(b"".join(side["sig"]), np.uint16).reshape(len(side), HASHES) for side in (left, right))
+            alive = likely(sa, sb, limits) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
+            left, right = left[alive.any(axis=1)], right[alive.any(axis=0)]
         if len(left) and len(right):
             xs, ys = ([np.frombuffer(v, np.uint64) for v in side["held"]] for side in (left, right))
             both = intersections(xs, ys)
@@ -220,7 +240,8 @@ class _Linker:
         A node's score is the size of all its buckets together: it is largest for the text that the copies in a family were
         made from, or the one nearest to it. The centre of a bucket is its member with the best score.
         """
-        members = save_stage(self.nodes, "nodes").select(F.explode("bands").alias("key"), "node", "n_shingles")
+        self.nodes = save_stage(self.nodes, "nodes")
+        members = self.nodes.select(F.explode("bands").alias("key"), "node", "n_shingles")
         sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         members = save_stage(members.join(sizes, "key"), "shared")
         scores = members.groupBy("node").agg(F.sum("size").alias("score"))
@@ -292,31 +313,46 @@ class _Linker:
         wide = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size")).filter("size > top.n")
         return named.join(wide.select("key", F.col("top.comp").alias("main"), "size", (F.col("size") - F.col("top.n")).alias("others")), "key")
 
+    def families(self, members: DataFrame) -> DataFrame:
+        """Nodes (``node``, ``family``) that hang together by large buckets split once more.
+
+        Members of a large bucket part by each of their other bands: they belong together if they agree in two bands, one of
+        them a large bucket's. Pairs far below the threshold seldom do, so families stay apart that single bands would join.
+        """
+        keys = save_stage(members.groupBy("node").agg(F.collect_set("key").alias("large")), "large")
+        split = self.nodes.select("node", "bands").join(small(keys, keys.count()), "node")
+        two = F.flatten(F.transform("large", lambda x: F.transform(F.filter("bands", lambda y: y != x), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
+        parts = save_stage(split.select("node", F.explode(F.array_distinct(two)).alias("part")), "parts")
+        first = parts.groupBy("part").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("part", "a")
+        linked = parts.join(first, "part").select("a", F.col("node").alias("b")).distinct()
+        return connected_components(linked).withColumnRenamed("label", "family")
+
     def within_families(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """All links across components among nodes whose large buckets hang together (a family).
+        """All links across components among the nodes of a family.
 
-        Members outside a family's main component meet all its members in blocks of bounded size, where full shingle sets
-        are compared by matrix products, so no pair is ever a row.
+        Members outside a family's main component meet all its members in blocks of bounded size, where signatures are
+        compared in batches and the full shingle sets of what is left by matrix products, so no pair is ever a row.
         """
-        linked = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        family = connected_components(linked).withColumnRenamed("label", "family")
+        family = self.families(members)
         pool = members.select("node", "comp").distinct().join(family, "node")
         parts = pool.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("family")
         parts = parts.agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"))
         parts = parts.select("family", F.col("top.comp").alias("main"), "size", (F.col("size") - F.col("top.n")).alias("others"))
         pool = save_stage(pool.join(parts, "family"), "pool")
         need = pool.select("node")
-        texts = self.texts.join(small(need, need.count()), "node", "left_semi").dropDuplicates(["node"])
-        held = save_stage(texts.mapInArrow(_sets, "node binary, held binary").join(pool, "node"), "held")
+        few = small(need, need.count())
+        texts = self.texts.join(few, "node", "left_semi").dropDuplicates(["node"])
+        sigs = self.sigs.join(few, "node", "left_semi")
+        held = save_stage(texts.mapInArrow(_sets, "node binary, held binary").join(sigs, "node").join(pool, "node"), "held")
         nx, ny = F.ceil(F.col("others") / BLOCK_OTHERS).cast("int"), F.ceil(F.col("size") / BLOCK_ALL).cast("int")
 
         def place(n):
             return F.pmod(F.xxhash64("node"), n).cast("int")
 
-        one = held.filter("comp <> main").select("family", "node", "comp", "held", place(nx).alias("bx"), F.explode(F.sequence(F.lit(0), ny - 1)).alias("by"))
-        two = held.select("family", "node", "comp", "held", F.explode(F.sequence(F.lit(0), nx - 1)).alias("bx"), place(ny).alias("by"))
+        one = held.filter("comp <> main").select("family", "node", "comp", "sig", "held", place(nx).alias("bx"), F.explode(F.sequence(F.lit(0), ny - 1)).alias("by"))
+        two = held.select("family", "node", "comp", "sig", "held", F.explode(F.sequence(F.lit(0), nx - 1)).alias("bx"), place(ny).alias("by"))
         keys = ["family", "bx", "by"]
-        return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(_blocks(self.percent), "a binary, b binary")
+        return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(_blocks(self.percent, self.limits), "a binary, b binary")
 
     def pairs_within(self, members: DataFrame) -> DataFrame:
         """Pairs across components within buckets that have at most ``BUCKET_PAIRS`` of them."""

@@ -1,3 +1,8 @@
+import math
+import random
+import zlib
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -16,6 +21,49 @@ def test_quality_on_held_out_rows(spark):
     assert (held.predicted == held.quality).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def plain_quality(docs, labels):
+    """Scores of (id, text) rows by one process: refits without each row instead of leverages."""
+    x = {i: np.array(quality.statistics(t)) for i, t in docs}
+    known = [(x[i], y) for i, y in labels if i in x]
+    a, y = np.array([k[0] for k in known]), np.array([float(k[1]) for k in known])
+    scale = a.std(axis=0)
+    fourier = quality.Fourier(a.mean(axis=0), np.where(scale > 1e-9, scale, 1.0), np.sqrt(len(quality.STATISTICS)) * 0.7)
+    z = fourier(a)
+    fits = []
+    for ridge in quality.RIDGES:
+        eye = ridge * len(y) * np.eye(z.shape[1])
+        out = np.array([z[i] @ np.linalg.solve(z.T @ z - np.outer(z[i], z[i]) + eye, z.T @ y - z[i] * y[i]) for i in range(len(y))]).clip(-1, 2)
+        fits.append((((out - y) ** 2).sum(), out, np.linalg.solve(z.T @ z + eye, z.T @ y)))
+    _, out, beta = min(fits, key=lambda f: f[0])
+    step = np.floor(out * quality.STEPS / 3)
+    cells = [(out[step == s].mean(), y[step == s].mean(), (step == s).sum()) for s in np.unique(step)]
+    xs, ys = quality.isotonic(*map(np.array, zip(*cells, strict=True)))
+    return {i: float(np.interp(fourier(v[None]) @ beta, xs, ys)[0]) for i, v in x.items()}
+
+
+def test_quality_equals_plain_refits(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    want = plain_quality(docs, labels)
+    got = {r.doc_id: r for r in QUERIES["op4_quality_classifier"](spark, sf).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i].score - want[i]) for i in want) < 0.02
+    assert all(got[i].predicted == (want[i] >= 0.5) or abs(want[i] - 0.5) < 0.02 for i in want)
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+
+
+def test_few_labels_mostly_of_one_class(spark):
+    """One class in eight: the scores still tell the classes apart, and so they do with two labels of the rarer one."""
+    rng = random.Random(4)
+    good = [(i, " ".join(rng.choice("the of house tree walks slowly over an old bridge".split()) for _ in range(60)) + ".") for i in range(70)]
+    bad = [(100 + i, " ".join(rng.choice(["$$$", "BUY", "!!!", "x|y", "#1"]) for _ in range(60))) for i in range(10)]
+    docs = spark.createDataFrame([(*d, "x", 1) for d in good + bad + good[:1]], "doc_id long, text string, score string, label int")
+    for n in (10, 2):
+        labels = spark.createDataFrame([(i, 1) for i, _ in good[:60]] + [(i, 0) for i, _ in bad[:n]], "doc_id long, quality int")
+        got = [(r.doc_id, r.predicted) for r in quality.quality_scores(docs, labels).collect()]
+        assert len(got) == 81 and all(p == (i < 100) for i, p in got)
+
+
 def test_quality_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (None, ""), (3, "x" * 100000)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -36,6 +84,62 @@ def test_language_on_held_out_rows(spark):
     assert (docs[docs.held_out].lang_pred == docs[docs.held_out].lang).mean() > 0.97
 
 
+def plain_language(train, ask):
+    """(language, score) of (id, text) rows by dictionaries of strings."""
+    units = {}
+    for _, text, lang in train:
+        for w in langid.words_of(text) if text and lang else ():
+            for kind, keys in ((0, [w]), *((n, langid.grams_of(w, n)) for n in langid.ORDERS)):
+                for k in keys:
+                    units.setdefault(kind, {}).setdefault(k, Counter())[lang] += 1
+    langs = sorted({lang for table in units.values() for c in table.values() for lang in c})
+    totals = {kind: {x: sum(c[x] + 0.5 for c in table.values()) for x in langs} for kind, table in units.items()}
+
+    def row(word):
+        if word in units[0]:
+            return [math.log((units[0][word][x] + 0.5) / totals[0][x]) for x in langs]
+        for n in langid.ORDERS:
+            known = [units[n][g] for g in langid.grams_of(word, n) if g in units[n]]
+            if known:
+                return [sum(math.log((c[x] + 0.5) / totals[n][x]) for c in known) / len(known) for x in langs]
+        return [0.0] * len(langs)
+
+    out = {}
+    for i, text in ask:
+        words = langid.words_of(text)
+        mean = [sum(v) / len(words) for v in zip(*map(row, words), strict=True)] if words else []
+        best = max(mean, default=0)
+        out[i] = (langs[mean.index(best)], 1 / sum(math.exp(m - best) for m in mean)) if words else ("und", 0.0)
+    return out
+
+
+def test_language_equals_plain_backoff(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = plain_language([d for d in docs if zlib.crc32(str(d[0]).encode()) % 4 != 2], [d[:2] for d in docs])
+    got = {r.doc_id: r for r in QUERIES["op6_language_id"](spark, sf).collect()}
+    assert all((got[i].lang_pred, round(got[i].score, 4)) == (lang, round(score, 4)) for i, (lang, score) in want.items()) and len(got) == len(want)
+
+
+def test_language_of_long_words_repeated_rows_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SLICE", 3)
+    long = "ab" * 100_000
+    train = spark.createDataFrame([(1, f"{long} one", "xx", 1), (2, "two two", "yy", 2), (3, "same", "yy", 3), (4, "same", "xx", 4)], "doc_id long, text string, lang string, score int")
+    ask = spark.createDataFrame([(1, long), (1, long), (2, "two " * 50_000), (3, "same"), (None, "一")], "doc_id long, text string").selectExpr("*", "'z' as lang_pred")
+    got = sorted((str(r.doc_id), r.lang_pred) for r in langid.identify(ask, train).collect())
+    assert got == [("1", "xx"), ("1", "xx"), ("2", "yy"), ("3", "xx"), ("None", "xx")]
+
+
+def test_samples_are_bounded_and_repeatable(spark):
+    from quillon.llm.sampling import hash_sample
+
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    one = {r.k for r in hash_sample(df, "k", 500).collect()}
+    assert one == {r.k for r in hash_sample(df.repartition(7), "k", 500).collect()} and 300 < len(one) < 800
+    hot = df.selectExpr("if(k < 15000, 7, k) as k").union(spark.range(8).selectExpr("7 as k"))
+    assert hash_sample(hot, "k", 500).count() <= 1000 and hash_sample(df, "k", 30_000).count() == 20_000
+
+
 def test_language_edges(spark):
     train = spark.createDataFrame([(1, "the cat the dog", "en"), (2, "le chat le chien", "fr"), (3, None, "xx"), (4, "x", None)], "doc_id long, text string, lang string")
     ask = spark.createDataFrame([(1, "the THE"), (2, "le"), (3, None), (4, "123 ² !"), (5, ""), (6, "chienne"), (None, "dogs")], "doc_id long, text string")

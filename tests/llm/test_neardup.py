@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quillon.llm import neardup as N
-from quillon.llm.graph import connected_components
+from quillon.operators.components import connected_components
 
 
 def shingles(text):
@@ -76,3 +76,23 @@ def test_components(spark):
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in (1, 2, 3, 4)}, 10: 10, 11: 10, **{100 + i: 100 for i in range(41)}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_likely_equals_the_sequential_comparison():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (40, N.HASHES)).astype(np.uint16)
+    y = np.where(rng.random((30, N.HASHES)) < rng.random((30, 1)), x[:30], rng.integers(0, 3, (30, N.HASHES))).astype(np.uint16)
+    limits = N.keep_from(0.75, 1e-6)
+    got = N.likely(x, y, limits)
+    for i in range(40):
+        for j in range(30):
+            same = np.cumsum(x[i] == y[j])[N.BATCH - 1 :: N.BATCH]
+            assert got[i, j] == all(m >= least for m, least in zip(same, limits, strict=True))
+
+
+def test_a_long_text_through_spark(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    other = words[:200_000] + [f"v{i}" for i in range(20_000)] + words[200_000:]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in N.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
