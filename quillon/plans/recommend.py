@@ -79,7 +79,7 @@ def aspect_intersection(positives: DataFrame, aspects: DataFrame) -> DataFrame:
     wanted = aspects.select("query_id", "aspect").distinct()
     need = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
     got = wanted.join(positives.select("aspect", "item_id").distinct(), "aspect").groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("got"))
-    return got.join(F.broadcast(need), "query_id").filter("got = need").select("query_id", "item_id")
+    return got.join(need, "query_id").filter("got = need").select("query_id", "item_id")
 
 
 def candidate_evidence(candidates: DataFrame, aspects: DataFrame, hits: DataFrame) -> DataFrame:

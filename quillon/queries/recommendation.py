@@ -12,6 +12,7 @@ from quillon.plans import recommend as R
 from quillon.queries.search import bm25_sql, hits_sql, search_index
 from quillon.queries.vectors import SIMS, aspect_vectors
 from quillon.registry import query
+from quillon.runtime import small
 
 REQUESTS = "values (1, ' the, and ,of'), (2, 'esat, , ndon'), (3, 'the,the'), (4, '')"
 ASPECT_SQL = f"""rq(query_id, aspects) as ({REQUESTS}),
@@ -54,7 +55,8 @@ fin as (select query_id, row_number() over (partition by query_id order by round
 def aspect_table(spark, sf_dir):
     a = R.aspect_table(requests(spark))
     texts = reviews(spark, sf_dir).select("review_id", F.lower("text").alias("low"))
-    found = texts.join(F.broadcast(a.select("aspect").distinct()), F.contains("low", "aspect")).groupBy("aspect").agg(F.count(F.lit(1)).alias("n_reviews"))
+    asked = a.select("aspect").distinct()
+    found = texts.join(small(asked, asked.count()), F.contains("low", "aspect")).groupBy("aspect").agg(F.count(F.lit(1)).alias("n_reviews"))
     return a.join(found, "aspect", "left").select("query_id", "pos", "aspect", F.coalesce("n_reviews", F.lit(0)).alias("n_reviews"))
 
 
@@ -74,7 +76,7 @@ def aspect_infos(spark, sf_dir):
     infos = R.aspect_infos(a, stored, lambda rows: rows.withColumn("payload", said))
     low = F.lower("text")
     texts = reviews(spark, sf_dir).select("review_id", "text")
-    found = texts.join(F.broadcast(infos), F.exists("starter_keywords", lambda w: F.contains(low, w)), "right")
+    found = texts.join(small(infos, infos.count()), F.exists("starter_keywords", lambda w: F.contains(low, w)), "right")
     found = found.groupBy("query_id", "pos", "aspect", "aspect_type", F.array_join("starter_keywords", "|").alias("keywords"))
     return found.agg(F.count("review_id").alias("n_reviews"))
 
