@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -50,6 +51,12 @@ def newer_chars() -> frozenset[str]:
     return frozenset(regex.findall(r"\P{Cn}", unknown))
 
 
+@functools.cache
+def first_newer() -> re.Pattern:
+    """Finds characters from the least of :func:`newer_chars` on: most texts have none."""
+    return re.compile(f"[{min(newer_chars())}-\U0010ffff]")
+
+
 @functools.cache
 def careful(pattern: str) -> regex.Pattern:
     """A pattern in which letters and numbers are those of the tokenizers library, also among :func:`newer_chars`."""
@@ -174,7 +181,7 @@ class Codec:
 
     def parts(self, text: str) -> Iterator[tuple[str | None, list[str]]]:
         """The text's pieces: a special token, or the words of what stands between."""
-        new = not text.isascii() and not newer_chars().isdisjoint(text)
+        new = not text.isascii() and bool(first_newer().search(text)) and not newer_chars().isdisjoint(text)
         split = careful(self.pattern) if new else self.split
         at = 0
         for m in self.cut.finditer(text) if self.cut else ():

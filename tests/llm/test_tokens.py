@@ -79,3 +79,19 @@ def test_repeated_rows_repeat(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, None), (1, None)], "doc_id long, text string")
     assert sorted(r.n_tokens for r in tokencount.count_tokens(df).collect()) == [0, 0, 2, 2]
     assert sorted(r.n_tokens for r in bpe.encode_digests(df).collect()) == [0, 0, 2, 2]
+
+
+def test_the_queries_equal_the_library_on_a_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    one, two = Tokenizer.from_file(bpe.word_vocabulary()), Tokenizer.from_file(tokencount.byte_vocabulary())
+    got = bpe.op8_bpe_encode_decode(spark, sf).collect()
+    assert {r.doc_id for r in got} == set(texts) and len(got) == len(texts)
+    for r in got:
+        ids = one.encode(texts[r.doc_id], add_special_tokens=False).ids
+        decoded = one.decode(ids, skip_special_tokens=False).encode()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+    counts = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.op10_token_counts(spark, sf).collect()}
+    for i, t in texts.items():
+        n = len(two.encode(t, add_special_tokens=False).ids)
+        assert counts[i] == (len(t.encode()), n, n > 512)
