@@ -126,29 +126,31 @@ def search_reviews(reviews: DataFrame | SearchIndex, queries: DataFrame, topk: i
     q = queries.select("query_id", tokens("query", list(index.stop) or None).alias("q"))
     q = small(q, q.count())
     if topk is None:
-        hits = _ranked_hits(index, scores, texts, q)
+        hits = _ranked_hits(index, scores, texts, q, window)
     else:
         # only the first reviews by id can fill up with score 0, so the table is not paired with queries
         fill = index.places.filter(F.col("place") < topk).select("review_id")
-        every = fill.crossJoin(q.select("query_id")).union(scores.select("review_id", "query_id")).distinct()
-        ranked = every.join(scores, ["query_id", "review_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        every = q.select("query_id").crossJoin(fill).select("query_id", "review_id", F.lit(0.0).alias("score")).union(scores)
+        ranked = every.groupBy("query_id", "review_id").agg(F.sum("score").alias("score"))
         order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "review_id")  # limited before the shuffle
         ranked = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= topk)
         ranked = save_stage(ranked, "ranked")
         hits = texts.join(small(ranked, ranked.count()), "review_id").join(q, "query_id")
         hits = hits.withColumn("hit", first_hit(F.col("text"), F.col("q"))).filter("hit is not null")
-    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "review_id", "item_id", "score", "hit", snippet(F.col("text"), F.col("hit"), window).alias("snippet"))
+        hits = hits.withColumn("snippet", snippet(F.col("text"), F.col("hit"), window))
+    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "review_id", "item_id", "score", "hit", "snippet")
 
 
-def _ranked_hits(index: SearchIndex, scores: DataFrame, texts: DataFrame, q: DataFrame) -> DataFrame:
+def _ranked_hits(index: SearchIndex, scores: DataFrame, texts: DataFrame, q: DataFrame, window: int) -> DataFrame:
     """Reviews that hold a query token as a substring, with their rank among all reviews.
 
     Only reviews with a score other than 0 are ordered. A hit with score 0 comes after those above 0, at its place by id
-    less the reviews before it that have a score.
+    less the reviews before it that have a score. Texts are read once.
     """
     hits = texts.join(q, F.exists("q", lambda t: F.contains(F.lower(F.coalesce("text", F.lit(""))), t)))
-    hits = hits.withColumn("hit", first_hit(F.col("text"), F.col("q"))).filter("hit is not null").drop("q")
-    scored = scores.withColumn("r", F.round("score", 9)).filter("r <> 0")
+    hits = hits.withColumn("hit", first_hit(F.col("text"), F.col("q"))).filter("hit is not null")
+    hits = save_stage(hits.select("query_id", "review_id", "item_id", "hit", snippet(F.col("text"), F.col("hit"), window).alias("snippet")), "hits")
+    scored = save_stage(scores.withColumn("r", F.round("score", 9)).filter("r <> 0"), "scored")
     ranked = grouped_rank(scored, ["query_id"], [F.desc("r"), "review_id"], "rank")
     n = ranked.groupBy("query_id").agg(F.count_if(F.col("r") > 0).alias("above"), F.count(F.lit(1)).alias("scored"))
     n = n.crossJoin(F.broadcast(index.totals.select("n_reviews")))
@@ -160,7 +162,7 @@ def _ranked_hits(index: SearchIndex, scores: DataFrame, texts: DataFrame, q: Dat
     before = grouped_sum(both, ["query_id"], ["review_id"], F.col("has"), "before").filter("has = 0")
     rank = F.coalesce("above", F.lit(0)) + F.col("place") + 1 - F.col("before")
     last = zero.join(before.select("query_id", "review_id", "before"), ["query_id", "review_id"]).join(index.places, "review_id").join(n, "query_id", "left")
-    columns = ["query_id", "review_id", "item_id", "text", "hit", "score", "rank"]
+    columns = ["query_id", "review_id", "item_id", "hit", "snippet", "score", "rank"]
     return first.select(*columns).union(last.withColumns({"score": F.lit(0.0), "rank": rank}).select(*columns))
 
 
