@@ -5,9 +5,9 @@ and a pair is dropped once the posterior probability that its similarity reaches
 survivors are verified exactly on full shingle sets. Exact copies are one node from the start, so they never meet in pairs.
 
 A bucket of a band is first tested as a star: every member against the bucket's most central one. Verified links are merged,
-and only buckets that still hold several components go on: small ones with their pairs across components, large ones split by
-a second band and joined to families in which members outside the main component are compared with all others in blocks (by
-signatures, then exactly), without a row per pair.
+and only buckets that still hold several components go on: small ones with their pairs across components, large ones joined to
+families in which members outside the main component are compared with all others in blocks (by signatures, then exactly),
+without a row per pair.
 """
 
 from __future__ import annotations
@@ -313,27 +313,14 @@ class _Linker:
         wide = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size")).filter("size > top.n")
         return named.join(wide.select("key", F.col("top.comp").alias("main"), "size", (F.col("size") - F.col("top.n")).alias("others")), "key")
 
-    def families(self, members: DataFrame) -> DataFrame:
-        """Nodes (``node``, ``family``) that hang together by large buckets split once more.
-
-        Members of a large bucket part by each of their other bands: they belong together if they agree in two bands, one of
-        them a large bucket's. Pairs far below the threshold seldom do, so families stay apart that single bands would join.
-        """
-        keys = save_stage(members.groupBy("node").agg(F.collect_set("key").alias("large")), "large")
-        split = self.nodes.select("node", "bands").join(small(keys, keys.count()), "node")
-        two = F.flatten(F.transform("large", lambda x: F.transform(F.filter("bands", lambda y: y != x), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-        parts = save_stage(split.select("node", F.explode(F.array_distinct(two)).alias("part")), "parts")
-        first = parts.groupBy("part").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("part", "a")
-        linked = parts.join(first, "part").select("a", F.col("node").alias("b")).distinct()
-        return connected_components(linked).withColumnRenamed("label", "family")
-
     def within_families(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """All links across components among the nodes of a family.
+        """All links across components among nodes whose large buckets hang together (a family).
 
         Members outside a family's main component meet all its members in blocks of bounded size, where signatures are
         compared in batches and the full shingle sets of what is left by matrix products, so no pair is ever a row.
         """
-        family = self.families(members)
+        linked = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        family = connected_components(linked).withColumnRenamed("label", "family")
         pool = members.select("node", "comp").distinct().join(family, "node")
         parts = pool.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("family")
         parts = parts.agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"))
