@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import toolcalls
+from quillon.llm import ranked, spelling, toolcalls
 
 NEAR_DUPLICATES = r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
@@ -23,4 +23,7 @@ select page_id, n as payload_bytes, h as payload_digest, case when n >= 100 and
   case when n >= 100 and place > 1 then first end as refers_to from r
 """
 
-ORACLES = {"op1_tool_call_linking": toolcalls.ORACLE, "op3_minhash_near_dedup": NEAR_DUPLICATES, "op5_warc_transactions": TRANSACTIONS}
+ORACLES = {
+    "op1_tool_call_linking": toolcalls.ORACLE, "op3_minhash_near_dedup": NEAR_DUPLICATES, "op5_warc_transactions": TRANSACTIONS, "op11_spelling_variants": spelling.ORACLE,
+    "op12_ranked_search": ranked.ORACLE,
+}
