@@ -1,68 +1,19 @@
-"""BM25 over reviews on stored postings: corpus statistics, scores, ranked review and item search."""
+"""BM25 over reviews on stored postings: scores, substring hits, ranked review and item search."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.functions.text import first_hit, snippet, tokens
+from quillon.functions.text import TOKEN, snippet, tokens
+from quillon.operators.index import SearchIndex, build_index, listed, of_terms, terms_containing
 from quillon.ranking import grouped_rank, grouped_sum
-from quillon.runtime import save_stage, shared_path, small
-from quillon.sources.store import materialize
-
-K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query terms up to which the postings are read by a list of terms, which Parquet's statistics can prune by.
-LISTED_TERMS = 1_000
-
-
-@dataclass(frozen=True)
-class SearchIndex:
-    """Tables of one version of a corpus: its reviews, and what a single pass over their texts has stored."""
-
-    reviews: DataFrame
-    #: term, review_id, tf, n_tokens (of the review); dealt and sorted by term
-    postings: DataFrame
-    #: term, df, idf
-    terms: DataFrame
-    #: one row: n_reviews, mean_tokens
-    totals: DataFrame
-    #: review_id, place (0, 1, ... in order of id)
-    places: DataFrame
-    stop: tuple[str, ...] = ()
-
-
-def tokenised(reviews: DataFrame, stop: list[str] | None = None) -> DataFrame:
-    return reviews.withColumn("tokens", tokens("text", stop)).withColumn("n_tokens", F.size("tokens"))
-
-
-def build_index(reviews: DataFrame, path: str, stop: list[str] | None = None) -> SearchIndex:
-    """The index of ``reviews`` (``review_id``, ``item_id``, ``text``) under ``path``; parts that are there already are read.
-
-    Texts are split into tokens once; statistics come from the stored postings. Reviews without tokens count in the totals.
-    """
-    spark = reviews.sparkSession
-
-    def postings() -> DataFrame:
-        toks = tokenised(reviews.select("review_id", "text"), stop).select("review_id", "n_tokens", F.explode("tokens").alias("term"))
-        counted = toks.groupBy("term", "review_id", "n_tokens").agg(F.count(F.lit(1)).alias("tf"))
-        # a term of any frequency spreads over tasks; its postings are found by the sorted files' statistics
-        return counted.repartitionByRange("term", "review_id").sortWithinPartitions("term", "review_id")
-
-    stored = materialize(spark, f"{path}/postings", postings)
-    ids = reviews.select("review_id")
+from quillon.runtime import measured, save_stage, shared_path
 
-    def totals() -> DataFrame:
-        n = ids.agg(F.count(F.lit(1)).alias("n_reviews"))
-        words = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
-        return n.crossJoin(words).select("n_reviews", F.try_divide("words", "n_reviews").alias("mean_tokens"))  # one row each
-
-    known = materialize(spark, f"{path}/totals", totals)
-    terms = materialize(spark, f"{path}/terms", lambda: term_statistics(stored, known))
-    places = materialize(spark, f"{path}/places", lambda: grouped_rank(ids, [], ["review_id"], "place").withColumn("place", F.col("place") - 1))
-    return SearchIndex(reviews, stored, terms, known, places, tuple(stop or ()))
+K1, B = 1.5, 0.75
+#: Scores that differ by less count as equal when blocks are left out.
+_SLACK = 1e-6
 
 
 def indexed(reviews: DataFrame | SearchIndex, stop: list[str] | None = None) -> SearchIndex:
@@ -72,44 +23,133 @@ def indexed(reviews: DataFrame | SearchIndex, stop: list[str] | None = None) ->
     return build_index(reviews, shared_path(reviews.sparkSession, "index"), stop)
 
 
-def term_statistics(postings: DataFrame, totals: DataFrame) -> DataFrame:
-    """``term``, ``df`` and ``idf``; a negative idf becomes a quarter of the mean idf over all terms."""
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(totals)).withColumn("idf", F.log(F.col("n_reviews") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))  # one row
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-
-
 def query_terms(queries: DataFrame, stop: list[str] | None = None) -> DataFrame:
     """``query_id``, ``term`` and how often the query has it."""
     t = queries.select("query_id", F.explode(tokens("query", stop)).alias("term"))
     return t.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def _of_terms(tables: list[DataFrame], terms: DataFrame) -> list[DataFrame]:
-    """The rows of each table whose term is one of ``terms``: by a pushed list if they are few, and joined."""
-    n = terms.count()
-    names = [r.term for r in terms.select("term").distinct().collect()] if n <= LISTED_TERMS else None
-    if names is not None:
-        tables = [t.filter(F.col("term").isin(names)) for t in tables]
-    few = small(terms, n)
-    return [t.join(few, "term") for t in tables]
+def _weighted(index: SearchIndex, queries: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """Terms of the queries that the index knows with their weights (``query_id``, ``term``, ``times``, ``w``), and their list
+    if they are few."""
+    terms = save_stage(query_terms(queries, list(index.stop) or None), "asked")
+    names = listed(terms)
+    known = index.terms(names).join(measured(terms), "term")
+    return measured(save_stage(known.select("query_id", "term", "times", (F.col("times") * F.col("idf")).alias("w")), "weights")), names
+
+
+def _part(index: SearchIndex, k1: float, b: float, tf: Column, n_tokens: Column) -> Column:
+    """What a term of weight 1 adds to the score of a review: grows with tf, falls with length."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * n_tokens / (index.mean_tokens or 1.0)))
 
 
 def postings_lookup(index: SearchIndex, terms: DataFrame) -> DataFrame:
     """Postings of the query terms: ``query_id``, ``review_id``, ``term``, ``times``, ``tf``, ``n_tokens``."""
-    return _of_terms([index.postings], terms)[0].select("query_id", "review_id", "term", "times", "tf", "n_tokens")
+    found = of_terms(index.blocks, listed(terms)).join(measured(terms), "term")
+    return found.select("query_id", "term", "times", F.explode("found").alias("f")).select("query_id", "f.review_id", "term", "times", "f.tf", "f.n_tokens")
 
 
 def bm25_scores(reviews: DataFrame | SearchIndex, queries: DataFrame, k1: float = K1, b: float = B, stop: list[str] | None = None) -> DataFrame:
     """BM25 of every (query, review) that shares a term: ``query_id``, ``review_id``, ``score``. Only the terms' postings are read."""
     index = indexed(reviews, stop)
-    terms = query_terms(queries, list(index.stop) or None)
-    postings, known = _of_terms([index.postings, index.terms], terms)
-    # at most a row per query term on the right side
-    found = postings.join(known.select("query_id", "term", "idf"), ["query_id", "term"]).crossJoin(F.broadcast(index.totals))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("mean_tokens")))
-    return found.groupBy("query_id", "review_id").agg(F.sum(part).alias("score"))
+    weights, names = _weighted(index, queries)
+    found = of_terms(index.blocks, names).join(weights, "term").select("query_id", "w", F.explode("found").alias("f"))
+    return found.groupBy("query_id", "f.review_id").agg(F.sum(F.col("w") * _part(index, k1, b, F.col("f.tf"), F.col("f.n_tokens"))).alias("score"))
+
+
+def _scored(index: SearchIndex, chosen: DataFrame, weights: DataFrame, names: list[str] | None, k1: float, b: float) -> DataFrame:
+    """Scores of all reviews in the chosen blocks of each query."""
+    found = of_terms(index.blocks, names).join(weights, "term").join(chosen, ["query_id", "segment", "block"])
+    found = found.select("query_id", "w", F.explode("found").alias("f"))
+    return found.groupBy("query_id", "f.review_id").agg(F.sum(F.col("w") * _part(index, k1, b, F.col("f.tf"), F.col("f.n_tokens"))).alias("score"))
+
+
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "review_id")  # limited before the shuffle
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def top_scores(index: SearchIndex, queries: DataFrame, k: int, k1: float = K1, b: float = B, report: dict | None = None) -> DataFrame:
+    """A table that holds the ``k`` best scores above 0 of each query, ties by id: ``query_id``, ``review_id``, ``score``.
+
+    A block's greatest tf and least length bound what a term adds to any of its reviews, so a query's block is bounded by
+    the sum over its terms. The ``k`` blocks of highest bound are scored first; their k-th best score is a threshold, and of
+    the other blocks only those whose bound reaches it are scored. No postings of the rest are unpacked. With ``report``,
+    the postings unpacked (``read``) and those of all terms (``all``) are counted into it.
+    """
+    weights, names = _weighted(index, queries)
+    sized = of_terms(index.blocks, names).select("term", "segment", "block", "max_tf", "min_tokens", *([F.size("found").alias("n")] if report is not None else [F.lit(0).alias("n")]))
+    # a term of negative weight may be missing from a review
+    most = F.greatest(F.lit(0.0), F.col("w")) * _part(index, k1, b, F.col("max_tf"), F.col("min_tokens"))
+    bounds = sized.join(weights, "term").groupBy("query_id", "segment", "block").agg(F.sum(most).alias("bound"), F.sum("n").alias("n"))
+    bounds = save_stage(bounds.filter("bound > 0"), "bounds")
+    first = W.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block")
+    first = bounds.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).select("query_id", "segment", "block")
+    first = measured(save_stage(first, "first"))
+    scores = save_stage(_best(_scored(index, first, weights, names, k1, b).filter("score > 0"), k), "scores")
+    least = scores.filter(F.col("rank") == k).select("query_id", (F.col("score") - _SLACK).alias("least"))
+    rest = bounds.join(measured(least), "query_id", "left").filter(F.col("bound") >= F.coalesce("least", F.lit(0.0)))
+    rest = save_stage(rest.join(first, ["query_id", "segment", "block"], "left_anti").select("query_id", "segment", "block", "n"), "rest")
+    if report is not None:
+        report["all"] = bounds.agg(F.sum("n")).first()[0] or 0
+        report["read"] = (rest.agg(F.sum("n")).first()[0] or 0) + (bounds.join(first, ["query_id", "segment", "block"]).agg(F.sum("n")).first()[0] or 0)
+    more = _scored(index, measured(rest.drop("n")), weights, names, k1, b).filter("score > 0")
+    return scores.drop("rank").union(more)
+
+
+def matched_terms(index: SearchIndex, queries: DataFrame) -> DataFrame:
+    """``query_id``, ``term``, ``place``: the terms that hold a token of the query, and the place in the query of the first such token."""
+    asked = queries.select("query_id", F.posexplode(tokens("query", list(index.stop) or None)).alias("place", "part"))
+    asked = save_stage(asked, "parts")
+    found = terms_containing(index, asked).join(measured(asked), "part")
+    return found.groupBy("query_id", "term").agg(F.min("place").alias("place"))
+
+
+def hit_scores(reviews: DataFrame | SearchIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """Reviews in which a query token is a substring: ``query_id``, ``review_id``, ``item_id``, ``place`` (in the query, of the
+    first token that is), ``score`` (0 where no whole term is shared).
+
+    A token lies within one term of a text, so terms that hold a token are looked up in the vocabulary, and hits and scores
+    come from one pass over those terms' postings; no text is read.
+    """
+    index = indexed(reviews)
+    weights, _ = _weighted(index, queries)
+    wanted = matched_terms(index, queries).join(weights.select("query_id", "term", "w"), ["query_id", "term"], "left")
+    wanted = save_stage(wanted, "wanted")
+    found = of_terms(index.blocks, listed(wanted)).join(measured(wanted), "term").select("query_id", "place", "w", F.explode("found").alias("f"))
+    score = F.coalesce(F.sum(F.col("w") * _part(index, k1, b, F.col("f.tf"), F.col("f.n_tokens"))), F.lit(0.0))
+    return found.groupBy("query_id", "f.review_id", "f.item_id").agg(F.min("place").alias("place"), score.alias("score"))
+
+
+def best_first(score: Column | str = "score") -> Column:
+    """Orders hits of one query: best first, equal scores by id."""
+    return F.struct((-F.round(score, 9)).alias("score"), "review_id")
+
+
+def phrase_hits(index: SearchIndex, phrases: DataFrame) -> DataFrame:
+    """``phrase``, ``review_id``: the reviews whose lower-cased text holds each distinct phrase as a substring.
+
+    A phrase that is one token is found by terms alone. Of one with separators each token lies within a term, so reviews that
+    lack such a term for any of its tokens are left out before texts are compared. Phrases without a token are compared with
+    all texts. Null and empty phrases have no hits.
+    """
+    asked = phrases.select("phrase").filter("phrase is not null and phrase <> ''").distinct().withColumn("parts", F.array_distinct(F.regexp_extract_all("phrase", F.lit(TOKEN), 0)))
+    asked = save_stage(asked.withColumn("need", F.size("parts")), "phrases")
+    single = (F.col("need") == 1) & (F.get("parts", F.lit(0)) == F.col("phrase"))
+    parts = asked.select("phrase", "need", single.alias("single"), F.explode("parts").alias("part"))
+    wanted = save_stage(terms_containing(index, parts).join(measured(parts), "part"), "wanted")
+    found = of_terms(index.blocks, listed(wanted)).join(measured(wanted), "term").select("phrase", "need", "single", "part", F.explode("found.review_id").alias("review_id"))
+    whole = found.groupBy("phrase", "need", "single", "review_id").agg(F.countDistinct("part").alias("got")).filter("got = need")
+    whole = save_stage(whole.select("phrase", "single", "review_id"), "candidates")
+    hits = whole.filter("single").select("phrase", "review_id")
+    texts = index.reviews.select("review_id", F.lower("text").alias("low"))
+    if not asked.filter(~single).isEmpty():
+        near = whole.filter("not single").join(texts, "review_id").filter(F.contains("low", "phrase"))
+        hits = hits.union(near.select("phrase", "review_id"))
+    bare = asked.filter("need = 0").select("phrase")
+    if not bare.isEmpty():
+        hits = hits.union(texts.join(measured(bare), F.contains("low", "phrase")).select("phrase", "review_id"))
+    return hits
 
 
 def search_reviews(reviews: DataFrame | SearchIndex, queries: DataFrame, topk: int | None = None, item_id: int | None = None, window: int = 100, stop: list[str] | None = None) -> DataFrame:
@@ -119,51 +159,60 @@ def search_reviews(reviews: DataFrame | SearchIndex, queries: DataFrame, topk: i
     reviews in whose text no query token is a substring are left out.
     """
     index = indexed(reviews, stop)
-    texts = index.reviews.select("review_id", "item_id", "text")
-    if item_id is not None:
-        texts = texts.filter(F.col("item_id") == item_id)
-    scores = bm25_scores(index, queries)
+    texts = index.reviews if item_id is None else index.reviews.filter(F.col("item_id") == item_id)
     q = queries.select("query_id", tokens("query", list(index.stop) or None).alias("q"))
-    q = small(q, q.count())
     if topk is None:
-        hits = _ranked_hits(index, scores, texts, q, window)
+        ranked = _ranked_hits(index, queries, item_id).join(measured(q), "query_id").withColumn("hit", F.get("q", "place"))
+        hits = texts.select("review_id", "text").join(ranked, "review_id")
     else:
-        # only the first reviews by id can fill up with score 0, so the table is not paired with queries
-        fill = index.places.filter(F.col("place") < topk).select("review_id")
-        every = q.select("query_id").crossJoin(fill).select("query_id", "review_id", F.lit(0.0).alias("score")).union(scores)
-        ranked = every.groupBy("query_id", "review_id").agg(F.sum("score").alias("score"))
-        order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "review_id")  # limited before the shuffle
-        ranked = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= topk)
-        ranked = save_stage(ranked, "ranked")
-        hits = texts.join(small(ranked, ranked.count()), "review_id").join(q, "query_id")
-        hits = hits.withColumn("hit", first_hit(F.col("text"), F.col("q"))).filter("hit is not null")
-        hits = hits.withColumn("snippet", snippet(F.col("text"), F.col("hit"), window))
+        ranked = save_stage(_top_ranked(index, queries, topk), "ranked")
+        hits = texts.join(measured(ranked), "review_id").join(measured(q), "query_id")
+        low = F.lower(F.coalesce("text", F.lit("")))
+        hits = hits.withColumn("hit", F.get(F.filter("q", lambda t: F.contains(low, t)), F.lit(0))).filter("hit is not null")
+    hits = hits.withColumn("snippet", snippet(F.col("text"), F.col("hit"), window))
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "review_id", "item_id", "score", "hit", "snippet")
 
 
-def _ranked_hits(index: SearchIndex, scores: DataFrame, texts: DataFrame, q: DataFrame, window: int) -> DataFrame:
+def _top_ranked(index: SearchIndex, queries: DataFrame, topk: int) -> DataFrame:
+    """The first ``topk`` reviews of each query: ``query_id``, ``review_id``, ``score``, ``rank``.
+
+    Only the first reviews by id can fill up with score 0; those that score 0 or less by terms of negative weight are scored
+    whole, which takes an index whose mean idf is negative.
+    """
+    scores = top_scores(index, queries, topk) if index.mean_idf >= 0 else bm25_scores(index, queries)
+    scores = save_stage(scores, "tops")
+    fill = index.reviews.select("review_id").orderBy("review_id").limit(topk)
+    every = queries.select("query_id").distinct().crossJoin(fill).select("query_id", "review_id", F.lit(0.0).alias("score")).union(scores.select("query_id", "review_id", "score"))
+    return _best(every.groupBy("query_id", "review_id").agg(F.sum("score").alias("score")), topk)
+
+
+def _ranked_hits(index: SearchIndex, queries: DataFrame, item_id: int | None) -> DataFrame:
     """Reviews that hold a query token as a substring, with their rank among all reviews.
 
     Only reviews with a score other than 0 are ordered. A hit with score 0 comes after those above 0, at its place by id
-    less the reviews before it that have a score. Texts are read once.
+    less the reviews before it that have a score.
     """
-    hits = texts.join(q, F.exists("q", lambda t: F.contains(F.lower(F.coalesce("text", F.lit(""))), t)))
-    hits = hits.withColumn("hit", first_hit(F.col("text"), F.col("q"))).filter("hit is not null")
-    hits = save_stage(hits.select("query_id", "review_id", "item_id", "hit", snippet(F.col("text"), F.col("hit"), window).alias("snippet")), "hits")
-    scored = save_stage(scores.withColumn("r", F.round("score", 9)).filter("r <> 0"), "scored")
-    ranked = grouped_rank(scored, ["query_id"], [F.desc("r"), "review_id"], "rank")
-    n = ranked.groupBy("query_id").agg(F.count_if(F.col("r") > 0).alias("above"), F.count(F.lit(1)).alias("scored"))
-    n = n.crossJoin(F.broadcast(index.totals.select("n_reviews")))
+    hits = save_stage(hit_scores(index, queries).withColumn("r", F.round("score", 9)), "hits")
+    scored, zero = hits.filter("r <> 0"), hits.filter("r = 0")
+    if item_id is not None:
+        zero = zero.filter(F.col("item_id") == item_id)
+    n = measured(save_stage(hits.groupBy("query_id").agg(F.count_if(F.col("r") > 0).alias("above"), F.count_if(F.col("r") != 0).alias("scored")), "counts"))
+    ranked = grouped_rank(scored, ["query_id"], [F.desc("r"), "review_id"], "rank").join(n, "query_id")
     # a score below 0 (an idf that all terms share may be) comes after all reviews without one
-    late = F.when(F.col("r") < 0, F.col("n_reviews") - F.col("scored")).otherwise(0)
-    first = hits.join(ranked.join(n, "query_id").select("query_id", "review_id", "score", (F.col("rank") + late).alias("rank")), ["query_id", "review_id"])
-    zero = hits.join(scored.select("query_id", "review_id"), ["query_id", "review_id"], "left_anti")
-    both = zero.select("query_id", "review_id", F.lit(0).alias("has")).union(scored.select("query_id", "review_id", F.lit(1)))
+    late = F.when(F.col("r") < 0, F.lit(index.n_reviews) - F.col("scored")).otherwise(0)
+    columns = ["query_id", "review_id", "item_id", "place", "score", "rank"]
+    first = ranked.withColumn("rank", F.col("rank") + late).select(*columns)
+    if item_id is not None:
+        first = first.filter(F.col("item_id") == item_id)
+    if zero.isEmpty():
+        return first
+    asked = zero.select("query_id").distinct()
+    # scored reviews and zero hits of a query by id: how many scored ones come before; and all reviews by id
+    both = zero.select("query_id", "review_id", F.lit(0).alias("has")).union(scored.select("query_id", "review_id", F.lit(1)).join(asked, "query_id", "left_semi"))
     before = grouped_sum(both, ["query_id"], ["review_id"], F.col("has"), "before").filter("has = 0")
-    rank = F.coalesce("above", F.lit(0)) + F.col("place") + 1 - F.col("before")
-    last = zero.join(before.select("query_id", "review_id", "before"), ["query_id", "review_id"]).join(index.places, "review_id").join(n, "query_id", "left")
-    columns = ["query_id", "review_id", "item_id", "hit", "snippet", "score", "rank"]
-    return first.select(*columns).union(last.withColumns({"score": F.lit(0.0), "rank": rank}).select(*columns))
+    places = grouped_rank(index.reviews.select("review_id"), [], ["review_id"], "by_id")
+    last = zero.join(before.select("query_id", "review_id", "before"), ["query_id", "review_id"]).join(places, "review_id").join(n, "query_id")
+    return first.union(last.withColumn("rank", F.col("above") + F.col("by_id") - F.col("before")).select(*columns))
 
 
 def best_hit_per_item(hits: DataFrame) -> DataFrame:

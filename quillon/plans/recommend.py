@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from quillon.functions.prompts import ASPECT_KINDS
 from quillon.functions.text import aspect_list
 from quillon.operators.enrich import pending_work
-from quillon.operators.search import SearchIndex, search_reviews
+from quillon.operators.index import SearchIndex
+from quillon.operators.search import best_first, hit_scores, indexed, search_reviews
 from quillon.operators.tags import tag_items, top_decile_tags
 from quillon.ranking import grouped_rank
 from quillon.runtime import save_stage
@@ -106,12 +107,21 @@ def final_ranking(scores: DataFrame) -> DataFrame:
     return scores.select("query_id", F.row_number().over(order).alias("rank"), "item_id", "score")
 
 
+def _aspect_hits(index: SearchIndex, asked: DataFrame, review_k: int | None) -> DataFrame:
+    """``aspect``, ``item_id``, ``review_id`` and what orders the hits of an aspect (``rank``): all of them, or those among
+    its ``review_k`` best reviews. Nobody needs their places among all reviews, so none are counted."""
+    if review_k is None:
+        hits = hit_scores(index, asked)
+    else:
+        hits = search_reviews(index, asked, topk=review_k)
+    return hits.select(F.col("query_id").alias("aspect"), "item_id", "review_id", best_first().alias("rank"))
+
+
 def recommend_by_search(reviews: DataFrame | SearchIndex, aspects: DataFrame, judge, score, review_k: int | None = None, size: int = 4) -> DataFrame:
     """Search reviews per aspect, judge each item's best ones until it is concluded, intersect the aspects' items, score the
     evidence, rank."""
     asked = aspects.select(F.col("aspect").alias("query_id"), F.col("aspect").alias("query")).distinct()
-    hits = search_reviews(reviews, asked, topk=review_k).withColumnRenamed("query_id", "aspect").select("aspect", "item_id", "review_id", "rank")
-    hits = save_stage(hits, "hits")
+    hits = save_stage(_aspect_hits(indexed(reviews), asked, review_k), "hits")
     verdicts = verdict_agg(judge_in_rounds(hits, judge, size))
     candidates = aspect_intersection(verdicts.filter("positive"), aspects)
     return item_rank_score(candidates, aspects, score(candidate_evidence(candidates, aspects, hits)))

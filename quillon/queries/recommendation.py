@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from quillon.fixtures import ctes, review_tag, reviews, rule_hash, rule_sql, tag_vectors
 from quillon.operators import enrich as N
 from quillon.operators import evaluate as E
-from quillon.operators.search import search_reviews
+from quillon.operators.search import best_first, hit_scores, phrase_hits
 from quillon.plans import recommend as R
 from quillon.queries.search import bm25_sql, hits_sql, search_index
 from quillon.queries.vectors import SIMS, aspect_vectors
 from quillon.registry import query
-from quillon.runtime import small
 
 REQUESTS = "values (1, ' the, and ,of'), (2, 'esat, , ndon'), (3, 'the,the'), (4, '')"
 ASPECT_SQL = f"""rq(query_id, aspects) as ({REQUESTS}),
@@ -25,9 +24,10 @@ def requests(spark):
     return spark.sql(f"select * from {REQUESTS} as t(query_id, aspects)")
 
 
-def aspect_hits(spark, sf_dir, topk=None):
+def aspect_hits(spark, sf_dir):
+    """Hits of each aspect, with what orders them (``rank``, best first)."""
     asked = R.aspect_table(requests(spark)).select(F.col("aspect").alias("query_id"), F.col("aspect").alias("query")).distinct()
-    return search_reviews(search_index(spark, sf_dir), asked, topk=topk).withColumnRenamed("query_id", "aspect")
+    return hit_scores(search_index(spark, sf_dir), asked).select(F.col("query_id").alias("aspect"), "item_id", "review_id", best_first().alias("rank"))
 
 
 def judge(hits):
@@ -54,9 +54,8 @@ fin as (select query_id, row_number() over (partition by query_id order by round
 @query(f"with {ASPECT_SQL} select query_id, pos, aspect, count(distinct doc_id) as n_reviews from aspects left join documents on contains(lower(text), aspect) group by all")
 def aspect_table(spark, sf_dir):
     a = R.aspect_table(requests(spark))
-    texts = reviews(spark, sf_dir).select("review_id", F.lower("text").alias("low"))
-    asked = a.select("aspect").distinct()
-    found = texts.join(small(asked, asked.count()), F.contains("low", "aspect")).groupBy("aspect").agg(F.count(F.lit(1)).alias("n_reviews"))
+    found = phrase_hits(search_index(spark, sf_dir), a.select(F.col("aspect").alias("phrase")))
+    found = found.groupBy(F.col("phrase").alias("aspect")).agg(F.count(F.lit(1)).alias("n_reviews"))
     return a.join(found, "aspect", "left").select("query_id", "pos", "aspect", F.coalesce("n_reviews", F.lit(0)).alias("n_reviews"))
 
 
@@ -74,11 +73,10 @@ def aspect_infos(spark, sf_dir):
     aspect = F.col("aspect")
     said = reply(F.concat(aspect, F.lit("s")), F.concat(F.lit("very "), aspect), F.concat(aspect, F.lit(" indeed")))
     infos = R.aspect_infos(a, stored, lambda rows: rows.withColumn("payload", said))
-    low = F.lower("text")
-    texts = reviews(spark, sf_dir).select("review_id", "text")
-    found = texts.join(small(infos, infos.count()), F.exists("starter_keywords", lambda w: F.contains(low, w)), "right")
-    found = found.groupBy("query_id", "pos", "aspect", "aspect_type", F.array_join("starter_keywords", "|").alias("keywords"))
-    return found.agg(F.count("review_id").alias("n_reviews"))
+    words = infos.select("query_id", "pos", F.explode("starter_keywords").alias("phrase"))
+    found = words.join(phrase_hits(search_index(spark, sf_dir), words), "phrase").groupBy("query_id", "pos").agg(F.countDistinct("review_id").alias("n_reviews"))
+    named = infos.select("query_id", "pos", "aspect", "aspect_type", F.array_join("starter_keywords", "|").alias("keywords"))
+    return named.join(found, ["query_id", "pos"], "left").withColumn("n_reviews", F.coalesce("n_reviews", F.lit(0)))
 
 
 @query(f"{HITS}, {VERDICT} select aspect, item_id, concluded, positive from vd")

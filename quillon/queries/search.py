@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.fixtures import ctes, items, reviews
 from quillon.operators import evaluate as E
+from quillon.operators import index as I
 from quillon.operators import search as S
 from quillon.operators.segments import near_collapse
 from quillon.registry import query
@@ -26,7 +27,7 @@ def search_index(spark, sf_dir, stop=None):
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet")
     version = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.sum("length")).first()
     name = hashlib.md5(repr((tuple(version), stop)).encode()).hexdigest()
-    return S.build_index(reviews(spark, sf_dir).select("review_id", "item_id", "text"), f"{shared_dir(spark)}/reviews-{name}", stop)
+    return I.build_index(reviews(spark, sf_dir).select("review_id", "item_id", "text"), f"{shared_dir(spark)}/reviews-{name}", stop)
 
 
 def asked(spark):
@@ -66,7 +67,7 @@ SNIPPET = """(case when s0 > 0 then '…' else '' end || substr(text, s0 + 1, a0
 i as (select term, df, ln((select count(*) from documents) - df + 0.5) - ln(df + 0.5) as idf from d)
 select term, df, round(case when idf < 0 then 0.25 * (select avg(idf) from i) else idf end, 6) as idf from i""")
 def corpus_stats(spark, sf_dir):
-    return search_index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return search_index(spark, sf_dir).terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"{ctes('reviews')}, {bm25_sql()} select query_id, review_id, round(score, 6) as score from sc")

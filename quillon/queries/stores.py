@@ -10,6 +10,7 @@ from quillon.functions import prompts as P
 from quillon.functions.vectors import normalise
 from quillon.operators import enrich as N
 from quillon.operators import usage as U
+from quillon.operators.search import bm25_scores
 from quillon.queries.evaluation import ndcg_at_k, precision_at_k
 from quillon.queries.search import ASKED, asked, item_search
 from quillon.queries.vectors import request_from_bundle
@@ -327,11 +328,24 @@ def run_artifacts(spark, sf_dir):
 @query(rf"""{ctes('reviews')} select term, review_id, item_id, count(*) as tf from (select review_id, item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) as term from reviews) group by all""")
 def stream_enrich(spark, sf_dir):
     source, target = shared_path(spark, "arrivals"), shared_path(spark, "postings")
-    r = reviews(spark, sf_dir).select("review_id", "item_id", "text", F.expr("timestamp '2020-01-01 00:00:00'").alias("ts"))
-    again = r.filter("review_id % 10 = 0")
-    r.union(again).repartition(4, "review_id").write.parquet(source)
-    streams.stream_enrich(spark, source, target)
-    return spark.read.parquet(target).select("term", "review_id", "item_id", "tf")
+    _arrivals(spark, sf_dir).write.parquet(source)
+    index = streams.stream_enrich(spark, source, target, max_files=2)
+    return index.blocks.select("term", F.explode("found").alias("f")).select("term", "f.review_id", "f.item_id", "f.tf")
+
+
+def _arrivals(spark, sf_dir):
+    """Reviews in files that follow no order of time, a tenth of them twice, some without a time."""
+    r = reviews(spark, sf_dir).select("review_id", "item_id", "text", F.expr("timestamp_seconds(case when review_id % 17 > 0 then review_id * 7919 % 100000000 end)").alias("ts"))
+    return r.union(r.filter("review_id % 10 = 0")).repartition(4)
+
+
+@query(registry.ORACLES["bm25_scores"])
+def stream_search(spark, sf_dir):
+    """Search over what the stream has written."""
+    source, target = shared_path(spark, "arrivals"), shared_path(spark, "postings")
+    _arrivals(spark, sf_dir).write.parquet(source)
+    index = streams.stream_enrich(spark, source, target, max_files=2)
+    return bm25_scores(index, asked(spark)).select("query_id", "review_id", F.round("score", 6).alias("score"))
 
 
 @query(rf"""{ctes('reviews')} select term, count(*) as n_postings, cast(sum(tf) as bigint) as n_tokens from (select term, review_id, count(*) as tf from

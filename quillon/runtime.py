@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,22 +51,34 @@ def save_stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are at most ``limit`` and its bytes, which are summed if any
-    column has values of varying size, at most ``BROADCAST_BYTES``; else ``df`` for a shuffled join."""
-    if rows > limit:
-        return df
+def _row_bytes(df: DataFrame) -> tuple[Column, bool]:
+    """About the bytes of a row, and whether they vary."""
     size, varying = F.lit(8 * len(df.columns)), False
     for f in df.schema.fields:
         if isinstance(f.dataType, T.StringType | T.BinaryType):
             size, varying = size + F.coalesce(F.octet_length(f.name), F.lit(0)), True
         elif isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
             size, varying = size + F.octet_length(F.to_json(F.struct(f.name))), True
-    if varying and (df.agg(F.sum(size.cast("long"))).first()[0] or 0) > BROADCAST_BYTES:
+    return size.cast("long"), varying
+
+
+def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if its counted ``rows`` are at most ``limit`` and its bytes, which are summed if any
+    column has values of varying size, at most ``BROADCAST_BYTES``; else ``df`` for a shuffled join."""
+    if rows > limit:
+        return df
+    size, varying = _row_bytes(df)
+    if varying and (df.agg(F.sum(size)).first()[0] or 0) > BROADCAST_BYTES:
         return df
     return F.broadcast(df)
 
 
+def measured(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """:func:`small` of a table whose rows and bytes are taken in one pass; best given a written table."""
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)[0]), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= BROADCAST_BYTES else df
+
+
 def narrow(df: DataFrame, rows: int, limit: int = ONE_TASK_ROWS) -> DataFrame:
     """``df`` in one partition if its counted ``rows`` are at most ``limit``, so that small steps need no shuffle."""
     return df.coalesce(1) if rows <= limit else df
