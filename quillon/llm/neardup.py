@@ -16,14 +16,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.components import connected_components
 from quillon.llm.textscan import gram_hashes, mix, pieces, word_hashes
-from quillon.runtime import narrow, save_stage, ship_package, small
+from quillon.runtime import measured, narrow, save_stage, ship_package, small
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
@@ -31,8 +30,8 @@ HASHES = BANDS * ROWS
 BATCH = 16
 #: Pairs across components (members outside the main component times all members) up to which a bucket emits pairs.
 BUCKET_PAIRS = 1024
-#: Nodes on the two sides of a block in which full sets are compared.
-BLOCK_OTHERS, BLOCK_ALL = 256, 1024
+#: Nodes on the two sides of a block, and shingles on each.
+BLOCK_OTHERS, BLOCK_ALL, BLOCK_SHINGLES = 256, 1024, 1_000_000
 _MULT = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -120,35 +119,39 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _column(rows: pa.RecordBatch | pa.Table, name: str) -> list:
+    return rows.column(name).to_pylist()
+
+
+def _signatures(rows: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(_column(rows, name)), np.uint16).reshape(rows.num_rows, HASHES)
+
+
 def _bayes(limits: list[int]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.frombuffer(b"".join(pdf["sa"]), np.uint16).reshape(len(pdf), HASHES)
-                y = np.frombuffer(b"".join(pdf["sb"]), np.uint16).reshape(len(pdf), HASHES)
-                alive, matches = np.arange(len(pdf)), np.zeros(len(pdf), np.int64)
-                for k, least in enumerate(limits):
-                    part = slice(k * BATCH, (k + 1) * BATCH)
-                    matches[alive] += (x[alive, part] == y[alive, part]).sum(axis=1)
-                    alive = alive[matches[alive] >= least]
-                pdf = pdf.iloc[alive].assign(matches=matches[alive])
-            else:
-                pdf = pdf.assign(matches=np.empty(0, np.int64))
-            yield pdf[["a", "b", "matches"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _signatures(batch, "sa"), _signatures(batch, "sb")
+            alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            for k, least in enumerate(limits):
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                matches[alive] += (x[alive, part] == y[alive, part]).sum(axis=1)
+                alive = alive[matches[alive] >= least]
+            kept = batch.take(pa.array(alive))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b"), pa.array(matches[alive])], ["a", "b", "matches"])
 
     return run
 
 
 def _exact(percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 250):
-                pdf = whole.iloc[at : at + 250]
-                x, y = shingle_sets(list(pdf["ta"])), shingle_sets(list(pdf["tb"]))
+            for at in range(0, whole.num_rows, 250):
+                part = whole.slice(at, 250)
+                x, y = shingle_sets(_column(part, "ta")), shingle_sets(_column(part, "tb"))
                 both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
                 either = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - both
-                ok = (100 * both >= percent * either) & (either > 0)
-                yield pdf.loc[ok, ["a", "b"]]
+                kept = part.filter(pa.array((100 * both >= percent * either) & (either > 0)))
+                yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
     return run
 
@@ -190,30 +193,43 @@ def likely(xs: np.ndarray, ys: np.ndarray, limits: list[int]) -> np.ndarray:
     return alive
 
 
-def _blocks(percent: int, limits: list[int]):
-    """Links between the two sides of a block, for each node of the first at most one with each component.
+def _candidates(limits: list[int]):
+    """The nodes of a block's two sides that have a likely partner in another component."""
 
-    Signatures are compared first; full sets only of nodes that have a likely partner.
-    """
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            sides = [np.array(_column(t, "comp"), object) for t in (left, right)]
+            alive = likely(_signatures(left, "sig"), _signatures(right, "sig"), limits) & (sides[0][:, None] != sides[1][None, :])
+            for side, (rows, axis) in enumerate(((left, 1), (right, 0))):
+                kept = rows.select(["family", "bx", "by", "node", "comp"]).filter(pa.array(alive.any(axis=axis)))
+                found.append(kept.append_column("side", pa.array(np.full(kept.num_rows, side, np.int32))))
+        return pa.concat_tables(found) if found else _NONE
+
+    return run
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+
+_CANDIDATE = "family binary, bx int, by int, node binary, comp binary, side int"
+_NONE = pa.table({"family": pa.array([], pa.binary()), "bx": pa.array([], pa.int32()), "by": pa.array([], pa.int32()), "node": pa.array([], pa.binary()), "comp": pa.array([], pa.binary()), "side": pa.array([], pa.int32())})
+
+
+def _linked(percent: int):
+    """Links between the two sides of a block by full sets, for each node of the first at most one with each component."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         links = []
-        if len(left) and len(right):
-            sa, sb = (np.frombuffer(b"".join(side["sig"]), np.uint16).reshape(len(side), HASHES) for side in (left, right))
-            alive = likely(sa, sb, limits) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
-            left, right = left[alive.any(axis=1)], right[alive.any(axis=0)]
-        if len(left) and len(right):
-            xs, ys = ([np.frombuffer(v, np.uint64) for v in side["held"]] for side in (left, right))
-            both = intersections(xs, ys)
+        if left.num_rows and right.num_rows:
+            xs, ys = ([np.frombuffer(v, np.uint64) for v in _column(t, "held")] for t in (left, right))
             total = np.array([len(v) for v in xs], np.float32)[:, None] + np.array([len(v) for v in ys], np.float32)
-            comp = right["comp"].to_numpy()
-            for i, j in enumerate(100 * both >= percent * (total - both)):
-                seen = {left["comp"].iat[i]}
-                for k in np.flatnonzero(j):
-                    if comp[k] not in seen:
-                        seen.add(comp[k])
-                        links.append((left["node"].iat[i], right["node"].iat[k]))
-        return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype=object)
+            both = intersections(xs, ys)
+            mine, theirs, a, b = _column(left, "comp"), _column(right, "comp"), _column(left, "node"), _column(right, "node")
+            for i, row in enumerate(100 * both >= percent * (total - both)):
+                seen = {mine[i]}
+                for k in np.flatnonzero(row):
+                    if theirs[k] not in seen:
+                        seen.add(theirs[k])
+                        links.append((a[i], b[k]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
     return run
 
@@ -256,7 +272,7 @@ class _Linker:
         """Pairs (a, b) that the sequential comparison keeps, with their matches."""
         sa = self.sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
         sb = self.sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-        return pairs.join(sa, "a").join(sb, "b").mapInPandas(_bayes(self.limits), "a binary, b binary, matches long")
+        return pairs.join(sa, "a").join(sb, "b").mapInArrow(_bayes(self.limits), "a binary, b binary, matches long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full shingle sets reach the threshold."""
@@ -266,7 +282,7 @@ class _Linker:
         texts = save_stage(texts, "texts")
         ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
         tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-        return pairs.select("a", "b").join(ta, "a").join(tb, "b").mapInPandas(_exact(self.percent), "a binary, b binary")
+        return pairs.select("a", "b").join(ta, "a").join(tb, "b").mapInArrow(_exact(self.percent), "a binary, b binary")
 
     def labels(self) -> DataFrame:
         return save_stage(connected_components(self.links), "labels")
@@ -317,29 +333,32 @@ class _Linker:
         """All links across components among nodes whose large buckets hang together (a family).
 
         Members outside a family's main component meet all its members in blocks of bounded size, where signatures are
-        compared in batches and the full shingle sets of what is left by matrix products, so no pair is ever a row.
+        compared in batches. Only nodes that have a likely partner in a block get their full shingle sets there, which are
+        compared by matrix products, so no pair is ever a row.
         """
         linked = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
         family = connected_components(linked).withColumnRenamed("label", "family")
-        pool = members.select("node", "comp").distinct().join(family, "node")
-        parts = pool.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("family")
-        parts = parts.agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"))
-        parts = parts.select("family", F.col("top.comp").alias("main"), "size", (F.col("size") - F.col("top.n")).alias("others"))
-        pool = save_stage(pool.join(parts, "family"), "pool")
-        need = pool.select("node")
-        few = small(need, need.count())
-        texts = self.texts.join(few, "node", "left_semi").dropDuplicates(["node"])
-        sigs = self.sigs.join(few, "node", "left_semi")
-        held = save_stage(texts.mapInArrow(_sets, "node binary, held binary").join(sigs, "node").join(pool, "node"), "held")
-        nx, ny = F.ceil(F.col("others") / BLOCK_OTHERS).cast("int"), F.ceil(F.col("size") / BLOCK_ALL).cast("int")
+        pool = members.select("node", "comp", "n_shingles").distinct().join(family, "node")
+        parts = pool.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).groupBy("family")
+        parts = parts.agg(F.max(F.struct("n", "comp", "s")).alias("top"), F.sum("n").alias("size"), F.sum("s").alias("s"))
+        # sides of a block are bounded by nodes and by shingles
+        nx = F.ceil(F.greatest((F.col("size") - F.col("top.n")) / BLOCK_OTHERS, (F.col("s") - F.col("top.s")) / BLOCK_SHINGLES)).cast("int")
+        ny = F.ceil(F.greatest(F.col("size") / BLOCK_ALL, F.col("s") / BLOCK_SHINGLES)).cast("int")
+        parts = parts.select("family", F.col("top.comp").alias("main"), nx.alias("nx"), ny.alias("ny"))
+        pool = save_stage(pool.join(parts, "family").join(self.sigs, "node"), "pool")
 
         def place(n):
             return F.pmod(F.xxhash64("node"), n).cast("int")
 
-        one = held.filter("comp <> main").select("family", "node", "comp", "sig", "held", place(nx).alias("bx"), F.explode(F.sequence(F.lit(0), ny - 1)).alias("by"))
-        two = held.select("family", "node", "comp", "sig", "held", F.explode(F.sequence(F.lit(0), nx - 1)).alias("bx"), place(ny).alias("by"))
+        one = pool.filter("comp <> main").select("family", "node", "comp", "sig", place(F.col("nx")).alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"))
+        two = pool.select("family", "node", "comp", "sig", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), place(F.col("ny")).alias("by"))
         keys = ["family", "bx", "by"]
-        return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(_blocks(self.percent, self.limits), "a binary, b binary")
+        near = save_stage(one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(_candidates(self.limits), _CANDIDATE), "candidates")
+        need = save_stage(near.select("node").distinct(), "need")
+        texts = self.texts.join(measured(need), "node", "left_semi").dropDuplicates(["node"])
+        held = near.join(save_stage(texts.mapInArrow(_sets, "node binary, held binary"), "held"), "node")
+        one, two = (held.filter(F.col("side") == k).toDF(*held.columns) for k in (0, 1))
+        return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(_linked(self.percent), "a binary, b binary")
 
     def pairs_within(self, members: DataFrame) -> DataFrame:
         """Pairs across components within buckets that have at most ``BUCKET_PAIRS`` of them."""
