@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +29,18 @@ BLOCK_BYTES = 32 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 
 
+#: What is no letter, mark or digit beyond ASCII (blanks of all widths, quotes, dashes, symbols), and what is not seen in words.
+_BREAKS, _UNSEEN = regex.compile(r"[^\p{L}\p{M}\p{N}\x00-\x7f]+"), dict.fromkeys(map(ord, "\u00ad\u200c\u200d\u2060\ufeff"))
+
+
 def fold(text: str | None) -> list[bytes]:
-    """Words of a text: lower case, apart at anything in ASCII that is neither letter nor digit."""
-    return text.lower().encode("utf-8", "replace").translate(_FOLD).split() if text else []
+    """Words of a text: lower case, apart at anything that is neither letter, mark nor digit; soft hyphens and joiners go."""
+    if not text:
+        return []
+    low = text.lower()
+    if not low.isascii():
+        low = _BREAKS.sub(" ", low.translate(_UNSEEN))
+    return low.encode("utf-8", "replace").translate(_FOLD).split()
 
 
 def hashed(texts: list[str | None]) -> list[np.ndarray]:

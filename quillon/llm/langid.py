@@ -22,9 +22,9 @@ from quillon.runtime import save_stage, ship_package
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
-#: Expected number of labelled documents that the model is fitted on (at most twice as many). All words and n-grams of the
-#: sample are kept, so this bounds what is broadcast.
-FIT_ROWS = 8_000
+#: Expected number of labelled documents and bytes of their texts that the model is fitted on (at most twice as many). All
+#: words and n-grams of the sample are kept, so this bounds what is broadcast.
+FIT_ROWS, FIT_BYTES = 4_000, 12 << 20
 #: Tasks that count the sample.
 FIT_PARTS = 8
 CACHED = 250_000
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     One row per unit holds its counts in all languages, so no unit is known in some languages only.
     """
-    sample = hash_sample(docs.filter("lang is not null and text is not null"), "doc_id", fit_rows).repartition(FIT_PARTS)
+    sample = hash_sample(docs.filter("lang is not null and text is not null"), "doc_id", fit_rows, "text", FIT_BYTES).repartition(FIT_PARTS)
     words = sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     units = words.mapInArrow(_count_units, "lang string, unit long, kind int, n long").groupBy("kind", "unit", "lang").agg(F.sum("n").alias("n"))
     units = save_stage(units, "units")
@@ -175,18 +175,19 @@ def _predict(shared, name: str):
                 best = int(mean.argmax())
                 langs.append(model.langs[best])
                 scores.append(1.0 / float(np.exp(mean - mean[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), batch.column("text_md5")], ["doc_id", "lang_pred", "score", "text_md5"])
 
     return run
 
 
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Predict the language of every whole text: ``doc_id``, ``lang_pred`` and ``score`` (0 to 1).
+    """Predict the language of every whole text: ``doc_id``, ``lang_pred``, ``score`` (0 to 1) and ``text_md5`` (binary, null
+    for a null text).
 
     The score is the language's share of the likelihood of the text's average word, so texts of all lengths compare: near 1
     if the words are common in one language only, near one part in the number of languages if they belong to none.
 
-    ``train`` gives labelled texts, of which at most ``2 * fit_rows`` are used. Null texts and texts without a letter get
+    ``train`` gives labelled texts, of which at most ``2 * fit_rows`` with ``2 * FIT_BYTES`` bytes are used. Null texts and texts without a letter get
     ``und`` and 0, and so does everything if nothing was learned. Ties go to the language first in order. Repeated rows
     repeat; other columns are ignored.
     """
@@ -194,7 +195,8 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     ship_package(spark)
     named = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
     shared = spark.sparkContext.broadcast(fit(train.select(*named, F.col(lang_col).alias("lang")), fit_rows))
-    return docs.select(*named).mapInArrow(_predict(shared, uuid.uuid4().hex), "doc_id long, lang_pred string, score double")
+    rows = docs.select(*named).withColumn("text_md5", F.unhex(F.md5("text")))
+    return rows.mapInArrow(_predict(shared, uuid.uuid4().hex), "doc_id long, lang_pred string, score double, text_md5 binary")
 
 
 def learnable(docs: DataFrame) -> DataFrame:

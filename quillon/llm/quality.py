@@ -181,7 +181,7 @@ def _fitted(known: DataFrame, rows: int) -> tuple:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Score every text for the 0/1 label of ``labels``: ``doc_id``, ``score`` (0 to 1), ``predicted`` (1 from 0.5 on)
-    and ``row_key`` (xxhash64 of id and text).
+    and ``text_md5`` (binary, null for a null text).
 
     Learns from at most ``2 * fit_rows`` labelled rows whose text is in ``docs``: all of them give the ridge weights, and
     their scores by fits that leave each one out give the calibration. Labels other than 0 and 1 and labels of unknown or
@@ -189,14 +189,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     is that class. Null texts count as empty; repeated rows repeat; other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("row_key"), F.col(text_col).alias("text"))
-    stats = save_stage(rows.mapInArrow(_stats, "doc_id long, row_key long, stats array<double>"), "stats")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.col(text_col))).alias("text_md5"), F.col(text_col).alias("text"))
+    stats = save_stage(rows.mapInArrow(_stats, "doc_id long, text_md5 binary, stats array<double>"), "stats")
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).filter("label in (0, 1)")
     known = save_stage(hash_sample(stats.join(marked, "doc_id"), "doc_id", fit_rows).select("label", "stats"), "known").coalesce(FIT_PARTS)
     total, good = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     model = _fitted(known, total) if 0 < good < total else (None, None, np.array([0.0, 1.0]), np.full(2, good / total if total else 0.5))
-    scored = stats.mapInArrow(_scorer(*model), "doc_id long, row_key long, raw double, score double")
-    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "row_key")
+    scored = stats.mapInArrow(_scorer(*model), "doc_id long, text_md5 binary, raw double, score double")
+    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_md5")
 
 
 def learnable_labels(labels: DataFrame) -> DataFrame:

@@ -14,9 +14,44 @@ from quillon.ranking import grouped_rank
 from quillon.runtime import save_stage
 
 
+#: Strings, numbers and what lies between them; together all of a text. Repetitions keep what they took, so strings of any
+#: length are matched without a stack.
+_PARTS = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|-?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|[^"0-9-]++|[\s\S]'
+_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+#: Digits that a number's plain decimal form can have.
+DIGITS = 38
+
+
+def _plain(number: Column) -> Column:
+    """A JSON number as a plain decimal without needless zeros; ``!`` (no JSON) if that takes more than ``DIGITS`` digits."""
+    fraction = F.regexp_extract(number, r"\.([0-9]+)", 1)
+    power = F.regexp_extract(number, r"[eE][+]?(-?[0-9]+)$", 1)
+    digits = F.ltrim(F.concat(F.regexp_extract(number, r"^-?([0-9]+)", 1), fraction), F.lit("0"))
+    # a power that is no int is far out of range
+    shift = F.when(power == "", 0).otherwise(F.coalesce(power.try_cast("int"), F.lit(10**9))) - F.length(fraction)
+    kept = F.rtrim(digits, F.lit("0"))
+    shift = shift + F.length(digits) - F.length(kept)
+    whole = F.length(kept) + shift  # digits before the point
+    fits = (F.greatest(F.length(kept), whole) <= DIGITS) & (-shift <= DIGITS)
+    text = (
+        F.when(shift >= 0, F.concat(kept, F.repeat(F.lit("0"), F.least(shift, F.lit(DIGITS)))))
+        .when(whole > 0, F.concat(F.substring(kept, F.lit(1), whole), F.lit("."), F.substring(kept, whole + 1, F.length(kept))))
+        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), F.least(-whole, F.lit(DIGITS))), kept))
+    )
+    signed = F.concat(F.when(F.startswith(number, F.lit("-")), "-").otherwise(""), text)
+    return F.when(kept == "", "0").when(fits, signed).otherwise("!")
+
+
+def exact_numbers(json: Column) -> Column:
+    """A JSON text whose numbers are plain decimals, so that parsing it rounds none; other text is left as it is."""
+    parts = F.transform(F.regexp_extract_all(json, F.lit(_PARTS), 0), lambda p: F.when(p.rlike(_NUMBER), _plain(p)).otherwise(p))
+    return F.when(json.rlike(r"[0-9][eE][+-]?[0-9]|[0-9.]{39}"), F.array_join(parts, "")).otherwise(json)
+
+
 def canonical(json: Column) -> Column:
-    """Canonical JSON of a JSON text: object keys sorted, no blanks; null if it does not parse or repeats a key."""
-    return F.to_json(F.try_parse_json(json))
+    """Canonical JSON of a JSON text: object keys sorted, no blanks, each number in one exact decimal form (``1e2``, ``100.0``
+    and ``100`` are ``100``). Null if it does not parse, repeats a key, or holds a number of more than ``DIGITS`` digits."""
+    return F.to_json(F.try_parse_json(exact_numbers(json)))
 
 
 def levels(calls: DataFrame, depends: DataFrame) -> DataFrame:
@@ -65,7 +100,7 @@ def levels(calls: DataFrame, depends: DataFrame) -> DataFrame:
 
 
 #: Types that a parameter can have, and what ``schema_of_variant`` calls a value of each.
-TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|DECIMAL.*)", "boolean": "BOOLEAN", "array": "ARRAY<.*>", "object": "OBJECT<.*>", "null": "VOID", "any": ".*"}
+TYPES = {"string": "STRING", "integer": r"(BIGINT|DECIMAL\([0-9]+,0\))", "number": "(BIGINT|DOUBLE|DECIMAL.*)", "boolean": "BOOLEAN", "array": "ARRAY<.*>", "object": "OBJECT<.*>", "null": "VOID", "any": ".*"}
 
 
 def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -259,3 +259,13 @@ def test_repeated_captures_have_a_row_each(spark, tmp_path):
     got = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.op5_warc_transactions(spark, str(tmp_path)).collect())
     again = ("revisit", "5")
     assert got == sorted([("5", "response", "None"), ("5", *again), ("5", *again), ("7", *again)] + [("6", "response", "None")] * 2 + [("None", "response", "None")] * 2)
+
+
+def test_separators_beyond_ascii(spark):
+    """A copy whose blanks, quotes and dashes are other code points is found like one with blanks."""
+    words = [f"wörd{i}" for i in range(40)]
+    item = " ".join(words)
+    odd = "“" + " ".join(words[:20]) + "”—…" + "　".join(w[:2] + "­" + w[2:] for w in words[20:]) + "’"
+    docs = spark.createDataFrame([(1, item), (2, odd), (3, "—".join(words)), (4, "— “"), (5, "".join(words))], "doc_id long, text string")
+    got = {r.doc_id: r.contaminated for r in D.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: False}

@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import toolcalls as C
 from quillon.ranking import grouped_rank
@@ -88,3 +89,21 @@ def test_names_with_quotes_and_nested_types(spark):
     assert got == {"a": [], "b": ["type of a.b[0]", "type of it's", 'type of say "q"', "value of e"], "c": ["type of a.b[0]"], "d": ["range of it's", "type of n"]}
     with pytest.raises(ValueError, match="text"):
         C.validate(calls, spark.createDataFrame([("t", "p", "text", True, None, None)], names.removesuffix(", allowed array<string>")))
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("1e2", "100"), ("100.0", "100"), ("100", "100"), ("-0", "0"), ("-0.0", "0"), ("1.50", "1.5"), ("12e-3", "0.012"), ("1E+2", "100"), ("0e999999999999", "0"), ("123.4500e1", "1234.5"),
+        ("1e400", None), ("1e-40", None), ("9" * 38, "9" * 38), ("1" * 39, None), ("12345678901234567890123456789012345678901234", None), ("0." + "0" * 37 + "1", "0." + "0" * 37 + "1"),
+        ("01", None), ("1e", None), ("[1e1, -2.50E0]", "[10,-2.5]"), ('{"b": 1e1, "a": "1e1 \\\\"}', '{"a":"1e1 \\\\","b":10}'), ('"1e5"', '"1e5"'), ("1e5x", None), ("-1e1", "-10"),
+    ],
+)
+def test_numbers_have_one_exact_form(spark, text, want):
+    assert spark.createDataFrame([(text,)], "j string").select(C.canonical(F.col("j"))).first()[0] == want
+
+
+def test_very_long_strings_beside_exponents(spark):
+    text = '{"s": "' + 'a\\"\\\\1e2' * 200_000 + '", "n": 1e2}'
+    got = spark.createDataFrame([(text,)], "j string").select(C.canonical(F.col("j"))).first()[0]
+    assert got.startswith('{"n":100,"s":"a') and len(got) == len(text) - 3
