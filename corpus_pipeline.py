@@ -10,24 +10,29 @@ from quillon.llm.decontaminate import contamination
 from quillon.llm.langid import UNKNOWN, identify, learnable
 from quillon.llm.neardup import near_duplicates
 from quillon.llm.quality import learnable_labels, quality_scores
-from quillon.runtime import save_stage, shared_path, small
+from quillon.runtime import measured, save_stage, shared_path
 
 
-def _key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+def _same() -> Column:
+    """Whether a row has the id and the text (by its 128-bit digest) of a named one; nulls are alike."""
+    return F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.unhex(F.md5("text")).eqNullSafe(F.col("__md5"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """The ids and text digests of ``rows``, written and broadcast if they are few."""
+    named = rows.select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5")).distinct()
+    return measured(save_stage(named, "named"))
 
 
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id and text have the ``row_key`` of a row of ``bad``."""
-    bad = save_stage(bad.select(F.col("row_key").alias("__bad")).distinct(), "rejected")
-    return docs.join(small(bad, bad.count()), _key() == F.col("__bad"), "left_anti")
+    """``docs`` without the rows that have the id and text of a row of ``bad`` (``doc_id``, ``text_md5``)."""
+    return docs.join(_named(bad), _same(), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter go, and those for which no language is likelier than the others together."""
-    keyed = docs.withColumn("row_key", _key())
-    found = identify(keyed, learnable(keyed), id_col="row_key")
-    return _without(docs, found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < 0.5)).select(F.col("doc_id").alias("row_key")))
+    found = identify(docs, learnable(docs))
+    return _without(docs, found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < 0.5)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,25 +44,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays; of repeated rows (one id, one text) one stays."""
     found = near_duplicates(docs)
-    gone = save_stage(found.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5")).distinct(), "rejected")
-    md5 = F.unhex(F.md5("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (md5 == F.col("__md5"))
-    kept = docs.join(small(gone, gone.count()), same, "left_anti")
+    kept = _without(docs, found.filter("not kept"))
     again = found.filter("kept").groupBy("doc_id", "text_md5").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = save_stage(again.select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5")), "repeated")
+    again = _named(again)
     if again.isEmpty():
         return kept
-    again = small(again, again.count())
-    twice = F.col("doc_id").eqNullSafe(F.col("__id")) & md5.eqNullSafe(F.col("__md5"))
-    return kept.join(again, twice, "left_anti").union(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.join(again, _same(), "left_anti").union(kept.join(again, _same(), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold passages of the benchmark go."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = save_stage(found.filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5")).distinct(), "rejected")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.unhex(F.md5("text")) == F.col("__md5"))
-    return docs.join(small(bad, bad.count()), same, "left_anti")
+    return _without(docs, found.filter("contaminated"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
