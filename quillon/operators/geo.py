@@ -2,20 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.geo import haversine
-from quillon.runtime import small
+from quillon.functions.geo import EARTH_KM, haversine
+from quillon.runtime import measured, save_stage, small
+
+
+#: Distinct places of a key up to which they are packed into one row.
+PLACES_IN_ROW = 4_096
 
 
-def geometric_median(points: DataFrame, key: str, steps: int = 128, eps: float = 1e-9) -> DataFrame:
+def geometric_median(points: DataFrame, key: str, steps: int = 128, eps: float = 1e-9, in_row: int = PLACES_IN_ROW) -> DataFrame:
     """Weiszfeld's geometric median of (``lat``, ``lon``) per ``key``, from the centroid, at most ``steps`` steps.
 
-    Equal points are counted first, so a key holds its distinct places, not its rows. Points at the current centre are
-    skipped; it ends when all coincide with the centre or the centre moves by at most ``eps``.
+    Equal points are counted first. Keys of at most ``in_row`` distinct places are solved in a row each; the places of larger
+    ones, of any number, stay spread, and each step is a grouped sum over all keys that still move. Points at the current
+    centre are skipped; it ends when all coincide with the centre or the centre moves by at most ``eps``.
     """
     counted = points.filter("lat is not null and lon is not null").groupBy(key, "lat", "lon").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    counted = save_stage(counted, "places")
+    large = save_stage(counted.groupBy(key).agg(F.count(F.lit(1)).alias("places")).filter(F.col("places") > in_row).select(F.col(key).alias("__large")), "large")
+    if large.isEmpty():
+        return _packed_median(counted, key, steps, eps)
+    large = measured(large)
+    same = F.col(key).eqNullSafe(F.col("__large"))
+    few = _packed_median(counted.join(large, same, "left_anti"), key, steps, eps)
+    return few.unionByName(_spread_median(counted.join(large, same, "left_semi"), key, steps, eps))
+
+
+def _spread_median(counted: DataFrame, key: str, steps: int, eps: float) -> DataFrame:
+    """Medians of keys whose places are many rows. A step joins the centres that move to the places and adds up by key;
+    settled keys take no part in later steps."""
+    counted = save_stage(counted, "spread")
+    w = F.col("w")
+    start = counted.groupBy(key).agg(F.sum("w").alias("n"), (F.sum(F.col("lat") * w) / F.sum("w")).alias("x"), (F.sum(F.col("lon") * w) / F.sum("w")).alias("y"))
+    moving, settled = save_stage(start.withColumn("done", F.lit(False)), "centres"), []
+    for _ in range(steps):
+        centres = measured(moving.drop("done").withColumnRenamed(key, "__key"))
+        away = F.sqrt(F.pow(F.col("lat") - F.col("x"), 2) + F.pow(F.col("lon") - F.col("y"), 2))
+        v = F.when(away > eps, w / away).otherwise(0.0)
+        sums = counted.join(centres, F.col(key).eqNullSafe(F.col("__key"))).groupBy(key, "n", "x", "y")
+        sums = sums.agg(F.sum(v).alias("v"), F.sum(v * F.col("lat")).alias("vx"), F.sum(v * F.col("lon")).alias("vy"))
+        x, y = F.coalesce(F.try_divide("vx", "v"), "x"), F.coalesce(F.try_divide("vy", "v"), "y")
+        shift = F.sqrt(F.pow(x - F.col("x"), 2) + F.pow(y - F.col("y"), 2))
+        stepped = save_stage(sums.select(key, "n", x.alias("x"), y.alias("y"), (shift <= eps).alias("done")), "centres")
+        settled.append(stepped.filter("done"))
+        moving = stepped.filter("not done")
+        if moving.isEmpty():
+            break
+    every = moving
+    for part in settled:
+        every = every.union(part)
+    return every.select(key, F.col("n").cast("long").alias("n"), F.col("x").alias("center_lat"), F.col("y").alias("center_lon"))
+
+
+def _packed_median(counted: DataFrame, key: str, steps: int, eps: float) -> DataFrame:
     packed = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("lat", "lon", "w"))).alias("p"))
 
     def total(p, f):
@@ -51,21 +95,27 @@ def geometric_median(points: DataFrame, key: str, steps: int = 128, eps: float =
     return packed.select(key, F.col("n").cast("long").alias("n"), centre.alias("c")).select(key, "n", F.col("c.lat").alias("center_lat"), F.col("c.lon").alias("center_lon"))
 
 
+def _cells(lat: str, lon: str, size: float) -> list[Column]:
+    """The cell of a place in a grid of cubes of edge ``size`` around the unit sphere."""
+    y, x = F.radians(F.col(lat)), F.radians(F.col(lon))
+    return [F.floor(v / size).cast("int") for v in (F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y))]
+
+
 def distance_pairs(centres: DataFrame, items: DataFrame, radius_km: float | None = None) -> DataFrame:
-    """Great-circle km from every centre to every item, or to those within ``radius_km`` by a join over degree cells."""
+    """Great-circle km from every centre to every item, or to those within ``radius_km`` by a join over cells.
+
+    Places are points of the unit sphere in a grid of cubes whose edge is the chord of the radius, so a pair within it lies
+    in the same or in touching cubes: no seam at the date line, none at the poles. Null places pair with nothing then.
+    """
     km = haversine(F.col("center_lat"), F.col("center_lon"), F.col("latitude"), F.col("longitude"))
     if radius_km is None:
         return centres.crossJoin(small(items, items.count(), 100_000)).withColumn("km", km)
-    size = max(radius_km / 111.0, 1e-6)
-
-    def cell(c):
-        return F.floor(F.col(c) / size)
-
-    wide = F.ceil(F.lit(radius_km) / (F.cos(F.radians(F.least(F.abs("center_lat") + size, F.lit(89.0)))) * 111.0 * size)).cast("int") + 1
-    near = centres.withColumn("cy", F.explode(F.sequence(cell("center_lat") - 1, cell("center_lat") + 1)))
-    near = near.withColumn("cx", F.explode(F.sequence(cell("center_lon") - wide, cell("center_lon") + wide)))
-    there = items.withColumns({"cy": cell("latitude"), "cx": cell("longitude")})
-    return near.join(there, ["cy", "cx"]).drop("cy", "cx").withColumn("km", km).filter(F.col("km") <= radius_km)
+    size = max(2 * math.sin(min(radius_km / (2 * EARTH_KM), math.pi / 2)), 1e-8) * (1 + 1e-9)
+    names = ["__cx", "__cy", "__cz"]
+    near, there = centres, items
+    for name, c, i in zip(names, _cells("center_lat", "center_lon", size), _cells("latitude", "longitude", size), strict=True):
+        near, there = near.withColumn(name, F.explode(F.sequence(c - 1, c + 1))), there.withColumn(name, i)
+    return near.join(there, names).drop(*names).withColumn("km", km).filter(F.col("km") <= radius_km)
 
 
 def user_location(visits: DataFrame, key: str = "user_id", least: int = 5) -> DataFrame:

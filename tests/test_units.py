@@ -15,6 +15,7 @@ from quillon.operators import clean as C
 from quillon.operators import enrich as N
 from quillon.operators import evaluate as E
 from quillon.operators import geo as G
+from quillon.operators import index as I
 from quillon.operators import search as S
 from quillon.operators import tags as T
 from quillon.operators import usage as U
@@ -238,28 +239,131 @@ def test_a_broadcast_side_is_measured_in_bytes(spark, monkeypatch):
     assert not hinted(runtime.small(few.selectExpr("1 as a"), 10**9))
 
 
-def test_the_stream_goes_on_where_it_stopped(spark, tmp_path):
-    source, target = tmp_path / "in", str(tmp_path / "postings")
+class Arrivals:
+    """Files that arrive one after another; what the index holds is what the stream returned last."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.source, self.target, self.index, self.sent = spark, folder / "in", str(folder / "index"), None, []
+
+    def arrive(self, name, rows):
+        df = self.spark.createDataFrame(rows, "review_id long, item_id long, text string, at string").withColumn("ts", F.expr("cast(at as timestamp)")).drop("at")
+        df.coalesce(1).write.parquet(str(self.source / name))
+        self.sent += rows
 
-    def arrive(name, rows):
-        df = spark.createDataFrame(rows, "review_id long, item_id long, text string").withColumn("ts", F.expr("timestamp '2020-01-01 00:00:00'"))
-        df.coalesce(1).write.parquet(str(source / name))
+    def run(self, **more):
+        self.index = stream_enrich(self.spark, str(self.source / "*"), self.target, **more)
 
-    def found():
-        return sorted((r.review_id, r.term, r.tf) for r in spark.read.parquet(target).select("review_id", "term", "tf").collect())
+    def postings(self):
+        found = self.index.blocks.select("term", F.explode("found").alias("f")).select("f.review_id", "term", "f.tf")
+        return sorted((r.review_id, r.term, r.tf) for r in found.collect())
 
-    arrive("a", [(1, 1, "tea tea"), (2, 1, "cake")])
-    arrive("b", [(1, 1, "tea tea"), (3, 2, "")])
-    stream_enrich(spark, str(source / "*"), target, max_files=1)
+
+def test_the_stream_goes_on_where_it_stopped(spark, tmp_path):
+    day = "2020-01-01"
+    s = Arrivals(spark, tmp_path)
+    s.arrive("a", [(1, 1, "tea tea", day), (2, 1, "cake", day)])
+    s.arrive("b", [(1, 1, "tea tea", day), (3, 2, "", day)])
+    s.run(max_files=1)
     first = [(1, "tea", 2), (2, "cake", 1)]
-    assert found() == first
-    stream_enrich(spark, str(source / "*"), target)  # nothing new
-    assert found() == first
-    for f in (source / "a").iterdir():
+    assert s.postings() == first and s.index.n_reviews == 3
+    s.run()  # nothing new
+    assert s.postings() == first
+    for f in (s.source / "a").iterdir():
         f.unlink()  # pruned: what was read from it stays
-    arrive("c", [(2, 1, "cake"), (4, 2, "pie")])
-    stream_enrich(spark, str(source / "*"), target, max_files=5)
-    assert found() == [*first, (4, "pie", 1)]
+    s.arrive("c", [(2, 1, "cake", day), (4, 2, "pie", day)])
+    s.run(max_files=5)
+    assert s.postings() == [*first, (4, "pie", 1)]
+
+
+def test_a_stream_is_searched_like_an_index_of_all_its_reviews(spark, tmp_path):
+    """Late, repeated and timeless reviews count once; after every batch scores equal those of an index made at once."""
+    q = spark.createDataFrame([(1, "tea the cake"), (2, "scone")], "query_id int, query string")
+    s = Arrivals(spark, tmp_path)
+    made = []
+
+    def tag(rows):
+        made.extend(r.review_id for r in rows.collect())
+        return rows.select(F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("tag"), "review_id", "item_id")
+
+    batches = [
+        [(1, 1, "the tea the", "2020-06-01"), (2, 1, "cake", None)],
+        [(3, 2, "the scone", "2020-01-01"), (1, 9, "another text", "2020-07-01"), (2, 1, "cake", None), (None, 1, "no id", None)],
+        [(4, 2, None, "2019-01-01"), (5, 2, "tea cake the the", None), (5, 2, "tea", "2018-01-01"), (3, 2, "the scone", "2030-01-01")],
+        [(4, 2, "late", None)] + [(i, 1, f"the w{i}", None) for i in range(10, 22)],
+    ]
+    kept = {}
+    for k, rows in enumerate(batches):
+        s.arrive(f"b{k}", rows)
+        s.run(fold=k != 1, tag_model=tag)
+        for i, item, text, at in sorted((r for r in rows if r[0]), key=lambda r: (r[3] is None, r[3] or "")):
+            kept.setdefault(i, (i, item, text))
+        everything = spark.createDataFrame(list(kept.values()), "review_id long, item_id long, text string")
+        for look in (S.bm25_scores,) if k < 3 else (lambda r, w: S.search_reviews(r, w, topk=4),):
+            got, want = ({tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in look(x, q).collect()} for x in (s.index, everything))
+            assert got == want
+    assert s.index.n_reviews == len(kept) and len(s.index.segments) < 4
+    assert len(made) == len(set(made)) == len(kept)
+    assert {(r.tag, r.review_id) for r in s.index.tags.collect()} == {(w, i) for i, _, t in kept.values() for w in (t or "").split(" ")}
+
+
+def test_what_was_cut_off_is_not_seen(spark, tmp_path, monkeypatch):
+    """A crash between writing a segment and naming it: readers see the version before, and the batch adds it again."""
+    path = str(tmp_path / "i")
+    rows = spark.createDataFrame([(1, 1, "tea", None)], "review_id long, item_id long, text string, ts timestamp")
+    more = spark.createDataFrame([(1, 1, "tea", None), (2, 1, "tea cake", None)], rows.schema)
+    assert I.append_reviews(rows, path) == 1
+    before = I.open_index(spark, path)
+    with monkeypatch.context() as m:
+        m.setattr(I, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("cut off")))
+        with pytest.raises(RuntimeError):
+            I.append_reviews(more, path)
+    assert I.open_index(spark, path).n_reviews == 1
+    assert I.append_reviews(more, path) == 1 and I.append_reviews(more, path) == 0
+    assert I.open_index(spark, path).n_reviews == 2
+    assert I.fold_segments(spark, path) and not I.fold_segments(spark, path)
+    old = I.open_index(spark, path, version=before.version)
+    assert [r.review_id for r in before.reviews.collect()] == [r.review_id for r in old.reviews.collect()] == [1]
+    assert I.open_index(spark, str(tmp_path / "none")).n_reviews == 0
+
+
+def test_blocks_that_cannot_win_are_not_read(spark, tmp_path):
+    """Same best reviews as by full scores, ties included, from under a third of the postings of frequent terms."""
+    r = spark.range(20_000).select(
+        F.col("id").alias("review_id"), (F.col("id") % 7).alias("item_id"),
+        F.expr("concat_ws(' ', 'common', case when id % 3 = 0 then 'often' end, repeat('pad ', cast(id % 200 as int)), case when id % 5999 = 0 then 'rare rare' end)").alias("text"),
+    )
+    index = S.build_index(r, str(tmp_path / "i"))
+    q = spark.createDataFrame([(1, "often common"), (3, "absent"), (4, "often often pad rare")], "query_id int, query string")
+    want = {}
+    for x in S.bm25_scores(index, q).collect():
+        want.setdefault(x.query_id, []).append((-round(x.score, 9), x.review_id))
+    for k in (1, 8):
+        report, tops = {}, {}
+        for x in S.top_scores(index, q, k, report=report).collect():
+            tops.setdefault(x.query_id, []).append((-round(x.score, 9), x.review_id))
+        assert {i: sorted(v)[:k] for i, v in tops.items()} == {i: sorted(v)[:k] for i, v in want.items()}
+        assert 0 < report["read"] < report["all"] / 3
+
+
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_hits_come_from_terms(spark, monkeypatch, limit):
+    """Substring hits of tokens and phrases equal those read off the texts; no plan pairs texts with queries."""
+    monkeypatch.setattr(I, "LISTED_TERMS", limit)
+    texts = ["Tea-time at the bar", "barely a Tea", None, "", "crème brûlée 𝔘𝔫𝔦", "ab", "teatime", "x" * 30_000 + "tea", "the tea time", "a_b barbar"]
+    r = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "review_id long, item_id long, text string")
+    index = S.build_index(r, runtime.shared_path(spark, "hits"))
+    asked = ["tea bar", "e", "brû 𝔫", "ab", "zz", "", "TEA_", "a_b", "ime"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    found = S.hit_scores(index, q)
+    import regex
+
+    want = {(k, i, first) for k, a in enumerate(asked) for i, t in enumerate(texts) for first in [[p for p, w in enumerate(regex.findall(r"[\p{L}\p{N}_]+", a.lower())) if w in (t or "").lower()][:1]] if first for first in first}
+    assert {(x.query_id, x.review_id, x.place) for x in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    phrases = ["tea", "tea time", "-t", "e at", " ", "the tea time", "Tea", "", None, "𝔫", "ea time", "a tea", "bar b"]
+    got = {(x.phrase, x.review_id) for x in S.phrase_hits(index, spark.createDataFrame([(p,) for p in phrases], "phrase string")).collect()}
+    assert got == {(p, i) for p in phrases if p for i, t in enumerate(texts) if p in (t or "").lower()}
 
 
 def test_request_lines_by_kind_of_reply(spark):
@@ -354,3 +458,22 @@ def test_near_segments_equal_brute_force(spark):
     for i, t in enumerate(texts):
         want.setdefault(find(i), []).append(" ".join(t.lower().split()))
     assert got == sorted((k // 3, k % 3, len(v), len(set(v))) for k, v in want.items()) and len(got) < len({*texts})
+
+
+@pytest.mark.parametrize("radius", [5.0, 300.0, 19_000.0])
+def test_places_within_a_radius_all_over_the_sphere(spark, radius):
+    """Date line and poles have no seam: the same pairs as the filtered product."""
+    spots = [(0.0, 179.99), (0.0, -179.99), (89.99, 0.0), (89.99, 180.0), (89.98, 90.0), (-90.0, 12.0), (-89.99, -170.0), (10.0, 10.0), (10.01, 10.02), (10.0, 370.0), (45.0, -0.01), (45.0, 0.02), (None, 1.0)]
+    c = spark.createDataFrame([(k, *p) for k, p in enumerate(spots)], "u int, center_lat double, center_lon double")
+    i = spark.createDataFrame([(k, *p) for k, p in enumerate(spots)], "item_id int, latitude double, longitude double")
+    got = [(r.u, r.item_id) for r in G.distance_pairs(c, i, radius).collect()]
+    assert sorted(got) == sorted((r.u, r.item_id) for r in G.distance_pairs(c, i).filter(F.col("km") <= radius).collect())
+    assert {(0, 1), (2, 3)} <= set(got) and len(got) == len(set(got))
+
+
+def test_medians_of_large_and_small_groups_agree(spark):
+    """A user with a third of all rows, and a null user: the same centres whether places are packed in a row or spread."""
+    rows = [(None if k % 9 == 0 else 1 if k % 3 == 0 else k % 5 + 2, 40 + (k * 37 % 101) / 500, 5 + (k * k % 89) / 400) for k in range(600)] + [(50, 1.0, 2.0)] * 4 + [(51, None, 1.0)]
+    p = spark.createDataFrame(rows, "u int, lat double, lon double")
+    one, two = ({r.u: (r.n, round(r.center_lat, 6), round(r.center_lon, 6)) for r in G.geometric_median(p, "u", in_row=k).collect()} for k in (10_000, 3))
+    assert one == two and len(one) == 8 and one[50] == (4, 1.0, 2.0)
