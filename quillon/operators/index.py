@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import tokens
-from quillon.runtime import measured, save_stage
+from quillon.runtime import measured, save_measured, save_stage
 
 EPSILON = 0.25
 #: Reviews of a block: their postings of a term are one row.
-BLOCK = 64
-#: Longest substrings of terms that are filed; longer ones are found by theirs.
+BLOCK = 16
+#: Length of the substrings of terms that are filed; longer ones are found by theirs.
 GRAM = 3
 #: Names up to which a table is read by a list of terms, which Parquet's statistics can prune by; the join follows anyhow.
 LISTED_TERMS = 1_000
@@ -82,6 +82,11 @@ class SearchIndex:
         i, j = self._types()
         return self._read("tags", f"tag string, review_id {i}, item_id {j}", lambda s: s.tagged)
 
+    @property
+    def vocabulary(self) -> DataFrame:
+        """``term``, those of the stop list too (once for each segment)."""
+        return self._read("vocabulary", "term string")
+
     def frequencies(self, names: list[str] | None = None) -> DataFrame:
         """``term``, ``df`` over all segments, of all terms or the named ones."""
         terms = self._read("terms", "term string, df bigint")
@@ -134,15 +139,11 @@ def _publish(spark: SparkSession, path: str, version: int, segments: list) -> No
     frame.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
 
 
-def _grams(term: Column) -> Column:
-    """Distinct substrings of up to ``GRAM`` code points."""
+def _substrings(term: Column, size: int) -> Column:
+    """Distinct substrings of ``size`` code points."""
     points = F.split(term, "")
-
-    def of(size: int) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(points) - size, F.lit(0)))
-        return F.when(F.size(points) >= size, F.transform(starts, lambda i: F.concat(*[F.get(points, i + k) for k in range(size)])))
-
-    return F.array_distinct(F.flatten(F.filter(F.array(*map(of, range(1, GRAM + 1))), lambda a: a.isNotNull())))
+    starts = F.when(F.size(points) >= size, F.sequence(F.lit(0), F.greatest(F.size(points) - size, F.lit(0))))
+    return F.array_distinct(F.transform(starts, lambda i: F.concat(*[F.get(points, i + k) for k in range(size)])))
 
 
 def write_segment(reviews: DataFrame, path: str, segment: int, stop: list[str] | None = None, tag_model: Callable | None = None) -> tuple:
@@ -173,7 +174,7 @@ def write_segment(reviews: DataFrame, path: str, segment: int, stop: list[str] |
     frequencies.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/vocabulary")
     vocabulary = spark.read.parquet(f"{base}/vocabulary")
     (vocabulary.filter(~F.col("term").isin(stop)) if stop else vocabulary).write.parquet(f"{base}/terms")
-    grams = vocabulary.select(F.explode(_grams(F.col("term"))).alias("gram"), "term")
+    grams = vocabulary.select(F.explode(_substrings(F.col("term"), GRAM)).alias("gram"), "term")
     grams.repartitionByRange("gram", "term").sortWithinPartitions("gram", "term").write.parquet(f"{base}/grams")
     if tag_model is not None:
         tag_model(stored.select("review_id", "item_id", "text")).select("tag", "review_id", "item_id").distinct().write.parquet(f"{base}/tags")
@@ -208,8 +209,8 @@ def append_reviews(batch: DataFrame, path: str, stop: list[str] | None = None, t
     rows = batch.filter("review_id is not null").groupBy("review_id").agg(first).select("review_id", "r.item_id", "r.text")
     rows = save_stage(rows, "batch")
     ids = measured(rows.select("review_id"))
-    seen = save_stage(index.reviews.select("review_id").join(ids, "review_id", "left_semi"), "seen")  # the index is read, not shuffled
-    fresh = rows.join(measured(seen), "review_id", "left_anti")
+    seen = save_measured(index.reviews.select("review_id").join(ids, "review_id", "left_semi"), "seen")  # the index is read, not shuffled
+    fresh = rows.join(seen, "review_id", "left_anti")
     row = write_segment(fresh, path, index.version + 1, stop, tag_model)
     if row[2] or index.version < 0:
         _publish(spark, path, index.version + 1, [*map(_fields, index.segments), row])
@@ -241,9 +242,9 @@ def fold_segments(spark: SparkSession, path: str, stop: list[str] | None = None,
 
 
 def listed(terms: DataFrame) -> list[str] | None:
-    """The distinct terms if they are at most ``LISTED_TERMS``."""
-    names = [r.term for r in terms.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
-    return names if len(names) <= LISTED_TERMS else None
+    """The distinct terms of a written table if it has at most ``LISTED_TERMS`` rows."""
+    names = [r.term for r in terms.select("term").limit(LISTED_TERMS + 1).collect()]
+    return sorted(set(names)) if len(names) <= LISTED_TERMS else None
 
 
 def of_terms(table: DataFrame, names: list[str] | None) -> DataFrame:
@@ -253,10 +254,15 @@ def of_terms(table: DataFrame, names: list[str] | None) -> DataFrame:
 def terms_containing(index: SearchIndex, parts: DataFrame) -> DataFrame:
     """Pairs (``part``, ``term``): the terms of the vocabulary that hold each distinct ``part``, a non-empty string.
 
-    Parts of up to ``GRAM`` code points are looked up; longer ones by all their substrings of that length, and compared.
+    Parts of ``GRAM`` code points or more are looked up by all their substrings of that length, and compared; for shorter
+    ones the vocabulary is cut into substrings of theirs. Either way parts and terms meet in a join of equal strings.
     """
-    parts = parts.select("part").distinct()
-    grams = F.array_distinct(F.filter(_grams(F.col("part")), lambda g: F.length(g) == F.least(F.length("part"), F.lit(GRAM))))
-    wanted = measured(save_stage(parts.select("part", F.size(grams).alias("need"), F.explode(grams).alias("gram")), "grams"))
-    found = index.grams.join(wanted, "gram").groupBy("part", "need", "term").agg(F.countDistinct("gram").alias("got"))
-    return found.filter((F.col("got") == F.col("need")) & F.contains("term", "part")).select("part", "term")
+    parts = save_measured(parts.select("part", F.length("part").alias("size")).distinct(), "parts")
+    grams = parts.filter(F.col("size") >= GRAM).withColumn("grams", _substrings(F.col("part"), GRAM))
+    wanted = grams.select("part", F.size("grams").alias("need"), F.explode("grams").alias("gram"))
+    found = index.grams.join(save_measured(wanted, "grams"), "gram").groupBy("part", "need", "term").agg(F.countDistinct("gram").alias("got"))
+    found = found.filter((F.col("got") == F.col("need")) & F.contains("term", "part")).select("part", "term")
+    for size in sorted(r.size for r in parts.filter(F.col("size") < GRAM).select("size").distinct().collect()):  # less than GRAM rows
+        cut = index.vocabulary.select("term", F.explode(_substrings(F.col("term"), size)).alias("part"))
+        found = found.union(cut.join(parts.filter(F.col("size") == size).select("part"), "part").select("part", "term"))
+    return found

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions.text import TOKEN, snippet, tokens
 from quillon.operators.index import SearchIndex, build_index, listed, of_terms, terms_containing
 from quillon.ranking import grouped_rank, grouped_sum
-from quillon.runtime import measured, save_stage, shared_path
+from quillon.runtime import measured, save_measured, save_stage, shared_path
 
 K1, B = 1.5, 0.75
 #: Scores that differ by less count as equal when blocks are left out.
@@ -32,10 +32,10 @@ def query_terms(queries: DataFrame, stop: list[str] | None = None) -> DataFrame:
 def _weighted(index: SearchIndex, queries: DataFrame) -> tuple[DataFrame, list[str] | None]:
     """Terms of the queries that the index knows with their weights (``query_id``, ``term``, ``times``, ``w``), and their list
     if they are few."""
-    terms = save_stage(query_terms(queries, list(index.stop) or None), "asked")
+    terms = save_measured(query_terms(queries, list(index.stop) or None), "asked")
     names = listed(terms)
-    known = index.terms(names).join(measured(terms), "term")
-    return measured(save_stage(known.select("query_id", "term", "times", (F.col("times") * F.col("idf")).alias("w")), "weights")), names
+    known = index.terms(names).join(terms, "term")
+    return save_measured(known.select("query_id", "term", "times", (F.col("times") * F.col("idf")).alias("w")), "weights"), names
 
 
 def _part(index: SearchIndex, k1: float, b: float, tf: Column, n_tokens: Column) -> Column:
@@ -45,7 +45,8 @@ def _part(index: SearchIndex, k1: float, b: float, tf: Column, n_tokens: Column)
 
 def postings_lookup(index: SearchIndex, terms: DataFrame) -> DataFrame:
     """Postings of the query terms: ``query_id``, ``review_id``, ``term``, ``times``, ``tf``, ``n_tokens``."""
-    found = of_terms(index.blocks, listed(terms)).join(measured(terms), "term")
+    terms = save_measured(terms, "asked")
+    found = of_terms(index.blocks, listed(terms)).join(terms, "term")
     return found.select("query_id", "term", "times", F.explode("found").alias("f")).select("query_id", "f.review_id", "term", "times", "f.tf", "f.n_tokens")
 
 
@@ -85,23 +86,23 @@ def top_scores(index: SearchIndex, queries: DataFrame, k: int, k1: float = K1, b
     bounds = save_stage(bounds.filter("bound > 0"), "bounds")
     first = W.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block")
     first = bounds.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).select("query_id", "segment", "block")
-    first = measured(save_stage(first, "first"))
+    first = save_measured(first, "first")
     scores = save_stage(_best(_scored(index, first, weights, names, k1, b).filter("score > 0"), k), "scores")
     least = scores.filter(F.col("rank") == k).select("query_id", (F.col("score") - _SLACK).alias("least"))
     rest = bounds.join(measured(least), "query_id", "left").filter(F.col("bound") >= F.coalesce("least", F.lit(0.0)))
-    rest = save_stage(rest.join(first, ["query_id", "segment", "block"], "left_anti").select("query_id", "segment", "block", "n"), "rest")
+    rest = save_measured(rest.join(first, ["query_id", "segment", "block"], "left_anti").select("query_id", "segment", "block", "n"), "rest")
     if report is not None:
         report["all"] = bounds.agg(F.sum("n")).first()[0] or 0
         report["read"] = (rest.agg(F.sum("n")).first()[0] or 0) + (bounds.join(first, ["query_id", "segment", "block"]).agg(F.sum("n")).first()[0] or 0)
-    more = _scored(index, measured(rest.drop("n")), weights, names, k1, b).filter("score > 0")
+    more = _scored(index, rest.drop("n"), weights, names, k1, b).filter("score > 0")
     return scores.drop("rank").union(more)
 
 
 def matched_terms(index: SearchIndex, queries: DataFrame) -> DataFrame:
     """``query_id``, ``term``, ``place``: the terms that hold a token of the query, and the place in the query of the first such token."""
     asked = queries.select("query_id", F.posexplode(tokens("query", list(index.stop) or None)).alias("place", "part"))
-    asked = save_stage(asked, "parts")
-    found = terms_containing(index, asked).join(measured(asked), "part")
+    asked = save_measured(asked, "parts")
+    found = terms_containing(index, asked).join(asked, "part")
     return found.groupBy("query_id", "term").agg(F.min("place").alias("place"))
 
 
@@ -115,8 +116,8 @@ def hit_scores(reviews: DataFrame | SearchIndex, queries: DataFrame, k1: float =
     index = indexed(reviews)
     weights, _ = _weighted(index, queries)
     wanted = matched_terms(index, queries).join(weights.select("query_id", "term", "w"), ["query_id", "term"], "left")
-    wanted = save_stage(wanted, "wanted")
-    found = of_terms(index.blocks, listed(wanted)).join(measured(wanted), "term").select("query_id", "place", "w", F.explode("found").alias("f"))
+    wanted = save_measured(wanted, "wanted")
+    found = of_terms(index.blocks, listed(wanted)).join(wanted, "term").select("query_id", "place", "w", F.explode("found").alias("f"))
     score = F.coalesce(F.sum(F.col("w") * _part(index, k1, b, F.col("f.tf"), F.col("f.n_tokens"))), F.lit(0.0))
     return found.groupBy("query_id", "f.review_id", "f.item_id").agg(F.min("place").alias("place"), score.alias("score"))
 
@@ -137,8 +138,8 @@ def phrase_hits(index: SearchIndex, phrases: DataFrame) -> DataFrame:
     asked = save_stage(asked.withColumn("need", F.size("parts")), "phrases")
     single = (F.col("need") == 1) & (F.get("parts", F.lit(0)) == F.col("phrase"))
     parts = asked.select("phrase", "need", single.alias("single"), F.explode("parts").alias("part"))
-    wanted = save_stage(terms_containing(index, parts).join(measured(parts), "part"), "wanted")
-    found = of_terms(index.blocks, listed(wanted)).join(measured(wanted), "term").select("phrase", "need", "single", "part", F.explode("found.review_id").alias("review_id"))
+    wanted = save_measured(terms_containing(index, parts).join(measured(parts), "part"), "wanted")
+    found = of_terms(index.blocks, listed(wanted)).join(wanted, "term").select("phrase", "need", "single", "part", F.explode("found.review_id").alias("review_id"))
     whole = found.groupBy("phrase", "need", "single", "review_id").agg(F.countDistinct("part").alias("got")).filter("got = need")
     whole = save_stage(whole.select("phrase", "single", "review_id"), "candidates")
     hits = whole.filter("single").select("phrase", "review_id")
@@ -160,13 +161,13 @@ def search_reviews(reviews: DataFrame | SearchIndex, queries: DataFrame, topk: i
     """
     index = indexed(reviews, stop)
     texts = index.reviews if item_id is None else index.reviews.filter(F.col("item_id") == item_id)
-    q = queries.select("query_id", tokens("query", list(index.stop) or None).alias("q"))
+    q = measured(queries.select("query_id", tokens("query", list(index.stop) or None).alias("q")))
     if topk is None:
-        ranked = _ranked_hits(index, queries, item_id).join(measured(q), "query_id").withColumn("hit", F.get("q", "place"))
+        ranked = _ranked_hits(index, queries, item_id).join(q, "query_id").withColumn("hit", F.get("q", "place"))
         hits = texts.select("review_id", "text").join(ranked, "review_id")
     else:
-        ranked = save_stage(_top_ranked(index, queries, topk), "ranked")
-        hits = texts.join(measured(ranked), "review_id").join(measured(q), "query_id")
+        ranked = save_measured(_top_ranked(index, queries, topk), "ranked")
+        hits = texts.join(ranked, "review_id").join(q, "query_id")
         low = F.lower(F.coalesce("text", F.lit("")))
         hits = hits.withColumn("hit", F.get(F.filter("q", lambda t: F.contains(low, t)), F.lit(0))).filter("hit is not null")
     hits = hits.withColumn("snippet", snippet(F.col("text"), F.col("hit"), window))
@@ -180,7 +181,6 @@ def _top_ranked(index: SearchIndex, queries: DataFrame, topk: int) -> DataFrame:
     whole, which takes an index whose mean idf is negative.
     """
     scores = top_scores(index, queries, topk) if index.mean_idf >= 0 else bm25_scores(index, queries)
-    scores = save_stage(scores, "tops")
     fill = index.reviews.select("review_id").orderBy("review_id").limit(topk)
     every = queries.select("query_id").distinct().crossJoin(fill).select("query_id", "review_id", F.lit(0.0).alias("score")).union(scores.select("query_id", "review_id", "score"))
     return _best(every.groupBy("query_id", "review_id").agg(F.sum("score").alias("score")), topk)
@@ -196,7 +196,7 @@ def _ranked_hits(index: SearchIndex, queries: DataFrame, item_id: int | None) ->
     scored, zero = hits.filter("r <> 0"), hits.filter("r = 0")
     if item_id is not None:
         zero = zero.filter(F.col("item_id") == item_id)
-    n = measured(save_stage(hits.groupBy("query_id").agg(F.count_if(F.col("r") > 0).alias("above"), F.count_if(F.col("r") != 0).alias("scored")), "counts"))
+    n = save_measured(hits.groupBy("query_id").agg(F.count_if(F.col("r") > 0).alias("above"), F.count_if(F.col("r") != 0).alias("scored")), "counts")
     ranked = grouped_rank(scored, ["query_id"], [F.desc("r"), "review_id"], "rank").join(n, "query_id")
     # a score below 0 (an idf that all terms share may be) comes after all reviews without one
     late = F.when(F.col("r") < 0, F.lit(index.n_reviews) - F.col("scored")).otherwise(0)

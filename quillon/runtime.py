@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +79,14 @@ def measured(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit and size <= BROADCAST_BYTES else df
 
 
+def save_measured(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """:func:`save_stage` with a broadcast hint if what was written is small: rows and bytes are observed by the write."""
+    seen = Observation()
+    saved = save_stage(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)[0]).alias("size")), label)
+    got = seen.get
+    return F.broadcast(saved) if got["rows"] <= limit and (got["size"] or 0) <= BROADCAST_BYTES else saved
+
+
 def narrow(df: DataFrame, rows: int, limit: int = ONE_TASK_ROWS) -> DataFrame:
     """``df`` in one partition if its counted ``rows`` are at most ``limit``, so that small steps need no shuffle."""
     return df.coalesce(1) if rows <= limit else df
