@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import strip
-from quillon.runtime import save_stage
+from quillon.runtime import save_measured, save_stage
 
 
 def drop_short_reviews(reviews: DataFrame, least: int = 200) -> DataFrame:
@@ -70,17 +70,24 @@ def degrees(edges: DataFrame, key: str) -> DataFrame:
 def core_prune(edges: DataFrame, users: DataFrame, items: DataFrame, least_user: int = 50, least_item: int = 50, passes: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """At most ``passes`` rounds: degrees over edges with both ends, drop weak users and items by them, drop dangling edges.
 
-    Not run to a fixpoint. A round that changes nothing ends it. Each round is cut off by a table in the shared folder.
+    Not run to a fixpoint. A round that removes nothing ends it. Degrees are counted once; a later round takes off what the
+    edges removed in the one before it had given to their other ends, so it touches those ends only. Each round is cut off
+    by a table in the shared folder.
     """
-    users, items = users.select("user_id"), items.select("item_id")
-    before = None
+    edges = save_stage(drop_dangling(edges, users, items), "edges")
+    kept = {key: save_stage(nodes.select(key).join(degrees(edges, key), key, "left").select(key, F.coalesce("degree", F.lit(0)).alias("degree")), key) for key, nodes in (("user_id", users), ("item_id", items))}
+    least = {"user_id": least_user, "item_id": least_item}
     for _ in range(passes):
-        alive = drop_dangling(edges, users, items)
-        users = save_stage(users.join(degrees(alive, "user_id").filter(F.col("degree") >= least_user), "user_id", "left_semi"), "users")
-        items = save_stage(items.join(degrees(alive, "item_id").filter(F.col("degree") >= least_item), "item_id", "left_semi"), "items")
-        edges = save_stage(drop_dangling(edges, users, items), "edges")
-        now = (users.count(), items.count(), edges.count())
-        if now == before:
+        weak = {key: save_measured(nodes.filter(F.col("degree") < least[key]).select(key, F.lit(True).alias(f"__{key}")), "weak") for key, nodes in kept.items()}
+        if all(w.isEmpty() for w in weak.values()):
             break
-        before = now
-    return edges, users, items
+        marked = edges
+        for key, gone in weak.items():
+            marked = marked.join(gone.distinct(), key, "left")
+        marked = save_stage(marked.withColumn("__gone", F.coalesce(*[F.col(f"__{key}") for key in weak], F.lit(False))), "marked")
+        edges, lost = marked.filter("not __gone").select(*edges.columns), marked.filter("__gone")
+        for key, nodes in kept.items():
+            taken = save_measured(lost.filter(F.col(f"__{key}").isNull()).groupBy(key).agg(F.count(F.lit(1)).alias("taken")), "taken")
+            left = nodes.filter(F.col("degree") >= least[key]).join(taken, key, "left")
+            kept[key] = save_stage(left.select(key, (F.col("degree") - F.coalesce("taken", F.lit(0))).alias("degree")), key)
+    return edges, kept["user_id"].select("user_id"), kept["item_id"].select("item_id")

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions.vectors import normalise
 from quillon.runtime import save_stage, ship_package
+from quillon.sources.store import add_missing, exists
 
 ONE_TAG = "name string, sentiment string, evidence string, confidence double"
 TAGS = f"tags array<struct<{ONE_TAG.replace(' string', ':string').replace(' double', ':double')}>>"
@@ -41,6 +43,20 @@ def enrich(rows: DataFrame, store: DataFrame, task: str, keys: list[str], fn: Ca
     return apply_model(pending_work(rows, store.filter(F.col("task") == task), keys), fn, schema)
 
 
+def embed_missing(tags: DataFrame, path: str, fn: Callable, kind: str = "float") -> DataFrame:
+    """Unit vectors of all tags stored at ``path``, after adding those of ``tags`` that were not there.
+
+    ``fn`` maps frames of distinct missing tags to frames with ``embedding``; it sees each tag once, ever. Null tags are left
+    out; what the model gives is scaled to length one.
+    """
+    spark = tags.sparkSession
+    names = tags.select("tag").filter("tag is not null").distinct()
+    if exists(spark, path):
+        names = pending_work(names, spark.read.parquet(path), ["tag"])
+    made = apply_model(names, fn, f"tag {dict(tags.dtypes)['tag']}, embedding array<{kind}>")
+    return add_missing(spark, path, made.select("tag", normalise(F.col("embedding")).cast(f"array<{kind}>").alias("embedding")), "tag")
+
+
 def validate_tags(rows: DataFrame, json: str = "payload") -> DataFrame:
     """One row per tag of a JSON payload: the tag's fields and ``reason`` (null if valid).
 

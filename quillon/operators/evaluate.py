@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.runtime import save_stage
+from quillon.runtime import save_measured, save_stage
 
 
 def _judged(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
@@ -74,24 +74,49 @@ def risk_adjusted_score(scored: DataFrame, risk: float = 0.5) -> DataFrame:
     return utility.join(spread, ["query_id", "item_id"]).select("query_id", "item_id", (F.col("u") - risk * F.col("v")).alias("score"))
 
 
-def diverse_topk(scores: DataFrame, item_tags: DataFrame, k: int = 3, penalty: float = 0.1) -> DataFrame:
-    """Greedy choice of ``k`` items per query, each time by score less ``penalty`` per tag shared with those chosen.
+def diverse_topk(scores: DataFrame, item_tags: DataFrame, k: int = 3, penalty: float = 0.1, batch: int = 64, report: dict | None = None) -> DataFrame:
+    """Greedy choice of ``k`` items per query, each time by score less ``penalty`` (not negative) per tag shared with those chosen.
 
-    All items of a query take part in every round; ties go to the least item. k rounds of joins and an aggregate.
+    All items of a query stand in every round; ties go to the least item. More chosen items only lower a score, so the one
+    that an item had last is a bound: a round scores the ``batch`` items of highest bound anew, and ends when the best of
+    them beats all other bounds, else it takes twice as many. ``report`` counts the rows scored anew (``rescored``).
     """
-    order = F.struct(F.col("score").isNull(), -F.round("score", 9), F.col("item_id"))
-    pool = save_stage(scores, "pool")
+    keys = ["query_id", "item_id"]
+    pool = save_stage(scores.select(*keys, "score"), "pool")
     tags = save_stage(item_tags.join(pool.select("item_id").distinct(), "item_id", "left_semi").distinct(), "tags")
-    chosen = None
+    bounds, chosen = None, None  # scores of a few items as of some earlier round
+
+    def order(score: str) -> Column:
+        return F.struct(F.col(score).isNull(), -F.round(score, 9), F.col("item_id"))
+
     for place in range(1, k + 1):
-        rest = pool
+        rest = pool.withColumn("bound", F.col("score"))
         if chosen is not None:
-            rest = pool.join(chosen.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-            taken = chosen.select("query_id", "item_id").join(tags, "item_id").select("query_id", "tag").distinct()
-            shared = rest.join(tags, "item_id").join(taken, ["query_id", "tag"]).groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
-            rest = rest.join(shared, ["query_id", "item_id"], "left").withColumn("score", F.col("score") - penalty * F.coalesce("shared", F.lit(0))).drop("shared")
-        best = rest.groupBy("query_id").agg(F.min_by(F.struct("item_id", "score"), order).alias("b")).select("query_id", F.lit(place).alias("place"), "b.item_id", "b.score")
-        best = save_stage(best, "chosen")
+            taken = chosen.select(*keys)
+            rest = pool.join(taken, keys, "left_anti").join(bounds, keys, "left").withColumn("bound", F.coalesce("bound", "score"))
+            used = save_measured(taken.join(tags, "item_id").select("query_id", "tag").distinct(), "used")
+        size, best, open_ = batch, None, None
+        while True:
+            now = rest if open_ is None else rest.join(open_, "query_id", "left_semi")
+            first = W.partitionBy("query_id").orderBy(order("bound"))  # limited before the shuffle
+            top = save_measured(now.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= size + 1), "top")
+            anew = top.filter(F.col("r") <= size)
+            if chosen is not None:
+                shared = anew.select(*keys).join(tags, "item_id").join(used, ["query_id", "tag"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("shared"))
+                anew = anew.join(shared, keys, "left").withColumn("bound", F.col("score") - penalty * F.coalesce("shared", F.lit(0)))
+            anew = save_measured(anew.select(*keys, "bound"), "rescored")
+            if report is not None:
+                report["rescored"] = report.get("rescored", 0) + anew.count()
+            won = anew.groupBy("query_id").agg(F.min(order("bound")).alias("o"), F.min_by(F.struct("item_id", "bound"), order("bound")).alias("b"))
+            beaten = top.filter(F.col("r") == size + 1).select("query_id", order("bound").alias("next"))
+            won = save_measured(won.join(beaten, "query_id", "left").select("query_id", "b.item_id", F.col("b.bound").alias("score"), F.coalesce(F.col("o") < F.col("next"), F.lit(True)).alias("sure")), "won")
+            best = won.filter("sure") if best is None else best.union(won.filter("sure"))
+            old = bounds if bounds is None else bounds.join(anew.select(*keys), keys, "left_anti")
+            bounds = save_measured(anew if old is None else old.union(anew), "bounds")
+            if won.filter("not sure").isEmpty():
+                break
+            open_, size = won.filter("not sure").select("query_id"), 2 * size
+        best = save_measured(best.select("query_id", F.lit(place).alias("place"), "item_id", "score"), "chosen")
         chosen = best if chosen is None else chosen.union(best)
     return chosen
 

@@ -98,6 +98,21 @@ def top_scores(index: SearchIndex, queries: DataFrame, k: int, k1: float = K1, b
     return scores.drop("rank").union(more)
 
 
+def fused_search(reviews: DataFrame | SearchIndex, keywords: DataFrame, topk: int = 10, depth: int = 100, flat: int = 60) -> DataFrame:
+    """Search with several ``keyword`` rows a ``query_id``: ``query_id``, ``rank``, ``review_id``, ``score``, ``n_keywords``.
+
+    Each distinct keyword ranks its ``depth`` best reviews of score above 0 by itself; a review's score is the sum of
+    1 / (``flat`` + rank) over the keywords that rank it (reciprocal rank fusion), so keywords of any weight count alike. A
+    keyword that a query has twice counts once; ties by id; keywords without a known term rank nothing.
+    """
+    index = indexed(reviews)
+    pairs = save_measured(keywords.select("query_id", "keyword").filter("keyword is not null").distinct(), "keywords")
+    asked = pairs.select(F.col("keyword").alias("query_id"), F.col("keyword").alias("query")).distinct()
+    ranked = _best(top_scores(index, asked, depth), depth).select(F.col("query_id").alias("keyword"), "review_id", "rank")
+    fused = ranked.join(pairs, "keyword").groupBy("query_id", "review_id").agg(F.sum(1.0 / (flat + F.col("rank"))).alias("score"), F.count(F.lit(1)).alias("n_keywords"))
+    return _best(fused, topk).select("query_id", "rank", "review_id", "score", "n_keywords")
+
+
 def matched_terms(index: SearchIndex, queries: DataFrame) -> DataFrame:
     """``query_id``, ``term``, ``place``: the terms that hold a token of the query, and the place in the query of the first such token."""
     asked = queries.select("query_id", F.posexplode(tokens("query", list(index.stop) or None)).alias("place", "part"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import cosine
-from quillon.ranking import grouped_rank
+from quillon.ranking import greatest_rows, grouped_rank
 from quillon.runtime import small
 
 
@@ -28,8 +28,9 @@ def top_decile_tags(aspects: DataFrame, tag_vectors: DataFrame, review_tag: Data
     keep = used.agg(F.greatest(F.lit(1), F.floor(F.lit(float(share)) * F.count(F.lit(1))).cast("int")).alias("keep"))
     sims = used.crossJoin(small(aspects, aspects.count(), 10_000)).withColumn("similarity", cosine(F.col("embedding"), F.col("vector")))
     sims = sims.select("aspect", "tag", "similarity", F.round("similarity", 9).alias("r"))
-    ranked = grouped_rank(sims, ["aspect"], [F.desc("r"), "tag"], "rank").crossJoin(F.broadcast(keep))
-    return ranked.filter("rank <= keep and similarity >= 0").select("aspect", "rank", "tag", "similarity")
+    wanted = aspects.select("aspect").distinct().crossJoin(F.broadcast(keep))
+    top = greatest_rows(sims, "aspect", "r", "tag", wanted).filter("similarity >= 0")
+    return grouped_rank(top, ["aspect"], [F.desc("r"), "tag"], "rank").select("aspect", "rank", "tag", "similarity")
 
 
 def vector_moments(vectors: DataFrame, col: str = "embedding") -> DataFrame:

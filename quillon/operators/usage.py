@@ -49,3 +49,23 @@ def latency_cost_report(log: DataFrame, rates: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.percentile("latency_ms", F.lit(0.5)).alias("p50"), F.percentile("latency_ms", F.lit(0.95)).alias("p95"),
         (F.sum("usd") / F.count(F.lit(1)) * 1000).alias("usd_per_1k"),
     )
+
+
+#: Size of latency sketches, and how far the rank of a quantile that is read off one may be from the asked one.
+SKETCH, SKETCH_ERROR = 400, 0.02
+
+
+def latency_sketches(log: DataFrame, keys: list[str] | None = None, size: int = SKETCH) -> DataFrame:
+    """A quantile sketch of ``latency_ms`` for each group (by default ``task`` and ``day``): ``n``, ``usd`` and ``sketch``.
+
+    A sketch takes a few kilobytes however many rows it stands for. Sketches of any groups can be merged, so one table of
+    them by day answers for any range of days; null latencies are left out of it.
+    """
+    return log.groupBy(*(keys or ["task", "day"])).agg(F.count(F.lit(1)).alias("n"), F.sum("usd").alias("usd"), F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), F.lit(size)).alias("sketch"))
+
+
+def report_from_sketches(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """:func:`latency_cost_report` from stored sketches, merged within ``by``: quantiles whose rank is off by ``SKETCH_ERROR`` at most."""
+    merged = sketches.groupBy(*(by or ["task"])).agg(F.sum("n").alias("n"), F.sum("usd").alias("usd"), F.kll_merge_agg_double("sketch").alias("s"))
+    at = [F.kll_sketch_get_quantile_double("s", F.lit(q)).alias(name) for name, q in (("p50", 0.5), ("p95", 0.95))]
+    return merged.select(*(by or ["task"]), "n", *at, (F.col("usd") / F.col("n") * 1000).alias("usd_per_1k"))

@@ -178,3 +178,16 @@ select min(pl).r as review_id, cast(min(pl).p as integer) as position, cast(sum(
 @query(NEAR)
 def near_dup_collapse(spark, sf_dir):
     return near_collapse(E.segment_reviews(reviews(spark, sf_dir)))
+
+
+KEYWORDS = "values (1, 'esat'), (1, 'ndon the'), (1, 'esat'), (2, 'estion'), (2, 'of'), (2, 'nosuchword'), (3, '')"
+
+
+@query(f"""{ctes('reviews')}, {bm25_sql(f"select distinct k as keyword, k as query from ({KEYWORDS}) t(i, k)", key='keyword')},
+rk as (select keyword, review_id, row_number() over (partition by keyword order by round(score, 9) desc, review_id) as r from sc where score > 0),
+fu as (select i as query_id, review_id, sum(1 / (60.0 + r)) as score, count(*) as n_keywords from rk join (select distinct * from ({KEYWORDS}) t(i, k)) on k = keyword where r <= 100 group by all)
+select query_id, rank, review_id, round(score::double, 6) as score, n_keywords from (select *, row_number() over (partition by query_id order by round(score::double, 9) desc, review_id) as rank from fu) where rank <= 20""")
+def fused_search(spark, sf_dir):
+    keywords = spark.sql(f"select * from {KEYWORDS} as t(query_id, keyword)")
+    found = S.fused_search(search_index(spark, sf_dir), keywords, topk=20)
+    return found.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})

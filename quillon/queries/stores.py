@@ -18,6 +18,7 @@ from quillon.registry import query
 from quillon.runtime import shared_path, table
 from quillon.sources import jsonlines as J
 from quillon.sources import store as S
+from quillon.sources.results import ResultStore
 from quillon.streaming import enrich_stream as streams
 
 CATEGORY = "case when {} % 3 = 0 then 'Pizza, Restaurants' when {} % 3 = 1 then 'Shopping' end"
@@ -76,7 +77,12 @@ def stored(spark, sf_dir):
 
 def _upsert(spark, sf_dir, overwrite):
     new = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.lit("tags").alias("task"), F.col("doc_id").alias("key"), F.lit("v").alias("tag"), F.lit(3).alias("version"), F.lit("c").alias("payload"))
-    return N.upsert(stored(spark, sf_dir), new, overwrite)
+    return _plain(ResultStore(spark, shared_path(spark, "results")).put(stored(spark, sf_dir), overwrite).put(new, overwrite).rows())
+
+
+def _plain(rows):
+    """Stored rows with the types of the SQL."""
+    return rows.select("task", F.col("key").cast("long").alias("key"), "tag", F.col("version").cast("int").alias("version"), "payload")
 
 
 def _upsert_sql(order: str) -> str:
@@ -93,6 +99,15 @@ def result_store_keep(spark, sf_dir):
     return _upsert(spark, sf_dir, False)
 
 
+@query("select 'tags' as task, doc_id as key, 'v' as tag, max(v) as version, arg_max(c, v) || any_value(n_chars) as payload from documents, (values (1, 'a', 3), (2, 'b', 9)) t(v, c, m) where doc_id % m = 0 and doc_id in (18, 21) group by doc_id")
+def result_store_get(spark, sf_dir):
+    """Results of two keys, read from their buckets after two puts."""
+    store = ResultStore(spark, shared_path(spark, "results"))
+    for rows in (stored(spark, sf_dir).filter("version = 1"), stored(spark, sf_dir).filter("version = 2")):
+        store = store.put(rows)
+    return _plain(store.get("18", task="tags").union(store.get("21", "v")))
+
+
 @query("select doc_id as key, n_chars from documents where doc_id % 3 <> 0")
 def pending_work(spark, sf_dir):
     return N.pending_work(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "n_chars"), stored(spark, sf_dir), ["key"])
@@ -218,6 +233,22 @@ def latency_cost_report(spark, sf_dir):
     return U.latency_cost_report(log, U.rate_card(spark)).withColumns({c: F.round(c, 6) for c in ("p50", "p95", "usd_per_1k")})
 
 
+@query(f"with {USAGE} select task, count(*) as n, round(sum(usd) / count(*) * 1000, 6) as usd_per_1k, true as p50_within, true as p95_within from priced group by task")
+def latency_sketch_report(spark, sf_dir):
+    """The report from sketches that are stored by task and day; whether the ranks of its quantiles are within the stated error."""
+    path = shared_path(spark, "sketches")
+    log = usage(spark, sf_dir).withColumn("latency_ms", (F.col("prompt_tokens") * 13 % 997).cast("double")).withColumn("day", F.col("completion_tokens") % 7)
+    U.latency_sketches(U.priced(log, U.rate_card(spark))).write.parquet(path)
+    found = U.report_from_sketches(spark.read.parquet(path))
+
+    def within(name, q):
+        low, upto = F.avg((F.col("latency_ms") < F.col(name)).cast("int")), F.avg((F.col("latency_ms") <= F.col(name)).cast("int"))
+        return ((low <= q + U.SKETCH_ERROR) & (upto >= q - U.SKETCH_ERROR)).alias(f"{name}_within")
+
+    ranks = log.select("task", "latency_ms").join(found.select("task", "p50", "p95"), "task").groupBy("task").agg(within("p50", 0.5), within("p95", 0.95))
+    return found.join(ranks, "task").select("task", "n", F.round("usd_per_1k", 6).alias("usd_per_1k"), "p50_within", "p95_within")
+
+
 TAG_CASE = "list_value('quiet-place', 'Loud', '', 'fine-food', 'good')[doc_id % 5 + 1]"
 
 
@@ -287,12 +318,22 @@ def enrich_tags(spark, sf_dir):
     return found.select("key", F.explode("tags").alias("t")).select("key", "t.name", "t.sentiment", "t.confidence")
 
 
-@query(f"""with {ctes('tag_vectors')[5:]}, v as (select tag, cast(embedding as double[]) as e from tag_vectors where tag % 3 > 0)
-select tag, cast(unnest(range(len(e))) as integer) as dim, round(unnest(e) / any_value(sqrt(list_dot_product(e, e))), 6) as x from v group by tag, e""")
+def hash_embedding(frames):
+    """Stands in for an embedding model: eight dimensions from a hash of the tag."""
+    import hashlib
+
+    for f in frames:
+        yield f.assign(embedding=[[int(hashlib.md5(f"{t}|{d}".encode()).hexdigest()[:4], 16) / 65535 - 0.5 for d in range(8)] for t in f["tag"]])
+
+
+@query(f"""{ctes('review_tag')}, x as (select tag, d as dim, ('0x' || substr(md5(tag || '|' || d), 1, 4))::int / 65535.0 - 0.5 as x from (select distinct tag from review_tag), range(8) r(d))
+select tag, dim::int as dim, round((x / sqrt(sum(x * x) over (partition by tag)))::double, 6) as x from x""")
 def enrich_embed(spark, sf_dir):
-    v = tag_vectors(spark, sf_dir)
-    found = N.pending_work(v, v.filter("tag % 3 = 0"), ["tag"]).withColumn("e", normalise(F.col("embedding")))
-    return found.select("tag", F.posexplode("e").alias("dim", "x")).withColumn("x", F.round("x", 6))
+    """Vectors of all tags in use: a model is applied to those that the store lacks, and what it gives is stored."""
+    path, tags = shared_path(spark, "vectors"), review_tag(spark, sf_dir).select("tag")
+    N.embed_missing(tags.filter("tag % 3 = 0"), path, hash_embedding, "double")
+    found = N.embed_missing(tags, path, hash_embedding, "double")
+    return found.select("tag", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
 @query(f"{ctes('review_tag')} select tag, count(*) as n from review_tag group by tag")

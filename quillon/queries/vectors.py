@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quillon.fixtures import ctes, review_tag, reviews, tag_vectors
 from quillon.functions.vectors import cosine
 from quillon.operators import tags as T
+from quillon.operators.cells import build_cells
+from quillon.operators.cells import nearest_by_cells as nearest
 from quillon.plans import synthesize as Y
 from quillon.registry import query
 from quillon.runtime import table
@@ -79,6 +81,13 @@ def nearest_vector(spark, sf_dir):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"with {MOMENTS}, {POINTS}, {NEAR} select point, vec_id, round(s, 6) as similarity from nr")
+def nearest_by_cells(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    found = nearest(T.sample_points(T.vector_moments(v), 24), build_cells(v, "vec_id"))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 FIRST = """fs as (select vec_id, 0 as part, lpad(cast(min(point) as varchar), 20, '0') as place from nr group by vec_id
  union all select vec_id, 1, md5('42|' || vec_id) from embeddings where vec_id not in (select vec_id from nr)),
 ch as (select row_number() over (order by part, place, vec_id) as position, vec_id from fs order by part, place, vec_id limit 40)"""

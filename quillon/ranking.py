@@ -1,4 +1,4 @@
-"""Ranks and running sums within groups of any size: ranges of the order instead of one window task per group."""
+"""Ranks, running sums and the greatest rows of groups of any size: ranges and histograms instead of a window task per group."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.runtime import save_stage
+from quillon.runtime import measured, save_measured, save_stage
+
+#: Steps of a histogram, and rows within one step that are few enough to be ordered.
+STEPS, FEW = 512, 4_096
 
 
 def range_partitioned(df: DataFrame, keys: list[str | Column], label: str) -> DataFrame:
@@ -39,3 +42,35 @@ def grouped_sum(df: DataFrame, group: list[str], order: list[str | Column], valu
 def grouped_rank(df: DataFrame, group: list[str], order: list[str | Column], out: str) -> DataFrame:
     """Add ``out``: 1, 2, ... by ``order`` within ``group`` (``order`` must be total within a group)."""
     return grouped_sum(df, group, order, F.lit(1), out)
+
+
+def greatest_rows(df: DataFrame, group: str, value: str, tie: str, keep: DataFrame) -> DataFrame:
+    """The rows of each ``group`` with the greatest ``value`` (a double; null is least), as many as ``keep`` (``group``, ``keep``) says; ties: least ``tie``.
+
+    The value that the last of them has is found without ordering a group: a histogram between the least and the greatest
+    value tells the step that it lies in, which the next round divides again, until the step holds few rows or one value.
+    Whatever lies above is taken, and only rows within that step are ranked. The rounds are the logarithm of the group's size
+    to the base ``STEPS`` on even values, and each shuffles no more than ``STEPS`` counts of a group from a task.
+    """
+    v = F.coalesce(F.col(value), F.lit(float("-inf")))
+    rows = save_stage(df.withColumn("__value", F.when(F.isnan(v), float("-inf")).otherwise(F.greatest(v, F.lit(-1.7e308)))), "values")
+    wide = rows.groupBy(group).agg(F.min("__value").alias("lo"), F.max("__value").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    state = save_stage(wide.join(keep, group).filter("keep > 0").select(group, "lo", "hi", "rows", F.col("keep").cast("long").alias("need")), "steps")
+    settled = None
+    while True:
+        over = (F.col("rows") > FEW) & (F.col("lo") < F.col("hi")) & (F.col("need") < F.col("rows"))
+        done, todo = state.filter(~over), state.filter(over)
+        settled = done if settled is None else settled.union(done)
+        if todo.isEmpty():
+            break
+        # halves first, as the difference of two doubles may overflow
+        at = F.floor((F.col("hi") / 2 - F.col("__value") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * STEPS)
+        inside = rows.select(group, "__value").join(measured(todo), group).filter("__value between lo and hi")
+        counts = inside.groupBy(group, "need", F.least(at, F.lit(STEPS - 1)).alias("step")).agg(F.min("__value").alias("lo"), F.max("__value").alias("hi"), F.count(F.lit(1)).alias("rows"))
+        upto = F.sum("rows").over(W.partitionBy(group).orderBy("step"))  # at most STEPS rows of a group
+        chosen = counts.withColumn("upto", upto).filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("rows") < F.col("need")))
+        state = save_stage(chosen.select(group, "lo", "hi", "rows", (F.col("need") - F.col("upto") + F.col("rows")).alias("need")), "steps")
+    bounds = save_measured(settled, "bounds")
+    near = rows.join(bounds, group).filter("__value >= lo")
+    inside = grouped_rank(near.filter("__value <= hi"), [group], [F.desc("__value"), tie], "__r").filter("__r <= need")
+    return near.filter("__value > hi").select(*df.columns).union(inside.select(*df.columns))

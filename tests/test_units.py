@@ -13,6 +13,7 @@ from quillon.functions import text as X
 from quillon.functions.geo import haversine
 from quillon.operators import clean as C
 from quillon.operators import enrich as N
+from quillon.operators import cells as V
 from quillon.operators import evaluate as E
 from quillon.operators import geo as G
 from quillon.operators import index as I
@@ -21,8 +22,10 @@ from quillon.operators import tags as T
 from quillon.operators import usage as U
 from quillon.operators.segments import near_collapse
 from quillon.plans import recommend as R
-from quillon.ranking import grouped_rank, grouped_sum
+from quillon import ranking
+from quillon.ranking import greatest_rows, grouped_rank, grouped_sum
 from quillon.sources import jsonlines as J
+from quillon.sources import results as Q
 from quillon.sources import store as M
 from quillon.streaming.enrich_stream import stream_enrich
 
@@ -477,3 +480,128 @@ def test_medians_of_large_and_small_groups_agree(spark):
     p = spark.createDataFrame(rows, "u int, lat double, lon double")
     one, two = ({r.u: (r.n, round(r.center_lat, 6), round(r.center_lon, 6)) for r in G.geometric_median(p, "u", in_row=k).collect()} for k in (10_000, 3))
     assert one == two and len(one) == 8 and one[50] == (4, 1.0, 2.0)
+
+
+def test_nearest_vectors_by_cells(spark):
+    """Equal to all products, ties and zero vectors included; on clustered vectors under half of the pairs are compared."""
+    rng = random.Random(2)
+    hubs = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(8)]
+    rows = [(i, [x + rng.gauss(0, 0.05) for x in hubs[i % 8]]) for i in range(400)]
+    rows += [(900, rows[5][1]), (901, [0.0] * 12), (902, None)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    points = spark.createDataFrame([(p, rows[p * 7][1]) for p in range(30)] + [(40, [0.0] * 12)], "point long, vector array<double>")
+    report = {}
+    got = {r.point: (r.id, round(r.similarity, 8)) for r in V.nearest_by_cells(points, V.build_cells(v, "id", 8), report).collect()}
+    want = {r.point: (r.id, round(r.similarity, 8)) for r in T.nearest_vector(points, v.filter("embedding is not null"), "id").collect()}
+    assert got == want and report["read"] < report["all"] / 2
+    assert V.nearest_by_cells(points, V.build_cells(v.limit(0), "id")).count() == 0
+    assert V.nearest_by_cells(points, V.build_cells(v.limit(1), "id")).count() == 31
+
+
+@pytest.mark.parametrize("few", [4096, 3])
+def test_greatest_rows_of_groups(spark, monkeypatch, few):
+    """Even, tied, null and infinite values: the same rows as by a full order, also when histograms are refined to the end."""
+    monkeypatch.setattr(ranking, "FEW", few)
+    monkeypatch.setattr(ranking, "STEPS", 8)
+    rng = random.Random(6)
+    rows = [("even", i, rng.random()) for i in range(200)] + [("ties", i, float(i % 3)) for i in range(90)] + [("one", i, 7.0) for i in range(20)]
+    rows += [("odd", 1, None), ("odd", 2, float("inf")), ("odd", 3, float("-inf")), ("odd", 4, 1e308), ("odd", 5, -1e308), ("odd", 6, float("inf")), ("odd", 7, 0.0)]
+    df = spark.createDataFrame(rows, "g string, i long, v double")
+    keep = {"even": 31, "ties": 35, "one": 4, "odd": 3, "absent": 5}
+    want = {(g, i) for g, k in keep.items() for _, i in sorted((-math.inf if v is None else v, -i) for h, i, v in rows if h == g)[::-1][:k] for i in [-i]}
+    got = greatest_rows(df, "g", "v", "i", spark.createDataFrame(list(keep.items()), "g string, keep int")).collect()
+    assert {(r.g, r.i) for r in got} == want and len(got) == len(want)
+    assert greatest_rows(df, "g", "v", "i", spark.createDataFrame([("even", 0)], "g string, keep int")).count() == 0
+
+
+def test_result_store(spark, tmp_path, monkeypatch):
+    def rows(*r):
+        return spark.createDataFrame(r, "task string, city string, key string, tag string, version int, payload string")
+
+    def all_of(store):
+        return sorted((r.city, r.key, r.tag, r.version, r.payload) for r in store.rows().collect())
+
+    path = str(tmp_path / "s")
+    empty = Q.ResultStore(spark, path)
+    assert empty.rows().count() == 0 and empty.get("k").count() == 0
+    one = empty.put(rows(("t", "a", "k1", "x", 1, "p"), ("t", None, "k1", "y", 1, "p"), ("t", "b", "k1", "x", 1, "other city"), ("t", "a", None, "x", 1, "no key")))
+    two = one.put(rows(("t", "a", "k1", "x", 2, "newer"), ("t", "a", "k1", "x", 0, "older"), ("t", "a", "kä", "x", 1, "q")))
+    assert all_of(two) == [("", "k1", "y", 1, "p"), ("a", "k1", "x", 2, "newer"), ("a", "kä", "x", 1, "q"), ("b", "k1", "x", 1, "other city")]
+    assert [r.payload for r in two.get("k1", "x", city="a").collect()] == ["newer"] and two.get("kä", task="t").count() == 1 and two.get("k2").count() == 0
+    assert len(two.get("k1").inputFiles()) <= 8 and all("bucket=" in f for f in two.get("k1").inputFiles())
+    kept = two.put(rows(("t", "a", "k1", "x", 9, "late"), ("t", "a", "k3", "x", 1, "r")), overwrite=False)
+    assert [r.payload for r in kept.get("k1", "x", city="a").collect()] == ["newer"] and kept.get("k3").count() == 1
+    with monkeypatch.context() as m:
+        m.setattr(Q.ResultStore, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("cut off")))
+        with pytest.raises(RuntimeError):
+            kept.put(rows(("t", "a", "k1", "x", 99, "never seen")))
+    assert all_of(Q.ResultStore(spark, path)) == all_of(kept)
+    assert all_of(Q.ResultStore(spark, path, version=one.version)) == all_of(one)  # earlier versions stay
+    untouched = {b: f for b, f in one.folders.items() if b not in {k for k, f in two.folders.items() if f != one.folders.get(k)}}
+    assert all(two.folders[b] == f for b, f in untouched.items()) and kept.put(kept.rows().limit(0)).version == kept.version
+
+
+def test_a_stored_vector_is_not_made_again(spark, tmp_path):
+    path, seen = str(tmp_path / "v"), str(tmp_path / "seen")
+    tags = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "tag string")
+
+    def model(frames):
+        for f in frames:
+            for t in f["tag"]:
+                with open(seen, "a") as log:
+                    log.write(t)
+            yield f.assign(embedding=[[3.0, 4.0]] * len(f))
+
+    N.embed_missing(tags, path, model)
+    got = N.embed_missing(tags.union(spark.createDataFrame([("c",)], "tag string")), path, model).collect()
+    assert sorted(open(seen).read()) == ["a", "b", "c"] and {r.tag for r in got} == {"a", "b", "c"}
+    assert [round(x, 5) for x in got[0].embedding] == [0.6, 0.8]
+
+
+def test_a_diverse_choice_scores_few_items_anew(spark):
+    rng = random.Random(9)
+    s = [(q, i, round(rng.random(), 3)) for q in (1, 2) for i in range(80)]
+    tags = [(i, rng.randrange(12)) for i in range(80) for _ in range(3)]
+    want = {}
+    held = {i: {t for j, t in tags if j == i} for i in range(80)}
+    for q in (1, 2):
+        left, used = {i: v for p, i, v in s if p == q}, set()
+        for place in range(1, 5):
+            i = min(left, key=lambda i: (-round(left[i] - 0.1 * len(held[i] & used), 9), i))
+            want[q, place] = (i, round(left.pop(i) - 0.1 * len(held[i] & used), 9))
+            used |= held[i]
+    report = {}
+    got = E.diverse_topk(spark.createDataFrame(s, "query_id int, item_id long, score double"), spark.createDataFrame(tags, "item_id long, tag int"), k=4, batch=4, report=report).collect()
+    assert {(r.query_id, r.place): (r.item_id, round(r.score, 9)) for r in got} == want and report["rescored"] < 4 * len(s) / 2
+
+
+def test_pruning_by_what_was_removed(spark):
+    """Equal to counting all edges in every pass."""
+    rng = random.Random(4)
+    edges = [(rng.randrange(30), rng.randrange(20)) for _ in range(160)] + [(99, 1), (None, 2), (1, None)]
+    e = spark.createDataFrame(edges, "user_id int, item_id int")
+    users, items = spark.range(30).select(F.col("id").cast("int").alias("user_id")), spark.range(20).select(F.col("id").cast("int").alias("item_id"))
+    for passes in (0, 1, 2, 6):
+        u, i = set(range(30)), set(range(20))
+        now = [x for x in edges if x[0] in u and x[1] in i]
+        for _ in range(passes):
+            u, i = {x for x in u if sum(a == x for a, _ in now) >= 5}, {x for x in i if sum(b == x for _, b in now) >= 7}
+            now = [x for x in now if x[0] in u and x[1] in i]
+        got = C.core_prune(e, users, items, 5, 7, passes)
+        assert sorted(tuple(r) for r in got[0].collect()) == sorted(now)
+        assert {r[0] for r in got[1].collect()} == u and {r[0] for r in got[2].collect()} == i
+
+
+def test_quantiles_from_merged_sketches(spark):
+    log = spark.range(20_000).selectExpr("id % 2 as task", "id % 30 as day", "cast((id * 7919) % 10007 as double) as latency_ms", "0.5 as usd")
+    got = {r.task: r for r in U.report_from_sketches(U.latency_sketches(log).filter("day < 15")).collect()}
+    exact = {r.task: r for r in log.filter("day < 15").groupBy("task").agg(F.count("*").alias("n"), F.expr("percentile(latency_ms, array(0.48, 0.52, 0.93, 0.97))").alias("p")).collect()}
+    for task, r in got.items():
+        assert r.n == exact[task].n and exact[task].p[0] <= r.p50 <= exact[task].p[1] and exact[task].p[2] <= r.p95 <= exact[task].p[3] and r.usd_per_1k == 500
+
+
+def test_keywords_are_fused_by_rank(spark):
+    r = spark.createDataFrame([(1, 1, "tea cake"), (2, 1, "tea"), (3, 1, "pie"), (4, 1, "cake cake pie")], "review_id long, item_id long, text string")
+    k = spark.createDataFrame([(1, "tea"), (1, "cake"), (1, "cake"), (2, "zz"), (3, None)], "query_id int, keyword string")
+    got = [(x["rank"], x.review_id, round(x.score, 6), x.n_keywords) for x in S.fused_search(r, k).orderBy("rank").collect()]
+    assert got == [(1, 1, round(1 / 62 + 1 / 62, 6), 2), (2, 2, round(1 / 61, 6), 1), (3, 4, round(1 / 61, 6), 1)]
