@@ -142,8 +142,10 @@ def _publish(spark: SparkSession, path: str, version: int, segments: list) -> No
 def _substrings(term: Column, size: int) -> Column:
     """Distinct substrings of ``size`` code points."""
     points = F.split(term, "")
-    starts = F.when(F.size(points) >= size, F.sequence(F.lit(0), F.greatest(F.size(points) - size, F.lit(0))))
-    return F.array_distinct(F.transform(starts, lambda i: F.concat(*[F.get(points, i + k) for k in range(size)])))
+    runs = points
+    for k in range(1, size):  # pairs, triples, ... of neighbours; those that go beyond the end are null
+        runs = F.zip_with(runs, F.slice(points, k + 1, F.size(points)), lambda x, y: F.concat(x, y))
+    return F.array_distinct(F.array_compact(runs))
 
 
 def write_segment(reviews: DataFrame, path: str, segment: int, stop: list[str] | None = None, tag_model: Callable | None = None) -> tuple:

@@ -10,6 +10,7 @@ from quillon.runtime import measured, save_measured, save_stage
 
 #: Steps of a histogram, and rows within one step that are few enough to be ordered.
 STEPS, FEW = 512, 4_096
+_MOST = 1.7e308
 
 
 def range_partitioned(df: DataFrame, keys: list[str | Column], label: str) -> DataFrame:
@@ -45,15 +46,16 @@ def grouped_rank(df: DataFrame, group: list[str], order: list[str | Column], out
 
 
 def greatest_rows(df: DataFrame, group: str, value: str, tie: str, keep: DataFrame) -> DataFrame:
-    """The rows of each ``group`` with the greatest ``value`` (a double; null is least), as many as ``keep`` (``group``, ``keep``) says; ties: least ``tie``.
+    """The rows of each ``group`` with the greatest ``value`` (a double; null, NaN and what is beyond 1.7e308 count as least, least and that), as many as ``keep`` (``group``, ``keep``) says; ties: least ``tie``.
 
     The value that the last of them has is found without ordering a group: a histogram between the least and the greatest
     value tells the step that it lies in, which the next round divides again, until the step holds few rows or one value.
     Whatever lies above is taken, and only rows within that step are ranked. The rounds are the logarithm of the group's size
     to the base ``STEPS`` on even values, and each shuffles no more than ``STEPS`` counts of a group from a task.
     """
-    v = F.coalesce(F.col(value), F.lit(float("-inf")))
-    rows = save_stage(df.withColumn("__value", F.when(F.isnan(v), float("-inf")).otherwise(F.greatest(v, F.lit(-1.7e308)))), "values")
+    v = F.nanvl(F.coalesce(F.col(value), F.lit(-_MOST)), F.lit(-_MOST))
+    # finite ends: the least and the greatest value of a step fall into different steps of the next round, so each makes it smaller
+    rows = save_stage(df.withColumn("__value", F.greatest(F.lit(-_MOST), F.least(F.lit(_MOST), v))), "values")
     wide = rows.groupBy(group).agg(F.min("__value").alias("lo"), F.max("__value").alias("hi"), F.count(F.lit(1)).alias("rows"))
     state = save_stage(wide.join(keep, group).filter("keep > 0").select(group, "lo", "hi", "rows", F.col("keep").cast("long").alias("need")), "steps")
     settled = None

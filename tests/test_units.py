@@ -333,7 +333,7 @@ def test_blocks_that_cannot_win_are_not_read(spark, tmp_path):
     """Same best reviews as by full scores, ties included, from under a third of the postings of frequent terms."""
     r = spark.range(20_000).select(
         F.col("id").alias("review_id"), (F.col("id") % 7).alias("item_id"),
-        F.expr("concat_ws(' ', 'common', case when id % 3 = 0 then 'often' end, repeat('pad ', cast(id % 200 as int)), case when id % 5999 = 0 then 'rare rare' end)").alias("text"),
+        F.expr("concat_ws(' ', 'common', concat('w', id), case when id % 3 = 0 then 'often' end, repeat('pad ', cast(id % 200 as int)), case when id % 5999 = 0 then 'rare rare' end)").alias("text"),
     )
     index = S.build_index(r, str(tmp_path / "i"))
     q = spark.createDataFrame([(1, "often common"), (3, "absent"), (4, "often often pad rare")], "query_id int, query string")
@@ -508,7 +508,7 @@ def test_greatest_rows_of_groups(spark, monkeypatch, few):
     rows += [("odd", 1, None), ("odd", 2, float("inf")), ("odd", 3, float("-inf")), ("odd", 4, 1e308), ("odd", 5, -1e308), ("odd", 6, float("inf")), ("odd", 7, 0.0)]
     df = spark.createDataFrame(rows, "g string, i long, v double")
     keep = {"even": 31, "ties": 35, "one": 4, "odd": 3, "absent": 5}
-    want = {(g, i) for g, k in keep.items() for _, i in sorted((-math.inf if v is None else v, -i) for h, i, v in rows if h == g)[::-1][:k] for i in [-i]}
+    want = {(g, i) for g, k in keep.items() for _, i in sorted((max(-1.7e308, min(1.7e308, -math.inf if v is None else v)), -i) for h, i, v in rows if h == g)[::-1][:k] for i in [-i]}
     got = greatest_rows(df, "g", "v", "i", spark.createDataFrame(list(keep.items()), "g string, keep int")).collect()
     assert {(r.g, r.i) for r in got} == want and len(got) == len(want)
     assert greatest_rows(df, "g", "v", "i", spark.createDataFrame([("even", 0)], "g string, keep int")).count() == 0
@@ -601,7 +601,7 @@ def test_quantiles_from_merged_sketches(spark):
 
 
 def test_keywords_are_fused_by_rank(spark):
-    r = spark.createDataFrame([(1, 1, "tea cake"), (2, 1, "tea"), (3, 1, "pie"), (4, 1, "cake cake pie")], "review_id long, item_id long, text string")
+    r = spark.createDataFrame([(1, 1, "tea cake"), (2, 1, "tea"), (3, 1, "pie"), (4, 1, "cake cake pie"), *[(i, 1, "x") for i in range(5, 12)]], "review_id long, item_id long, text string")
     k = spark.createDataFrame([(1, "tea"), (1, "cake"), (1, "cake"), (2, "zz"), (3, None)], "query_id int, keyword string")
     got = [(x["rank"], x.review_id, round(x.score, 6), x.n_keywords) for x in S.fused_search(r, k).orderBy("rank").collect()]
     assert got == [(1, 1, round(1 / 62 + 1 / 62, 6), 2), (2, 2, round(1 / 61, 6), 1), (3, 4, round(1 / 61, 6), 1)]
