@@ -588,7 +588,7 @@ def test_pruning_by_what_was_removed(spark):
             u, i = {x for x in u if sum(a == x for a, _ in now) >= 5}, {x for x in i if sum(b == x for _, b in now) >= 7}
             now = [x for x in now if x[0] in u and x[1] in i]
         got = C.core_prune(e, users, items, 5, 7, passes)
-        assert sorted(tuple(r) for r in got[0].collect()) == sorted(now)
+        assert sorted(tuple(r) for r in got[0].select("user_id", "item_id").collect()) == sorted(now)
         assert {r[0] for r in got[1].collect()} == u and {r[0] for r in got[2].collect()} == i
 
 
