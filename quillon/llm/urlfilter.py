@@ -120,7 +120,7 @@ def match_rules(rows: DataFrame, rules: DataFrame, host: str = "host", path: str
     A rule (``host``, ``path``, ``verdict``) fits its host and the hosts below it, on paths that begin with the rule's. A
     host is looked up once for each number of labels that rule hosts have, so hosts with thousands of labels cost no more;
     no row is multiplied. The rules are broadcast if they are small, else the join shuffles, and a host with a third of all
-    rows is split as a skewed join. Equally long rules: the one of the longer host wins.
+    rows is split as a skewed join. Equally long rules: the one of the longer host wins. Rules without a host fit nothing.
     """
     packed = save_stage(_packed(rules).withColumn("__labels", F.size(F.split("__rule_host", r"\."))), "rules")
     counts = {r["__labels"]: r["n"] for r in packed.groupBy("__labels").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a number of labels

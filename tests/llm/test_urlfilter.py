@@ -18,7 +18,7 @@ def split(url):
 
 
 def ruled(host, path, rules):
-    fits = [(len(h) + len(p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(h) + len(p), len(h), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[2:] if fits else (None, None)
 
 
