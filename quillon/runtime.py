@@ -84,6 +84,8 @@ def save_measured(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> Dat
     seen = Observation()
     saved = save_stage(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)[0]).alias("size")), label)
     got = seen.get
+    if "rows" not in got:  # a plan that was found empty observes nothing
+        return measured(saved, limit)
     return F.broadcast(saved) if got["rows"] <= limit and (got["size"] or 0) <= BROADCAST_BYTES else saved
 
 
