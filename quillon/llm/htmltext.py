@@ -2,10 +2,11 @@
 
 Each page becomes text lines (one per block). Markup tells what a line is: ``chrome`` (menus, headers, footers, sidebars,
 notices, adverts, forms, comments), ``body`` (inside an article or main element), ``maybe`` (inside one, in a block whose name
-speaks of sharing or of related pages) or ``open`` (none of these). Pages are then paired with the neighbour of the most similar
+speaks of sharing, of related pages or of what is chrome elsewhere, like ``notice``) or ``open`` (none of these). Pages are then paired with the neighbour of the most similar
 URL path within their host, and the lines of both are aligned by a longest common subsequence. Shared lines are deleted: open
 and maybe lines and lines of links at once, prose of a body if it is shared all over the host, since articles quote each other.
-Two pages that share nearly all their text are copies, not siblings of one template, and delete nothing from each other.
+Two pages that share nearly all their text are copies or stubs of one template. Stubs are told by their host: of such a pair
+open lines, maybe lines and lines of links go that nearly all pages of the host share, in several different pages.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from quillon.ranking import range_partitioned
 from quillon.runtime import save_stage, ship_package, small
 
 CHROME, OPEN, BODY, LINK, MAYBE = 0, 1, 2, 3, 4
-#: Share of a page's lines from which a pair counts as copies.
-COPY_SHARE = 0.9
+#: Share of a page's lines from which a pair counts as copies, and different pages that show that they are stubs.
+COPY_SHARE, COPY_VERSIONS = 0.9, 3
 #: Pages of a host (share and least number) that share a line of prose with their pairs, from which it counts as template.
 HOST_SHARE, HOST_PAGES = 0.8, 5
 #: Bits of alignment masks that are kept at a time.
@@ -46,7 +47,7 @@ _ALWAYS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer contentinfo ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion "
     "comment comments disqus respond reply replies cookie cookies consent gdpr newsletter subscribe subscription share sharing social related recommended recommendations pagination pager".split()
 )
-# of these, what is no contract of its own: within an article differencing decides
+# of these, what is no contract of its own: within an article differencing decides, as it does on names of the second kind
 _SOCIAL = frozenset("share sharing social related recommended recommendations".split())
 _OFTEN = frozenset("header masthead banner notice notices alert complementary widget toolbar search login signup popup modal overlay skip dialog form".split())
 _ABOUT = frozenset("article post entry content main story body text title headline".split())
@@ -111,12 +112,12 @@ def _is_chrome(tag: str, attrs: str, inside: bool) -> int:
     values = [m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id") or (m[1].lower() == "role" and tag not in ("article", "main"))]
     if tag in ("article", "main"):
         return _SURE if tag == "article" and any(_named(v, _ANSWER) for v in values) else 0
-    if inside and any(_named(v, _SOCIAL) for v in values) and not any(_named(v, _ALWAYS - _SOCIAL) for v in values):
-        return _UNSURE
-    if any(_named(v, _ALWAYS) for v in values):
+    if any(_named(v, _ALWAYS - _SOCIAL if inside else _ALWAYS) for v in values):
         return _NAMED
+    if inside and any(_named(v, _SOCIAL) for v in values):
+        return _UNSURE
     if any(_named(v, _OFTEN) for v in values) and _ABOUT.isdisjoint(x.lower() for v in values for x in _NAME.findall(v)):
-        return _NAMED
+        return _UNSURE if inside else _NAMED
     return 0
 
 
@@ -313,25 +314,27 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line that can be deleted and that the page shares with its pair; none if the two are copies.
+    """A row for each line that can be deleted and that the page shares with its pair, with the digest of all its lines and
+    whether the two count as copies; prose of copies has none.
 
     A page with maybe lines also gives a row with place -1, which tells that it has a pair.
     """
-    names = (("row", pa.int64()), ("host", pa.string()), ("at", pa.int32()), ("kind", pa.int8()), ("line", pa.int64()))
+    names = (("row", pa.int64()), ("host", pa.string()), ("at", pa.int32()), ("kind", pa.int8()), ("line", pa.int64()), ("version", pa.int64()), ("copy", pa.bool_()))
     for batch in batches:
         out = []
-        for row, host, kinds, mine, other in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "kinds", "mine", "other")), strict=True):
+        for row, host, version, kinds, mine, other in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "version", "kinds", "mine", "other")), strict=True):
             if MAYBE in kinds:
-                out.append((row, host, -1, MAYBE, None))
+                out.append((row, host, -1, MAYBE, None, version, False))
             same = common_subsequence(mine, other)
-            if len(same) < COPY_SHARE * len(mine):
-                has_body = any(k in (BODY, LINK) for k in kinds)
-                out += [(row, host, i, kinds[i], mine[i]) for i in same if kinds[i] > OPEN or kinds[i] == OPEN and not has_body]
+            copy, has_body = len(same) >= COPY_SHARE * len(mine), any(k in (BODY, LINK) for k in kinds)
+            kept = (LINK, MAYBE, *[BODY] * (not copy), *[OPEN] * (not has_body))
+            out += [(row, host, i, kinds[i], mine[i], version, copy) for i in same if kinds[i] in kept]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(names)], [n for n, _ in names])
 
 
 def nearest_pairs(pages: DataFrame) -> DataFrame:
-    """Pair each row (``row``, ``host``, ``path``, ``kinds``, ``mine``) with the neighbour by path within its host: adds ``other``.
+    """Pair each row (``row``, ``host``, ``path``, ``kinds``, ``mine``) with the neighbour by path within its host: adds
+    ``other`` and ``version``, a digest of ``mine``.
 
     Of the neighbours before and after in the order of paths, the one with the longer common path prefix; on ties the one
     before. Rows are dealt by ranges of host and path, so a host of any size spreads over tasks; each range also
@@ -353,23 +356,25 @@ def nearest_pairs(pages: DataFrame) -> DataFrame:
 
     near = near.withColumns({"p": alike("prev"), "n": alike("next")})
     other = F.when(F.coalesce("p", F.lit(-1)) >= F.coalesce("n", F.lit(-1)), F.col("prev.mine")).otherwise(F.col("next.mine"))
-    return near.filter("p is not null or n is not null").select("row", "host", "kinds", "mine", other.alias("other"))
+    return near.filter("p is not null or n is not null").select("row", "host", F.xxhash64("mine").alias("version"), "kinds", "mine", other.alias("other"))
 
 
 def deletions(keyed: DataFrame) -> DataFrame:
     """What differencing deletes from each page (``row``, ``host``, ``path``, ``kinds``, ``mine``) that has a pair: ``row``, ``drop`` (places).
 
-    Shared lines that are open, maybe or links go; shared prose goes if pages all over the host share it with their pairs,
-    which is counted per host and line. A page with maybe lines and a pair has a row even if nothing is deleted from it.
+    Shared lines that are open, maybe or links go, those of copies only if all over the host several different pages share
+    them; shared prose goes if pages all over the host share it with their pairs. Both are counted per host and line. A page
+    with maybe lines and a pair has a row even if nothing is deleted from it.
     """
-    shared = nearest_pairs(keyed).mapInArrow(_shared, "row long, host string, at int, kind byte, line long")
-    shared = save_stage(shared, "shared")
+    shared = nearest_pairs(keyed).mapInArrow(_shared, "row long, host string, at int, kind byte, line long, version long, copy boolean")
+    shared = save_stage(shared.withColumn("prose", F.col("kind") == BODY), "shared")
     sizes = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    prose = shared.filter(F.col("kind") == BODY).groupBy("host", "line").agg(F.countDistinct("row").alias("n")).filter(F.col("n") >= HOST_PAGES)
-    common = prose.join(sizes, "host").filter(F.col("n") >= HOST_SHARE * F.col("pages"))
-    common = save_stage(common.select("host", "line", F.lit(True).alias("common")), "common")
-    judged = shared.join(small(common, common.count(), 100_000), ["host", "line"], "left")
-    return judged.filter((F.col("kind") != BODY) | F.col("common")).groupBy("row").agg(F.collect_set("at").alias("drop"))
+    held = shared.filter("at >= 0").groupBy("host", "line", "prose").agg(F.countDistinct("row").alias("n"), F.countDistinct("version").alias("versions"), F.max("copy").alias("copy"))
+    held = held.filter(F.when(F.col("prose"), F.col("n") >= HOST_PAGES).otherwise(F.col("copy") & (F.col("versions") >= COPY_VERSIONS)))
+    common = held.join(sizes, "host").filter(F.col("n") >= HOST_SHARE * F.col("pages"))
+    common = save_stage(common.select("host", "line", "prose", F.lit(True).alias("common")), "common")
+    judged = shared.join(small(common, common.count(), 100_000), ["host", "line", "prose"], "left")
+    return judged.filter(~(F.col("prose") | F.col("copy")) | F.col("common")).groupBy("row").agg(F.collect_set("at").alias("drop"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -377,8 +382,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     If a page has an article or main element with text, its text is that of these elements; else it is that of all blocks
     that markup does not mark as chrome. Maybe lines of pages that have no pair go. Null html has no text. Pages without a
-    host (null or odd URLs) share the host ''. Repeated rows repeat (as copies, they delete nothing from each other); other
-    columns are ignored.
+    host (null or odd URLs) share the host ''. Repeated rows repeat (as copies of one page, they alone delete nothing from each
+    other); other columns are ignored.
     """
     ship_package(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

@@ -112,6 +112,20 @@ def test_names_of_sharing_within_an_article_are_judged_by_differencing(spark):
     assert got[8] == ["Own text 8.", "One", "End of 8.", "Subscribe to our letter", "More of 8"]
 
 
+def test_evidence_of_the_host_goes_before_names(spark):
+    menu, foot = "".join(f"<div>Menu {j}</div>" for j in range(12)), "".join(f"<div>Foot {j}</div>" for j in range(8))
+    rows = [(i, f"http://stubs/{i}", f"{menu}<div>Only of {i}</div>{foot}") for i in range(4)]
+    rows += [(10 + i, f"http://copies/{i}", f"{menu}<div>One text</div>{foot}") for i in range(4)]
+    rows += [(20 + i, f"http://bare/{i // 5}/{i}", f"<div>Home</div><div>Shop</div><p>First of {i}</p><p>Second of {i}</p><div>Imprint</div>") for i in range(20)]
+    verbs = '<article><section id="modal"><p>Modal verbs {0}</p></section><div class="notice"><p>Mind the {0}</p><p>Closed on Sundays</p></div><p>End {0}</p></article>'
+    rows += [(50 + i, f"http://verbs/{i}", verbs.format(i)) for i in range(3)] + [(60, "http://single/", verbs.format(0))]
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"Only of {i}" for i in range(4)]
+    assert all(got[10 + i].split("\n")[12] == "One text" and got[10 + i].count("\n") == 20 for i in range(4))
+    assert all(got[20 + i] == f"First of {i}\nSecond of {i}" for i in range(20))
+    assert all(got[50 + i] == f"Modal verbs {i}\nMind the {i}\nEnd {i}" for i in range(3)) and got[60] == "End 0"
+
+
 def plain_extract(rows):
     """The whole query by loops: pairs by position in the sorted host, a table of lengths, counts per host."""
     parsed = []
@@ -120,22 +134,34 @@ def plain_extract(rows):
         m = re.match(r"[a-z][a-z0-9+.-]*://([^/?#]*)([^?#]*)", (url or "").lower())
         parsed.append((m[1] if m else "", m[2] if m else re.match(r"[^?#]*", (url or "").lower())[0], n, lines, kinds))
     parsed.sort(key=lambda p: p[:3])
-    shared, paired, pages = {}, set(), Counter(p[0] for p in parsed)
+    shared, copies, paired, pages = {}, set(), set(), Counter(p[0] for p in parsed)
     for at, (host, path, n, lines, kinds) in enumerate(parsed):
         near = [(len(os.path.commonprefix([path, q[1]])) + (path != q[1] or 1), -k, q[3]) for k, q in enumerate(parsed[max(0, at - 1) : at] + parsed[at + 1 : at + 2]) if q[0] == host]
         if near:
             paired.add(n)
             same = H.common_subsequence(lines, max(near)[2])
-            shared[n] = [] if len(same) >= 0.9 * len(lines) else same
+            shared[n] = same
+            if len(same) >= 0.9 * len(lines):
+                copies.add(n)
     kinds_of, lines_of, host_of = ({p[2]: p[k] for p in parsed} for k in (4, 3, 0))
-    prose = Counter((host_of[n], x) for n, same in shared.items() for x in {lines_of[n][i] for i in same if kinds_of[n][i] == H.BODY})
+    bodies = {n for n, kinds in kinds_of.items() if H.BODY in kinds or H.LINK in kinds}
+    holders = {}
+    for n, same in shared.items():
+        for i in same:
+            prose = kinds_of[n][i] == H.BODY
+            if kinds_of[n][i] in (H.LINK, H.MAYBE) or prose and n not in copies or kinds_of[n][i] == H.OPEN and n not in bodies:
+                holders.setdefault((host_of[n], lines_of[n][i], prose), set()).add(n)
     out = []
     for n, (page, _, _) in enumerate(rows):
-        kinds, same, body = kinds_of[n], set(shared.get(n, ())), any(k in (H.BODY, H.LINK) for k in kinds_of[n])
+        kinds, same, body = kinds_of[n], set(shared.get(n, ())), n in bodies
         keep = []
         for i, (x, k) in enumerate(zip(lines_of[n], kinds, strict=True)):
-            common = prose[host_of[n], x] >= max(5, 0.8 * pages[host_of[n]])
-            gone = i in same and (k != H.BODY or common)
+            here = holders.get((host_of[n], x, k == H.BODY), set())
+            common = len(here) >= 0.8 * pages[host_of[n]]
+            if k == H.BODY:
+                gone = i in same and n not in copies and len(here) >= 5 and common
+            else:
+                gone = i in same and (n not in copies or common and len({tuple(lines_of[m]) for m in here}) >= 3)
             if not gone and ((k in (H.BODY, H.LINK) or k == H.MAYBE and n in paired) if body else k == H.OPEN):
                 keep.append(x)
         out.append((page, "\n".join(keep)))
@@ -151,6 +177,7 @@ def test_the_whole_query_equals_plain_loops(spark, tmp_path):
         parts = [rng.choice(["<nav>Home</nav>", "<div>Welcome</div>", "<p>Read on</p>", f"<p>Own {i}</p>", f"<p>Other {i}</p>", "<p><a href=x>More</a></p>", '<div class="share"><p>Tell</p></div>', f'<div class="related">Rel {i}</div>', "<p>Often</p>"]) for _ in range(rng.randrange(9))]
         tag = rng.choice(["article", "main", "div"])
         extra.append((1000 + i, f"http://{rng.choice(['x', 'y', sorted(hosts)[0]])}/{rng.choice('ab')}/{i % 50}", f"<{tag}>{''.join(parts)}</{tag}>"))
+    extra += [(1500 + i, f"http://stubs/{i}", "".join(f"<div>Menu {j}</div>" for j in range(20)) + f"<div>Stub {min(i, 6)}</div>") for i in range(9)]
     rows = given + extra + [(2000, None, "<p>No host</p>"), (2001, "odd", None), (2002, "", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     df.write.parquet(str(tmp_path / "pages.parquet"))
