@@ -20,6 +20,22 @@ JUDGE_REPLY = " Answer positive, negative or inconclusive, with your confidence
 SCORE = "Rate from 0 to 1 how well the review supports the aspect; explain it in short and quote the review as evidence. Reply in JSON."
 DECOMPOSE = "Take this request apart into the aspects that a place must satisfy, each in a few words. Reply in JSON."
 KEYWORD = "Name the one thing that this sentence praises or blames, in at most three words. Reply with these words only."
+#: Worked examples: what is said, and the reply to it.
+TAG_SHOTS = (
+    (
+        "The soup came cold twice, yet our waiter was kind and the garden is lovely on a summer evening.",
+        '{"tags":[{"name":"food-temperature","sentiment":"negative","evidence":"The soup came cold twice","confidence":0.9},{"name":"staff","sentiment":"positive","evidence":"our waiter was kind","confidence":0.85},{"name":"garden","sentiment":"positive","evidence":"the garden is lovely","confidence":0.9}]}',
+    ),
+    (
+        "A proper village bakery, though hardly a spot to sit and read.",
+        '{"tags":[{"name":"bakery","sentiment":"positive","evidence":"A proper village bakery","confidence":0.9},{"name":"reading","sentiment":"negative","evidence":"hardly a spot to sit and read","confidence":0.8}]}',
+    ),
+    ("We went there on Tuesday.", '{"tags":[]}'),
+)
+DECOMPOSE_SHOTS = (
+    ("Somewhere cheap for noodles near the station where I can work for an hour or two", '{"aspects":["cheap","noodles","near the station","good for working"]}'),
+    ("A bar with live jazz and no entrance fee", '{"aspects":["bar","live jazz","no entrance fee"]}'),
+)
 REQUEST = "Write a request, as a person looking for a place would, that asks for all of these aspects and says how much each matters. Reply with the request only."
 
 #: JSON schemas of replies by prompt; keys in alphabetical order, as they are written.
@@ -31,36 +47,49 @@ SCHEMAS = {
 }
 
 
-def chat(system: Column | str, *user: Column) -> Column:
-    """A system message and user messages as one list; null texts are empty."""
+def _turns(*turns: tuple[str, Column]) -> Column:
+    return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(text, F.lit("")).alias("content")) for role, text in turns])
+
+
+def chat(system: Column | str, *user: Column, shots: tuple[tuple[str, str], ...] = ()) -> Column:
+    """A system message, worked examples (what is said and the reply) and user messages as one list; null texts are empty."""
     first = F.lit(system) if isinstance(system, str) else system
-    return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(text, F.lit("")).alias("content")) for role, text in (("system", first), *(("user", u) for u in user))])
+    shown = [turn for said, reply in shots for turn in (("user", F.lit(said)), ("assistant", F.lit(reply)))]
+    return _turns(("system", first), *shown, *(("user", u) for u in user))
+
+
+def plain_messages(text: Column) -> Column:
+    """A text as a list of one user message; null is empty."""
+    return _turns(("user", text))
 
 
-def _labelled(**parts: Column) -> Column:
-    return F.concat_ws("\n", *[F.concat(F.lit(f"{name.upper()}: "), F.coalesce(text, F.lit(""))) for name, text in parts.items()])
+def _said_of(aspect: Column, query: Column, text: Column) -> Column:
+    """The review first, then what is asked of it; null parts are empty."""
+    parts = [F.concat(F.lit(name), F.coalesce(part, F.lit(""))) for name, part in (("Review of the place:\n", text), ("What to look for: ", aspect), ("Because of the request: ", query))]
+    return F.concat_ws("\n\n", *parts)
 
 
 def tag_messages(text: Column) -> Column:
-    return chat(TAG, text)
+    return chat(TAG, text, shots=TAG_SHOTS)
 
 
 def info_messages(aspect: Column, query: Column) -> Column:
-    return chat(INFO, _labelled(query=query), _labelled(aspect=aspect))
+    """The request stands in a turn of its own, as it only helps to read the aspect."""
+    return chat(INFO, F.concat(F.lit("Somebody asked: "), F.coalesce(query, F.lit(""))), F.concat(F.lit("Of this, tell me about: "), F.coalesce(aspect, F.lit(""))))
 
 
 def judge_messages(aspect: Column, kind: Column, query: Column, text: Column) -> Column:
     """The question depends on the kind of aspect; an unknown kind is asked as a functional one."""
     ask = F.coalesce(*[F.when(kind == k, F.lit(JUDGE[k])) for k in ASPECT_KINDS], F.lit(JUDGE["functional"]))
-    return chat(F.concat(ask, F.lit(JUDGE_REPLY)), _labelled(aspect=aspect, query=query, review=text))
+    return chat(F.concat(ask, F.lit(JUDGE_REPLY)), _said_of(aspect, query, text))
 
 
 def score_messages(aspect: Column, query: Column, text: Column) -> Column:
-    return chat(SCORE, _labelled(aspect=aspect, query=query, review=text))
+    return chat(SCORE, _said_of(aspect, query, text))
 
 
 def decompose_messages(request: Column) -> Column:
-    return chat(DECOMPOSE, request)
+    return chat(DECOMPOSE, request, shots=DECOMPOSE_SHOTS)
 
 
 def keyword_messages(segment: Column) -> Column:

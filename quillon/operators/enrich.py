@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.vectors import normalise
 from quillon.runtime import save_stage, ship_package
+from quillon.sources.results import ResultStore
 from quillon.sources.store import add_missing, exists
 
 ONE_TAG = "name string, sentiment string, evidence string, confidence double"
@@ -111,6 +112,38 @@ def upsert(store: DataFrame, new: DataFrame, overwrite: bool = True) -> DataFram
     return both.groupBy("task", "key", "tag").agg(pick.alias("p")).select("task", "key", "tag", "p.version", "p.payload")
 
 
+SCORE_REPLY = "score double, explanation string, evidence string"
+
+
+def stored_scores(evidence: DataFrame, store: ResultStore, model: Callable, query_scoped: bool = False, version: int = 0, city: str = "", system: str = "") -> tuple[DataFrame, ResultStore]:
+    """``evidence`` (``query_id``, ``aspect``, ``review_id``) with ``score``, and the store with the replies that were new.
+
+    A stored score is of a review and an aspect within ``city`` and ``system``, whichever request asked for it; with
+    ``query_scoped`` it is of the request too, as the model's prompt holds that. ``model`` adds ``payload`` (a JSON reply) to
+    the distinct (``query_id`` if scoped, ``aspect``, ``review_id``) that have none. Replies that do not parse or break
+    the form are not stored: their rows have a null score and are asked for again next time, as have rows without a review
+    or an aspect, which no model sees. A ``score`` that ``evidence`` has is replaced.
+    """
+    unit = [*["query_id"] * query_scoped, "aspect", "review_id"]
+    tag = F.to_json(F.array(F.col("query_id").cast("string"), "aspect")) if query_scoped else F.col("aspect")
+    names = {"__key": F.col("review_id").cast("string"), "__tag": tag}
+    scope = {"task": "query_score" if query_scoped else "score", "city": city, "system": system}
+
+    def stored(results: ResultStore) -> DataFrame:
+        mine = results.rows()
+        for column, value in scope.items():
+            mine = mine.filter(F.col(column) == value)
+        return mine.select(F.col("key").alias("__key"), F.col("tag").alias("__tag"), "payload")
+
+    wanted = evidence.select(*unit).dropna().distinct().withColumns(names)
+    replies = model(pending_work(wanted, stored(store), list(names)).select(*unit)).select(*unit, "payload")
+    valid = validate_scores(replies.select(*unit, "payload", F.from_json("payload", SCORE_REPLY).alias("r")).select(*unit, "payload", "r.*")).filter("reason is null")
+    named = valid.withColumns(names).select(*[F.lit(v).alias(c) for c, v in scope.items()], F.col("__key").alias("key"), F.col("__tag").alias("tag"), F.lit(version).alias("version"), "payload")
+    store = store.put(save_stage(named, "scores"))
+    found = stored(store).select(*names, F.from_json("payload", SCORE_REPLY)["score"].alias("score"))
+    return evidence.drop("score").withColumns(names).join(found, list(names), "left").drop(*names), store
+
+
 def rule_judgment(h: Column) -> dict[str, Column]:
     """A deterministic stand-in for a judge: a third each positive, negative, inconclusive."""
     return {"is_conclusive": h % 3 != 2, "is_positive": h % 3 == 0, "aspect_status": F.get(F.array(*map(F.lit, ("positive", "negative", "inconclusive"))), h % 3)}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.prompts import ASPECT_KINDS
@@ -103,8 +102,9 @@ def item_rank_score(candidates: DataFrame, aspects: DataFrame, scored: DataFrame
 
 
 def final_ranking(scores: DataFrame) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item_id")
-    return scores.select("query_id", F.row_number().over(order).alias("rank"), "item_id", "score")
+    """Items of each query by score, ties by id; a query with a great many items is ranked by several tasks."""
+    placed = grouped_rank(scores.select("query_id", "item_id", "score"), ["query_id"], [F.desc(F.round("score", 9)), "item_id"], "rank")
+    return placed.select("query_id", "rank", "item_id", "score")
 
 
 def _aspect_hits(index: SearchIndex, asked: DataFrame, review_k: int | None) -> DataFrame:

@@ -100,7 +100,7 @@ def allowlist_slice(spark, sf_dir):
 @query(f"""{ctes('reviews', 'items')} select trim(city, ' ' || chr(9)) as city, count(distinct user_id) as n_users, count(distinct item_id) as n_items, count(*) as n_reviews
 from reviews join items using (item_id) group by all""")
 def dataset_counts(spark, sf_dir):
-    joined = reviews(spark, sf_dir).join(F.broadcast(C.shape_items(items(spark, sf_dir)).select("item_id", "city")), "item_id")
+    joined = reviews(spark, sf_dir).join(C.shape_items(items(spark, sf_dir)).select("item_id", "city"), "item_id")
     return joined.groupBy("city").agg(F.countDistinct("user_id").alias("n_users"), F.countDistinct("item_id").alias("n_items"), F.count(F.lit(1)).alias("n_reviews"))
 
 

@@ -22,7 +22,7 @@ CENTROID = f"{VISITS}, ce as (select user_id, avg(lat) as lat, avg(lon) as lon f
 
 
 def visits(spark, sf_dir):
-    i = F.broadcast(items(spark, sf_dir).select("item_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))
+    i = items(spark, sf_dir).select("item_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     return reviews(spark, sf_dir).select("user_id", "item_id").join(i, "item_id").select("user_id", "lat", "lon")
 
 

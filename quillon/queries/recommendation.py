@@ -12,6 +12,8 @@ from quillon.plans import recommend as R
 from quillon.queries.search import bm25_sql, hits_sql, search_index
 from quillon.queries.vectors import SIMS, aspect_vectors
 from quillon.registry import query
+from quillon.runtime import save_stage, shared_path
+from quillon.sources.results import ResultStore
 
 REQUESTS = "values (1, ' the, and ,of'), (2, 'esat, , ndon'), (3, 'the,the'), (4, '')"
 ASPECT_SQL = f"""rq(query_id, aspects) as ({REQUESTS}),
@@ -40,6 +42,7 @@ def score(rows):
 
 HITS = f"{ctes('reviews')}, {ASPECT_SQL}, {bm25_sql(Q, key='aspect', text='query')}, {hits_sql(None, key='aspect')}"
 H = rule_sql("aspect", "review_id")
+SCOPED = "query_id || '|' || aspect"
 VERDICT = f"""jd as (select aspect, item_id, review_id, rank, {H} % 3 as j from hits),
 vd as (select aspect, item_id, count(*) filter (j <> 2) > 0 as concluded, coalesce(min_by(j = 0, rank) filter (j <> 2), false) as positive from jd group by all)"""
 CAND = """pos as (select distinct aspect, item_id from vd where positive), wa as (select distinct query_id, aspect from aspects),
@@ -125,6 +128,31 @@ def enrich_score(spark, sf_dir):
     return N.apply_model(pairs, model, "aspect string, item_id long, review_id long, score double")
 
 
+def _in_store(spark, sf_dir, query_scoped):
+    """Scores by way of the store: a run for one request, then one for all, whose model sees only what is missing."""
+    a, c, e = _evidence(spark, sf_dir)
+    e = save_stage(e.select("query_id", "aspect", "item_id", "review_id"), "evidence")
+
+    def model(units):
+        of = F.concat_ws("|", F.col("query_id").cast("string"), "aspect") if query_scoped else F.col("aspect")
+        return units.withColumn("payload", F.to_json(F.struct(N.rule_score(rule_hash(of, F.col("review_id"))).alias("score"), F.lit("by rule").alias("explanation"), F.lit("").alias("evidence"))))
+
+    store = ResultStore(spark, shared_path(spark, "results"))
+    store = N.stored_scores(e.filter("query_id = 1"), store, model, query_scoped)[1]
+    return N.stored_scores(e, store, model, query_scoped)[0].select("query_id", "aspect", "item_id", "review_id", "score")
+
+
+@query(f"{HITS}, {VERDICT}, {CAND}, {SCORED} select query_id, aspect, item_id, review_id, score from sco")
+def stored_scores(spark, sf_dir):
+    return _in_store(spark, sf_dir, False)
+
+
+@query(f"{HITS}, {VERDICT}, {CAND}, {SCORED.replace(H, rule_sql(SCOPED, 'review_id'))} select query_id, aspect, item_id, review_id, score from sco")
+def query_scoped_scores(spark, sf_dir):
+    """As if each request had a judge of its own: a review's score of an aspect depends on who asks."""
+    return _in_store(spark, sf_dir, True)
+
+
 @query(f"""{HITS}, {VERDICT}, {CAND}, {SCORED} select query_id, item_id, count(*) filter (score > 0.5) as positives, count(*) filter (score < 0.5) as negatives from sco group by all""")
 def split_polarity(spark, sf_dir):
     p = R.split_polarity(score(_evidence(spark, sf_dir)[2]))

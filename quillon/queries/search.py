@@ -132,7 +132,7 @@ def item_search_max(spark, sf_dir):
 @query(f"""{ctes('items')} select item_id, name, stars, count(*) as n_reviews from (select doc_id % 130 as item_id from documents) left join items using (item_id) group by all""")
 def item_display(spark, sf_dir):
     hits = table(spark, sf_dir, "documents").select((F.col("doc_id") % 130).alias("item_id"))
-    return hits.join(F.broadcast(items(spark, sf_dir).select("item_id", "name", "stars")), "item_id", "left").groupBy("item_id", "name", "stars").agg(F.count(F.lit(1)).alias("n_reviews"))
+    return hits.join(items(spark, sf_dir).select("item_id", "name", "stars"), "item_id", "left").groupBy("item_id", "name", "stars").agg(F.count(F.lit(1)).alias("n_reviews"))
 
 
 @query(f"""{ctes('reviews')}, {bm25_sql()}, {hits_sql(500)},

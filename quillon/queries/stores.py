@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from quillon import registry
 from quillon.fixtures import ctes, interactions, items, review_tag, reviews, tag_vectors, users
 from quillon.functions import prompts as P
+from quillon.functions.text import aspect_list
 from quillon.functions.vectors import normalise
 from quillon.operators import enrich as N
 from quillon.operators import usage as U
 from quillon.operators.search import bm25_scores
 from quillon.queries.evaluation import ndcg_at_k, precision_at_k
 from quillon.queries.search import ASKED, asked, item_search
-from quillon.queries.vectors import request_from_bundle
+from quillon.queries.vectors import BUNDLES, KEYWORDS, bundles, request_from_bundle
 from quillon.registry import query
 from quillon.runtime import shared_path, table
 from quillon.sources import jsonlines as J
@@ -141,12 +142,14 @@ def export_requests(spark, sf_dir):
 
 
 def _form_sql() -> str:
-    body = f"""json_object('model', 'm-' || kind, 'messages', json_array(json_object('role', 'system', 'content', ask), json_object('role', 'user', 'content', said)), 'temperature', 0.1"""
+    shown = "".join(f"json_object('role', 'user', 'content', '{a}'), json_object('role', 'assistant', 'content', '{b}'), " for a, b in P.TAG_SHOTS)
+    turns = "json_array(json_object('role', 'system', 'content', ask), {}json_object('role', 'user', 'content', said))"
+    body = f"""json_object('model', 'm-' || kind, 'messages', case kind when 'tags' then {turns.format(shown)} else {turns.format("")} end, 'temperature', 0.1"""
     by = {k: f"""json_object('type', 'json_schema', 'json_schema', json('{P.SCHEMAS[k]}'))""" for k in ("tags", "score")}
     whole = "case kind " + " ".join(f"when '{k}' then {body}, 'response_format', {v})" for k, v in by.items()) + f" when 'judge' then {body}, 'response_format', json_object('type', 'json_object')) else {body}) end"
     asks = {"tags": P.TAG, "score": P.SCORE, "keyword": P.KEYWORD} | {f"judge{i}": P.JUDGE[k] + P.JUDGE_REPLY for i, k in enumerate(P.ASPECT_KINDS)}
     ask = "case " + " ".join(f"when kind || case kind when 'judge' then (doc_id % 3)::varchar else '' end = '{k}' then '{v}'" for k, v in asks.items()) + " end"
-    said = "case when kind in ('judge', 'score') then 'ASPECT: quiet' || chr(10) || 'QUERY: a quiet place' || chr(10) || 'REVIEW: ' || coalesce(text, '') else coalesce(text, '') end"
+    said = "case when kind in ('judge', 'score') then 'Review of the place:' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || 'What to look for: quiet' || chr(10) || chr(10) || 'Because of the request: a quiet place' else coalesce(text, '') end"
     k = "list_value('tags', 'judge', 'score', 'keyword')[doc_id % 4 + 1]"
     line = f"json_object('custom_id', 'prompt-' || doc_id, 'method', 'POST', 'url', '/v1/chat/completions', 'body', {whole})"
     return f"select doc_id as i, md5(cast({line} as varchar)) as digest from (select *, {said} as said, {ask} as ask from (select doc_id, text, {k} as kind from documents))"
@@ -168,8 +171,49 @@ def model_prompts(spark, sf_dir):
     return J.export_requests(rows).select("i", F.md5("value").alias("digest"))
 
 
+def _planning_sql() -> str:
+    def turn(role, said):
+        return f"json_object('role', '{role}', 'content', {said})"
+
+    def line(key, kind, turns, form=""):
+        said = f"json_object('model', 'planner', 'messages', json_array({', '.join(turns)}), 'temperature', 0.1{form})"
+        return f"select {key} as i, md5(cast(json_object('custom_id', 'prompt-' || {key}, 'method', 'POST', 'url', '/v1/chat/completions', 'body', {said}) as varchar)) as digest from {kind}"
+
+    def form(name):
+        return f", 'response_format', json_object('type', 'json_schema', 'json_schema', json('{P.SCHEMAS[name]}'))"
+
+    shots = [turn(role, f"'{said}'") for pair in P.DECOMPOSE_SHOTS for role, said in zip(("user", "assistant"), pair, strict=True)]
+    parts = line("'parts-' || item_id", "benchmark", [turn("system", f"'{P.DECOMPOSE}'"), *shots, turn("user", "coalesce(text, '')")], form("aspects"))
+    infos = line("'info-' || item_id || '-' || pos", "asp", [turn("system", f"'{P.INFO}'"), turn("user", "'Somebody asked: ' || text"), turn("user", "'Of this, tell me about: ' || aspect")], form("info"))
+    request = line("'request-' || request", "rq", [turn("system", f"'{P.REQUEST}'"), turn("user", "said")])
+    plain = line("'plain-' || doc_id", "documents", [turn("user", "coalesce(text, '')")])
+    return rf"""with {KEYWORDS}, {BUNDLES},
+rq as (select request, string_agg('- ' || keyword || ' (importance ' || importance || ', performance ' || performance || ')', chr(10) order by slot) as said from bu group by request),
+al as (select item_id, text, list_filter(list_transform(string_split(coalesce(text, ''), ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l from benchmark),
+asp as (select item_id, text, unnest(range(len(l))) as pos, unnest(l) as aspect from al)
+{parts} union all {infos} union all {request} union all {plain}"""
+
+
+@query(_planning_sql())
+def planning_prompts(spark, sf_dir):
+    """Request lines around a request: taking it apart, typing each aspect, writing one from a bundle, and plain texts as they are."""
+    b = table(spark, sf_dir, "benchmark")
+    parts = b.select(F.concat(F.lit("parts-"), "item_id").alias("i"), P.decompose_messages(F.col("text")).alias("messages"), F.lit(P.SCHEMAS["aspects"]).alias("schema"))
+    aspects = b.select("item_id", "text", F.posexplode(aspect_list(F.col("text"))).alias("pos", "aspect"))
+    infos = aspects.select(F.concat_ws("-", F.lit("info"), "item_id", "pos").alias("i"), P.info_messages(F.col("aspect"), F.col("text")).alias("messages"), F.lit(P.SCHEMAS["info"]).alias("schema"))
+    asked_ = bundles(spark, sf_dir).select(F.concat(F.lit("request-"), "request").alias("i"), P.request_messages(F.col("aspects")).alias("messages"), F.lit(None).cast("string").alias("schema"))
+    rows = parts.union(infos).union(asked_).withColumns({"model": F.lit("planner"), "use_json": F.col("schema").isNotNull()})
+    plain = table(spark, sf_dir, "documents").select(F.concat(F.lit("plain-"), "doc_id").alias("i"), F.lit("planner").alias("model"), F.col("text").alias("messages"))
+    return J.export_requests(rows).union(J.export_requests(plain)).select("i", F.md5("value").alias("digest"))
+
+
+def sizes(spark, sf_dir):
+    """The turns of each conversation, where its texts are not wanted."""
+    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("i")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def response_lines(spark, sf_dir):
-    p = prompts(spark, sf_dir).select("i", F.concat(F.lit("reply "), F.col("i").cast("string")).alias("c"), F.size("messages").cast("long").alias("n"))
+    p = sizes(spark, sf_dir).select("i", F.concat(F.lit("reply "), F.col("i").cast("string")).alias("c"), "n")
     usage = F.struct((F.col("n") * 10).alias("prompt_tokens"), F.col("n").alias("completion_tokens"))
     choices = F.when(F.col("i") % 10 == 1, F.array().cast("array<struct<message:struct<content:string>>>")).otherwise(F.array(F.struct(F.struct(F.col("c").alias("content")).alias("message"))))
     line = F.to_json(F.struct(F.concat(F.lit("prompt-"), F.col("i").cast("string")).alias("custom_id"), F.struct(F.when(F.col("i") % 10 == 0, 500).otherwise(200).alias("status_code"), F.struct(choices.alias("choices"), usage.alias("usage")).alias("body")).alias("response")))
@@ -180,12 +224,12 @@ def response_lines(spark, sf_dir):
 def import_responses(spark, sf_dir):
     path = shared_path(spark, "responses")
     response_lines(spark, sf_dir).write.text(path)
-    return J.align_outputs(prompts(spark, sf_dir), J.parse_responses(spark.read.text(path))[0])
+    return J.align_outputs(sizes(spark, sf_dir), J.parse_responses(spark.read.text(path))[0])
 
 
 @query(f"with {PROMPTS} select i, case when i % 10 in (2, 3) then null when i % 10 in (0, 1) then '' else 'reply ' || i end as content from prompts")
 def align_outputs(spark, sf_dir):
-    return J.align_outputs(prompts(spark, sf_dir), J.parse_responses(response_lines(spark, sf_dir))[0])
+    return J.align_outputs(sizes(spark, sf_dir), J.parse_responses(response_lines(spark, sf_dir))[0])
 
 
 @query(f"""with {PROMPTS} select model, count(*) as n, cast(sum(len(messages) * 10) filter (i % 10 not in (2, 3)) as bigint) as prompt_tokens, count(*) filter (i % 10 > 3) as answered from prompts group by model""")

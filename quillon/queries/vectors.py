@@ -143,10 +143,15 @@ def bundle_assign(spark, sf_dir):
     return T.bundle_assign(kw, 10, 5)
 
 
+def bundles(spark, sf_dir):
+    """Requests with their text and aspects, out of keywords of all documents."""
+    kw = Y.keywords_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), "text"))
+    return Y.request_from_bundle(T.bundle_assign(kw, 10, 5))
+
+
 @query(f"with {KEYWORDS}, {BUNDLES} select request, string_agg(keyword, ', ' order by slot) as request_text from bu group by request")
 def request_from_bundle(spark, sf_dir):
-    kw = Y.keywords_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), "text"))
-    return Y.request_from_bundle(T.bundle_assign(kw, 10, 5)).select("request", "request_text")
+    return bundles(spark, sf_dir).select("request", "request_text")
 
 
 def _synthesis_sql(requests: int, per: int) -> str:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions.prompts import plain_messages
+
 BUSINESS = "business_id string, name string, city string, latitude double, longitude double, stars double, categories string"
 USER = "user_id string, name string, friends array<string>"
 REVIEW = "review_id string, user_id string, business_id string, text string, stars double, date string"
@@ -32,7 +34,7 @@ def load_reviews_and_tips(spark: SparkSession, reviews: str, tips: str) -> DataF
     counts = t.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))  # one row per file split
     before = counts.withColumn("skip", F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     local = F.row_number().over(W.partitionBy("file", "block").orderBy("line"))
-    t = t.withColumn("n", local).join(F.broadcast(before), ["file", "block"]).withColumn("review_id", F.concat(F.lit("tip_"), (F.col("n") + F.col("skip") - 1).cast("string"))).drop("n", "skip")
+    t = t.withColumn("n", local).join(before, ["file", "block"]).withColumn("review_id", F.concat(F.lit("tip_"), (F.col("n") + F.col("skip") - 1).cast("string"))).drop("n", "skip")
     both = _last(r, "review_id").unionByName(t.drop("file", "block", "line"))
     return both.withColumnRenamed("business_id", "item_id")
 
@@ -49,22 +51,18 @@ def _last(df: DataFrame, key: str) -> DataFrame:
     return best.select(key, *[F.col(f"r.{c}") for c in rest])
 
 
-def build_messages(content: Column) -> Column:
-    """A text as a list of one user message."""
-    return F.array(F.struct(F.lit("user").alias("role"), content.alias("content")))
-
-
 def export_requests(prompts: DataFrame, url: str = "/v1/chat/completions", temperature: float = 0.1) -> DataFrame:
     """``prompts`` (``i``, ``model``, ``messages``) as one JSON request line each (column ``value``).
 
-    No temperature for models whose name begins with gpt-5. Two more columns may tell of each reply: where ``use_json`` is
+    Messages are a list, or a text that becomes a user's only message. No temperature for models whose name begins with gpt-5. Two more columns may tell of each reply: where ``use_json`` is
     true it has to be JSON, after ``schema`` (a JSON text with the schema's name and body) if that is not null.
     """
     use, schema = (F.col(c) if c in prompts.columns else F.lit(None).cast(t) for c, t in (("use_json", "boolean"), ("schema", "string")))
+    said = plain_messages(F.col("messages")) if dict(prompts.dtypes)["messages"] == "string" else F.col("messages")
     kind = F.when(use, F.when(schema.isNotNull(), "json_schema").otherwise("json_object"))
     form = F.when(kind.isNotNull(), F.struct(kind.alias("type"), F.when(kind == "json_schema", F.parse_json(schema)).alias("json_schema")))
     warm = F.when(~F.startswith(F.lower("model"), F.lit("gpt-5")), F.lit(temperature))
-    body = F.struct(F.col("model").alias("model"), F.col("messages").alias("messages"), warm.alias("temperature"), form.alias("response_format"))
+    body = F.struct(F.col("model").alias("model"), said.alias("messages"), warm.alias("temperature"), form.alias("response_format"))
     line = F.struct(F.concat(F.lit("prompt-"), F.col("i").cast("string")).alias("custom_id"), F.lit("POST").alias("method"), F.lit(url).alias("url"), body.alias("body"))
     return prompts.select("i", F.to_json(line).alias("value"))
 

@@ -376,7 +376,39 @@ def test_request_lines_by_kind_of_reply(spark):
     assert got[1]["response_format"] == {"type": "json_object"} and "temperature" not in got[1]
     assert got[2]["response_format"] == {"type": "json_schema", "json_schema": {"name": "n", "schema": {"type": "object"}}} and got[2]["temperature"] == 0.1
     assert "response_format" not in got[3] and "response_format" not in got[4]
-    assert [m["role"] for m in got[3]["messages"]] == ["system", "user"] and got[3]["messages"][1]["content"] == "hi"
+    shown = got[3]["messages"]
+    assert [m["role"] for m in shown] == ["system", *["user", "assistant"] * len(P.TAG_SHOTS), "user"] and shown[-1]["content"] == "hi"
+    texts = spark.createDataFrame([(1, "m", "a text"), (2, "m", None)], "i long, model string, messages string")
+    assert [json.loads(r.value)["body"]["messages"] for r in J.export_requests(texts).orderBy("i").collect()] == [[{"role": "user", "content": t}] for t in ("a text", "")]
+
+
+def test_worked_examples_keep_their_own_contract(spark):
+    shots = spark.createDataFrame([(i, said, reply) for i, (said, reply) in enumerate(P.TAG_SHOTS)], "review_id long, text string, payload string")
+    tags = N.validate_tags(shots.select("review_id", "payload"))
+    assert tags.count() == 5 and tags.filter("reason is not null").isEmpty()
+    assert N.evidence_grounding(tags, shots).filter("not grounded").isEmpty()
+    assert all(json.loads(reply)["aspects"] for _, reply in P.DECOMPOSE_SHOTS)
+
+
+def test_scores_are_stored_by_review_and_aspect_or_by_request_too(spark):
+    evidence = spark.createDataFrame([(1, "quiet", 5, 10), (2, "quiet", 5, 10), (2, "quiet", 5, 10), (1, "odd", 5, 11), (1, None, 5, 12), (1, "bad", 6, None)], "query_id int, aspect string, item_id long, review_id long")
+    asked = []
+
+    def model(units):
+        asked.append(rows(units))
+        reply = F.when(F.col("aspect") == "odd", F.lit('{"score": 7}')).otherwise(F.lit('{"score": 0.75, "explanation": "e", "evidence": ""}'))
+        return units.withColumn("payload", reply)
+
+    store = Q.ResultStore(spark, runtime.shared_path(spark, "scores"))
+    for scoped, first in ((False, [("odd", 11), ("quiet", 10)]), (True, [(1, "odd", 11), (1, "quiet", 10), (2, "quiet", 10)])):
+        asked.clear()
+        for _ in range(2):
+            found, store = N.stored_scores(evidence, store, model, scoped)
+            assert sorted((r.query_id, r.aspect or "", r.score) for r in found.collect()) == [(1, "", None), (1, "bad", None), (1, "odd", None), (1, "quiet", 0.75), (2, "quiet", 0.75), (2, "quiet", 0.75)]
+        assert asked == [first, [u for u in first if "odd" in u]]
+    other = N.stored_scores(evidence, store, lambda u: u.withColumn("payload", F.lit(None).cast("string")), city="elsewhere")[0]
+    assert other.filter("score is not null").isEmpty()
+    assert N.stored_scores(evidence.limit(0), store, model)[0].isEmpty()
 
 
 def test_prompts_name_what_they_ask(spark):
@@ -386,9 +418,9 @@ def test_prompts_name_what_they_ask(spark):
         P.judge_messages(t, F.col("kind"), t, none).alias("judge"), P.judge_messages(t, none, t, t).alias("odd"), P.info_messages(t, t).alias("info"),
         P.decompose_messages(t).alias("parts"), P.request_messages(F.col("b")).alias("request"), P.keyword_messages(t).alias("keyword"),
     ).first()
-    assert row.judge[0].content.startswith(P.JUDGE["ontological"]) and row.judge[1].content == "ASPECT: x\nQUERY: x\nREVIEW: "
+    assert row.judge[0].content.startswith(P.JUDGE["ontological"]) and row.judge[1].content == "Review of the place:\n\n\nWhat to look for: x\n\nBecause of the request: x"
     assert row.odd[0].content.startswith(P.JUDGE["functional"]) and [m.role for m in row.info] == ["system", "user", "user"]
-    assert row.request[1].content == "- k (importance high, performance good)" and row.parts[0].content == P.DECOMPOSE and row.keyword[1].content == "x"
+    assert row.request[1].content == "- k (importance high, performance good)" and row.parts[0].content == P.DECOMPOSE and row.parts[-1].content == "x" and row.keyword[1].content == "x"
     assert all(json.loads(s)["schema"]["type"] == "object" for s in P.SCHEMAS.values())
 
 
