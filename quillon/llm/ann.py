@@ -1,10 +1,12 @@
 """Nearest neighbours by multi-index hashing of learned binary codes.
 
 Codes are signs of rotated principal components (the rotations are learned by iterative quantisation on a bounded sample). A
-code is split into substrings, each with an index from its values to rows. A code within a Hamming radius r of a query's
-agrees with it up to r // substrings bits in at least one substring, so probing that ball in every index finds every such
-row (pigeonhole). Only rows that pass the full radius are ranked, by their inner products in double precision. A query that
-finds too few widens its radius step by step.
+code is split into substrings, each with a table from its values to rows. A code within a Hamming radius r of a query's
+agrees with it up to r // substrings bits in at least one substring, so probing that ball in every table finds every such
+row (pigeonhole). A ball of fewer values than a table has is looked up value by value; of a larger one, the table's values
+that lie in it are found. Short substrings have small balls but let many rows through: the fit takes the width that costs
+least on its sample, and any width finds the same rows. Only rows that pass the full radius are ranked, by their inner
+products in double precision. A query that finds too few widens its radius step by step.
 
 Codes and vectors are dealt over index parts once. Queries come in blocks of bounded size, each broadcast to all parts, and
 only the best ``k`` of a query leave a part.
@@ -12,7 +14,10 @@ only the best ``k`` of a query leave a part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +28,11 @@ from pyspark.sql import functions as F
 from quillon.llm.sampling import hash_sample
 from quillon.runtime import save_stage, ship_package
 
-#: Long codes tell angles well, so few rows have to be ranked; long substrings keep the balls around a query selective.
-BITS, SUBSTRINGS = 512, 8
+#: Long codes tell angles well, so few rows have to be ranked.
+BITS = 512
 WORDS = BITS // 64
+#: Widths that substrings may have.
+WIDTHS = (16, 32, 64)
 #: Bits by which a query that found too few rows widens its radius.
 WIDEN = BITS // 16
 #: Expected number of vectors that the rotation and the radius are fitted on (at most twice as many).
@@ -45,7 +52,7 @@ class Coder:
     """
 
     def __init__(self, sample: np.ndarray, longest: float, seed: int = 5):
-        self.longest = longest
+        self.longest, self.width = longest, 64
         x = self.lift(sample)
         rng = np.random.default_rng(seed)
         self.mean = x.mean(axis=0)
@@ -70,34 +77,84 @@ class Coder:
         return np.hstack([x, rest[:, None]])
 
     def codes(self, x: np.ndarray, query: bool = False) -> np.ndarray:
-        """The code of each row as ``WORDS`` 64-bit integers, each of which is a substring."""
+        """The code of each row as ``WORDS`` 64-bit integers."""
         bits = np.packbits((self.lift(x, query) - self.mean) @ self.turn > 0, axis=1)
         return np.ascontiguousarray(bits).view(np.uint64)
 
 
+def substrings(codes: np.ndarray, width: int) -> np.ndarray:
+    """Each code (the last axis) as substrings of ``width`` bits."""
+    return codes.view(np.dtype(f"u{width // 8}"))
+
+
+def ball_size(width: int, radius: int) -> int:
+    return sum(math.comb(width, i) for i in range(min(width, radius) + 1))
+
+
+@cache
+def ball(width: int, radius: int) -> np.ndarray:
+    """All values of at most ``radius`` set bits; best asked for after :func:`ball_size`."""
+    masks = [sum(1 << b for b in bits) for i in range(min(width, radius) + 1) for bits in combinations(range(width), i)]
+    return np.array(masks, np.dtype(f"u{width // 8}"))
+
+
+def cheapest_width(asked: np.ndarray, stored: np.ndarray, radius: int) -> int:
+    """The width whose probing touches least in a part: values looked up or compared, and words of the rows found."""
+    costs = {}
+    for width in WIDTHS:
+        parts, most = BITS // width, radius * width // BITS
+        a, b = substrings(asked, width), substrings(stored, width)
+        found = np.mean([(np.bitwise_count(b ^ row) <= most).any(axis=1).mean() for row in a])
+        costs[width] = parts * min(ball_size(width, most), PART_ROWS) + found * PART_ROWS * WORDS
+    return min(costs, key=lambda w: (costs[w], -w))
+
+
 def fit(sample: np.ndarray, longest: float, k: int) -> tuple[Coder, int]:
-    """A coder and the radius that covers ``COVER`` of the sample's nearest neighbours."""
+    """A coder with its width of substrings, and the radius that covers ``COVER`` of the sample's nearest neighbours."""
     coder = Coder(sample, longest)
     probes = sample[:: max(1, len(sample) // 300)]
     near = np.argsort(-(probes @ sample.T), axis=1)[:, : k + 1]
     a, b = coder.codes(probes, True), coder.codes(sample)
     distance = np.bitwise_count(a[:, None, :] ^ b[near]).sum(axis=2)
-    return coder, int(np.quantile(distance, COVER, method="higher"))
+    radius = int(np.quantile(distance, COVER, method="higher"))
+    coder.width = cheapest_width(a[:: max(1, len(a) // 50)], b, radius)
+    return coder, radius
 
 
 class Index:
-    """The codes of some rows, with the distinct values of each substring and the rows of each value."""
+    """The codes of some rows, and for each substring its distinct values in order with the rows of each.
+
+    ``looked_up`` counts the values that lookups asked for, ``compared`` those that were compared where the ball is larger than
+    the table, ``checked`` the rows whose whole codes were then compared.
+    """
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.tables = [np.unique(codes[:, j], return_inverse=True) for j in range(SUBSTRINGS)]
+    def __init__(self, codes: np.ndarray, width: int = 64):
+        self.codes, self.width, self.tables = codes, width, []
+        for column in substrings(codes, width).T:
+            order = np.argsort(column, kind="stable")
+            values, starts = np.unique(column[order], return_index=True)
+            self.tables.append((values, np.append(starts, len(order)), order))
+        self.looked_up = self.compared = self.checked = 0
 
     def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows with a substring in the ball of radius // substrings around the query's."""
-        mask = np.zeros(len(self.codes), bool)
-        for j, (values, rows) in enumerate(self.tables):
-            mask |= (np.bitwise_count(values ^ code[j]) <= radius // SUBSTRINGS)[rows]
-        return np.flatnonzero(mask)
+        mask, most = np.zeros(len(self.codes), bool), radius // len(self.tables)
+        size = ball_size(self.width, most)
+        for own, (values, starts, order) in zip(substrings(code, self.width), self.tables, strict=True):
+            if size < len(values):
+                near = ball(self.width, most) ^ own
+                at = np.searchsorted(values, near)
+                hits = at[values[np.minimum(at, len(values) - 1)] == near]
+                n = starts[hits + 1] - starts[hits]
+                mask[order[np.arange(n.sum()) + np.repeat(starts[hits] - np.cumsum(n) + n, n)]] = True
+                self.looked_up += size
+            else:
+                inside = np.bitwise_count(values ^ own) <= most
+                mask[order[inside if len(values) == len(order) else np.repeat(inside, np.diff(starts))]] = True
+                self.compared += len(values)
+        found = np.flatnonzero(mask)
+        self.checked += len(found)
+        return found
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows within the radius of a query's code."""
@@ -107,7 +164,7 @@ class Index:
 
 def search(coder: Coder, radius: int, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple]:
     """(query id, row id, score) of each query's ``k`` best rows within the radius, its own row left out."""
-    index, asked = Index(coder.codes(x)), coder.codes(q, True)
+    index, asked = Index(coder.codes(x), coder.width), coder.codes(q, True)
     for i in range(len(qids)):
         for r, score in _best(index, asked[i], radius, ids, x, int(qids[i]), q[i], k):
             yield int(qids[i]), int(ids[r]), float(score)
@@ -124,13 +181,13 @@ def _best(index: Index, code: np.ndarray, radius: int, ids: np.ndarray, x: np.nd
     return zip(found[best], score[best], strict=True)
 
 
-def _answers(shared, k: int):
+def _answers(shared, k: int, width: int):
     """The best ``k`` rows of a partition for each query of a block; the partition is searched ``PART_ROWS`` rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, keys, vectors, codes, radii = shared.value
         best: list[list[tuple[float, int]]] = [[] for _ in keys]
-        for ids, x, index in _parts(batches):
+        for ids, x, index in _parts(batches, width):
             for i in range(len(keys)):
                 least = best[i][-1][0] if len(best[i]) == k else -np.inf
                 more = _best(index, codes[i], int(radii[i]), ids, x, int(qids[i]), vectors[i], k, least)
@@ -147,7 +204,7 @@ def _answers(shared, k: int):
     return run
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Index]]:
+def _parts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, Index]]:
     held: list[pa.RecordBatch] = []
 
     def part():
@@ -155,7 +212,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         x = np.concatenate([_matrix(b) for b in held])
         codes = np.frombuffer(b"".join(v for b in held for v in b.column("code").to_pylist()), np.uint64).reshape(-1, WORDS)
         held.clear()
-        return ids, x, Index(codes)
+        return ids, x, Index(codes, width)
 
     for batch in batches:
         if batch.num_rows:
@@ -224,7 +281,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             vectors_ = np.array(block.column("vector").to_pylist(), np.float64)
             codes = np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint64).reshape(-1, WORDS)
             shared = spark.sparkContext.broadcast((*(block.column(c).to_numpy() for c in ("id", "key")), vectors_, codes, block.column("radius").to_numpy()))
-            part = index.mapInArrow(_answers(shared, k), "key long, query_id long, vec_id long, score double")
+            part = index.mapInArrow(_answers(shared, k, coder.width), "key long, query_id long, vec_id long, score double")
             part = save_stage(part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "near")
             shared.destroy()
             found = part if found is None else found.unionByName(part)

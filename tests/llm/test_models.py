@@ -172,7 +172,7 @@ def test_few_rows_are_ranked():
     e = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")
     x = np.array(e.embedding.tolist(), float)
     coder, radius = ann.fit(x, float(np.linalg.norm(x, axis=1).max()), 20)
-    index, q = ann.Index(coder.codes(x)), np.flatnonzero(e.vec_id % 20 == 0)
+    index, q = ann.Index(coder.codes(x), coder.width), np.flatnonzero(e.vec_id % 20 == 0)
     asked = coder.codes(x[q], True)
     probed = [index.probed(c, radius) for c in asked]
     within = [index.within(c, radius) for c in asked]
@@ -181,6 +181,29 @@ def test_few_rows_are_ranked():
     assert np.mean([len(w) for w in within]) < 0.1 * len(x) and np.mean([len(p) for p in probed]) < 0.7 * len(x)
 
 
+@pytest.mark.parametrize("spread", [0.05, 0.15])
+def test_lookups_touch_few_rows_of_clustered_vectors(spread):
+    """Where vectors lie in clusters, balls are small: probes are lookups in the tables, and they touch few values and rows."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((200, 64))[rng.integers(0, 200, 8000)] + spread * rng.standard_normal((8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    coder, radius = ann.fit(x, 1.0, 20)
+    index, asked = ann.Index(coder.codes(x), coder.width), coder.codes(x[::80], True)
+    within = [set(index.within(c, radius)) for c in asked]
+    near = np.argsort(-(x[::80] @ x.T), axis=1)[:, 1:21]
+    assert np.mean([len({*n} & w) for n, w in zip(near, within, strict=True)]) >= 0.95 * 20
+    assert index.compared == 0 and 0 < index.looked_up < 0.5 * len(asked) * len(x) and index.checked < 0.05 * len(asked) * len(x)
+
+
+@pytest.mark.parametrize("width", ann.WIDTHS)
+def test_any_width_finds_the_same_rows(width):
+    codes = np.random.default_rng(8).integers(0, 2**63, (400, ann.WORDS)).astype(np.uint64)
+    codes[200:] = codes[:200] ^ np.random.default_rng(9).choice(np.array([0, 1, 5, 1 << 40, (1 << 50) + 3], np.uint64), (200, ann.WORDS))
+    index, distance = ann.Index(codes, width), np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2)
+    for radius in (0, 8, 17, 40, 230, 512):
+        assert all(set(index.within(codes[i], radius)) == set(np.flatnonzero(distance[i] <= radius)) for i in range(0, 400, 37))
+
+
 def test_a_query_widens_its_radius(spark, monkeypatch):
     """Queries far from all rows, and a radius of nothing, still find all there is."""
     monkeypatch.setattr(ann, "COVER", 0.0)
