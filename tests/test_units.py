@@ -637,3 +637,15 @@ def test_keywords_are_fused_by_rank(spark):
     k = spark.createDataFrame([(1, "tea"), (1, "cake"), (1, "cake"), (2, "zz"), (3, None)], "query_id int, keyword string")
     got = [(x["rank"], x.review_id, round(x.score, 6), x.n_keywords) for x in S.fused_search(r, k).orderBy("rank").collect()]
     assert got == [(1, 1, round(1 / 62 + 1 / 62, 6), 2), (2, 2, round(1 / 61, 6), 1), (3, 4, round(1 / 61, 6), 1)]
+
+
+def test_postings_are_packed_without_a_shuffle(spark):
+    r = spark.createDataFrame([(3, 1, "b a b", 0), (1, 2, "a the", 0), (2, 1, None, 0), (4, 2, "B é", 1)], "review_id long, item_id long, text string, block long").coalesce(1)
+    packed = I._packed(r, 5, ["the"])
+    assert "Exchange" not in packed._jdf.queryExecution().toString()
+    got = [(p.term, p.segment, p.block, p.max_tf, p.min_tokens, [tuple(f) for f in p.found]) for p in packed.collect()]
+    assert got == [
+        ("a", 5, 0, 1, 1, [(1, 2, 1, 1), (3, 1, 1, 3)]), ("b", 5, 0, 2, 3, [(3, 1, 2, 3)]), ("b", 5, 1, 1, 2, [(4, 2, 1, 2)]),
+        ("the", 5, 0, 1, 1, [(1, 2, 1, 1)]), ("é", 5, 1, 1, 2, [(4, 2, 1, 2)]),
+    ]
+    assert I._packed(r.filter("review_id = 2"), 5, None).count() == 0
