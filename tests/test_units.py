@@ -20,6 +20,7 @@ from quillon.operators import index as I
 from quillon.operators import search as S
 from quillon.operators import tags as T
 from quillon.operators import usage as U
+from quillon.operators import segments as D
 from quillon.operators.segments import near_collapse
 from quillon.plans import recommend as R
 from quillon import ranking
@@ -649,3 +650,18 @@ def test_postings_are_packed_without_a_shuffle(spark):
         ("the", 5, 0, 1, 1, [(1, 2, 1, 1)]), ("é", 5, 1, 1, 2, [(4, 2, 1, 2)]),
     ]
     assert I._packed(r.filter("review_id = 2"), 5, None).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 10**9])
+def test_sets_that_meet_at_one_token_are_no_rows_unless_alike(spark, monkeypatch, hot):
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(30)]
+    sets = [frozenset([*rng.sample(common, 8), *(["x"] if i < 60 else [])]) for i in range(200)]
+    sets += [s ^ {rng.choice(common)} for s in sets[:40]] + [frozenset(["x"]), frozenset(["c1"]), frozenset(["x", "c1"])]
+    sets = sorted(set(sets), key=sorted)
+    want = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    seen, save = {}, D.save_stage
+    monkeypatch.setattr(D, "save_stage", lambda df, label: seen.setdefault(label, save(df, label)))
+    nodes = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, tokens array<string>")
+    assert rows(D.similar_sets(nodes, 80, hot)) == want and want
+    assert seen["pairs"].count() <= 2 * len(want)
