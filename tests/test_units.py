@@ -652,6 +652,24 @@ def test_postings_are_packed_without_a_shuffle(spark):
     assert I._packed(r.filter("review_id = 2"), 5, None).count() == 0
 
 
+def test_terms_and_their_frequencies_take_little_reading(spark, tmp_path):
+    """Few short parts cut no vocabulary, known grams prune the table, long lists of a term are counted by their tf alone."""
+    import pyarrow.parquet as pq
+
+    r = spark.createDataFrame([(i, i % 3, f"often off roof w{i} the the" if i % 2 else "of 𝔫x") for i in range(40)], "review_id long, item_id long, text string")
+    index = I.build_index(r, str(tmp_path / "i"), ["the"])
+    found = I.terms_containing(index, spark.createDataFrame([("of",), ("𝔫",), ("oft",), ("zz",)], "part string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "EqualTo(gram,oft)" in plan
+    assert rows(found) == [("of", "of"), ("of", "off"), ("of", "often"), ("of", "roof"), ("oft", "often"), ("𝔫", "𝔫x")]
+    assert index.mean_tokens == (20 * 4 + 20 * 2) / 40
+    assert {(x.term, x.df) for x in index.frequencies().collect()} == {("often", 20), ("off", 20), ("roof", 20), ("of", 20), ("𝔫x", 20), *((f"w{i}", 1) for i in range(1, 40, 2))}
+    files = list((tmp_path / "i").glob("segment-*/postings/*.parquet"))
+    groups = [pq.ParquetFile(f).metadata.row_group(0) for f in files]
+    columns = [g.column(c) for g in groups for c in range(g.num_columns)]
+    assert columns and not [c.path_in_schema for c in columns if c.path_in_schema.startswith("found") and c.has_dictionary_page]
+
+
 @pytest.mark.parametrize("hot", [0, 10**9])
 def test_sets_that_meet_at_one_token_are_no_rows_unless_alike(spark, monkeypatch, hot):
     rng = random.Random(5)
