@@ -388,6 +388,29 @@ def test_hits_come_from_terms(spark, monkeypatch, limit):
     assert got == {(p, i) for p in phrases if p for i, t in enumerate(texts) if p in (t or "").lower()}
 
 
+@pytest.mark.parametrize("few", [32, 1])
+def test_parts_of_many_terms_do_not_shuffle_the_postings(spark, monkeypatch, tmp_path, few):
+    """Terms too many for a broadcast are told where postings are read; only many parts in many terms shuffle them; same hits either way."""
+    r = spark.createDataFrame([(i, i % 3, t) for i, t in enumerate(["often of off", "roof the loft", "of of", "bathe", "nothing", None, "The the of"])], "review_id long, item_id long, text string")
+    index = I.build_index(r, str(tmp_path / "i"))
+    q = spark.createDataFrame([(1, "of the of"), (2, "f"), (3, "of off"), (4, "zz")], "query_id int, query string")
+    phrases = spark.createDataFrame([("of",), ("the",), ("of of",)], "phrase string")
+    want = rows(S.hit_scores(index, q).withColumn("score", F.round("score", 9)))
+    assert [x[:2] for x in want] == [*((1, i) for i in (0, 1, 2, 3, 6)), *((k, i) for k in (2, 3) for i in (0, 1, 2, 6))]
+    texts = [("of", 0), ("of", 1), ("of", 2), ("of", 6), ("of of", 0), ("of of", 2), ("the", 1), ("the", 3), ("the", 6)]
+    monkeypatch.setattr(I, "FEW_PARTS", few)
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 300)  # the parts fit, their terms do not
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = S.hit_scores(index, q)
+        assert ("hashpartitioning(term" in found._jdf.queryExecution().executedPlan().toString()) == (few == 1)
+        assert rows(found.withColumn("score", F.round("score", 9))) == want
+        assert rows(S.phrase_hits(index, phrases)) == texts
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_request_lines_by_kind_of_reply(spark):
     rows = [(1, "gpt-5-x", True, None), (2, "m", True, '{"name":"n","schema":{"type":"object"}}'), (3, "m", False, "{}"), (4, "m", None, None)]
     p = spark.createDataFrame(rows, "i long, model string, use_json boolean, schema string").withColumn("messages", P.tag_messages(F.lit("hi")))
